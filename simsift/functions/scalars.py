@@ -132,7 +132,7 @@ def sigmoid(x: ColumnOrName) -> Column:
 
 def path_segment(path: ColumnOrName, index: int) -> Column:
     """1-based (negative from the end) segment of a ``/`` separated path."""
-    return F.element_at(F.split(_c(path), "/"), index)
+    return F.try_element_at(F.split(_c(path), "/"), F.lit(index))
 
 
 def start_year(years: ColumnOrName) -> Column:

@@ -37,18 +37,21 @@ def matrix_from_df(df: DataFrame, max_bytes: int = MAX_MATRIX_BYTES) -> np.ndarr
     return np.array([r["weights"] for r in rows], dtype=np.float64).reshape(d, k)
 
 
-def project(df: DataFrame, vec_col: str, matrix: np.ndarray, out_col: str | None = None) -> DataFrame:
-    """``out_col = vec_col @ matrix`` in float32 (as the reference); a vector
-    of the wrong length raises."""
-    m32 = np.asarray(matrix, dtype=np.float32)
+def project(df: DataFrame, vec_col: str, matrix: np.ndarray, out_col: str | None = None,
+            dtype=np.float32) -> DataFrame:
+    """``out_col = vec_col @ matrix`` in float32 by default (as the
+    reference); ``dtype=np.float64`` for a double result.  A vector of the
+    wrong length raises."""
+    m32 = np.asarray(matrix, dtype=dtype)
     d = m32.shape[0]
+    elem = T.FloatType() if np.dtype(dtype) == np.float32 else T.DoubleType()
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    @F.pandas_udf(T.ArrayType(elem))
     def _proj(vs: pd.Series) -> pd.Series:
         out = [None] * len(vs)
         idx = [i for i, v in enumerate(vs) if v is not None]
         if idx:
-            block = np.stack([np.asarray(vs.iloc[i], dtype=np.float32) for i in idx])
+            block = np.stack([np.asarray(vs.iloc[i], dtype=dtype) for i in idx])
             if block.shape[1] != d:
                 raise ValueError(f"vector length {block.shape[1]} != matrix rows {d}")
             res = block @ m32
@@ -60,11 +63,12 @@ def project(df: DataFrame, vec_col: str, matrix: np.ndarray, out_col: str | None
 
 
 def project_pairs(df: DataFrame, matrix: np.ndarray, cols=("text_1_embedding", "text_2_embedding"),
-                  suffix: str = "_custom", score: str = "cosine_similarity_custom") -> DataFrame:
+                  suffix: str = "_custom", score: str = "cosine_similarity_custom",
+                  dtype=np.float32) -> DataFrame:
     """Project both vector columns and recompute their cosine."""
     out = df
     for c in cols:
-        out = project(out, c, matrix, f"{c}{suffix}")
+        out = project(out, c, matrix, f"{c}{suffix}", dtype)
     return out.withColumn(score, V.cosine(f"{cols[0]}{suffix}", f"{cols[1]}{suffix}"))
 
 

@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 
 from simsift.functions import scalars as S
 from simsift.functions import vectors as V
-from simsift.operators import dedup, filters, matching, metrics
+import numpy as np
+
+from simsift.operators import dedup, embed, filters, keywords, learn, matching, metrics, pairs
+from simsift.operators import projection, split
 from simsift.operators.topk import topk_similar
 from simsift.plans import evaluation
-from simsift.plans.tables import ARTICULATION_VIEW_SQL, articulation_view, table, vectors
+from simsift.plans.tables import (articulation_view, external_catalogue, internal_catalogue,
+                                  table, vectors)
+from simsift.session import scratch_table_path
 
 TOP_K = 10          # interactive matcher / fused paths
 EVAL_K = 20         # single-model evaluation path
@@ -221,6 +226,163 @@ def q_term_years(spark, sf):
                      S.academic_year(S.term_year("term")).alias("academic_year"), "n_orders"))
 
 
+# --------------------------------------------------------------------------
+# splits, sampling, pairs
+
+
+def q_stratified_split(spark, sf):
+    e = vectors(spark, sf).select("vec_id", "label")
+    return split.stratified_split(e, "label", ["vec_id"], 0.2, 123)
+
+
+def q_three_way_split(spark, sf):
+    e = vectors(spark, sf).select("vec_id", "label")
+    return split.three_way_split(e, "label", ["vec_id"], 0.2, 0.1, 123)
+
+
+def q_sample_negatives(spark, sf):
+    p = _pairs(spark, sf)
+    n_pos = p.where(F.col("label") == 1).count()
+    neg = split.sample_n(p.where(F.col("label") == -1), n_pos, ["query_id", "cand_id"], 123)
+    return neg.select("query_id", "cand_id", _r("cosine_similarity").alias("cosine_similarity"),
+                      "label")
+
+
+def _valid_truth_rows(spark, sf):
+    adat = filters.valid_articulations(articulation_view(spark, sf), min_term=MIN_TERM)
+    rows = adat.select("TRNS_DESCRIPTION", S.term_year("TERM").alias("YEAR"),
+                       "TR_COURSE", S.course_code("TR_SUBJ", "TR_COURSE").alias("EXT COURSE CODE"),
+                       S.course_code("EQUIV_SUBJECT", "EQUIV_CRSE").alias("INT COURSE CODE"),
+                       "l_orderkey", "l_linenumber", "EQUIV_CRSE")
+    return dedup.keep_first(rows, ["TRNS_DESCRIPTION", "YEAR", "EXT COURSE CODE"],
+                            ["l_orderkey", "l_linenumber", F.col("EQUIV_CRSE").cast("int")])
+
+
+def _composite(df):
+    return df.withColumn("text", S.composite_text("COURSE CODE", "COURSE TITLE", "DESCRIPTION"))
+
+
+def _positives(spark, sf):
+    ext = _composite(external_catalogue(spark, sf))
+    intl = _composite(internal_catalogue(spark, sf))
+    return pairs.positive_pairs(_valid_truth_rows(spark, sf), ext, intl,
+                                ext_keys=[("TR_COURSE", "number"),
+                                          ("EXT COURSE CODE", "COURSE CODE")],
+                                int_key=("INT COURSE CODE", "COURSE CODE"),
+                                ext_text="text", int_text="text")
+
+
+def q_positive_pairs(spark, sf):
+    return _positives(spark, sf)
+
+
+def q_random_negatives(spark, sf):
+    return pairs.random_negatives(_positives(spark, sf), seed=123)
+
+
+def q_hard_negatives(spark, sf):
+    e = vectors(spark, sf)
+    p = _pairs(spark, sf).where(F.col("label") == 1)
+    hn = pairs.hard_negatives(e, e, p, query_id="vec_id", query_vec="embedding",
+                              cand_id="vec_id", cand_vec="embedding", pos_query="query_id",
+                              pos_cand="cand_id", exclude_self=True)
+    return hn.select("query_id", "cand_id", _r("score").alias("score"),
+                     F.col("rank").cast("int").alias("rank"))
+
+
+def _embedded(spark, df, text_col, name):
+    cache = scratch_table_path(spark, f"embedding_cache_{name}")
+    return embed.embed_with_cache(df, [text_col], cache, embed.hashing_embedder(64))
+
+
+def q_rejected_negatives(spark, sf):
+    rej = filters.rejected_articulations(articulation_view(spark, sf), min_term=MIN_TERM)
+    ext = _composite(external_catalogue(spark, sf)).select("number", "text")
+    rows = rej.select(F.xxhash64("l_orderkey", "l_linenumber", "TR_COURSE", "EQUIV_CRSE",
+                                 "TERM", "l_extendedprice").alias("row_id"), "TR_COURSE") \
+              .join(ext, F.col("TR_COURSE") == F.col("number")).drop("number", "TR_COURSE")
+    rows = _embedded(spark, rows, "text", "external")
+    home = _embedded(spark, _composite(internal_catalogue(spark, sf)), "text", "internal")
+    out = pairs.rejected_negatives(rows, home, row_id="row_id", text="text",
+                                   vec="text_embedding", home_id="COURSE CODE",
+                                   home_text="text", home_vec="text_embedding")
+    return out.select("query_id", "text_1", "text_2", _r("score").alias("score"), "label")
+
+
+def q_rake_keywords(spark, sf):
+    d = table(spark, sf, "documents").where(F.col("lang") == "en")
+    return keywords.rake_keywords(d, "text", "doc_id")
+
+
+def q_embed_documents(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    e = _embedded(spark, d, "text", "documents")
+    return e.select("doc_id", F.size("text_embedding").alias("dims"),
+                    _r(V.norm("text_embedding")).alias("norm"))
+
+
+FOLD_K = 16
+
+
+def q_project_pairs(spark, sf):
+    p = _pairs(spark, sf)
+    vec = vectors(spark, sf)
+    a = vec.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("text_1_embedding"))
+    b = vec.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("text_2_embedding"))
+    j = p.join(a, "query_id").join(b, "cand_id")
+    j = projection.pair_cosine(j)
+    m = projection.fold_matrix(64, FOLD_K)
+    out = projection.project_pairs(j, m, dtype=np.float64)
+    return out.select("query_id", "cand_id", _r("cosine_similarity").alias("cosine_similarity"),
+                      _r("cosine_similarity_custom").alias("cosine_similarity_custom"))
+
+
+def q_fit_projection(spark, sf):
+    p = _pairs(spark, sf)
+    vec = vectors(spark, sf)
+    a = vec.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("text_1_embedding"))
+    b = vec.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("text_2_embedding"))
+    j = p.join(a, "query_id").join(b, "cand_id")
+    j = split.three_way_split(j, "label", ["query_id", "cand_id"], 0.2, 0.1, 123)
+    cfg = learn.FitConfig(k=16, epochs=3, lr=0.05, loss="bce", optimizer="adam")
+    res = learn.fit_projection(j, cfg, id_cols=["query_id", "cand_id"])
+    return res.metrics_df(spark)
+
+
+def q_pair_predictions(spark, sf):
+    p = _pairs(spark, sf)
+    return p.select("query_id", "cand_id", "label",
+                    _r(S.sigmoid("cosine_similarity")).alias("sigmoid_score"),
+                    S.threshold_predict("cosine_similarity", 0.3, strict=True).alias("pred_strict"),
+                    S.threshold_predict("cosine_similarity", 0.5, strict=False).alias("pred_ge"),
+                    S.relabel_binary("label").alias("label01"))
+
+
+def q_name_scalars(spark, sf):
+    c = table(spark, sf, "customer")
+    name = F.concat(F.col("c_mktsegment"), F.lit(" "), F.col("c_name"), F.lit(" (PCC)"))
+    return c.select("c_custkey",
+                    S.rename_with("c_mktsegment", {"AUTOMOBILE": "AUTO", "MACHINERY": "MACH"})
+                     .alias("segment"),
+                    S.canonical_institution(name).alias("canonical"),
+                    S.dehyphenate(S.hyphenate(name)).alias("round_trip"),
+                    S.upper_code(F.lower("c_name")).alias("upper_name"))
+
+
+def q_url_parts(spark, sf):
+    p = table(spark, sf, "pages")
+    return p.select("page_id", S.path_segment("url", 3).alias("host"),
+                    S.path_segment("url", 4).alias("lang"),
+                    S.path_segment("url", -1).alias("last"))
+
+
+def q_catalog_years(spark, sf):
+    o = table(spark, sf, "orders")
+    years = o.select(S.academic_year(F.year("o_orderdate").cast("string")).alias("years"))
+    from simsift.sources.catalogs import list_catalog_years
+    return list_catalog_years(years)
+
+
 # --------------------------------------------------------------------------
 # registry
 
@@ -246,4 +408,19 @@ def queries() -> dict[str, Query]:
         "rejected_rows": q_rejected_rows,
         "course_index": q_course_index,
         "term_years": q_term_years,
+        "stratified_split": q_stratified_split,
+        "three_way_split": q_three_way_split,
+        "sample_negatives": q_sample_negatives,
+        "positive_pairs": q_positive_pairs,
+        "random_negatives": q_random_negatives,
+        "hard_negatives": q_hard_negatives,
+        "rejected_negatives": q_rejected_negatives,
+        "rake_keywords": q_rake_keywords,
+        "embed_documents": q_embed_documents,
+        "project_pairs": q_project_pairs,
+        "fit_projection": q_fit_projection,
+        "pair_predictions": q_pair_predictions,
+        "name_scalars": q_name_scalars,
+        "url_parts": q_url_parts,
+        "catalog_years": q_catalog_years,
     }

@@ -5,7 +5,8 @@ search); it only has to run at the small check scale."""
 
 from __future__ import annotations
 
-from simsift.plans.tables import ARTICULATION_VIEW_SQL
+from simsift.plans.tables import (ARTICULATION_VIEW_SQL, EXTERNAL_CATALOGUE_SQL,
+                                  INTERNAL_CATALOGUE_SQL)
 
 # Shared CTEs -------------------------------------------------------------
 
@@ -252,6 +253,101 @@ SELECT term, CAST(CAST(floor(term / 100) AS INTEGER) AS VARCHAR) AS year,
        count(*) AS n_orders
 FROM t GROUP BY term"""
 
+ORACLE["stratified_split"] = """WITH r AS (
+  SELECT vec_id, label,
+         row_number() OVER (PARTITION BY label ORDER BY md5('123|' || CAST(vec_id AS VARCHAR)),
+                            vec_id) AS rn,
+         count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+SELECT vec_id, label, CASE WHEN rn <= round(n * 0.2) THEN 'test' ELSE 'train' END AS dataset
+FROM r"""
+
+ORACLE["three_way_split"] = """WITH r AS (
+  SELECT vec_id, label,
+         row_number() OVER (PARTITION BY label ORDER BY md5('123|' || CAST(vec_id AS VARCHAR)),
+                            vec_id) AS rn,
+         count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+c AS (SELECT *, round(n * 0.2) AS t FROM r)
+SELECT vec_id, label,
+       CASE WHEN rn <= t THEN 'test' WHEN rn - t <= round((n - t) * 0.1) THEN 'validation'
+            ELSE 'train' END AS dataset
+FROM c"""
+
+ORACLE["sample_negatives"] = f"""WITH {_PAIRS},
+neg AS (SELECT *, row_number() OVER (ORDER BY md5('123|' || CAST(query_id AS VARCHAR) || '|'
+                                                  || CAST(cand_id AS VARCHAR)), query_id, cand_id)
+               AS rn FROM pairs WHERE y = -1)
+SELECT query_id, cand_id, round(cs, 6) AS cosine_similarity, y AS label FROM neg
+WHERE rn <= (SELECT count(*) FROM pairs WHERE y = 1)"""
+
+_VALID_TRUTH = f"""a AS ({ARTICULATION_VIEW_SQL}),
+v AS (SELECT * FROM a WHERE EQUIV_EXISTS = 'Y' AND EQUI_TITLE <> 'NOT ACCEPTED IN TRANSFER'
+        AND regexp_full_match(EQUIV_CRSE, '[0-9]+') AND EQUIV_CRSE NOT IN ('000', '0000')
+        AND TERM >= 199700),
+r AS (SELECT TRNS_DESCRIPTION, TR_COURSE, TR_SUBJ || ' ' || TR_COURSE AS ext_code,
+             EQUIV_SUBJECT || ' ' || EQUIV_CRSE AS int_code,
+             row_number() OVER (PARTITION BY TRNS_DESCRIPTION, floor(TERM / 100),
+                                TR_SUBJ || ' ' || TR_COURSE
+                                ORDER BY l_orderkey, l_linenumber, CAST(EQUIV_CRSE AS INTEGER))
+               AS rn
+      FROM v),
+t AS (SELECT * FROM r WHERE rn = 1),
+ext AS ({EXTERNAL_CATALOGUE_SQL}),
+intl AS ({INTERNAL_CATALOGUE_SQL})"""
+
+ORACLE["positive_pairs"] = f"""WITH {_VALID_TRUTH}
+SELECT lower(ext."COURSE CODE" || ', ' || ext."COURSE TITLE" || ', ' || ext."DESCRIPTION")
+         AS text_1,
+       lower(intl."COURSE CODE" || ', ' || intl."COURSE TITLE" || ', ' || intl."DESCRIPTION")
+         AS text_2,
+       1 AS label
+FROM t JOIN ext ON t.TR_COURSE = ext.number AND t.ext_code = ext."COURSE CODE"
+       JOIN intl ON t.int_code = intl."COURSE CODE"
+WHERE ext."COURSE TITLE" IS NOT NULL AND ext."DESCRIPTION" IS NOT NULL
+  AND intl."COURSE TITLE" IS NOT NULL AND intl."DESCRIPTION" IS NOT NULL"""
+
+ORACLE["hard_negatives"] = f"""WITH {_PAIRS},
+pos AS (SELECT query_id, cand_id FROM pairs WHERE y = 1),
+neg AS (SELECT r.* FROM ranked r ANTI JOIN pos USING (query_id, cand_id)),
+best AS (SELECT query_id, min(rank) AS mr FROM neg GROUP BY 1)
+SELECT n.query_id, n.cand_id, round(n.score, 6) AS score, CAST(n.rank AS INTEGER) AS rank
+FROM neg n JOIN best b ON b.query_id = n.query_id AND b.mr = n.rank"""
+
+ORACLE["project_pairs"] = f"""WITH {_PAIRS},
+pv AS (SELECT p.query_id, p.cand_id, p.cs, a.v AS va, b.v AS vb
+       FROM pairs p JOIN e a ON a.vec_id = p.query_id JOIN e b ON b.vec_id = p.cand_id),
+f AS (SELECT *, list_transform(range(1, 17), lambda j: va[j] + va[j + 16] + va[j + 32] + va[j + 48])
+                  AS fa,
+                list_transform(range(1, 17), lambda j: vb[j] + vb[j + 16] + vb[j + 32] + vb[j + 48])
+                  AS fb FROM pv)
+SELECT query_id, cand_id, round(cs, 6) AS cosine_similarity,
+       round(greatest(least(list_cosine_similarity(fa, fb), 1.0), -1.0), 6)
+         AS cosine_similarity_custom
+FROM f"""
+
+ORACLE["pair_predictions"] = f"""WITH {_PAIRS}
+SELECT query_id, cand_id, y AS label, round(1.0 / (1.0 + exp(-cs)), 6) AS sigmoid_score,
+       CASE WHEN cs > 0.3 THEN 1 ELSE -1 END AS pred_strict,
+       CASE WHEN cs >= 0.5 THEN 1 ELSE -1 END AS pred_ge,
+       CASE WHEN y = -1 THEN 0 ELSE 1 END AS label01
+FROM pairs"""
+
+ORACLE["name_scalars"] = """WITH c AS (
+  SELECT *, c_mktsegment || ' ' || c_name || ' (PCC)' AS nm FROM customer)
+SELECT c_custkey,
+       CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'AUTO' WHEN 'MACHINERY' THEN 'MACH'
+            ELSE c_mktsegment END AS segment,
+       replace(replace(nm, ' (PCC)', ''), ' ', '-') AS canonical,
+       replace(replace(nm, ' ', '-'), '-', ' ') AS round_trip,
+       upper(lower(c_name)) AS upper_name
+FROM c"""
+
+ORACLE["url_parts"] = """SELECT page_id, string_split(url, '/')[3] AS host,
+       string_split(url, '/')[4] AS lang, string_split(url, '/')[-1] AS last
+FROM pages"""
+
+ORACLE["catalog_years"] = """SELECT DISTINCT CAST(year(o_orderdate) - 1 AS VARCHAR) || '-'
+       || CAST(year(o_orderdate) AS VARCHAR) AS years FROM orders"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
