@@ -34,7 +34,9 @@ def cosine(a: ColumnOrName, b: ColumnOrName, zero: str = "null") -> Column:
     convention used for search)."""
     denom = norm(a) * norm(b)
     raw = F.try_divide(dot(a, b), F.when(denom == 0, F.lit(None)).otherwise(denom))
-    clamped = F.least(F.greatest(raw, F.lit(-1.0)), F.lit(1.0))
+    # greatest/least skip nulls, so the clamp must not touch a null result.
+    clamped = F.when(raw.isNull(), F.lit(None).cast("double")) \
+               .otherwise(F.least(F.greatest(raw, F.lit(-1.0)), F.lit(1.0)))
     if zero == "zero":
         return F.when(_c(a).isNull() | _c(b).isNull(), F.lit(None).cast("double")) \
                 .otherwise(F.coalesce(clamped, F.lit(0.0)))

@@ -104,7 +104,9 @@ def _kernel(k: int, exclude_self: bool):
                 ci = ci[order]
                 Q = _normalised(q_vecs, len(qi))
                 C = _normalised(c_vecs, len(order))[order]
-                S = np.clip(Q @ C.T, -1.0, 1.0)
+                # Scores are quantised to 1e-12 so that BLAS rounding noise
+                # cannot break exact ties, which go to the smaller id.
+                S = np.round(np.clip(Q @ C.T, -1.0, 1.0), 12)
                 if exclude_self:
                     S[np.equal.outer(qi, ci)] = -np.inf
                 idx, vals = block_topk(S, k)
