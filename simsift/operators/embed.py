@@ -78,9 +78,11 @@ def embed_with_cache(df: DataFrame, text_cols: list[str], cache_path: str,
     computed = embed_column(missing, "text", "embedding", embedder) \
         .select("key", "text", "embedding")
     computed.write.mode("append").parquet(cache_path)
-    # Re-read: a rerun of an interrupted append may leave a duplicate key.
-    cache = spark.read.schema(schema).parquet(cache_path) \
-                 .groupBy("key").agg(F.first("embedding").alias("embedding"))
+    # Re-read only the keys needed here (semi-join first, then collapse the
+    # rare duplicate a rerun of an interrupted append can leave).
+    cache = (spark.read.schema(schema).parquet(cache_path)
+                  .join(texts.select("key"), "key", "left_semi")
+                  .groupBy("key").agg(F.first("embedding").alias("embedding")))
     out = df
     for c in text_cols:
         vec = cache.select(F.col("key").alias(f"_k_{c}"),

@@ -141,7 +141,8 @@ def evaluate(prepared: DataFrame, M: np.ndarray, cfg: FitConfig, e1: str, e2: st
     scored = prepared.select(e1, e2, label, dataset).mapInPandas(
         _score_kernel(M, cfg.loss, e1, e2, label, dataset), "dataset string, y double, s double")
     score = F.col("s") if cfg.score == "cosine" else 1.0 / (1.0 + F.exp(-F.col("s")))
-    scored = scored.withColumn("p", score).withColumn("y01", F.when(F.col("y") > 0, 1).otherwise(0))
+    scored = scored.withColumn("p", score) \
+                   .withColumn("y01", F.when(F.col("y") > 0, 1).otherwise(0)).persist()
     x, y = F.col("s"), F.col("y")
     lterm = (F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))) if cfg.loss == "bce" \
         else F.pow(x - y, 2)
@@ -153,6 +154,7 @@ def evaluate(prepared: DataFrame, M: np.ndarray, cfg: FitConfig, e1: str, e2: st
     out = {}
     for r in base.join(auc, "dataset", "left").collect():
         out[r["dataset"]] = {"loss": r["loss"], "accuracy": r["accuracy"], "auc": r["auc"]}
+    scored.unpersist()
     return out
 
 

@@ -36,6 +36,9 @@ def prefix_sums(df: DataFrame, order: str, values: list[str], groups: list[str]
     partitioned by (groups, range)."""
     groups = list(groups)
     spark = df.sparkSession
+    # The input is an aggregate (one row per distinct value); materialise it
+    # once so the quantile pass and the final pass do not recompute upstream.
+    df = df.checkpoint()
     nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = []
     if nb > 1:
@@ -195,7 +198,7 @@ def exact_quantile(df: DataFrame, col: str, q: float = 0.25, groups: list[str] =
     vals = df.where(_finite(col)).select(*groups, F.col(col).cast("double").alias("_v"))
     hist = vals.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("c"))
     pre = prefix_sums(hist, "_v", ["c"], groups)       # rows before = before_c
-    n = vals.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    n = pre.groupBy(*groups).agg(F.sum("c").alias("n"))
     h = (F.col("n") - 1) * q
     lo_i, hi_i = F.floor(h), F.ceil(h)
     cover = lambda i: (F.col("before_c") <= i) & (i < F.col("before_c") + F.col("c"))

@@ -47,6 +47,7 @@ def random_negatives(positives: DataFrame, n: int | None = None, seed: int = 123
     order.  ``symmetric=False`` keeps the reference's behaviour of excluding a
     positive only in its stored orientation."""
     spark = positives.sparkSession
+    positives = positives.select("text_1", "text_2").checkpoint()
     texts = (positives.select(F.col("text_1").alias("text"))
              .unionByName(positives.select(F.col("text_2").alias("text")))
              .where(F.col("text").isNotNull()).distinct()
@@ -63,11 +64,11 @@ def random_negatives(positives: DataFrame, n: int | None = None, seed: int = 123
     if t < 2:
         raise ValueError("need at least two distinct texts")
     k1, k2 = _pair_key("text_1", "text_2", True)
-    pos_keys = positives.select(k1.alias("a"), k2.alias("b")).distinct()
     if symmetric:
-        excl = pos_keys
+        excl = positives.select(k1.alias("a"), k2.alias("b")).distinct()
     else:
         excl = positives.select(F.col("text_1").alias("a"), F.col("text_2").alias("b")).distinct()
+    excl = excl.checkpoint()
     possible = t * (t - 1) // 2 - excl.where(F.col("a") < F.col("b")).count()
     if n > possible:
         raise ValueError(f"cannot draw {n} negatives from {possible} candidate pairs")

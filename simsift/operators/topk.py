@@ -5,10 +5,11 @@ Plan (no ``crossJoin`` and no row per (query, candidate) pair):
 1. Both sides are cut into blocks of about ``block_rows`` vectors by hashing
    the row id (``pmod(xxhash64(id), n_blocks)``); ids are unique, so blocks are
    balanced and bounded no matter how skewed any business key is.
-2. Each query block is paired with every candidate block through an equi-join
-   on the candidate block number.  The candidate blocks are broadcast only when
-   their total size, computed from a count and the vector width, is under
-   ``broadcast_bytes``; otherwise the join shuffles.
+2. Every query block meets every candidate block through an equi-join on a
+   block number, the other side's blocks being replicated with
+   ``explode(sequence(...))``.  A side is broadcast only when its size, from a
+   row count and the vector width, is under ``broadcast_bytes``; otherwise the
+   join shuffles and the side whose replicas cost fewer bytes is replicated.
 3. A ``mapInPandas`` kernel multiplies the two normalised blocks (BLAS) and
    keeps the k best candidates per query with a deterministic tie rule
    (score desc, candidate id asc).  Only k rows per query and block leave the
@@ -30,13 +31,17 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 DEFAULT_BLOCK_ROWS = 2048
-DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
+DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
 
 
-def _side_stats(df: DataFrame, vec: str) -> tuple[int, int]:
-    row = df.agg(F.count(F.col(vec)).alias("n"),
-                 F.max(F.size(F.col(vec))).alias("d")).first()
-    return int(row["n"] or 0), int(row["d"] or 0)
+def _count(df: DataFrame, id_col: str) -> int:
+    """Row count from the id column only (no vector bytes are read)."""
+    return df.select(id_col).count()
+
+
+def _width(df: DataFrame, vec: str) -> int:
+    row = df.where(F.col(vec).isNotNull()).select(F.size(vec).alias("d")).first()
+    return int(row["d"]) if row else 0
 
 
 def _blocks(df: DataFrame, id_col: str, vec_col: str, n_blocks: int, tag: str) -> DataFrame:
@@ -140,8 +145,9 @@ def topk_similar(queries: DataFrame, candidates: DataFrame, k: int, *,
         raise ValueError("k must be positive")
     qid_type = queries.schema[query_id].dataType
     cid_type = candidates.schema[cand_id].dataType
-    nq, _ = _side_stats(queries, query_vec)
-    nc, d = _side_stats(candidates, cand_vec)
+    nq = _count(queries, query_id)
+    nc = nq if candidates is queries and cand_id == query_id else _count(candidates, cand_id)
+    d = _width(candidates, cand_vec) if nq and nc else 0
     schema = T.StructType([
         T.StructField("query_id", qid_type), T.StructField("cand_id", cid_type),
         T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
@@ -152,10 +158,21 @@ def topk_similar(queries: DataFrame, candidates: DataFrame, k: int, *,
     c_blocks = max(1, math.ceil(nc / block_rows))
     qb = _blocks(queries, query_id, query_vec, q_blocks, "q")
     cb = _blocks(candidates, cand_id, cand_vec, c_blocks, "c")
-    if nc * d * 4 <= broadcast_bytes:
-        cb = F.broadcast(cb)
-    pairs = (qb.withColumn("c_blk", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-               .join(cb, "c_blk"))
+    q_bytes, c_bytes = nq * d * 4, nc * d * 4
+    if c_bytes <= broadcast_bytes:
+        # Candidate blocks go to every task once; query blocks never move again.
+        pairs = (qb.withColumn("c_blk", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+                   .join(F.broadcast(cb), "c_blk"))
+    elif q_bytes <= broadcast_bytes:
+        pairs = (cb.withColumn("q_blk", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+                   .join(F.broadcast(qb), "q_blk"))
+    elif q_bytes * c_blocks <= c_bytes * q_blocks:
+        # Shuffle join: replicate the side whose copies cost fewer bytes.
+        pairs = (qb.withColumn("c_blk", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+                   .join(cb, "c_blk"))
+    else:
+        pairs = (cb.withColumn("q_blk", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+                   .join(qb, "q_blk"))
     partial = pairs.select("q_ids", "q_vecs", "q_dmin", "q_dmax",
                            "c_ids", "c_vecs", "c_dmin", "c_dmax") \
                    .mapInPandas(_kernel(k, exclude_self), schema)
