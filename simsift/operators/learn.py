@@ -196,11 +196,13 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
     history = []
     for epoch in range(1, cfg.epochs + 1):
         lr = cfg.lr * (cfg.gamma ** ((epoch - 1) // cfg.step_size))
+        batch_losses = []
         for b in range(max(1, cfg.batches)):
             part = train if cfg.batches <= 1 else train.where(F.col("_batch") == b)
-            g, _lsum, n = gradient(part, M, cfg, epoch, b, e1, e2, label)
+            g, lsum, n = gradient(part, M, cfg, epoch, b, e1, e2, label)
             if n == 0:
                 continue
+            batch_losses.append(lsum / n)
             g = g / n
             if cfg.optimizer == "adam":
                 g = g + cfg.weight_decay * M
@@ -211,6 +213,9 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
             else:
                 M = M - lr * g
         ev = evaluate(prepared, M, cfg, e1, e2, label, dataset)
+        if "train" in ev and batch_losses:
+            # The train row reports the mean training-batch loss of the epoch.
+            ev["train"]["loss"] = float(np.mean(batch_losses))
         for ds_name in sorted(ev):
             history.append({"epoch": epoch, "dataset": ds_name, **ev[ds_name]})
         sel = ev.get(cfg.select_on, {}).get("auc")
@@ -235,3 +240,13 @@ def grid_search(pairs: DataFrame, grid: list[dict], base: FitConfig | None = Non
         if acc is not None and (best is None or acc > best[1]):
             best = (res, acc)
     return (best[0] if best else None), runs
+
+
+def process_pairs(df: DataFrame, matrix: np.ndarray, threshold: float = 0.5,
+                  label: str = "label", groups: list[str] = ("dataset",)) -> DataFrame:
+    """Project both pair vectors by ``matrix`` and report accuracy (with 0/1
+    labels; -1 is mapped to 0) of the projected cosine at ``threshold``."""
+    from simsift.operators.projection import project_pairs
+    p = project_pairs(df, matrix).withColumn(
+        "_y", F.when(F.col(label) == -1, 0).otherwise(F.col(label)))
+    return metrics.accuracy_fixed(p, "cosine_similarity_custom", "_y", threshold, list(groups))

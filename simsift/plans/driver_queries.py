@@ -349,6 +349,29 @@ def q_fit_projection(spark, sf):
     return res.metrics_df(spark)
 
 
+def _split_pairs(spark, sf):
+    return split.stratified_split(_pairs(spark, sf), "label", ["query_id", "cand_id"], 0.2, 123)
+
+
+def q_accuracy_by_dataset(spark, sf):
+    a = metrics.accuracy_sweep(_split_pairs(spark, sf), "cosine_similarity", "label", ["dataset"])
+    return a.select("dataset", _r("accuracy").alias("accuracy"),
+                    F.col("n").cast("long").alias("n"), _r("ci95").alias("ci95"))
+
+
+def q_model_delta(spark, sf):
+    p = _pairs(spark, sf)
+    vec = vectors(spark, sf)
+    a = vec.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("text_1_embedding"))
+    b = vec.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("text_2_embedding"))
+    j = projection.project_pairs(p.join(a, "query_id").join(b, "cand_id"),
+                                 projection.fold_matrix(64, FOLD_K), dtype=np.float64)
+    before = metrics.classification_report(j, "cosine_similarity", "label", 0.5)
+    after = metrics.classification_report(j, "cosine_similarity_custom", "label", 0.5)
+    d = metrics.model_delta(before, after)
+    return d.select(*[_r(c).alias(c) for c in d.columns])
+
+
 def q_pair_predictions(spark, sf):
     p = _pairs(spark, sf)
     return p.select("query_id", "cand_id", "label",
@@ -420,6 +443,8 @@ def queries() -> dict[str, Query]:
         "project_pairs": q_project_pairs,
         "fit_projection": q_fit_projection,
         "pair_predictions": q_pair_predictions,
+        "accuracy_by_dataset": q_accuracy_by_dataset,
+        "model_delta": q_model_delta,
         "name_scalars": q_name_scalars,
         "url_parts": q_url_parts,
         "catalog_years": q_catalog_years,

@@ -348,6 +348,50 @@ FROM pages"""
 ORACLE["catalog_years"] = """SELECT DISTINCT CAST(year(o_orderdate) - 1 AS VARCHAR) || '-'
        || CAST(year(o_orderdate) AS VARCHAR) AS years FROM orders"""
 
+ORACLE["accuracy_by_dataset"] = f"""WITH {_PAIRS},
+r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('123|' || CAST(query_id AS VARCHAR)
+                                   || '|' || CAST(cand_id AS VARCHAR)), query_id, cand_id) AS rn,
+             count(*) OVER (PARTITION BY y) AS ny FROM pairs),
+d AS (SELECT cs, y, CASE WHEN rn <= round(ny * 0.2) THEN 'test' ELSE 'train' END AS dataset
+      FROM r),
+t AS (SELECT CAST(i AS DOUBLE) / 1000 AS th FROM range(-1000, 1000) r(i)),
+acc AS (SELECT dataset, th, avg(CASE WHEN (cs > th AND y = 1) OR (NOT (cs > th) AND y = -1)
+                                     THEN 1.0 ELSE 0.0 END) AS a
+        FROM t, d GROUP BY dataset, th),
+best AS (SELECT dataset, max(a) AS a FROM acc GROUP BY dataset),
+n AS (SELECT dataset, count(*) AS n FROM d GROUP BY dataset)
+SELECT best.dataset, round(a, 6) AS accuracy, CAST(n AS BIGINT) AS n,
+       round(1.96 * sqrt(a * (1 - a) / n), 6) AS ci95
+FROM best JOIN n USING (dataset)"""
+
+ORACLE["model_delta"] = f"""WITH {_PAIRS},
+pv AS (SELECT p.cs, p.y, a.v AS va, b.v AS vb
+       FROM pairs p JOIN e a ON a.vec_id = p.query_id JOIN e b ON b.vec_id = p.cand_id),
+f AS (SELECT cs, y,
+             greatest(least(list_cosine_similarity(
+               list_transform(range(1, 17), lambda j: va[j] + va[j + 16] + va[j + 32] + va[j + 48]),
+               list_transform(range(1, 17), lambda j: vb[j] + vb[j + 16] + vb[j + 32] + vb[j + 48])),
+               1.0), -1.0) AS cc FROM pv),
+m AS (SELECT count(*) AS n,
+             count(*) FILTER (WHERE cs >= 0.5 AND y = 1) AS tp0,
+             count(*) FILTER (WHERE cs >= 0.5 AND y <> 1) AS fp0,
+             count(*) FILTER (WHERE NOT (cs >= 0.5) AND y = 1) AS fn0,
+             count(*) FILTER (WHERE NOT (cs >= 0.5) AND y <> 1) AS tn0,
+             count(*) FILTER (WHERE cc >= 0.5 AND y = 1) AS tp1,
+             count(*) FILTER (WHERE cc >= 0.5 AND y <> 1) AS fp1,
+             count(*) FILTER (WHERE NOT (cc >= 0.5) AND y = 1) AS fn1,
+             count(*) FILTER (WHERE NOT (cc >= 0.5) AND y <> 1) AS tn1 FROM f),
+r AS (SELECT (tp0 + tn0) * 1.0 / n AS a0, (tp1 + tn1) * 1.0 / n AS a1,
+             CASE WHEN tp0 + fp0 = 0 THEN 0.0 ELSE tp0 * 1.0 / (tp0 + fp0) END AS p0,
+             CASE WHEN tp1 + fp1 = 0 THEN 0.0 ELSE tp1 * 1.0 / (tp1 + fp1) END AS p1,
+             CASE WHEN tp0 + fn0 = 0 THEN 0.0 ELSE tp0 * 1.0 / (tp0 + fn0) END AS r0,
+             CASE WHEN tp1 + fn1 = 0 THEN 0.0 ELSE tp1 * 1.0 / (tp1 + fn1) END AS r1 FROM m)
+SELECT round(a1 - a0, 6) AS accuracy_delta, round(p1 - p0, 6) AS precision_delta,
+       round(r1 - r0, 6) AS recall_delta,
+       round(CASE WHEN p1 + r1 = 0 THEN 0.0 ELSE 2 * p1 * r1 / (p1 + r1) END
+             - CASE WHEN p0 + r0 = 0 THEN 0.0 ELSE 2 * p0 * r0 / (p0 + r0) END, 6) AS f1_delta
+FROM r"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
