@@ -4,7 +4,8 @@ Data-parallel full- or mini-batch gradient descent: each step ships M to the
 tasks, every partition returns one partial gradient (d x k) and loss sum from
 an Arrow batch kernel, partial gradients are tree-reduced, and the optimiser
 step (Adam or SGD) runs on the small matrix at the driver.  The prepared
-pairs are checkpointed once so every epoch reads a short lineage.
+pairs are written once to the shared checkpoint folder so every epoch reads a
+short lineage.
 
 Gradient (for one pair, u = aM, v = bM, s = u.v / (|u||v|)):
   ds/dM = a^T (v/(|u||v|) - s u/|u|^2) + b^T (u/(|u||v|) - s v/|v|^2)
@@ -21,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simsift.session import materialize
+
 from simsift.operators import metrics
 from simsift.operators.projection import matrix_to_df
 
@@ -176,8 +179,8 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
                              F.col(e2).cast("array<double>").alias(e2),
                              y.alias(label), F.col(dataset),
                              F.pmod(F.xxhash64(F.lit(cfg.seed), *bucket_src),
-                                    F.lit(max(1, cfg.batches))).alias("_batch"))
-                     .checkpoint())
+                                    F.lit(max(1, cfg.batches))).alias("_batch")))
+    prepared = materialize(prepared, "train")
     first = prepared.select(F.size(e1).alias("d")).first()
     if first is None:
         raise ValueError("no pairs to train on")

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from simsift.session import materialize
+
 from simsift.functions import scalars as S
 
 SWEEP_LOW = -1000     # thresholds -1.000 .. 0.999 in steps of 0.001
@@ -38,7 +40,7 @@ def prefix_sums(df: DataFrame, order: str, values: list[str], groups: list[str]
     spark = df.sparkSession
     # The input is an aggregate (one row per distinct value); materialise it
     # once so the quantile pass and the final pass do not recompute upstream.
-    df = df.checkpoint()
+    df = materialize(df, "hist")
     nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = []
     if nb > 1:

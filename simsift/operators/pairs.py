@@ -8,6 +8,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simsift.session import materialize
+
 from simsift.operators import split
 from simsift.operators.topk import topk_similar
 
@@ -47,15 +49,15 @@ def random_negatives(positives: DataFrame, n: int | None = None, seed: int = 123
     order.  ``symmetric=False`` keeps the reference's behaviour of excluding a
     positive only in its stored orientation."""
     spark = positives.sparkSession
-    positives = positives.select("text_1", "text_2").checkpoint()
+    positives = materialize(positives.select("text_1", "text_2"), "pairs")
     texts = (positives.select(F.col("text_1").alias("text"))
              .unionByName(positives.select(F.col("text_2").alias("text")))
              .where(F.col("text").isNotNull()).distinct()
              .withColumn("_hn", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)),
                                                                       F.col("text"))), 1, 15),
                                        16, 10).cast("long")))
-    texts = split.exact_rank(texts, "_hn", [], ["text"], name="idx") \
-                 .withColumn("idx", F.col("idx") - 1).drop("_hn").checkpoint()
+    texts = split.exact_rank(texts, "_hn", [], ["text"], name="idx", persist_input=False)
+    texts = materialize(texts.withColumn("idx", F.col("idx") - 1).drop("_hn"), "pairs")
     t = texts.count()
     if n is None:
         n = positives.count()
@@ -68,7 +70,7 @@ def random_negatives(positives: DataFrame, n: int | None = None, seed: int = 123
         excl = positives.select(k1.alias("a"), k2.alias("b")).distinct()
     else:
         excl = positives.select(F.col("text_1").alias("a"), F.col("text_2").alias("b")).distinct()
-    excl = excl.checkpoint()
+    excl = materialize(excl, "pairs")
     possible = t * (t - 1) // 2 - excl.where(F.col("a") < F.col("b")).count()
     if n > possible:
         raise ValueError(f"cannot draw {n} negatives from {possible} candidate pairs")
@@ -87,7 +89,7 @@ def random_negatives(positives: DataFrame, n: int | None = None, seed: int = 123
         cand = cand.select(a.alias("a"), b.alias("b")).distinct()
         cand = cand.join(excl, ["a", "b"], "left_anti")
         accepted = cand if accepted is None else accepted.unionByName(cand).distinct()
-        accepted = accepted.checkpoint()
+        accepted = materialize(accepted, "pairs")
         if accepted.count() >= n:
             break
         per_text *= 2
@@ -116,14 +118,14 @@ def hard_negatives(queries: DataFrame, candidates: DataFrame, positives: DataFra
         r = topk_similar(pending, candidates, k, query_id=query_id, query_vec=query_vec,
                          cand_id=cand_id, cand_vec=cand_vec, exclude_self=exclude_self)
         neg = r.join(pos, ["query_id", "cand_id"], "left_anti")
-        best = neg.groupBy("query_id").agg(
-            F.min_by(F.struct("cand_id", "score", "rank"), F.col("rank")).alias("_b")) \
-            .select("query_id", "_b.cand_id", "_b.score", "_b.rank").checkpoint()
+        best = materialize(neg.groupBy("query_id").agg(
+            F.min_by(F.struct("cand_id", "score", "rank"), F.col("rank")).alias("_b"))
+            .select("query_id", "_b.cand_id", "_b.score", "_b.rank"), "pairs")
         found = best if found is None else found.unionByName(best)
         if k >= n_cand:
             break
-        pending = pending.join(best.select(F.col("query_id").alias(query_id)), query_id,
-                               "left_anti").checkpoint()
+        pending = materialize(pending.join(best.select(F.col("query_id").alias(query_id)),
+                                           query_id, "left_anti"), "pairs")
         if pending.isEmpty():
             break
         k = min(k * 4, n_cand)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from simsift.session import materialize
+
 
 def hash_order(seed: int | str, *cols: str) -> Column:
     """md5 of ``seed|col1|col2...`` (hex string); the sort key for sampling."""
@@ -25,26 +27,37 @@ def _hash_num(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
 
 
+HASH_RANGE = 1 << 60     # _hash_num is uniform on [0, 2^60)
+
+
 def exact_rank(df: DataFrame, key: str, groups: list[str] = (), tiebreak: list[str] = (),
-               name: str = "rank", buckets: int | None = None) -> DataFrame:
+               name: str = "rank", buckets: int | None = None,
+               persist_input: bool = True, uniform_range: int | None = None) -> DataFrame:
     """1-based rank by (``key``, ``tiebreak``) within ``groups``.
 
     ``key`` must be numeric.  Rows are tagged with a range bucket of ``key``;
     the rank is (rows in earlier buckets of the group) + row_number inside the
     (group, bucket) partition, which is exact because equal keys share a
-    bucket."""
+    bucket.  Range bounds come from approximate quantiles, or are equal-width
+    when the key is known to be uniform on [0, ``uniform_range``).  The input
+    is read by several passes; ``persist_input`` writes it once to the shared
+    checkpoint folder so an expensive upstream plan runs only once."""
     groups = list(groups)
     spark = df.sparkSession
+    if persist_input:
+        df = materialize(df, "split")
     nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = []
-    if nb > 1:
+    if nb <= 1:
+        bucket = F.lit(0)
+    elif uniform_range is not None:
+        # Keys uniform on [0, uniform_range): equal-width ranges, no quantile pass.
+        bucket = F.expr(f"`{key}` div {-(-uniform_range // nb)}").cast("int")
+    else:
         qs = df.approxQuantile(key, [i / nb for i in range(1, nb)], 0.001)
         bounds = sorted(set(v for v in qs if v is not None and not math.isnan(v)))
-    if bounds:
         arr = F.array(*[F.lit(float(v)) for v in bounds])
-        bucket = F.size(F.filter(arr, lambda x: x < F.col(key).cast("double")))
-    else:
-        bucket = F.lit(0)
+        bucket = (F.size(F.filter(arr, lambda x: x < F.col(key).cast("double")))
+                  if bounds else F.lit(0))
     tagged = df.withColumn("_rb", bucket)
     counts = tagged.groupBy(*groups, "_rb").agg(F.count(F.lit(1)).alias("_cnt"))
     wo = Window.partitionBy(*groups).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,9 +70,11 @@ def exact_rank(df: DataFrame, key: str, groups: list[str] = (), tiebreak: list[s
 
 
 def _ranked_by_hash(df: DataFrame, ids: list[str], seed, groups: list[str]) -> DataFrame:
+    """``df`` must already be materialised (callers checkpoint it once)."""
     h = hash_order(seed, *ids)
     tagged = df.withColumn("_h", h).withColumn("_hn", _hash_num(F.col("_h")))
-    return exact_rank(tagged, "_hn", groups, ["_h", *ids], name="_r")
+    return exact_rank(tagged, "_hn", groups, ["_h", *ids], name="_r", persist_input=False,
+                      uniform_range=HASH_RANGE)
 
 
 def stratified_split(df: DataFrame, label: str, ids: list[str], fraction: float = 0.2,
@@ -67,6 +82,7 @@ def stratified_split(df: DataFrame, label: str, ids: list[str], fraction: float
                      out: str = "dataset") -> DataFrame:
     """Per label, the first ``round(fraction * n_label)`` rows in hash order go
     to ``names[1]``, the rest to ``names[0]``."""
+    df = materialize(df, "split")
     ranked = _ranked_by_hash(df, ids, seed, [label])
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     cut = F.round(F.col("_n") * fraction, 0)
@@ -78,11 +94,20 @@ def stratified_split(df: DataFrame, label: str, ids: list[str], fraction: float
 def three_way_split(df: DataFrame, label: str, ids: list[str], test: float = 0.2,
                     validation: float = 0.1, seed: int = 123, out: str = "dataset") -> DataFrame:
     """``test`` of each label to test, then ``validation`` of the remainder to
-    validation (72 / 8 / 20 by default)."""
-    first = stratified_split(df, label, ids, test, seed, ("rest", "test"), out)
-    rest = first.where(F.col(out) == "rest").drop(out)
-    second = stratified_split(rest, label, ids, validation, seed, ("train", "validation"), out)
-    return first.where(F.col(out) == "test").unionByName(second)
+    validation (72 / 8 / 20 by default).
+
+    Equal to two stratified splits with the same seed: the remainder keeps the
+    same hash order, so one ranking with two cut points gives both."""
+    df = materialize(df, "split")
+    ranked = _ranked_by_hash(df, ids, seed, [label])
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    t = F.round(F.col("_n") * test, 0)
+    v = F.round((F.col("_n") - t) * validation, 0)
+    return (ranked.join(F.broadcast(sizes), label, "inner")
+                  .withColumn(out, F.when(F.col("_r") <= t, "test")
+                                    .when(F.col("_r") - t <= v, "validation")
+                                    .otherwise("train"))
+                  .drop("_h", "_hn", "_r", "_n"))
 
 
 def sample_n(df: DataFrame, n: int, ids: list[str], seed: int = 123,
@@ -91,6 +116,7 @@ def sample_n(df: DataFrame, n: int, ids: list[str], seed: int = 123,
     fewer than ``n`` rows exist unless ``allow_fewer``."""
     if n < 0:
         raise ValueError("n must be >= 0")
+    df = materialize(df, "split")
     if not allow_fewer:
         total = df.count()
         if total < n:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -82,3 +83,14 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for materialised tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def materialize(df, label: str = "stage"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back: cuts the lineage, and unlike an unpersisted ``checkpoint()`` the
+    upstream plan runs only once.  Survives executor loss (the table lives in
+    the shared folder, not in executor storage)."""
+    spark = df.sparkSession
+    path = scratch_table_path(spark, f"{label}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
