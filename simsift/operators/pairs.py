@@ -56,7 +56,8 @@ def random_negatives(positives: DataFrame, n: int | None = None, seed: int = 123
              .withColumn("_hn", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)),
                                                                       F.col("text"))), 1, 15),
                                        16, 10).cast("long")))
-    texts = split.exact_rank(texts, "_hn", [], ["text"], name="idx", persist_input=False)
+    texts = split.exact_rank(texts, "_hn", [], ["text"], name="idx", persist_input=False,
+                             uniform_range=split.HASH_RANGE)
     texts = materialize(texts.withColumn("idx", F.col("idx") - 1).drop("_hn"), "pairs")
     t = texts.count()
     if n is None:
@@ -93,7 +94,8 @@ def random_negatives(positives: DataFrame, n: int | None = None, seed: int = 123
         if accepted.count() >= n:
             break
         per_text *= 2
-    chosen = split.sample_n(accepted, n, ["a", "b"], seed, allow_fewer=True)
+    chosen = split.sample_n(accepted, n, ["a", "b"], seed, allow_fewer=True,
+                            persist_input=False)
     return chosen.select(F.col("a").alias("text_1"), F.col("b").alias("text_2"),
                          F.lit(-1).alias("label"))
 

@@ -111,12 +111,13 @@ def three_way_split(df: DataFrame, label: str, ids: list[str], test: float = 0.2
 
 
 def sample_n(df: DataFrame, n: int, ids: list[str], seed: int = 123,
-             allow_fewer: bool = False) -> DataFrame:
+             allow_fewer: bool = False, persist_input: bool = True) -> DataFrame:
     """``n`` rows without replacement, the first in hash order.  Raises when
     fewer than ``n`` rows exist unless ``allow_fewer``."""
     if n < 0:
         raise ValueError("n must be >= 0")
-    df = materialize(df, "split")
+    if persist_input:
+        df = materialize(df, "split")
     if not allow_fewer:
         total = df.count()
         if total < n:

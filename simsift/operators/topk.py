@@ -32,6 +32,20 @@ from pyspark.sql.window import Window
 
 DEFAULT_BLOCK_ROWS = 2048
 DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
+MAX_BLOCK_BYTES = 32 * 1024 * 1024       # one side of a block pair (float32 vectors)
+ARROW_BATCH_BYTES = 256 * 1024 * 1024    # bound on one Arrow batch of block pairs
+_RECORDS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _bound_arrow_batches(spark, row_bytes: int) -> None:
+    """A kernel input row is a whole block pair, so the default 10,000 rows per
+    Arrow batch could mean gigabytes per batch at real vector widths.  Lower
+    the session's record limit (read when the plan executes) to keep a batch
+    near ARROW_BATCH_BYTES; never raise a stricter user setting."""
+    want = max(1, ARROW_BATCH_BYTES // max(1, row_bytes))
+    current = int(spark.conf.get(_RECORDS_CONF, "10000"))
+    if current <= 0 or current > want:
+        spark.conf.set(_RECORDS_CONF, str(want))
 
 
 def _count(df: DataFrame, id_col: str) -> int:
@@ -154,8 +168,11 @@ def topk_similar(queries: DataFrame, candidates: DataFrame, k: int, *,
     spark = queries.sparkSession
     if nq == 0 or nc == 0:
         return spark.createDataFrame([], schema)
+    # Blocks stay under MAX_BLOCK_BYTES whatever the vector width.
+    block_rows = max(1, min(block_rows, MAX_BLOCK_BYTES // max(1, d * 4)))
     q_blocks = max(1, math.ceil(nq / block_rows))
     c_blocks = max(1, math.ceil(nc / block_rows))
+    _bound_arrow_batches(spark, 2 * block_rows * (d * 4 + 64))
     qb = _blocks(queries, query_id, query_vec, q_blocks, "q")
     cb = _blocks(candidates, cand_id, cand_vec, c_blocks, "c")
     q_bytes, c_bytes = nq * d * 4, nc * d * 4
