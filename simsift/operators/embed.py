@@ -44,13 +44,20 @@ def hashing_embedder(dim: int = 64, seed: int = 0) -> Embedder:
 
 
 def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
-                 embedder: Embedder | None = None) -> DataFrame:
-    """Add ``out_col`` (array<float>) computed batch-wise by ``embedder``."""
+                 embedder: Embedder | None = None, batch_size: int = 16) -> DataFrame:
+    """Add ``out_col`` (array<float>) computed by ``embedder`` on chunks of
+    ``batch_size`` texts within each Arrow batch (null/empty text -> null)."""
     fn = embedder or hashing_embedder()
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(texts: pd.Series) -> pd.Series:
-        return pd.Series(fn(texts))
+        out = []
+        for i in range(0, len(texts), max(1, batch_size)):
+            chunk = texts.iloc[i:i + batch_size]
+            ok = chunk.map(lambda t: isinstance(t, str) and len(t) > 0)
+            vecs = iter(fn(chunk[ok]) if ok.any() else [])
+            out.extend(next(vecs) if flag else None for flag in ok)
+        return pd.Series(out, dtype=object)
 
     return df.withColumn(out_col, _embed(F.col(text_col)))
 

@@ -41,12 +41,26 @@ class FitConfig:
     gamma: float = 0.1
     init: str = "xavier"            # "xavier" (uniform) or "normal"
     batches: int = 1                # mini-batches per epoch (hash buckets)
+    batch_size: int | None = None   # if set, batches = ceil(train rows / batch_size)
     seed: int = 123
     threshold: float = 0.5          # accuracy threshold on the score
     score: str = "sigmoid"          # score for accuracy/AUC: "sigmoid" or "cosine"
+    accuracy: str = "fixed"         # "fixed" (threshold) or "sweep" (best threshold)
     select_on: str = "validation"   # dataset whose AUC picks the best epoch
 
 
+# The two trainer configurations and the first trainer's grid
+# of (batch size, learning rate) pairs.
+V1_CONFIG = dict(k=2048, batch_size=100, epochs=100, lr=100.0, dropout=0.0, loss="mse",
+                 optimizer="sgd", init="normal", score="cosine", accuracy="sweep",
+                 step_size=10 ** 9)
+V1_GRID = [dict(batch_size=10, lr=10.0), dict(batch_size=100, lr=100.0),
+           dict(batch_size=1000, lr=1000.0)]
+V1_GRID_COMMON = dict(epochs=30, dropout=0.2)
+V3_CONFIG = dict(loss="bce", optimizer="adam", init="xavier", weight_decay=1e-5, step_size=10,
+                 gamma=0.1, score="sigmoid", accuracy="fixed", select_on="validation")
+
+
 @dataclass
 class FitResult:
     matrix: np.ndarray
@@ -153,6 +167,10 @@ def evaluate(prepared: DataFrame, M: np.ndarray, cfg: FitConfig, e1: str, e2: st
               ((F.col("p") <= cfg.threshold) & (F.col("y01") == 0))
     base = scored.groupBy("dataset").agg(F.avg(lterm).alias("loss"),
                                          F.avg(correct.cast("double")).alias("accuracy"))
+    if cfg.accuracy == "sweep":
+        pm = scored.withColumn("_pm", F.when(F.col("y") > 0, 1).otherwise(-1))
+        sw = metrics.accuracy_sweep(pm, "p", "_pm", ["dataset"]).select("dataset", "accuracy")
+        base = base.drop("accuracy").join(sw, "dataset", "left")
     auc = metrics.roc_auc(scored, "p", "y01", ["dataset"])
     out = {}
     for r in base.join(auc, "dataset", "left").collect():
@@ -178,8 +196,7 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
                      .select(F.col(e1).cast("array<double>").alias(e1),
                              F.col(e2).cast("array<double>").alias(e2),
                              y.alias(label), F.col(dataset),
-                             F.pmod(F.xxhash64(F.lit(cfg.seed), *bucket_src),
-                                    F.lit(max(1, cfg.batches))).alias("_batch")))
+                             F.xxhash64(F.lit(cfg.seed), *bucket_src).alias("_h")))
     prepared = materialize(prepared, "train")
     first = prepared.select(F.size(e1).alias("d")).first()
     if first is None:
@@ -195,13 +212,18 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
     b1, b2, eps = 0.9, 0.999, 1e-8
     t = 0
     train = prepared.where(F.col(dataset) == "train")
+    if cfg.batch_size:
+        n_train = train.count()
+        cfg = FitConfig(**{**cfg.__dict__,
+                           "batches": max(1, math.ceil(n_train / cfg.batch_size))})
     best_auc, best_m, best_epoch = -np.inf, None, None
     history = []
     for epoch in range(1, cfg.epochs + 1):
         lr = cfg.lr * (cfg.gamma ** ((epoch - 1) // cfg.step_size))
         batch_losses = []
         for b in range(max(1, cfg.batches)):
-            part = train if cfg.batches <= 1 else train.where(F.col("_batch") == b)
+            part = train if cfg.batches <= 1 else \
+                train.where(F.pmod(F.col("_h"), F.lit(cfg.batches)) == b)
             g, lsum, n = gradient(part, M, cfg, epoch, b, e1, e2, label)
             if n == 0:
                 continue
@@ -231,20 +253,33 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
 def grid_search(pairs: DataFrame, grid: list[dict], base: FitConfig | None = None,
                 select_on: str = "validation", **kw) -> tuple[FitResult, list[dict]]:
     """Fit one model per grid entry; keep the run whose best epoch has the
-    highest accuracy on ``select_on`` (first run wins ties)."""
+    highest accuracy on ``select_on`` (first run wins ties).  Returns the best
+    result and one row per (run, epoch, dataset) with the run's parameters."""
     base = base or FitConfig()
     best, runs = None, []
     for i, params in enumerate(grid):
         cfg = FitConfig(**{**base.__dict__, **params})
         res = fit_projection(pairs, cfg, **kw)
+        for r in res.epochs:
+            runs.append({"run_id": i, **r, "modified_embedding_length": cfg.k,
+                         "batch_size": cfg.batch_size, "max_epochs": cfg.epochs,
+                         "learning_rate": cfg.lr, "dropout_fraction": cfg.dropout})
         acc = next((r["accuracy"] for r in res.epochs
                     if r["epoch"] == res.best_epoch and r["dataset"] == select_on), None)
-        runs.append({"run_id": i, **params, "best_epoch": res.best_epoch, "accuracy": acc})
         if acc is not None and (best is None or acc > best[1]):
             best = (res, acc)
     return (best[0] if best else None), runs
 
 
+def run_metrics_df(spark, runs: list[dict]) -> DataFrame:
+    """The grid-search rows as a DataFrame (for ``write_run_metrics``)."""
+    schema = ("run_id int, epoch int, dataset string, loss double, accuracy double, auc double, "
+              "modified_embedding_length int, batch_size int, max_epochs int, "
+              "learning_rate double, dropout_fraction double")
+    cols = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in runs], schema)
+
+
 def process_pairs(df: DataFrame, matrix: np.ndarray, threshold: float = 0.5,
                   label: str = "label", groups: list[str] = ("dataset",)) -> DataFrame:
     """Project both pair vectors by ``matrix`` and report accuracy (with 0/1

@@ -39,8 +39,10 @@ def find_most_similar(spark: SparkSession, store_root: str, institution: str, ye
     ext = catalogs.read_embeddings(spark, store_root, inst, years, _variant(keywords))
     ext = filters.usable_codes(ext, "COURSE CODE")
     ext = ext.where(F.col("COURSE CODE") == course_code.upper())
-    ext = dedup.keep_first(ext.withColumn("_o", F.col("_metadata.row_index")),
-                           ["COURSE CODE"], ["_o"]).drop("_o").withColumn("row_id", F.lit(0))
+    ext = ext.withColumn("_o", F.struct(F.col("_metadata.file_path"),
+                                        F.col("_metadata.row_index")))
+    ext = dedup.keep_first(ext, ["COURSE CODE"], ["_o"]).drop("_o") \
+               .withColumn("row_id", F.lit(0))
     info = ext.select("COURSE CODE", "COURSE TITLE", "DESCRIPTION")
     target = home_catalogue(spark, store_root, keywords, home)
     if matrix is not None:

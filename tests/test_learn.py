@@ -60,3 +60,36 @@ def test_identity_projection_keeps_cosine(spark):
     out = project_pairs(pair_cosine(df), np.eye(3), dtype=np.float64).first()
     assert abs(out.cosine_similarity - out.cosine_similarity_custom) < 1e-12
     assert fold_matrix(4, 2).tolist() == [[1, 0], [0, 1], [1, 0], [0, 1]]
+
+
+def test_v1_style_grid_with_minibatches(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(120):
+        a = rng.normal(size=5)
+        b = a + 0.2 * rng.normal(size=5) if i % 2 else rng.normal(size=5)
+        ds = "train" if i < 80 else ("validation" if i < 100 else "test")
+        rows.append((i, [float(x) for x in a], [float(x) for x in b], 1 if i % 2 else -1, ds))
+    df = spark.createDataFrame(rows, "id long, text_1_embedding array<double>, "
+                                     "text_2_embedding array<double>, label int, dataset string")
+    base = learn.FitConfig(**{**learn.V1_CONFIG, "k": 3, "epochs": 2})
+    grid = [dict(batch_size=40, lr=0.5), dict(batch_size=80, lr=0.1)]
+    best, runs = learn.grid_search(df, grid, base, id_cols=["id"])
+    assert best is not None and len(runs) == 2 * 2 * 3
+    out = learn.run_metrics_df(spark, runs)
+    assert out.count() == 12 and 0.0 <= out.agg({"accuracy": "min"}).first()[0] <= 1.0
+
+
+def test_embed_column_nulls_and_chunks(spark):
+    from simsift.operators import embed
+    calls = []
+
+    def fake(texts):
+        calls.append(len(texts))
+        return [np.full(3, float(len(t)), dtype=np.float32) for t in texts]
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["ab", None, "", "abcd", "x"])],
+                               "id long, t string")
+    got = {r.id: r.e for r in embed.embed_column(df, "t", "e", fake, batch_size=2).collect()}
+    assert got[1] is None and got[2] is None
+    assert list(got[0]) == [2.0, 2.0, 2.0] and list(got[3]) == [4.0, 4.0, 4.0]
