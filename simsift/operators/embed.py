@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -66,30 +67,60 @@ def text_key(col: str) -> F.Column:
     return F.sha2(F.col(col), 256)
 
 
+def _cache_batches(spark, cache_path: str) -> list[str]:
+    """Committed batch folders of the cache (those with ``_SUCCESS``)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(cache_path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    out = []
+    for st in fs.listStatus(root):
+        p = st.getPath()
+        if st.isDirectory() and p.getName().startswith("batch=") and \
+                fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")):
+            out.append(p.toString())
+    return sorted(out)
+
+
+_CACHE_SCHEMA = "key string, text string, embedding array<float>"
+
+
+def read_cache(spark, cache_path: str) -> DataFrame:
+    """The cache as of now.  Reads name the committed batch folders
+    explicitly: two reads of different cache states are then different plans,
+    so Spark can never reuse one read's exchange for the other (a plain re-read
+    of the same root path could be served from a stale listing)."""
+    dirs = _cache_batches(spark, cache_path)
+    if not dirs:
+        return spark.createDataFrame([], _CACHE_SCHEMA)
+    return spark.read.schema(_CACHE_SCHEMA).parquet(*dirs)
+
+
 def embed_with_cache(df: DataFrame, text_cols: list[str], cache_path: str,
                      embedder: Embedder | None = None, suffix: str = "_embedding") -> DataFrame:
     """Embed the distinct texts of ``text_cols`` once, through the cache, and
-    join the vectors back as ``<col><suffix>`` columns."""
+    join the vectors back as ``<col><suffix>`` columns.
+
+    Layout: ``<cache_path>/batch=<id>/`` per call that found new texts; a batch
+    without ``_SUCCESS`` (an interrupted write) is ignored and its texts are
+    embedded again next time."""
     spark = df.sparkSession
     texts = None
     for c in text_cols:
         t = df.select(F.col(c).alias("text")).where(F.col("text").isNotNull())
         texts = t if texts is None else texts.unionByName(t)
     texts = texts.distinct().withColumn("key", text_key("text"))
-    schema = "key string, text string, embedding array<float>"
-    if _exists(spark, cache_path):
-        cache = spark.read.schema(schema).parquet(cache_path)
-        missing = texts.join(cache.select("key"), "key", "left_anti")
-    else:
-        missing = texts
+    missing = texts.join(read_cache(spark, cache_path).select("key"), "key", "left_anti")
     computed = embed_column(missing, "text", "embedding", embedder) \
         .select("key", "text", "embedding")
-    computed.write.mode("append").parquet(cache_path)
-    # Re-read only the keys needed here (semi-join first, then collapse the
-    # rare duplicate a rerun of an interrupted append can leave).
-    cache = (spark.read.schema(schema).parquet(cache_path)
-                  .join(texts.select("key"), "key", "left_semi")
-                  .groupBy("key").agg(F.first("embedding").alias("embedding")))
+    computed.write.mode("errorifexists").parquet(
+        os.path.join(cache_path, f"batch={uuid.uuid4().hex}"))
+    # Only the keys needed here; a duplicate key (two concurrent writers) is
+    # collapsed.
+    cache = (read_cache(spark, cache_path)
+             .join(texts.select("key"), "key", "left_semi")
+             .groupBy("key").agg(F.first("embedding").alias("embedding")))
     out = df
     for c in text_cols:
         vec = cache.select(F.col("key").alias(f"_k_{c}"),
@@ -97,11 +128,3 @@ def embed_with_cache(df: DataFrame, text_cols: list[str], cache_path: str,
         out = out.withColumn(f"_k_{c}", text_key(c)).join(vec, f"_k_{c}", "left") \
                  .drop(f"_k_{c}")
     return out
-
-
-def _exists(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath) and fs.exists(jvm.org.apache.hadoop.fs.Path(
-        os.path.join(path, "_SUCCESS")))

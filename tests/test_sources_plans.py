@@ -100,3 +100,35 @@ def test_truth_builders(spark):
         catalogs.ARTICULATION_SCHEMA)
     t = truth.truth_from_articulations(art).collect()
     assert [tuple(r) for r in t] == [("Lane-Community-College", "2007-2008", "BI 231", "BI 231")]
+
+
+def test_training_pipeline(spark):
+    from simsift.operators import learn
+    from simsift.plans import training
+    ext = spark.createDataFrame([
+        ("Lane Community College", "2008", "MTH 251", "Calculus I",
+         "Differential calculus of functions of one variable, limits and derivatives."),
+        ("Lane Community College", "2008", "BI 231", "Anatomy",
+         "Human anatomy and physiology of the body systems with laboratory work included."),
+        ("Lane Community College", "2008", "ART 101", "Drawing",
+         "Introduction to drawing media, perspective and composition for beginning artists."),
+        ("Lane Community College", "2008", "WR 1", "Short", "Too short to keep.")],
+        "INSTITUTION string, YEAR string, `COURSE CODE` string, `COURSE TITLE` string, "
+        "DESCRIPTION string")
+    intl = spark.createDataFrame([
+        ("MTH 251", "Differential Calculus", "Limits, derivatives and applications."),
+        ("BI 231", "Human Anatomy", "Body systems, anatomy and physiology."),
+        ("ART 115", "Basic Design", "Design, drawing and composition.")],
+        "`COURSE CODE` string, `COURSE TITLE` string, DESCRIPTION string")
+    art = spark.createDataFrame([
+        ("Y", "Lane Community College", "MTH", "251", "Calc", 200801, "MTH", "251", "CALC"),
+        ("Y", "Lane Community College", "BI", "231", "Anat", 200802, "BI", "231", "ANAT"),
+        ("Y", "Lane Community College", "ART", "101", "Draw", 200803, "ART", "000",
+         "NOT ACCEPTED IN TRANSFER")], catalogs.ARTICULATION_SCHEMA)
+    cache = os.path.join(tempfile.mkdtemp(prefix="cache-"), "emb")
+    p = training.build_pairs(art, ext, intl, cache, use_keywords=True)
+    rows = p.collect()
+    assert sorted(r.label for r in rows) == [-1, 1, 1]
+    neg = [r for r in rows if r.label == -1][0]
+    assert neg.text_1.startswith("art 101") and neg.text_2.startswith("art 115")
+    assert all(r.text_1_embedding is not None and r.text_2_embedding is not None for r in rows)
