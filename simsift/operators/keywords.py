@@ -64,12 +64,14 @@ def rake_keywords(df: DataFrame, text: str, doc_id: str, out: str = "keywords",
                   .withColumn("_ws", F.when(is_word, F.col("_deg") / F.col("_freq"))))
     phrases = scored.groupBy("_id", "phrase").agg(
         F.first("_null").alias("_null"),
-        F.sum("_ws").alias("score"),
-        F.collect_list(F.when(is_word, F.struct("pos", "tok"))).alias("_w"))
+        F.array_sort(F.collect_list(F.when(is_word, F.struct("pos", "tok", "_ws"))))
+         .alias("_w"))
+    # Word scores are added in phrase order (a left fold), so equal phrase
+    # scores tie exactly instead of differing by summation order.
     phrases = phrases.select(
-        "_id", "_null", "score",
-        F.when(F.size("_w") > 0, F.concat_ws(" ", F.transform(F.array_sort("_w"),
-                                                              lambda x: x["tok"])))
+        "_id", "_null",
+        F.aggregate("_w", F.lit(0.0), lambda acc, x: acc + x["_ws"]).alias("score"),
+        F.when(F.size("_w") > 0, F.concat_ws(" ", F.transform("_w", lambda x: x["tok"])))
          .alias("text"))
     ranked = phrases.groupBy("_id").agg(
         F.first("_null").alias("_null"),

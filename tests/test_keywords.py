@@ -23,7 +23,12 @@ def rake_brute(text, stop=frozenset(STOPWORDS)):
         for w in p:
             freq[w] += 1
             deg[w] += len(p)
-    scored = [(sum(deg[w] / freq[w] for w in p), " ".join(p)) for p in phrases]
+    scored = []
+    for p in phrases:
+        score = 0.0
+        for w in p:                    # plain left fold (no compensated sum)
+            score += deg[w] / freq[w]
+        scored.append((score, " ".join(p)))
     scored.sort(reverse=True)
     return " ".join(s for _, s in scored)
 
