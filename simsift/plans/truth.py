@@ -7,10 +7,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from simsift.functions import scalars as S
 from simsift.operators import dedup, filters
+from simsift.session import materialize
 
 TRUTH_COLUMNS = ["Ext_Inst", "Transfer_Year", "Ext_Course_Code", "Int_Course_Code"]
 
@@ -63,14 +62,15 @@ def missing_institutions(requested: DataFrame, truth: DataFrame, col: str = "Ext
 
 
 def all_truth(transfers: DataFrame, adat: DataFrame, institutions: list[str]) -> DataFrame:
-    """Both truth sources, with a deterministic row id for joining results
-    back (content hash plus an ordinal among identical rows)."""
+    """Both truth sources, with a fixed row id for joining results back."""
     u = truth_from_transfers(transfers, institutions).unionByName(
         truth_from_articulations(adat, institutions))
     return with_row_id(u, TRUTH_COLUMNS)
 
 
-def with_row_id(df: DataFrame, cols: list[str], name: str = "row_id") -> DataFrame:
-    dup = F.row_number().over(Window.partitionBy(*cols).orderBy(*cols))
-    return df.withColumn("_dup", dup).withColumn(name, F.xxhash64(*cols, F.col("_dup"))) \
-             .drop("_dup")
+def with_row_id(df: DataFrame, cols: list[str] | None = None, name: str = "row_id") -> DataFrame:
+    """Attach a unique row id and write the table once, so the ids stay fixed
+    for every later use (``monotonically_increasing_id`` alone could change if
+    the plan were recomputed).  No window over duplicates: a row repeated a
+    third of the time does not end up in one task."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "rowid")
