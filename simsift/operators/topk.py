@@ -37,11 +37,14 @@ ARROW_BATCH_BYTES = 256 * 1024 * 1024    # bound on one Arrow batch of block pai
 _RECORDS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def _bound_arrow_batches(spark, row_bytes: int) -> None:
+def _bound_arrow_batches(spark, row_bytes: int, n_rows: int) -> None:
     """A kernel input row is a whole block pair, so the default 10,000 rows per
-    Arrow batch could mean gigabytes per batch at real vector widths.  Lower
-    the session's record limit (read when the plan executes) to keep a batch
-    near ARROW_BATCH_BYTES; never raise a stricter user setting."""
+    Arrow batch could mean gigabytes per batch at real vector widths.  When all
+    ``n_rows`` block pairs together could exceed ARROW_BATCH_BYTES, lower the
+    session's record limit (read when the plan executes) to keep a batch near
+    that bound; never raise a stricter user setting."""
+    if n_rows * row_bytes <= ARROW_BATCH_BYTES:
+        return
     want = max(1, ARROW_BATCH_BYTES // max(1, row_bytes))
     current = int(spark.conf.get(_RECORDS_CONF, "10000"))
     if current <= 0 or current > want:
@@ -172,7 +175,7 @@ def topk_similar(queries: DataFrame, candidates: DataFrame, k: int, *,
     block_rows = max(1, min(block_rows, MAX_BLOCK_BYTES // max(1, d * 4)))
     q_blocks = max(1, math.ceil(nq / block_rows))
     c_blocks = max(1, math.ceil(nc / block_rows))
-    _bound_arrow_batches(spark, 2 * block_rows * (d * 4 + 64))
+    _bound_arrow_batches(spark, 2 * block_rows * (d * 4 + 64), q_blocks * c_blocks)
     qb = _blocks(queries, query_id, query_vec, q_blocks, "q")
     cb = _blocks(candidates, cand_id, cand_vec, c_blocks, "c")
     q_bytes, c_bytes = nq * d * 4, nc * d * 4
