@@ -23,6 +23,14 @@ SWEEP_HIGH = 999
 SWEEP_SCALE = 1000.0
 
 
+
+def _small(df, groups):
+    """Broadcast the per-(group, range) offsets only when there are no groups
+    (then the table has at most ``buckets`` rows); with groups its size grows
+    with the number of groups, so the join is left to the planner (AQE still
+    broadcasts it when it is small)."""
+    return F.broadcast(df) if not list(groups) else df
+
 def _finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(F.col(c))
 
@@ -59,7 +67,7 @@ def prefix_sums(df: DataFrame, order: str, values: list[str], groups: list[str]
         F.coalesce(F.sum(f"_t_{v}").over(wo), F.lit(0)).alias(f"_o_{v}") for v in values])
     wi = Window.partitionBy(*groups, "_rb").orderBy(order) \
                .rowsBetween(Window.unboundedPreceding, -1)
-    out = tagged.join(F.broadcast(offsets), [*groups, "_rb"], "inner")
+    out = tagged.join(_small(offsets, groups), [*groups, "_rb"], "inner")
     for v in values:
         out = out.withColumn(f"{prefix}{v}",
                              F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(wi), F.lit(0)))

@@ -16,6 +16,14 @@ from pyspark.sql.window import Window
 from simsift.session import materialize
 
 
+
+def _small(df, groups):
+    """Broadcast the per-(group, range) offsets only when there are no groups
+    (then the table has at most ``buckets`` rows); with groups its size grows
+    with the number of groups, so the join is left to the planner (AQE still
+    broadcasts it when it is small)."""
+    return F.broadcast(df) if not list(groups) else df
+
 def hash_order(seed: int | str, *cols: str) -> Column:
     """md5 of ``seed|col1|col2...`` (hex string); the sort key for sampling."""
     parts = [F.lit(str(seed))] + [F.col(c).cast("string") for c in cols]
@@ -64,7 +72,7 @@ def exact_rank(df: DataFrame, key: str, groups: list[str] = (), tiebreak: list[s
     offsets = counts.select(*groups, "_rb",
                             F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"))
     wi = Window.partitionBy(*groups, "_rb").orderBy(key, *tiebreak)
-    return (tagged.join(F.broadcast(offsets), [*groups, "_rb"], "inner")
+    return (tagged.join(_small(offsets, groups), [*groups, "_rb"], "inner")
                   .withColumn(name, (F.col("_off") + F.row_number().over(wi)).cast("long"))
                   .drop("_rb", "_off"))
 
@@ -86,7 +94,7 @@ def stratified_split(df: DataFrame, label: str, ids: list[str], fraction: float
     ranked = _ranked_by_hash(df, ids, seed, [label])
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     cut = F.round(F.col("_n") * fraction, 0)
-    return (ranked.join(F.broadcast(sizes), label, "inner")
+    return (ranked.join(sizes, label, "inner")
                   .withColumn(out, F.when(F.col("_r") <= cut, names[1]).otherwise(names[0]))
                   .drop("_h", "_hn", "_r", "_n"))
 
@@ -103,7 +111,7 @@ def three_way_split(df: DataFrame, label: str, ids: list[str], test: float = 0.2
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     t = F.round(F.col("_n") * test, 0)
     v = F.round((F.col("_n") - t) * validation, 0)
-    return (ranked.join(F.broadcast(sizes), label, "inner")
+    return (ranked.join(sizes, label, "inner")
                   .withColumn(out, F.when(F.col("_r") <= t, "test")
                                     .when(F.col("_r") - t <= v, "validation")
                                     .otherwise("train"))
