@@ -139,17 +139,78 @@ def _score_kernel(M, loss, e1, e2, label, dataset):
     return run
 
 
+def _pass_kernel(M, cfg, epoch, e1, e2, label, dataset):
+    """Scores every row with M (no dropout) and, over the train rows, sums
+    the gradient for the next step (with dropout when configured)."""
+    d, k = M.shape
+
+    def run(batches):
+        ctx = TaskContext.get()
+        pid = ctx.partitionId() if ctx else 0
+        rng = np.random.default_rng([cfg.seed, epoch, 0, pid])
+        g = np.zeros((d, k))
+        lsum, n = 0.0, 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            A = np.stack(pdf[e1].to_numpy()).astype(np.float64)
+            B = np.stack(pdf[e2].to_numpy()).astype(np.float64)
+            y = pdf[label].to_numpy(dtype=np.float64)
+            parts = _cos_parts(A, B, M)
+            yield pd.DataFrame({"kind": "s", "dataset": pdf[dataset].to_numpy(), "y": y,
+                                "s": parts[4], "grad": None, "loss": None, "n": None})
+            tr = (pdf[dataset] == "train").to_numpy()
+            if not tr.any():
+                continue
+            At, Bt, yt = A[tr], B[tr], y[tr]
+            if cfg.dropout > 0:
+                keep = 1.0 - cfg.dropout
+                At = At * (rng.random(At.shape) < keep) / keep
+                Bt = Bt * (rng.random(Bt.shape) < keep) / keep
+                U, Vv, nu, nv, st = _cos_parts(At, Bt, M)
+            else:
+                U, Vv, nu, nv, st = (p[tr] for p in parts)
+            lv, dlds = _loss_and_dlds(st, yt, cfg.loss)
+            inv = 1.0 / (nu * nv)
+            gu = dlds[:, None] * (Vv * inv[:, None] - (st / nu ** 2)[:, None] * U)
+            gv = dlds[:, None] * (U * inv[:, None] - (st / nv ** 2)[:, None] * Vv)
+            g += At.T @ gu + Bt.T @ gv
+            lsum += float(lv.sum())
+            n += len(yt)
+        yield pd.DataFrame({"kind": ["g"], "dataset": [None], "y": [None], "s": [None],
+                            "grad": [g.ravel()], "loss": [lsum], "n": [n]})
+    return run
+
+
+def _reduce_grad(parts: DataFrame, shape) -> tuple[np.ndarray, float, int]:
+    zero = (np.zeros(int(np.prod(shape))), 0.0, 0)
+    g, lsum, n = parts.rdd.map(lambda r: (np.asarray(r["grad"]), r["loss"], r["n"])) \
+        .treeAggregate(zero, lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]),
+                       lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), depth=2)
+    return np.asarray(g).reshape(shape), lsum, n
+
+
+def scoring_pass(prepared: DataFrame, M: np.ndarray, cfg: FitConfig, epoch: int, e1: str,
+                 e2: str, label: str, dataset: str):
+    """One read of the pairs: (scores of all rows, train gradient sum, loss
+    sum, train count), all for the same M.  The output is written once so the
+    metrics and the gradient reduction do not rescore."""
+    out = prepared.select(e1, e2, label, dataset).mapInPandas(
+        _pass_kernel(M, cfg, epoch, e1, e2, label, dataset),
+        "kind string, dataset string, y double, s double, grad array<double>, loss double, "
+        "n long")
+    out = materialize(out, "pass")
+    g, lsum, n = _reduce_grad(out.where(F.col("kind") == "g"), M.shape)
+    return out.where(F.col("kind") == "s").select("dataset", "y", "s"), g, lsum, n
+
+
 def gradient(prepared: DataFrame, M: np.ndarray, cfg: FitConfig, epoch: int, step: int,
              e1: str, e2: str, label: str) -> tuple[np.ndarray, float, int]:
     """Sum of per-pair gradients, loss sum and count over ``prepared``."""
     parts = prepared.select(e1, e2, label).mapInPandas(
         _grad_kernel(M, cfg.loss, cfg.dropout, cfg.seed, epoch, step, e1, e2, label),
         "grad array<double>, loss double, n long")
-    zero = (np.zeros(M.size), 0.0, 0)
-    g, lsum, n = parts.rdd.map(lambda r: (np.asarray(r["grad"]), r["loss"], r["n"])) \
-        .treeAggregate(zero, lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]),
-                       lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), depth=2)
-    return np.asarray(g).reshape(M.shape), lsum, n
+    return _reduce_grad(parts, M.shape)
 
 
 def evaluate(prepared: DataFrame, M: np.ndarray, cfg: FitConfig, e1: str, e2: str,
@@ -157,9 +218,16 @@ def evaluate(prepared: DataFrame, M: np.ndarray, cfg: FitConfig, e1: str, e2: st
     """Loss, accuracy and AUC per dataset for matrix M (no dropout)."""
     scored = prepared.select(e1, e2, label, dataset).mapInPandas(
         _score_kernel(M, cfg.loss, e1, e2, label, dataset), "dataset string, y double, s double")
+    return evaluate_scores(scored.persist(), cfg, unpersist=True)
+
+
+def evaluate_scores(scored: DataFrame, cfg: FitConfig, unpersist: bool = False) -> dict[str, dict]:
+    """Metrics from ``dataset, y, s`` rows (a persisted or written table, so
+    the AUC passes do not rescore)."""
     score = F.col("s") if cfg.score == "cosine" else 1.0 / (1.0 + F.exp(-F.col("s")))
+    base_scored = scored
     scored = scored.withColumn("p", score) \
-                   .withColumn("y01", F.when(F.col("y") > 0, 1).otherwise(0)).persist()
+                   .withColumn("y01", F.when(F.col("y") > 0, 1).otherwise(0))
     x, y = F.col("s"), F.col("y")
     lterm = (F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))) if cfg.loss == "bce" \
         else F.pow(x - y, 2)
@@ -171,14 +239,35 @@ def evaluate(prepared: DataFrame, M: np.ndarray, cfg: FitConfig, e1: str, e2: st
         pm = scored.withColumn("_pm", F.when(F.col("y") > 0, 1).otherwise(-1))
         sw = metrics.accuracy_sweep(pm, "p", "_pm", ["dataset"]).select("dataset", "accuracy")
         base = base.drop("accuracy").join(sw, "dataset", "left")
-    auc = metrics.roc_auc(scored, "p", "y01", ["dataset"])
+    auc = metrics.roc_auc(scored, "p", "y01", ["dataset"], persist_input=False)
     out = {}
     for r in base.join(auc, "dataset", "left").collect():
         out[r["dataset"]] = {"loss": r["loss"], "accuracy": r["accuracy"], "auc": r["auc"]}
-    scored.unpersist()
+    if unpersist:
+        base_scored.unpersist()
     return out
 
 
+def _step(M, g, m1, m2, t, lr, cfg):
+    """One optimiser step (Adam with L2 weight decay, or plain SGD)."""
+    if cfg.optimizer != "adam":
+        return M - lr * g, m1, m2, t
+    b1, b2, eps = 0.9, 0.999, 1e-8
+    g = g + cfg.weight_decay * M
+    t += 1
+    m1 = b1 * m1 + (1 - b1) * g
+    m2 = b2 * m2 + (1 - b2) * g * g
+    return M - lr * (m1 / (1 - b1 ** t)) / (np.sqrt(m2 / (1 - b2 ** t)) + eps), m1, m2, t
+
+
+def _record(ev, batch_losses, epoch, history):
+    if "train" in ev and batch_losses:
+        # The train row reports the mean training-batch loss of the epoch.
+        ev["train"]["loss"] = float(np.mean(batch_losses))
+    for ds_name in sorted(ev):
+        history.append({"epoch": epoch, "dataset": ds_name, **ev[ds_name]})
+
+
 def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
                    e1: str = "text_1_embedding", e2: str = "text_2_embedding",
                    label: str = "label", dataset: str = "dataset",
@@ -209,7 +298,6 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
     else:
         M = rng.standard_normal((d, cfg.k))
     m1, m2 = np.zeros_like(M), np.zeros_like(M)
-    b1, b2, eps = 0.9, 0.999, 1e-8
     t = 0
     train = prepared.where(F.col(dataset) == "train")
     if cfg.batch_size:
@@ -218,31 +306,30 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
                            "batches": max(1, math.ceil(n_train / cfg.batch_size))})
     best_auc, best_m, best_epoch = -np.inf, None, None
     history = []
+    full_batch = cfg.batches <= 1
+    if full_batch:
+        # The gradient of epoch e and the evaluation after epoch e-1 use the
+        # same matrix, so one pass over the pairs per epoch serves both.
+        _, g, lsum, n = scoring_pass(prepared, M, cfg, 1, e1, e2, label, dataset)
     for epoch in range(1, cfg.epochs + 1):
         lr = cfg.lr * (cfg.gamma ** ((epoch - 1) // cfg.step_size))
         batch_losses = []
-        for b in range(max(1, cfg.batches)):
-            part = train if cfg.batches <= 1 else \
-                train.where(F.pmod(F.col("_h"), F.lit(cfg.batches)) == b)
-            g, lsum, n = gradient(part, M, cfg, epoch, b, e1, e2, label)
-            if n == 0:
-                continue
-            batch_losses.append(lsum / n)
-            g = g / n
-            if cfg.optimizer == "adam":
-                g = g + cfg.weight_decay * M
-                t += 1
-                m1 = b1 * m1 + (1 - b1) * g
-                m2 = b2 * m2 + (1 - b2) * g * g
-                M = M - lr * (m1 / (1 - b1 ** t)) / (np.sqrt(m2 / (1 - b2 ** t)) + eps)
-            else:
-                M = M - lr * g
-        ev = evaluate(prepared, M, cfg, e1, e2, label, dataset)
-        if "train" in ev and batch_losses:
-            # The train row reports the mean training-batch loss of the epoch.
-            ev["train"]["loss"] = float(np.mean(batch_losses))
-        for ds_name in sorted(ev):
-            history.append({"epoch": epoch, "dataset": ds_name, **ev[ds_name]})
+        if full_batch:
+            if n:
+                batch_losses.append(lsum / n)
+                M, m1, m2, t = _step(M, g / n, m1, m2, t, lr, cfg)
+            scored, g, lsum, n = scoring_pass(prepared, M, cfg, epoch + 1, e1, e2, label,
+                                              dataset)
+            ev = evaluate_scores(scored, cfg)
+        else:
+            for b in range(cfg.batches):
+                part = train.where(F.pmod(F.col("_h"), F.lit(cfg.batches)) == b)
+                gb, lb, nb = gradient(part, M, cfg, epoch, b, e1, e2, label)
+                if nb:
+                    batch_losses.append(lb / nb)
+                    M, m1, m2, t = _step(M, gb / nb, m1, m2, t, lr, cfg)
+            ev = evaluate(prepared, M, cfg, e1, e2, label, dataset)
+        _record(ev, batch_losses, epoch, history)
         sel = ev.get(cfg.select_on, {}).get("auc")
         if sel is not None and not math.isnan(sel) and sel > best_auc:
             best_auc, best_m, best_epoch = sel, M.copy(), epoch

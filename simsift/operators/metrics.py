@@ -36,7 +36,8 @@ def _finite(c: str) -> Column:
 
 
 def prefix_sums(df: DataFrame, order: str, values: list[str], groups: list[str] = (),
-                buckets: int | None = None, prefix: str = "before_") -> DataFrame:
+                buckets: int | None = None, prefix: str = "before_",
+                persist_input: bool = True) -> DataFrame:
     """Exclusive running sums of ``values`` in ``order`` within ``groups``.
 
     ``order`` must be unique within a group (callers aggregate first).  The
@@ -47,8 +48,10 @@ def prefix_sums(df: DataFrame, order: str, values: list[str], groups: list[str]
     groups = list(groups)
     spark = df.sparkSession
     # The input is an aggregate (one row per distinct value); materialise it
-    # once so the quantile pass and the final pass do not recompute upstream.
-    df = materialize(df, "hist")
+    # once so the quantile pass and the final pass do not recompute upstream
+    # (callers whose input is already a written table can skip this).
+    if persist_input:
+        df = materialize(df, "hist")
     nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = []
     if nb > 1:
@@ -171,7 +174,7 @@ def model_delta(before: DataFrame, after: DataFrame, metrics=("accuracy", "preci
 
 
 def roc_auc(df: DataFrame, score: str, label: str, groups: list[str] = (),
-            positive: int = 1) -> DataFrame:
+            positive: int = 1, persist_input: bool = True) -> DataFrame:
     """Area under the ROC curve (Mann-Whitney with ties counted half).  Null
     (the library raises) when a group has one class only; NaN scores dropped.
 
@@ -181,7 +184,7 @@ def roc_auc(df: DataFrame, score: str, label: str, groups: list[str] = (),
                                            (F.col(label) == positive).alias("_p"))
     hist = rows.groupBy(*groups, "_s").agg(F.count_if("_p").alias("pos"),
                                            F.count_if(~F.col("_p")).alias("neg"))
-    pre = prefix_sums(hist, "_s", ["neg"], groups)
+    pre = prefix_sums(hist, "_s", ["neg"], groups, persist_input=persist_input)
     contrib = pre.groupBy(*groups).agg(
         F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0)).alias("_u"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
