@@ -372,6 +372,20 @@ def q_model_delta(spark, sf):
     return d.select(*[_r(c).alias(c) for c in d.columns])
 
 
+def q_text_filters(spark, sf):
+    d = table(spark, sf, "documents")
+    kept = filters.min_text_length(filters.drop_nulls(d, ["text"]), "text")
+    return kept.groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.count_if(F.col("text").contains("http")).alias("n_with_link"),
+        F.count_if(F.col("text").rlike("[0-9]{3}-[0-9]{4}")).alias("n_with_number"))
+
+
+def q_inspection_sample(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return split.sample_rows(d, ["doc_id"], 50, 123)
+
+
 def q_pair_predictions(spark, sf):
     p = _pairs(spark, sf)
     return p.select("query_id", "cand_id", "label",
@@ -444,6 +458,8 @@ def queries() -> dict[str, Query]:
         "fit_projection": q_fit_projection,
         "pair_predictions": q_pair_predictions,
         "accuracy_by_dataset": q_accuracy_by_dataset,
+        "text_filters": q_text_filters,
+        "inspection_sample": q_inspection_sample,
         "model_delta": q_model_delta,
         "name_scalars": q_name_scalars,
         "url_parts": q_url_parts,

@@ -392,6 +392,15 @@ SELECT round(a1 - a0, 6) AS accuracy_delta, round(p1 - p0, 6) AS precision_delta
              - CASE WHEN p0 + r0 = 0 THEN 0.0 ELSE 2 * p0 * r0 / (p0 + r0) END, 6) AS f1_delta
 FROM r"""
 
+ORACLE["text_filters"] = """SELECT lang, source, count(*) AS n_docs,
+       count(*) FILTER (WHERE contains(text, 'http')) AS n_with_link,
+       count(*) FILTER (WHERE regexp_matches(text, '[0-9]{3}-[0-9]{4}')) AS n_with_number
+FROM documents WHERE text IS NOT NULL AND length(text) > 47
+GROUP BY lang, source"""
+
+ORACLE["inspection_sample"] = """SELECT doc_id, lang, n_chars FROM documents
+ORDER BY md5('123|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 50"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
