@@ -132,3 +132,16 @@ def test_training_pipeline(spark):
     neg = [r for r in rows if r.label == -1][0]
     assert neg.text_1.startswith("art 101") and neg.text_2.startswith("art 115")
     assert all(r.text_1_embedding is not None and r.text_2_embedding is not None for r in rows)
+
+
+def test_missing_institutions_and_nearest_one(spark):
+    from simsift.operators.topk import nearest_one
+    req = spark.createDataFrame([("A",), ("B",), ("C",)], "Ext_Inst string")
+    tr = spark.createDataFrame([("A", "x"), ("A", "y"), ("C", "z")], "Ext_Inst string, v string")
+    assert [r.Ext_Inst for r in truth.missing_institutions(req, tr).collect()] == ["B"]
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<float>")
+    c = spark.createDataFrame([(10, [1.0, 0.1]), (11, [1.0, 0.1]), (12, [0.1, 1.0])],
+                              "id long, v array<float>")
+    got = {r.query_id: r.cand_id for r in nearest_one(q, c, query_id="id", query_vec="v",
+                                                      cand_id="id", cand_vec="v").collect()}
+    assert got == {1: 10, 2: 12}                  # tie between 10 and 11 -> first id
