@@ -65,7 +65,10 @@ def _blocks(df: DataFrame, id_col: str, vec_col: str, n_blocks: int, tag: str) -
     items = (df.select(F.col(id_col).alias("id"),
                        F.col(vec_col).cast("array<float>").alias("vec"))
                .where(F.col("vec").isNotNull() & F.col("id").isNotNull())
-               .withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")))
+               # coalesce makes the key non-nullable, so no isnotnull filter is
+               # inferred into one side only (which would block exchange reuse).
+               .withColumn("blk", F.coalesce(F.pmod(F.xxhash64("id"), F.lit(n_blocks))
+                                             .cast("int"), F.lit(0))))
     grouped = items.groupBy("blk").agg(
         F.collect_list(F.struct("id", "vec")).alias("items"),
         F.min(F.size("vec")).alias("dmin"), F.max(F.size("vec")).alias("dmax"))
@@ -176,8 +179,13 @@ def topk_similar(queries: DataFrame, candidates: DataFrame, k: int, *,
     q_blocks = max(1, math.ceil(nq / block_rows))
     c_blocks = max(1, math.ceil(nc / block_rows))
     _bound_arrow_batches(spark, 2 * block_rows * (d * 4 + 64), q_blocks * c_blocks)
+    self_join = candidates is queries and cand_id == query_id and cand_vec == query_vec
     qb = _blocks(queries, query_id, query_vec, q_blocks, "q")
-    cb = _blocks(candidates, cand_id, cand_vec, c_blocks, "c")
+    if self_join:
+        # One blocking (one shuffle of the vectors) serves both sides.
+        cb = qb.select(*[F.col(c).alias("c" + c[1:]) for c in qb.columns])
+    else:
+        cb = _blocks(candidates, cand_id, cand_vec, c_blocks, "c")
     q_bytes, c_bytes = nq * d * 4, nc * d * 4
     if c_bytes <= broadcast_bytes:
         # Candidate blocks go to every task once; query blocks never move again.
