@@ -236,7 +236,11 @@ def score_histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
                   F.count(F.lit(1)).alias("n")).first()
     if not st["n"]:
         return _empty_hist(df)
-    rng = _scalars(st)
+    lo, hi = st["lo"], st["hi"]
+    if lo == hi:
+        # Constant data: the usual rule widens the range to [v - 0.5, v + 0.5].
+        lo, hi = lo - 0.5, hi + 0.5
+    rng = _scalars({"lo": float(lo), "hi": float(hi), "n": st["n"]})
     width = (F.col("hi") - F.col("lo")) / bins
     edge = lambda i: F.when(i >= bins, F.col("hi")).otherwise(F.col("lo") + i * width)  # noqa
     raw = F.floor((F.col("_v") - F.col("lo")) * (bins / (F.col("hi") - F.col("lo"))))
@@ -275,10 +279,10 @@ def score_kde(df: DataFrame, col: str, points: int = 100) -> DataFrame:
     contrib = vals.select("_v", *consts, g) \
         .withColumn("x", F.when(F.col("g") == points - 1, F.col("hi"))
                     .otherwise(F.col("lo") + F.col("g") * step)) \
-        .withColumn("k", F.exp(-F.pow((F.col("x") - F.col("_v")) / F.col("bw"), 2) / 2))
+        .withColumn("k", F.exp(-F.pow(F.try_divide(F.col("x") - F.col("_v"), F.col("bw")), 2) / 2))
     dens = contrib.groupBy("g", "x", "n", "bw").agg(F.sum("k").alias("_s"))
     return dens.select(F.col("g").cast("int").alias("point"), F.col("x"),
-                       (F.col("_s") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi)))
+                       F.try_divide(F.col("_s"), F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))
                        .alias("density"))
 
 

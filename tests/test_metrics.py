@@ -104,3 +104,14 @@ def test_best_by_rules(spark):
     rows = [(1, 0.7), (2, float("nan")), (3, 0.9), (4, 0.9)]
     df = spark.createDataFrame(rows, "epoch int, auc double")
     assert MT.best_by(df, "auc", ["epoch"]).first().epoch == 3
+
+
+def test_degenerate_inputs(spark):
+    df = spark.createDataFrame([(0.5,), (0.5,), (0.5,)], "v double")
+    h = MT.score_histogram(df, "v", 30).orderBy("bin").collect()
+    counts, _ = np.histogram([0.5] * 3, bins=30)
+    assert [r["count"] for r in h] == list(counts)
+    assert all(r.density is None for r in MT.score_kde(df, "v", 5).collect())
+    assert MT.exact_quantile(df, "v", 0.25).first()[0] == 0.5
+    empty = spark.createDataFrame([], "cs double, y int")
+    assert MT.accuracy_sweep(empty, "cs", "y").first().accuracy is None
