@@ -69,12 +69,17 @@ def project_pairs(df: DataFrame, matrix: np.ndarray, cols=("text_1_embedding", "
     out = df
     for c in cols:
         out = project(out, c, matrix, f"{c}{suffix}", dtype)
-    return out.withColumn(score, V.cosine(f"{cols[0]}{suffix}", f"{cols[1]}{suffix}"))
+    return out.withColumn(score, V.cosine_batch(f"{cols[0]}{suffix}", f"{cols[1]}{suffix}"))
 
 
 def pair_cosine(df: DataFrame, a: str = "text_1_embedding", b: str = "text_2_embedding",
                 out: str = "cosine_similarity", zero: str = "null") -> DataFrame:
-    return df.withColumn(out, V.cosine(a, b, zero))
+    """Cosine per pair on Arrow batches (zero vector -> null, or 0 with
+    ``zero="zero"``)."""
+    c = V.cosine_batch(a, b)
+    if zero == "zero":
+        c = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.coalesce(c, F.lit(0.0)))
+    return df.withColumn(out, c)
 
 
 def fold_matrix(d: int, k: int) -> np.ndarray:

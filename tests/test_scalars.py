@@ -73,3 +73,12 @@ def test_path_segments(spark):
     rows = [("PCC/2023-2024.json",), ("a/b/c",)]
     assert one(spark, S.path_segment("p", -2), "p string", rows) == ["PCC", "b"]
     assert one(spark, S.path_segment("p", 5), "p string", rows) == [None, None]
+
+
+def test_cosine_batch_matches_native(spark):
+    rows = [([1.0, 2.0, 3.0], [0.5, -1.0, 2.0]), ([0.0, 0.0, 0.0], [1.0, 1.0, 1.0]),
+            (None, [1.0, 0.0, 0.0]), ([1.0, 1.0, 1.0], [2.0, 2.0, 2.0])]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    got = df.select(V.cosine("a", "b").alias("n"), V.cosine_batch("a", "b").alias("b")).collect()
+    for r in got:
+        assert (r.n is None and r.b is None) or abs(r.n - r.b) < 1e-12
