@@ -55,19 +55,6 @@ def to_double(a: ColumnOrName) -> Column:
     return F.transform(_c(a), lambda x: x.cast("double"))
 
 
-def project_small(a: ColumnOrName, matrix_rows: list[list[float]]) -> Column:
-    """v @ M for a small literal d x k matrix (k columns), as JVM expressions.
-
-    Only for matrices known to be tiny; larger matrices go through
-    ``simsift.operators.projection.project`` (Arrow batches)."""
-    k = len(matrix_rows[0]) if matrix_rows else 0
-    cols = []
-    for j in range(k):
-        w = F.array(*[F.lit(float(row[j])) for row in matrix_rows])
-        cols.append(dot(_c(a), w))
-    return F.array(*cols)
-
-
 def _stack(s: pd.Series, idx: np.ndarray) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in s.to_numpy()[idx]]) \
         if len(idx) else np.zeros((0, 0))

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -41,7 +40,3 @@ def course_index(df: DataFrame, code: str = "COURSE CODE",
               .groupBy(code).agg(F.max(title).alias(title))
               .orderBy(code))
 
-
-def rank_within(df: DataFrame, partition: list[str], order: list, name: str = "rank") -> DataFrame:
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w))

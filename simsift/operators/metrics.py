@@ -16,8 +16,6 @@ from pyspark.sql.window import Window
 
 from simsift.session import materialize
 
-from simsift.functions import scalars as S
-
 SWEEP_LOW = -1000     # thresholds -1.000 .. 0.999 in steps of 0.001
 SWEEP_HIGH = 999
 SWEEP_SCALE = 1000.0
@@ -298,10 +296,6 @@ def best_by(df: DataFrame, metric: str, tie: list[str], groups: list[str] = (),
     return agg.select(*groups, *[F.col("_b")[c].alias(c) for c in cols])
 
 
-def rate_pct(hits: str, n: str) -> Column:
-    return S.round_pct(hits, n)
-
-
 def _scalars(row) -> list[Column]:
     """One-row aggregate results as typed literal columns."""
     items = row.asDict() if hasattr(row, "asDict") else dict(row)
