@@ -65,6 +65,22 @@ def build_pairs(articulations: DataFrame, external: DataFrame, internal: DataFra
     return embed.embed_with_cache(all_pairs, ["text_1", "text_2"], cache_path, embedder)
 
 
+def split_with_random_negatives(positives: DataFrame, test: float = 0.2,
+                                seed: int = 123) -> DataFrame:
+    """First trainer's flow: positives are split train/test first, then each
+    split gets as many random negatives as it has positives, drawn only from
+    its own texts (no text leaks across the split)."""
+    keyed = truth.with_row_id(positives.select("text_1", "text_2", "label"), name="pair_id")
+    parts = split.stratified_split(keyed, "label", ["pair_id"], test, seed)
+    out = None
+    for name in ("train", "test"):
+        pos = parts.where(F.col("dataset") == name).select("text_1", "text_2", "label")
+        neg = pairs.random_negatives(pos, seed=seed)
+        both = pos.unionByName(neg).withColumn("dataset", F.lit(name))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 def train(pairs_df: DataFrame, cfg: learn.FitConfig | None = None) -> learn.FitResult:
     """72/8/20 split by label, then the projection fit."""
     keyed = pairs_df.withColumn("pair_id", F.xxhash64("text_1", "text_2", "label"))

@@ -103,3 +103,17 @@ def test_positive_pairs_fan_out(spark):
                                int_key=("int", "code"), ext_text="t", int_text="t")
     assert sorted((r.text_1, r.text_2) for r in out.collect()) == [
         ("ext math", "home math"), ("ext math", "home math 2")]
+
+
+def test_split_then_random_negatives(spark):
+    from simsift.plans.training import split_with_random_negatives
+    rows = [(f"ext {i}", f"home {i % 9}") for i in range(40)]
+    out = split_with_random_negatives(pos_df(spark, rows), 0.2, 7).collect()
+    for name, n_pos in (("train", 32), ("test", 8)):
+        part = [r for r in out if r.dataset == name]
+        pos = {(r.text_1, r.text_2) for r in part if r.label == 1}
+        neg = [(r.text_1, r.text_2) for r in part if r.label == -1]
+        assert len(pos) == n_pos and len(neg) == n_pos
+        texts = {t for p in pos for t in p}
+        assert all(a in texts and b in texts for a, b in neg)    # drawn within the split
+        assert not any((a, b) in pos or (b, a) in pos for a, b in neg)
