@@ -81,6 +81,20 @@ def split_with_random_negatives(positives: DataFrame, test: float = 0.2,
     return out
 
 
+def hard_negative_pairs(positives: DataFrame, cache_path: str,
+                        embedder: embed.Embedder | None = None) -> DataFrame:
+    """Second trainer's negatives: for each distinct ``text_1``, the most
+    similar distinct ``text_2`` that is not one of its positives (label -1)."""
+    pos = positives.select("text_1", "text_2")
+    q = embed.embed_with_cache(pos.select("text_1").distinct(), ["text_1"], cache_path, embedder)
+    c = embed.embed_with_cache(pos.select("text_2").distinct(), ["text_2"], cache_path, embedder)
+    hn = pairs.hard_negatives(q, c, pos, query_id="text_1", query_vec="text_1_embedding",
+                              cand_id="text_2", cand_vec="text_2_embedding",
+                              pos_query="text_1", pos_cand="text_2")
+    return hn.select(F.col("query_id").alias("text_1"), F.col("cand_id").alias("text_2"),
+                     F.lit(-1).alias("label"))
+
+
 def train(pairs_df: DataFrame, cfg: learn.FitConfig | None = None) -> learn.FitResult:
     """72/8/20 split by label, then the projection fit."""
     keyed = pairs_df.withColumn("pair_id", F.xxhash64("text_1", "text_2", "label"))

@@ -117,3 +117,19 @@ def test_split_then_random_negatives(spark):
         texts = {t for p in pos for t in p}
         assert all(a in texts and b in texts for a, b in neg)    # drawn within the split
         assert not any((a, b) in pos or (b, a) in pos for a, b in neg)
+
+
+def test_hard_negative_pairs_plan(spark):
+    import os
+    import tempfile
+
+    from simsift.plans.training import hard_negative_pairs
+    rows = [("intro calculus limits", "calculus limits derivatives"),
+            ("intro calculus limits", "calculus integrals"),
+            ("human anatomy body", "anatomy physiology body"),
+            ("drawing composition", "design composition drawing")]
+    cache = os.path.join(tempfile.mkdtemp(prefix="hn-"), "cache")
+    out = {r.text_1: r.text_2 for r in hard_negative_pairs(pos_df(spark, rows), cache).collect()}
+    assert set(out) == {r[0] for r in rows}
+    for t1, t2 in out.items():
+        assert (t1, t2) not in rows and t2 in {r[1] for r in rows}
