@@ -144,7 +144,9 @@ def fill_zero(c: ColumnOrName) -> Column:
 
 
 def round_pct(hits: ColumnOrName, n: ColumnOrName) -> Column:
-    return F.round(F.try_divide(100.0 * _c(hits), _c(n)), 2)
+    """100 * hits / n rounded to 2 decimals, half to even (as numpy rounds:
+    3.125 -> 3.12)."""
+    return F.bround(F.try_divide(100.0 * _c(hits), _c(n)), 2)
 
 
 def digits_only(c: ColumnOrName) -> Column:

@@ -59,8 +59,8 @@ g AS (SELECT unnest(range(1, (SELECT max(row_number) FROM v) + 1)) AS top_i)
 SELECT CAST(top_i AS INTEGER) AS top_i,
        CAST((SELECT count(*) FROM v WHERE v.row_number <= g.top_i) AS BIGINT) AS hits,
        CAST((SELECT count(*) FROM v) AS BIGINT) AS n,
-       round(100.0 * (SELECT count(*) FROM v WHERE v.row_number <= g.top_i)
-             / (SELECT count(*) FROM v), 2) AS hit_rate
+       round_even(100.0 * (SELECT count(*) FROM v WHERE v.row_number <= g.top_i)
+                  / (SELECT count(*) FROM v), 2) AS hit_rate
 FROM g"""
 
 
