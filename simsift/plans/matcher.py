@@ -66,10 +66,15 @@ def evaluation_queries(spark: SparkSession, store_root: str, truth: DataFrame,
     ext = filters.usable_codes(ext, "COURSE CODE")
     ext = ext.withColumn("_o", F.struct(F.col("_metadata.file_path"),
                                         F.col("_metadata.row_index")))
-    ext = dedup.keep_first(ext.select("institution", "years", "COURSE CODE", "embedding", "_o"),
-                           ["institution", "years", "COURSE CODE"], ["_o"])
     t = truth.select("row_id", F.col("Ext_Inst"), F.col("Transfer_Year"),
                      F.upper("Ext_Course_Code").alias("_code"))
+    # Only store rows some truth row asks for go into the keep-first aggregate
+    # (the store covers every institution and year; the truth is far smaller).
+    wanted = t.select(F.col("Ext_Inst").alias("institution"), F.col("Transfer_Year").alias("years"),
+                      F.col("_code").alias("COURSE CODE")).distinct()
+    ext = ext.join(wanted, ["institution", "years", "COURSE CODE"], "left_semi")
+    ext = dedup.keep_first(ext.select("institution", "years", "COURSE CODE", "embedding", "_o"),
+                           ["institution", "years", "COURSE CODE"], ["_o"])
     cond = ((t["Ext_Inst"] == ext["institution"]) & (t["Transfer_Year"] == ext["years"])
             & (t["_code"] == ext["COURSE CODE"]))
     return t.join(ext, cond, "inner").select("row_id", "embedding")
