@@ -38,16 +38,24 @@ def build_pairs(articulations: DataFrame, external: DataFrame, internal: DataFra
                 use_keywords: bool = False, min_term: int = S.MIN_TERM) -> DataFrame:
     """Labelled, embedded pairs: positives from accepted equivalences and, for
     every rejected equivalence, its nearest home course as a negative."""
-    ext = course_texts(external.withColumn("INSTITUTION", S.canonical_institution("INSTITUTION")),
-                       use_keywords)
-    intl = course_texts(internal, use_keywords, min_length=None)
     clean = truth.clean_articulations(articulations, min_term=min_term)
+    rejected = filters.rejected_articulations(articulations, min_term=min_term)
+    # Keyword text and embeddings only for catalogue rows some equivalence uses.
+    used = clean.select(F.col("TRNS_DESCRIPTION").alias("INSTITUTION"),
+                        F.col("EXT COURSE CODE").alias("COURSE CODE"), "YEAR").unionByName(
+        rejected.select(S.canonical_institution("TRNS_DESCRIPTION").alias("INSTITUTION"),
+                        S.course_code("TR_SUBJ", "TR_COURSE").alias("COURSE CODE"),
+                        S.term_year("TERM").alias("YEAR"))).distinct()
+    ext = external.withColumn("INSTITUTION", S.canonical_institution("INSTITUTION")) \
+                  .join(used, ["INSTITUTION", "YEAR", "COURSE CODE"], "left_semi")
+    ext = course_texts(ext, use_keywords)
+    intl = course_texts(internal, use_keywords, min_length=None)
     pos = pairs.positive_pairs(
         clean, ext, intl,
         ext_keys=[("TRNS_DESCRIPTION", "INSTITUTION"), ("YEAR", "YEAR"),
                   ("EXT COURSE CODE", "COURSE CODE")],
         int_key=("INT COURSE CODE", "COURSE CODE"), ext_text="text", int_text="text")
-    rej = filters.rejected_articulations(articulations, min_term=min_term).select(
+    rej = rejected.select(
         S.canonical_institution("TRNS_DESCRIPTION").alias("inst"),
         S.term_year("TERM").alias("year"),
         S.course_code("TR_SUBJ", "TR_COURSE").alias("code"), "TERM", "EQUIV_CRSE")
