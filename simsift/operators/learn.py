@@ -221,10 +221,15 @@ def evaluate(prepared: DataFrame, M: np.ndarray, cfg: FitConfig, e1: str, e2: st
     return evaluate_scores(scored.persist(), cfg, unpersist=True)
 
 
-def evaluate_scores(scored: DataFrame, cfg: FitConfig, unpersist: bool = False) -> dict[str, dict]:
+def _score_col(cfg: FitConfig):
+    return F.col("s") if cfg.score == "cosine" else 1.0 / (1.0 + F.exp(-F.col("s")))
+
+
+def evaluate_scores(scored: DataFrame, cfg: FitConfig, unpersist: bool = False,
+                    bounds: list[float] | None = None) -> dict[str, dict]:
     """Metrics from ``dataset, y, s`` rows (a persisted or written table, so
     the AUC passes do not rescore)."""
-    score = F.col("s") if cfg.score == "cosine" else 1.0 / (1.0 + F.exp(-F.col("s")))
+    score = _score_col(cfg)
     base_scored = scored
     scored = scored.withColumn("p", score) \
                    .withColumn("y01", F.when(F.col("y") > 0, 1).otherwise(0))
@@ -239,7 +244,7 @@ def evaluate_scores(scored: DataFrame, cfg: FitConfig, unpersist: bool = False)
         pm = scored.withColumn("_pm", F.when(F.col("y") > 0, 1).otherwise(-1))
         sw = metrics.accuracy_sweep(pm, "p", "_pm", ["dataset"]).select("dataset", "accuracy")
         base = base.drop("accuracy").join(sw, "dataset", "left")
-    auc = metrics.roc_auc(scored, "p", "y01", ["dataset"], persist_input=False)
+    auc = metrics.roc_auc(scored, "p", "y01", ["dataset"], persist_input=False, bounds=bounds)
     out = {}
     for r in base.join(auc, "dataset", "left").collect():
         out[r["dataset"]] = {"loss": r["loss"], "accuracy": r["accuracy"], "auc": r["auc"]}
@@ -310,7 +315,12 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
     if full_batch:
         # The gradient of epoch e and the evaluation after epoch e-1 use the
         # same matrix, so one pass over the pairs per epoch serves both.
-        _, g, lsum, n = scoring_pass(prepared, M, cfg, 1, e1, e2, label, dataset)
+        first_scores, g, lsum, n = scoring_pass(prepared, M, cfg, 1, e1, e2, label, dataset)
+        # AUC range bounds from the initial scores serve every epoch (they only
+        # balance the prefix-sum ranges; results are exact for any bounds).
+        nb = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        auc_bounds = metrics.range_bounds(
+            first_scores.select(_score_col(cfg).cast("double").alias("p")), "p", nb)
     for epoch in range(1, cfg.epochs + 1):
         lr = cfg.lr * (cfg.gamma ** ((epoch - 1) // cfg.step_size))
         batch_losses = []
@@ -320,7 +330,7 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
                 M, m1, m2, t = _step(M, g / n, m1, m2, t, lr, cfg)
             scored, g, lsum, n = scoring_pass(prepared, M, cfg, epoch + 1, e1, e2, label,
                                               dataset)
-            ev = evaluate_scores(scored, cfg)
+            ev = evaluate_scores(scored, cfg, bounds=auc_bounds)
         else:
             for b in range(cfg.batches):
                 part = train.where(F.pmod(F.col("_h"), F.lit(cfg.batches)) == b)

@@ -33,9 +33,17 @@ def _finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(F.col(c))
 
 
+def range_bounds(df: DataFrame, col: str, buckets: int) -> list[float]:
+    """Approximate quantile cut points of ``col`` (a few floats on the driver)."""
+    if buckets <= 1:
+        return []
+    qs = df.approxQuantile(col, [i / buckets for i in range(1, buckets)], 0.001)
+    return sorted(set(v for v in qs if v is not None and not math.isnan(v)))
+
+
 def prefix_sums(df: DataFrame, order: str, values: list[str], groups: list[str] = (),
                 buckets: int | None = None, prefix: str = "before_",
-                persist_input: bool = True) -> DataFrame:
+                persist_input: bool = True, bounds: list[float] | None = None) -> DataFrame:
     """Exclusive running sums of ``values`` in ``order`` within ``groups``.
 
     ``order`` must be unique within a group (callers aggregate first).  The
@@ -51,11 +59,9 @@ def prefix_sums(df: DataFrame, order: str, values: list[str], groups: list[str]
     if persist_input:
         df = materialize(df, "hist")
     nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = []
-    if nb > 1:
-        probs = [i / nb for i in range(1, nb)]
-        bounds = sorted(set(v for v in df.approxQuantile(order, probs, 0.001)
-                            if v is not None and not math.isnan(v)))
+    if bounds is None:
+        # Bounds only balance the ranges; any sorted cut points give exact sums.
+        bounds = range_bounds(df, order, nb)
     if bounds:
         arr = F.array(*[F.lit(float(v)) for v in bounds])
         bucket = F.size(F.filter(arr, lambda x: x < F.col(order).cast("double")))
@@ -172,7 +178,8 @@ def model_delta(before: DataFrame, after: DataFrame, metrics=("accuracy", "preci
 
 
 def roc_auc(df: DataFrame, score: str, label: str, groups: list[str] = (),
-            positive: int = 1, persist_input: bool = True) -> DataFrame:
+            positive: int = 1, persist_input: bool = True,
+            bounds: list[float] | None = None) -> DataFrame:
     """Area under the ROC curve (Mann-Whitney with ties counted half).  Null
     (the library raises) when a group has one class only; NaN scores dropped.
 
@@ -182,7 +189,7 @@ def roc_auc(df: DataFrame, score: str, label: str, groups: list[str] = (),
                                            (F.col(label) == positive).alias("_p"))
     hist = rows.groupBy(*groups, "_s").agg(F.count_if("_p").alias("pos"),
                                            F.count_if(~F.col("_p")).alias("neg"))
-    pre = prefix_sums(hist, "_s", ["neg"], groups, persist_input=persist_input)
+    pre = prefix_sums(hist, "_s", ["neg"], groups, persist_input=persist_input, bounds=bounds)
     contrib = pre.groupBy(*groups).agg(
         F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0)).alias("_u"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
