@@ -81,3 +81,20 @@ def test_block_topk_tie_rule():
     idx, vals = block_topk(s, 3)
     assert idx.tolist() == [[1, 0, 2]]
     assert vals.tolist() == [[0.9, 0.5, 0.5]]
+
+
+def test_arrow_batch_guard(spark):
+    from simsift.operators import topk as TK
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key, "10000")
+    try:
+        spark.conf.set(key, "10000")
+        TK._bound_arrow_batches(spark, 50 * 1024 * 1024, 1)        # one pair: untouched
+        assert spark.conf.get(key) == "10000"
+        TK._bound_arrow_batches(spark, 50 * 1024 * 1024, 100)      # 5 GB of pairs: lowered
+        assert spark.conf.get(key) == str(TK.ARROW_BATCH_BYTES // (50 * 1024 * 1024))
+        spark.conf.set(key, "2")
+        TK._bound_arrow_batches(spark, 50 * 1024 * 1024, 100)      # stricter user value kept
+        assert spark.conf.get(key) == "2"
+    finally:
+        spark.conf.set(key, old)
