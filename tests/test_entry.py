@@ -10,3 +10,11 @@ def test_entry_and_registry(spark):
     qs, sql = se.queries(), se.oracle_sql()
     assert set(sql) <= set(qs)
     assert len(qs) >= 30
+
+
+def test_every_registered_query_runs_on_smoke_data(spark):
+    from conftest import SF
+    for name, fn in se.queries().items():
+        df = fn(spark, SF)
+        assert df.count() >= 0, name
+        assert len(df.columns) == len(set(df.columns)), name     # unambiguous column names
