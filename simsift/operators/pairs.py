@@ -39,7 +39,7 @@ def _pair_key(a: str, b: str, symmetric: bool):
 
 
 def random_negatives(positives: DataFrame, n: int | None = None, seed: int = 123,
-                     symmetric: bool = True, max_rounds: int = 16) -> DataFrame:
+                     symmetric: bool = True, max_rounds: int = 32) -> DataFrame:
     """``n`` (default: number of positives) distinct unordered pairs of texts
     from the positives that are not themselves positive, label -1.
 
@@ -77,7 +77,8 @@ def random_negatives(positives: DataFrame, n: int | None = None, seed: int = 123
         raise ValueError(f"cannot draw {n} negatives from {possible} candidate pairs")
     partner = texts.select(F.col("idx").alias("_j"), F.col("text").alias("_pt"))
     accepted = None
-    per_text = max(1, math.ceil(1.5 * n / t))
+    per_text = min(t - 1, max(1, math.ceil(1.5 * n / t)))
+    found = 0
     for rnd in range(1, max_rounds + 1):
         draws = texts.select("idx", "text", F.explode(F.sequence(F.lit(0), F.lit(per_text - 1)))
                              .alias("_d"))
@@ -91,9 +92,15 @@ def random_negatives(positives: DataFrame, n: int | None = None, seed: int = 123
         cand = cand.join(excl, ["a", "b"], "left_anti")
         accepted = cand if accepted is None else accepted.unionByName(cand).distinct()
         accepted = materialize(accepted, "pairs")
-        if accepted.count() >= n:
+        found = accepted.count()
+        if found >= n:
             break
-        per_text *= 2
+        # Never more than T-1 draws per text and round: even when positives are
+        # dense, one round stays linear in the pairs it can return.
+        per_text = min(t - 1, per_text * 2)
+    if found < n:
+        # Results stay whole: no silent short sample.
+        raise ValueError(f"drew only {found} of {n} negatives in {max_rounds} rounds")
     chosen = split.sample_n(accepted, n, ["a", "b"], seed, allow_fewer=True,
                             persist_input=False)
     return chosen.select(F.col("a").alias("text_1"), F.col("b").alias("text_2"),
