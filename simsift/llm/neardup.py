@@ -12,6 +12,8 @@
 4. Candidates are screened by the collision-corrected estimate from bit counts
    of the packed planes, far enough below the threshold that a true link passes
    (over 4.5 standard deviations), then confirmed exactly on the whole sets.
+   Members of bands that step 3 left open get a second, longer signature for a
+   closer estimate, so little but true links is left to confirm.
 
 With 32 bands of 6 minima a pair at the threshold 0.85 shares no band with
 probability 3e-7, less above it.
@@ -29,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simsift.llm import words as W
@@ -39,19 +41,62 @@ from simsift.llm.components import components
 SHINGLE = 5
 PERCENT = 85                # a link: 100 * intersection >= PERCENT * union
 BANDS, ROWS = 32, 6
-PERMUTATIONS = BANDS * ROWS
-BITS = 4
-LANES = PERMUTATIONS // 64  # longs in one bit plane
 MARGIN = 4.5                # standard deviations below the threshold
 BLOCK = 2_000               # members of one band that one block holds
 
-_rng = np.random.default_rng(20_170_517)
-_MULTIPLY = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
-_ADD = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
-_JOIN = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
+
+class Hashes:
+    """A family of 32-bit hashes and the bits kept of their minima."""
+
+    def __init__(self, seed: int, count: int, bits: int):
+        rng = np.random.default_rng(seed)
+        self.count, self.bits = count, bits
+        self.lanes = count // 64                  # longs in one bit plane
+        self.multiply = rng.integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1)
+        self.add = rng.integers(0, 1 << 32, count, dtype=np.uint32)
+
+    def minima(self, shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """MinHash minima, one row per non-empty set."""
+        x = (shingles >> np.uint64(32)).astype(np.uint32)
+        out = np.empty((len(starts), self.count), dtype=np.uint32)
+        for p in range(self.count if len(starts) else 0):
+            out[:, p] = np.minimum.reduceat(x * self.multiply[p] + self.add[p], starts)
+        return out
+
+    def pack(self, minima: np.ndarray) -> np.ndarray:
+        """The low bits of mixed minima as bit planes of ``lanes`` longs each."""
+        low = W.mix(minima.astype(np.uint64), 3)
+        planes = [np.packbits((low >> np.uint64(b)).astype(np.uint8) & 1, axis=1) for b in range(self.bits)]
+        return np.concatenate(planes, axis=1).view(np.int64)
+
+    def estimate(self, left: str, right: str) -> Column:
+        """Jaccard estimate of two packed signatures, corrected for chance
+        equality of the kept bits: (m - 2^-b) / (1 - 2^-b) for the share m of
+        equal minima."""
+        differ = []
+        for lane in range(self.lanes):
+            planes = [F.col(left)[b * self.lanes + lane].bitwiseXOR(F.col(right)[b * self.lanes + lane])
+                      for b in range(self.bits)]
+            differ.append(F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), planes)))
+        equal = 1 - reduce(lambda x, y: x + y, differ) / float(self.count)
+        chance = 2.0 ** -self.bits
+        return (equal - chance) / (1 - chance)
+
+    def least(self, percent: int) -> float:
+        """The estimate that a pair at the threshold exceeds but for MARGIN
+        standard deviations."""
+        j, chance = percent / 100, 2.0 ** -self.bits
+        seen = j + (1 - j) * chance
+        return j - MARGIN * (seen * (1 - seen) / self.count) ** 0.5 / (1 - chance)
+
+
+COARSE = Hashes(20_170_517, BANDS * ROWS, 4)      # of every text; the bands are made of its minima
+FINE = Hashes(20_170_518, 2_048, 2)               # of members of open bands
+_JOIN = np.random.default_rng(9).integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 SIGNATURES = "id long, n long, k1 long, k2 long, bands array<long>, planes array<long>"
 SETS = "id long, shingles array<long>"
+FINE_SIGNATURES = "id long, fine array<long>"
 
 
 def shingle_sets(chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -60,22 +105,6 @@ def shingle_sets(chunk: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return W.distinct_sorted(*W.windows(chunk.hashes(starts, ends, lower=True), ptr, SHINGLE, True))
 
 
-def minima(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """MinHash minima, one row per non-empty set."""
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), PERMUTATIONS), dtype=np.uint32)
-    for p in range(PERMUTATIONS):
-        out[:, p] = np.minimum.reduceat(x * _MULTIPLY[p] + _ADD[p], starts)
-    return out
-
-
-def pack(low: np.ndarray) -> np.ndarray:
-    """The low BITS bits of mixed minima as bit planes of LANES longs each."""
-    low = W.mix(low.astype(np.uint64), 3)
-    planes = [np.packbits((low >> np.uint64(b)).astype(np.uint8) & 1, axis=1) for b in range(BITS)]
-    return np.concatenate(planes, axis=1).view(np.int64)
-
-
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, chunk in W.chunks(batch.column(1)):
@@ -84,11 +113,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = size > 0
             starts, rows = ptr[:-1][full], int(full.sum())
             keys = np.zeros((2, hi - lo), dtype=np.uint64)
-            low = np.zeros((0, PERMUTATIONS), dtype=np.uint32)
+            low = COARSE.minima(sets, starts)
             if rows:
                 keys[0, full] = np.add.reduceat(W.mix(sets, 1), starts)
                 keys[1, full] = np.add.reduceat(W.mix(sets, 2), starts)
-                low = minima(sets, starts)
             bands = W.mix((low.reshape(rows, BANDS, ROWS).astype(np.uint64) * _JOIN).sum(axis=2, dtype=np.uint64)
                           + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             many = np.concatenate([[0], np.cumsum(full)])
@@ -96,7 +124,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)),
                 pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
                 W.list_array(bands.view(np.int64).ravel(), many * BANDS),
-                W.list_array(pack(low).ravel(), many * BITS * LANES),
+                W.list_array(COARSE.pack(low).ravel(), many * COARSE.bits * COARSE.lanes),
             ], names=["id", "n", "k1", "k2", "bands", "planes"])
 
 
@@ -108,22 +136,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   names=["id", "shingles"])
 
 
-def estimate(left: str, right: str):
-    """Jaccard estimate of two packed signatures, corrected for chance equality
-    of the kept bits: (m - 2^-b) / (1 - 2^-b) for the share m of equal minima."""
-    differ = []
-    for lane in range(LANES):
-        planes = [F.col(left)[b * LANES + lane].bitwiseXOR(F.col(right)[b * LANES + lane]) for b in range(BITS)]
-        differ.append(F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), planes)))
-    equal = 1 - reduce(lambda x, y: x + y, differ) / float(PERMUTATIONS)
-    chance = 2.0 ** -BITS
-    return (equal - chance) / (1 - chance)
-
-
-def _least(percent: int) -> float:
-    j = percent / 100
-    seen = j + (1 - j) * 2.0 ** -BITS
-    return j - MARGIN * (seen * (1 - seen) / PERMUTATIONS) ** 0.5 / (1 - 2.0 ** -BITS)
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, chunk in W.chunks(batch.column(1)):
+            sets, ptr = shingle_sets(chunk)
+            full = np.flatnonzero(np.diff(ptr))
+            made = FINE.pack(FINE.minima(sets, ptr[:-1][full]))
+            yield pa.record_batch([
+                batch.column(0).slice(lo, hi - lo).take(pa.array(full)),
+                W.list_array(made.ravel(), np.arange(len(full) + 1) * FINE.bits * FINE.lanes)], names=["id", "fine"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -158,11 +179,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.max_by("id", F.struct("weight", -F.col("id"))).alias("leader"))
     candidates = (bands.join(leader, "key").where("id <> leader")
                   .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
-    least = _least(percent)
     planes = semi(nodes.select("id", "planes"), bands.select("id"), "id")
     near = materialize(
         candidates.join(planes.toDF("a", "pa"), "a").join(planes.toDF("b", "pb"), "b")
-        .where(estimate("pa", "pb") >= least).select("a", "b"), "leader-pairs")
+        .where(COARSE.estimate("pa", "pb") >= COARSE.least(percent)).select("a", "b"), "leader-pairs")
 
     # What the leaders leave unconnected: pairs of one band and two components.
     first_ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
@@ -173,18 +193,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "key", "id", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"),
                                       F.max("component").alias("hi")).where("lo <> hi")
+    placed = materialize(placed.join(split.select("key", "size"), "key"), "open")
+    open_ids = materialize(placed.select("id").distinct(), "open-ids")
+    fine = materialize(semi(rows, open_ids, "id").mapInArrow(_fine, FINE_SIGNATURES), "fine")
     open_rows = materialize(
-        placed.join(split.select("key", "size"), "key").join(planes, "id")
+        placed.join(planes, "id").join(fine, "id")
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "open-bands")
     side = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = open_rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"),
-                            F.col("planes").alias("pa"), F.col("block").alias("x"), side.alias("y"))
+                            F.col("planes").alias("pa"), F.col("fine").alias("fa"), F.col("block").alias("x"),
+                            side.alias("y"))
     right = open_rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"),
-                             F.col("planes").alias("pb"), side.alias("x"), F.col("block").alias("y"))
+                             F.col("planes").alias("pb"), F.col("fine").alias("fb"), side.alias("x"),
+                             F.col("block").alias("y"))
     rest = (left.join(right, (left.key == right.key) & (left.x == right.x) & (left.y == right.y)
                       & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                      & (estimate("pa", "pb") >= least))
+                      & (COARSE.estimate("pa", "pb") >= COARSE.least(percent))
+                      & (FINE.estimate("fa", "fb") >= FINE.least(percent)))
             .select("a", "b").distinct().join(near, ["a", "b"], "left_anti"))
     rest = materialize(rest, "open-pairs")
     if not rest.isEmpty():

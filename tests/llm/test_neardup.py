@@ -110,5 +110,5 @@ def test_estimate_is_corrected(spark):
     rows = spark.createDataFrame([(1, a), (2, b), (3, " ".join(f"z{i}" for i in range(2000)))], "id long, text string")
     signed = rows.mapInArrow(neardup._signatures, neardup.SIGNATURES)
     p = signed.selectExpr("id a", "planes pa").crossJoin(signed.selectExpr("id b", "planes pb"))
-    e = {(r.a, r.b): r.e for r in p.select("a", "b", neardup.estimate("pa", "pb").alias("e")).collect()}
+    e = {(r.a, r.b): r.e for r in p.select("a", "b", neardup.COARSE.estimate("pa", "pb").alias("e")).collect()}
     assert e[1, 1] == 1.0 and abs(e[1, 2] - 1596 / 2396) < 0.15 and abs(e[1, 3]) < 0.1
