@@ -48,7 +48,7 @@ def unescape(text: Column) -> Column:
 def linear_trees(turns: DataFrame, tree: str, turn: str, role: str, text: str) -> DataFrame:
     """A table of turns as reply trees of one path: (tree, node, parent, role,
     text, score).  Equal turn numbers are ordered by role and text."""
-    order = Window.partitionBy("tree").orderBy("turn", "role", "text")
+    order = Window.partitionBy("tree").orderBy("turn", "role", "text")    # one conversation is one output row anyway
     rows = turns.select(F.col(tree).alias("tree"), F.col(turn).alias("turn"),
                         F.col(role).alias("role"), F.col(text).alias("text"))
     return rows.withColumn("node", F.row_number().over(order).cast("long")).select(
@@ -95,9 +95,12 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     for i in reversed(range(len(hops) - 1)):
         step = hops[i].where("up is not null").select(
             F.col("tree").alias("tree_"), F.col("node").alias("node_"), "up")
-        path = path.unionByName(
-            path.join(step, _same(path, step, node="node_")).select(
-                "tree", "leaf", "rank", "length", F.col("up").alias("node"), (F.col("above") + 2 ** i).alias("above")))
+        # One row becomes itself and, if there is one, the message 2^i above it.
+        both = F.explode(F.array(F.struct("node", "above"), F.struct(
+            F.col("up").alias("node"), (F.col("above") + 2 ** i).alias("above"))))
+        path = path.join(step, _same(path, step, node="node_"), "left") \
+            .select("tree", "leaf", "rank", "length", both.alias("at")) \
+            .where("at.node is not null").select("tree", "leaf", "rank", "length", "at.node", "at.above")
     return path.select("tree", "leaf", "rank", (F.col("length") - 1 - F.col("above")).alias("pos"), "node")
 
 
@@ -144,6 +147,7 @@ def parse(formatted: DataFrame) -> DataFrame:
 def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(id_col, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars),
     everything read back from the formatted text and its loss mask."""
+    formatted = materialize(formatted, "formatted")           # read three times
     turns = parse(formatted).groupBy("tree", "leaf").agg(
         F.sort_array(F.collect_list(F.struct("pos", "role", "text", "loss"))).alias("turns")).select(
         F.col("tree").alias("tree_"), F.col("leaf").alias("leaf_"), F.col("turns"),
