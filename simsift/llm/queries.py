@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from simsift.llm import (chat, decontaminate, hostquality, licenses, neardup, pseudonyms, tokencounts, unigram,
                          urlfilter, warc)
+from simsift.session import materialize
 
 TOKENIZERS = "file:///opt/tokenizers"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -32,7 +33,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram.round_trip(_table(spark, sf_dir, "documents"), unigram.read_model(spark, PIECES))
+    return unigram.encode(_table(spark, sf_dir, "documents"), unigram.read_model(spark, PIECES), check=True)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(
         F.lit(EXTRA_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_TEXT).alias("text"))
-    trees = chat.linear_trees(given.unionByName(extra), "conv_id", "turn", "role", "text")
+    trees = materialize(chat.linear_trees(given.unionByName(extra), "conv_id", "turn", "role", "text"), "trees")
     return chat.digests(chat.format_conversations(trees))
 
 

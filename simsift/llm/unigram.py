@@ -38,8 +38,9 @@ from simsift.llm import words as W
 MARK = "▁"
 UNKNOWN_COST = 10.0
 SHORT = 48                      # bytes of a segment that numpy walks
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 DECODE_ROWS = 500
+SEGMENTS = 8_000                # short segments that are walked side by side
 MAX_MODEL_BYTES = 64 << 20
 
 
@@ -161,16 +162,16 @@ class Model:
 
     def _short(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Viterbi over many segments at once: (ids, pointers)."""
-        size = ends - starts
+        size = (ends - starts).astype(np.int32)
         wide, rows = int(size.max(initial=0)), len(starts)
-        text = np.zeros((rows, wide), np.int64)
+        text = np.zeros((rows, wide), np.int32)
         inside = np.arange(wide) < size[:, None]
         text[inside] = buf[(starts[:, None] + np.arange(wide))[inside]]
         head = inside & ((text & 0xC0) != 0x80)
         width = np.where(text < 0x80, 1, np.where(text < 0xE0, 2, np.where(text < 0xF0, 3, 4)))
         best = np.full((rows, wide + 1), -np.inf)
         best[:, 0] = 0.0
-        back, piece = np.zeros((rows, wide + 1), np.int64), np.full((rows, wide + 1), -1, np.int64)
+        back, piece = np.zeros((rows, wide + 1), np.int32), np.full((rows, wide + 1), -1, np.int32)
         base, check, value = self.trie.base, self.trie.check, self.trie.value
         for at in range(wide):
             row = np.flatnonzero(head[:, at])
@@ -242,7 +243,7 @@ class Model:
         size = np.zeros(len(a), np.int64)
         place = np.zeros(len(a), np.int64)
         total = 0
-        for part in np.array_split(short, max(1, len(short) // 20_000)):
+        for part in np.array_split(short, max(1, len(short) // SEGMENTS)):
             made, ptr = self._short(buf, a[part], b[part])
             size[part], place[part] = np.diff(ptr), total + ptr[:-1]
             total += len(made)
@@ -345,9 +346,10 @@ def _key(model: Model) -> str:
 
 
 def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
-           keep_text: bool = False) -> DataFrame:
-    """(id_col, ids, n_tokens, n_byte_tokens) for every row, and its text as
-    ``text`` if ``keep_text``."""
+           check: bool = False) -> DataFrame:
+    """(id_col, ids, n_tokens, n_byte_tokens) for every row; with ``check`` also
+    ``round_trip``: the ids are decoded again and the text compared (U+2581 read
+    as a space)."""
     shipped, key = docs.sparkSession.sparkContext.broadcast(model), _key(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -361,23 +363,18 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 before = np.concatenate([[0], np.cumsum(is_byte[ids])])
                 lists = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32), mask=np.append(null, False)),
                                                  pa.array(ids, pa.int32())) if null.any() else W.list_array(ids, ptr)
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), lists,
-                                       pa.array(np.diff(ptr), pa.int64(), mask=null),
-                                       pa.array(np.diff(before[ptr]), pa.int64(), mask=null)]
-                                      + [batch.column(1).slice(lo, hi - lo)] * keep_text,
-                                      names=["id", "ids", "n_tokens", "n_byte_tokens"] + ["text"] * keep_text)
-
+                columns = [batch.column(0).slice(lo, hi - lo), lists, pa.array(np.diff(ptr), pa.int64(), mask=null),
+                           pa.array(np.diff(before[ptr]), pa.int64(), mask=null)]
+                if check:
+                    text = batch.column(1).slice(lo, hi - lo).cast(pa.string())
+                    same = pc.equal(m.decode_lists(lists), pc.replace_substring(text, MARK, " "))
+                    columns.append(pc.if_else(text.is_null(), lists.is_null(), pc.fill_null(same, False)))
+                yield pa.record_batch(columns, names=names)
+
+    names = ["id", "ids", "n_tokens", "n_byte_tokens"] + ["round_trip"] * check
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(kernel, f"id {kind}, ids array<int>, n_tokens long, n_byte_tokens long"
-                           + ", text string" * keep_text).withColumnRenamed("id", id_col)
-
-
-def round_trip(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, n_byte_tokens, ids, round_trip) for every row: encoded,
-    decoded again, and compared with the text (U+2581 read as a space)."""
-    both = decode(encode(docs, model, id_col, text_col, keep_text=True), model, "ids", "decoded")
-    return both.select(id_col, "n_tokens", "n_byte_tokens", "ids",
-                       F.col("decoded").eqNullSafe(F.replace("text", F.lit(MARK), F.lit(" "))).alias("round_trip"))
+                           + ", round_trip boolean" * check).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", to: str = "text") -> DataFrame:

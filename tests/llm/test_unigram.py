@@ -78,13 +78,16 @@ def test_equals_plain_programme(inner):
 def test_table(spark, file_model):
     rows = [(i, t, "ids") for i, t in enumerate(TEXTS)] + [(None, None, ""), (3, "  x  y ", ""), (99, "a▁b", "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    out = U.round_trip(df, file_model).collect()
+    encoded = U.encode(df, file_model, check=True)
+    out = encoded.collect()
+    decoded = {r.doc_id: r.back for r in U.decode(encoded.drop("round_trip"), file_model, to="back").collect()}
+    assert decoded[None] is None and decoded[99] == "a b" and all(decoded[i] == t for i, t in enumerate(TEXTS))
     assert len(out) == len(rows) and all(r.round_trip for r in out)
     by = {r.doc_id: r for r in out}
     assert by[None].ids is None and by[0].ids == [] and by[0].n_tokens == 0
     assert all(r.ids == file_model.encode(TEXTS[r.doc_id]) for r in out if r.doc_id not in (None, 99))
     assert by[4].n_byte_tokens >= 3
-    assert U.round_trip(df.limit(0), file_model).count() == 0
+    assert U.encode(df.limit(0), file_model, check=True).count() == 0
 
 
 def test_decode_odd_ids(file_model):
@@ -95,7 +98,7 @@ def test_decode_odd_ids(file_model):
 
 def test_given_table_round_trip(spark, file_model):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    out = U.round_trip(docs, file_model)
+    out = U.encode(docs, file_model, check=True)
     assert out.count() == docs.count() and out.where("not round_trip").count() == 0
 
 
