@@ -32,12 +32,12 @@ def paths(rows):
 def build():
     rng = random.Random(11)
     rows = []
-    for tree in range(12):
-        for node in range(rng.randint(1, 60)):
+    for tree in range(8):
+        for node in range(rng.randint(1, 30)):
             parent = None if node == 0 else rng.choice([node - 1, rng.randrange(node)])
             rows.append((tree, node, parent, rng.choice(["user", "assistant", "odd: role", None]), rng.choice(NASTY),
                          rng.choice([None, 0.0, 0.5, 1.0, 0.25]), "x"))
-    rows += [(50, n, n - 1 if n else None, "assistant", f"t{n}", 1.0, "x") for n in range(300)]     # a deep chain
+    rows += [(50, n, n - 1 if n else None, "assistant", f"t{n}", 1.0, "x") for n in range(130)]     # a deep chain
     rows += [(60, 1, 2, "user", "loop", 0.0, "x"), (60, 2, 1, "user", "loop", 0.0, "x"),
              (61, 7, 99, "assistant", "orphan", 0.0, "x"), (None, 1, None, "user", "no tree", 0.0, "x")]
     return rows

@@ -53,7 +53,7 @@ def case():
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
     items = [(i, " ".join(rng.choices(words, k=rng.randint(6, 40)))) for i in range(25)] + [(90, "too short"), (91, None)]
     docs = []
-    for d in range(120):
+    for d in range(36):
         text = rng.choices(words, k=rng.randint(5, 120))
         if d % 3:
             item = rng.choice(items[:25])[1]
@@ -99,7 +99,7 @@ def test_equals_brute_force(spark, case):
 
 def test_blocks_lose_nothing(spark, case, monkeypatch):
     docs, items = case
-    df, bench = spark.createDataFrame(docs[:40], DOCS), spark.createDataFrame(items, BENCH)
+    df, bench = spark.createDataFrame(docs[:20], DOCS), spark.createDataFrame(items, BENCH)
     whole = sorted(map(tuple, D.contaminated(df, bench).collect()), key=str)
     monkeypatch.setattr(D, "BLOCK_CHARS", 800)
     assert len(list(D.blocks(bench))) > 2

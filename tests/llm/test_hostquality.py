@@ -44,6 +44,7 @@ def test_hosts_change_the_verdict(spark):
     rows += [(200 + i, symbols(25 + i), "bad", "", 1) for i in range(30)] + [(300, GOOD + " y", "bad", "", 1)]
     rows += [(400, symbols(30), "one", "", 1), (500, symbols(200), "good", "", 1), (600, symbols(30), None, "", 1),
              (100, symbols(30), "good", "", 1)]
+    rows += [(1000 + i, GOOD + f" z{i}", f"host{i}", "", 1) for i in range(20)]
     df = spark.createDataFrame(rows, SCHEMA)
     out = H.host_quality(df).collect()
     assert len(out) == len(rows)
