@@ -22,12 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simsift.session import materialize
+from simsift.session import materialize, release
 
 from simsift.operators import metrics
 from simsift.operators.projection import matrix_to_df
 
 
+MAX_BATCH_TASKS = 200      # tasks that write the mini-batch folders
+
+
 @dataclass
 class FitConfig:
     k: int = 16                     # projected width
@@ -53,7 +56,7 @@ class FitConfig:
 # of (batch size, learning rate) pairs.
 V1_CONFIG = dict(k=2048, batch_size=100, epochs=100, lr=100.0, dropout=0.0, loss="mse",
                  optimizer="sgd", init="normal", score="cosine", accuracy="sweep",
-                 step_size=10 ** 9)
+                 step_size=10 ** 9, select_on="test")
 V1_GRID = [dict(batch_size=10, lr=10.0), dict(batch_size=100, lr=100.0),
            dict(batch_size=1000, lr=1000.0)]
 V1_GRID_COMMON = dict(epochs=30, dropout=0.2)
@@ -201,7 +204,9 @@ def scoring_pass(prepared: DataFrame, M: np.ndarray, cfg: FitConfig, epoch: int,
         "n long")
     out = materialize(out, "pass")
     g, lsum, n = _reduce_grad(out.where(F.col("kind") == "g"), M.shape)
-    return out.where(F.col("kind") == "s").select("dataset", "y", "s"), g, lsum, n
+    scored = out.where(F.col("kind") == "s").select("dataset", "y", "s")
+    scored._scratch_path = out._scratch_path          # the caller releases it
+    return scored, g, lsum, n
 
 
 def gradient(prepared: DataFrame, M: np.ndarray, cfg: FitConfig, epoch: int, step: int,
@@ -291,7 +296,10 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
                              F.col(e2).cast("array<double>").alias(e2),
                              y.alias(label), F.col(dataset),
                              F.xxhash64(F.lit(cfg.seed), *bucket_src).alias("_h")))
-    prepared = materialize(prepared, "train")
+    whole = prepared = materialize(prepared, "train")
+    names = {r[0] for r in prepared.select(dataset).distinct().limit(100).collect()}
+    if cfg.select_on not in names and names:
+        raise ValueError(f"no rows of dataset {cfg.select_on!r} to choose the best epoch on; there are {sorted(map(str, names))}")
     first = prepared.select(F.size(e1).alias("d")).first()
     if first is None:
         raise ValueError("no pairs to train on")
@@ -312,15 +320,20 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
     best_auc, best_m, best_epoch = -np.inf, None, None
     history = []
     full_batch = cfg.batches <= 1
+    if not full_batch:
+        # A folder per batch: each step reads its own rows only.
+        train = materialize(
+            train.withColumn("_b", F.pmod(F.col("_h"), F.lit(cfg.batches)).cast("int"))
+                 .repartition(min(cfg.batches, MAX_BATCH_TASKS), "_b"), "batches", partition_by="_b")
     if full_batch:
         # The gradient of epoch e and the evaluation after epoch e-1 use the
         # same matrix, so one pass over the pairs per epoch serves both.
-        first_scores, g, lsum, n = scoring_pass(prepared, M, cfg, 1, e1, e2, label, dataset)
+        scored, g, lsum, n = scoring_pass(prepared, M, cfg, 1, e1, e2, label, dataset)
         # AUC range bounds from the initial scores serve every epoch (they only
         # balance the prefix-sum ranges; results are exact for any bounds).
         nb = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         auc_bounds = metrics.range_bounds(
-            first_scores.select(_score_col(cfg).cast("double").alias("p")), "p", nb)
+            scored.select(_score_col(cfg).cast("double").alias("p")), "p", nb)
     for epoch in range(1, cfg.epochs + 1):
         lr = cfg.lr * (cfg.gamma ** ((epoch - 1) // cfg.step_size))
         batch_losses = []
@@ -328,12 +341,13 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
             if n:
                 batch_losses.append(lsum / n)
                 M, m1, m2, t = _step(M, g / n, m1, m2, t, lr, cfg)
+            release(scored)
             scored, g, lsum, n = scoring_pass(prepared, M, cfg, epoch + 1, e1, e2, label,
                                               dataset)
             ev = evaluate_scores(scored, cfg, bounds=auc_bounds)
         else:
             for b in range(cfg.batches):
-                part = train.where(F.pmod(F.col("_h"), F.lit(cfg.batches)) == b)
+                part = train.where(F.col("_b") == b)
                 gb, lb, nb = gradient(part, M, cfg, epoch, b, e1, e2, label)
                 if nb:
                     batch_losses.append(lb / nb)
@@ -343,16 +357,22 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
         sel = ev.get(cfg.select_on, {}).get("auc")
         if sel is not None and not math.isnan(sel) and sel > best_auc:
             best_auc, best_m, best_epoch = sel, M.copy(), epoch
+    for table in (scored, whole) if full_batch else (train, whole):
+        release(table)
     return FitResult(matrix=best_m if best_m is not None else M.copy(), best_epoch=best_epoch,
                      epochs=history, final_matrix=M.copy())
 
 
 def grid_search(pairs: DataFrame, grid: list[dict], base: FitConfig | None = None,
-                select_on: str = "validation", **kw) -> tuple[FitResult, list[dict]]:
+                select_on: str | None = None, **kw) -> tuple[FitResult, list[dict]]:
     """Fit one model per grid entry; keep the run whose best epoch has the
-    highest accuracy on ``select_on`` (first run wins ties).  Returns the best
-    result and one row per (run, epoch, dataset) with the run's parameters."""
+    highest accuracy on ``select_on`` (default: the configuration's; first run
+    wins ties; a dataset without rows raises).  Returns the best result and one
+    row per (run, epoch, dataset) with the run's parameters."""
     base = base or FitConfig()
+    if select_on is not None:
+        base = FitConfig(**{**base.__dict__, "select_on": select_on})
+    select_on = base.select_on
     best, runs = None, []
     for i, params in enumerate(grid):
         cfg = FitConfig(**{**base.__dict__, **params})

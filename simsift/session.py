@@ -3,16 +3,21 @@ shared checkpoint folder from the session instead of inventing one."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "simsift", extra: dict | None = None) -> SparkSession:
+                  app: str = "simsift", extra: dict | None = None,
+                  memory: str = "6g") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -24,8 +29,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(256 * 1024 * 1024))
+        .config("spark.driver.memory", memory)
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
@@ -62,6 +67,23 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED[key] = out
 
 
+#: Records of one Arrow batch.  Texts and pages are kilobytes each, so Spark's
+#: default of 10,000 makes batches of tens of megabytes, held several times over
+#: by every running task and its Python worker.
+BATCH_RECORDS = 1_000
+_RECORDS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """What an application does once at its start: the checkpoint folder, the
+    package on the executors, and Arrow batches of BATCH_RECORDS (a value that
+    the user has set stays)."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    if spark.conf.get(_RECORDS_CONF, "10000") == "10000":
+        spark.conf.set(_RECORDS_CONF, str(BATCH_RECORDS))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -82,18 +104,69 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: Folder of this process under ``tables``; everything ``materialize`` writes is in it.
+RUN = f"run-{uuid.uuid4().hex}"
+
+
 def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for materialised tables."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    return os.path.join(base, "tables", RUN, name)
 
 
-def materialize(df, label: str = "stage"):
+def materialize(df, label: str = "stage", partition_by: str | None = None):
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: cuts the lineage, and unlike an unpersisted ``checkpoint()`` the
     upstream plan runs only once.  Survives executor loss (the table lives in
-    the shared folder, not in executor storage)."""
+    the shared folder, not in executor storage).  ``release`` removes one table,
+    ``scratch`` all tables that were written inside it."""
     spark = df.sparkSession
     path = scratch_table_path(spark, f"{label}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    w = df.write.mode("overwrite")
+    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    _WRITTEN.append(path)
+    out = spark.read.parquet(path)
+    out._scratch_path = path
+    return out
+
+
+_WRITTEN: list[str] = []
+
+
+def _remove(path: str) -> None:
+    """Delete a written table; stores that pyarrow cannot reach keep it (their
+    own lifetime rules apply)."""
+    try:
+        store, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:")
+                                              else os.path.abspath(path))
+        store.delete_dir(inner)
+    except (FileNotFoundError, NotImplementedError, pa.ArrowInvalid, OSError):
+        return
+
+
+def release(table) -> None:
+    """Remove the files of a DataFrame that ``materialize`` returned, once
+    nothing reads it any more."""
+    path = getattr(table, "_scratch_path", None)
+    if path and path in _WRITTEN:
+        _WRITTEN.remove(path)
+        _remove(path)
+
+
+@contextmanager
+def scratch():
+    """Tables written inside are removed at the end: consume results (write,
+    collect) before leaving."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        while len(_WRITTEN) > before:
+            _remove(_WRITTEN.pop())
+
+
+@atexit.register
+def _remove_all() -> None:
+    """What is left when the driver ends."""
+    while _WRITTEN:
+        _remove(_WRITTEN.pop())
