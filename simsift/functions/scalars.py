@@ -29,6 +29,19 @@ INSTITUTION_ALIASES = {
     "Portland State University": "PSU",
     "Amherst College": "AC",
 }
+# Names of the equivalence table that differ from the catalogue folders.
+INSTITUTION_RENAMES = {
+    "Central Oregon Com College": "Central-Oregon-Community-College",
+    "Chemeketa Community College": "Chemeketa-Community-College",
+    "Clackamas Community College": "Clackamas-Community-College",
+    "Lane Community College": "Lane-Community-College",
+    "Linn-Benton Community College": "Linn-Benton-Community-College",
+    "Mt Hood Community College": "Mt.-Hood-Community-College",
+    "Oregon Inst of Technology": "Oregon Inst of Technology",
+    "Portland Community College (PCC)": "Portland-Community-College",
+    "University of Oregon": "University-of-Oregon",
+    "Western Oregon University": "Western-Oregon-University",
+}
 
 
 def _c(c: ColumnOrName) -> Column:
@@ -44,9 +57,10 @@ def lower_text(c: ColumnOrName) -> Column:
 
 
 def course_number(c: ColumnOrName) -> Column:
-    """First run of ASCII digits as an int; null when the code has none."""
+    """First run of ASCII digits as a long; null when the code has none (or more
+    digits than a long holds)."""
     digits = F.regexp_extract(_c(c), r"([0-9]+)", 1)
-    return F.when(digits == "", F.lit(None).cast("int")).otherwise(digits.try_cast("int"))
+    return F.when(digits == "", F.lit(None).cast("long")).otherwise(digits.try_cast("long"))
 
 
 def strip_code_suffix(c: ColumnOrName) -> Column:
@@ -71,6 +85,22 @@ def canonical_institution(c: ColumnOrName) -> Column:
     return hyphenate(strip_campus_suffix(c))
 
 
+def catalogue_institution(c: ColumnOrName, renames: Mapping[str, str] = INSTITUTION_RENAMES) -> Column:
+    """Name of the catalogue folder of an institution of the equivalence table:
+    the rename map, else the canonical name."""
+    known = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv]) if renames else None
+    return canonical_institution(c) if known is None else \
+        F.coalesce(F.try_element_at(known, _c(c)), canonical_institution(c))
+
+
+def store_institution(c: ColumnOrName) -> Column:
+    """Folder name in the embedding store: aliases apply to the spaced and the
+    hyphenated spelling alike; other names pass through."""
+    aliases = dict(INSTITUTION_ALIASES)
+    aliases |= {k.replace(" ", "-"): v for k, v in INSTITUTION_ALIASES.items()}
+    return rename_with(strip_campus_suffix(c), aliases)
+
+
 def clean_markup(c: ColumnOrName) -> Column:
     return F.lower(F.regexp_replace(_c(c), r"[*+]", ""))
 
@@ -90,10 +120,14 @@ def term_year(term: ColumnOrName) -> Column:
     return F.floor(_c(term) / 100).cast("int").cast("string")
 
 
-def academic_year(year: ColumnOrName) -> Column:
-    """``Y`` -> ``(Y-1)-Y``."""
+def academic_year(year: ColumnOrName, year_convention: str = "end") -> Column:
+    """The academic year of ``Y``: ``(Y-1)-Y`` if ``Y`` is its end, ``Y-(Y+1)``
+    if it is its start."""
+    if year_convention not in ("start", "end"):
+        raise ValueError(f"unknown year convention {year_convention!r}")
     y = _c(year).try_cast("int")
-    return F.concat_ws("-", (y - 1).cast("string"), y.cast("string"))
+    first = y if year_convention == "start" else y - 1
+    return F.concat_ws("-", first.cast("string"), (first + 1).cast("string"))
 
 
 def rename_with(c: ColumnOrName, mapping: Mapping[str, str]) -> Column:

@@ -7,7 +7,8 @@ in ``simsift.operators.topk`` and works on numpy blocks instead."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,24 +56,31 @@ def to_double(a: ColumnOrName) -> Column:
     return F.transform(_c(a), lambda x: x.cast("double"))
 
 
-def _stack(s: pd.Series, idx: np.ndarray) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in s.to_numpy()[idx]]) \
-        if len(idx) else np.zeros((0, 0))
+def stack(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that are not null, their vectors as one double matrix): the flat
+    values of an Arrow list column, reshaped.  Vectors must be of one length."""
+    ok = np.flatnonzero(np.asarray(lists.is_valid()))
+    sizes = pc.list_value_length(lists).drop_null().to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors of different lengths")
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return ok, flat.reshape(len(ok), -1) if len(ok) else np.zeros((0, 0))
 
 
-@F.pandas_udf(T.DoubleType())
-def _cosine_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def _cosine_batch(a: pa.Array, b: pa.Array) -> pa.Array:
+    both = pc.and_(a.is_valid(), b.is_valid())
     out = np.full(len(a), np.nan)
-    ok = np.flatnonzero(a.notna().to_numpy() & b.notna().to_numpy())
-    if len(ok):
-        A, B = _stack(a, ok), _stack(b, ok)
-        if A.shape != B.shape:
-            raise ValueError("vectors of different lengths")
+    _, A = stack(a.filter(both))
+    _, B = stack(b.filter(both))
+    if A.shape != B.shape:
+        raise ValueError("vectors of different lengths")
+    if len(A):
         den = np.linalg.norm(A, axis=1) * np.linalg.norm(B, axis=1)
         num = np.einsum("ij,ij->i", A, B)
         with np.errstate(divide="ignore", invalid="ignore"):
-            out[ok] = np.where(den == 0, np.nan, np.clip(num / den, -1.0, 1.0))
-    return pd.Series(out).where(~np.isnan(out), None)
+            out[np.asarray(both)] = np.where(den == 0, np.nan, np.clip(num / den, -1.0, 1.0))
+    return pa.array(out, mask=np.isnan(out))
 
 
 def cosine_batch(a: ColumnOrName, b: ColumnOrName) -> Column:

@@ -1,20 +1,21 @@
 """Projection of embeddings by a learned d x k matrix.
 
-The matrix lives as a DataFrame ``(row_idx int, weights array<double>)``.  It
-is brought to the driver only after a size check and shipped to tasks inside
-the Arrow UDF (PySpark broadcasts large UDF payloads)."""
+The matrix lives as a DataFrame ``(row_idx int, weights array<double>)`` or as an
+array.  Row blocks of at most BLOCK_BYTES are brought to the driver and shipped to
+tasks inside an Arrow UDF; a larger matrix is multiplied block after block and the
+partial products are added."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from simsift.functions import vectors as V
 
-MAX_MATRIX_BYTES = 512 * 1024 * 1024
+BLOCK_BYTES = 512 * 1024 * 1024
 
 
 def matrix_to_df(spark: SparkSession, m: np.ndarray) -> DataFrame:
@@ -22,47 +23,74 @@ def matrix_to_df(spark: SparkSession, m: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows, "row_idx int, weights array<double>")
 
 
-def matrix_from_df(df: DataFrame, max_bytes: int = MAX_MATRIX_BYTES) -> np.ndarray:
-    """Collect a matrix table after checking its size (rows x width x 8)."""
-    st = df.agg(F.count(F.lit(1)).alias("d"), F.max(F.size("weights")).alias("k"),
-                F.min(F.size("weights")).alias("kmin")).first()
-    d, k = int(st["d"] or 0), int(st["k"] or 0)
-    if d * k * 8 > max_bytes:
-        raise ValueError(f"matrix {d}x{k} exceeds {max_bytes} bytes")
+def _shape(df: DataFrame) -> tuple[int, int]:
+    st = df.agg(F.count(F.lit(1)).alias("d"), F.countDistinct("row_idx").alias("i"),
+                F.min("row_idx").alias("lo"), F.max("row_idx").alias("hi"),
+                F.max(F.size("weights")).alias("k"), F.min(F.size("weights")).alias("kmin")).first()
+    d, k = int(st["d"]), int(st["k"] or 0)
     if d and st["kmin"] != k:
         raise ValueError("matrix rows have different widths")
-    rows = df.orderBy("row_idx").collect()
-    if [r["row_idx"] for r in rows] != list(range(d)):
+    if d and (st["i"], st["lo"], st["hi"]) != (d, 0, d - 1):
         raise ValueError("matrix row indices must be 0..d-1")
-    return np.array([r["weights"] for r in rows], dtype=np.float64).reshape(d, k)
+    return d, k
 
 
-def project(df: DataFrame, vec_col: str, matrix: np.ndarray, out_col: str | None = None,
-            dtype=np.float32) -> DataFrame:
-    """``out_col = vec_col @ matrix`` in float32 by default (as the
-    reference); ``dtype=np.float64`` for a double result.  A vector of the
-    wrong length raises."""
-    m32 = np.asarray(matrix, dtype=dtype)
-    d = m32.shape[0]
-    elem = T.FloatType() if np.dtype(dtype) == np.float32 else T.DoubleType()
+def matrix_blocks(matrix: DataFrame | np.ndarray, max_bytes: int = BLOCK_BYTES):
+    """(first row, rows) of consecutive row blocks, each under ``max_bytes``
+    (or one row)."""
+    d, k = _shape(matrix) if isinstance(matrix, DataFrame) else np.asarray(matrix).shape
+    step = max(1, max_bytes // max(1, 8 * k))
+    for a in range(0, d, step):
+        if isinstance(matrix, DataFrame):
+            rows = matrix.where(F.col("row_idx").between(a, a + step - 1)).orderBy("row_idx").collect()
+            yield a, np.array([r["weights"] for r in rows], dtype=np.float64).reshape(len(rows), k)
+        else:
+            yield a, np.asarray(matrix)[a:a + step]
 
-    @F.pandas_udf(T.ArrayType(elem))
-    def _proj(vs: pd.Series) -> pd.Series:
-        out = [None] * len(vs)
-        idx = [i for i, v in enumerate(vs) if v is not None]
-        if idx:
-            block = np.stack([np.asarray(vs.iloc[i], dtype=dtype) for i in idx])
-            if block.shape[1] != d:
-                raise ValueError(f"vector length {block.shape[1]} != matrix rows {d}")
-            res = block @ m32
-            for j, i in enumerate(idx):
-                out[i] = res[j]
-        return pd.Series(out)
 
-    return df.withColumn(out_col or vec_col, _proj(F.col(vec_col)))
+def matrix_from_df(df: DataFrame) -> np.ndarray:
+    """A matrix table that fits one block as an array."""
+    blocks = list(matrix_blocks(df))
+    if len(blocks) > 1:
+        raise ValueError(f"a matrix of over {BLOCK_BYTES} bytes stays a table; pass the table itself")
+    return blocks[0][1] if blocks else np.zeros((0, 0))
 
 
-def project_pairs(df: DataFrame, matrix: np.ndarray, cols=("text_1_embedding", "text_2_embedding"),
+def _times(vec: Column, block: np.ndarray, first: int, d: int, dtype) -> Column:
+    elem = T.FloatType() if np.dtype(dtype) == np.float32 else T.DoubleType()
+    m = np.ascontiguousarray(block, dtype=dtype)
+
+    @F.arrow_udf(T.ArrayType(elem))
+    def product(vs: pa.Array) -> pa.Array:
+        ok, rows = V.stack(vs)
+        if len(ok) and rows.shape[1] != d:
+            raise ValueError(f"vector length {rows.shape[1]} != matrix rows {d}")
+        flat = (rows[:, first:first + len(m)].astype(dtype) @ m).ravel() if len(ok) else np.zeros(0, dtype)
+        count = np.zeros(len(vs) + 1, np.int32)
+        count[1:][ok] = m.shape[1]
+        null = np.ones(len(vs) + 1, bool)
+        null[ok] = False
+        null[-1] = False
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(count).astype(np.int32), mask=null), pa.array(flat))
+    return product(vec)
+
+
+def project(df: DataFrame, vec_col: str, matrix: np.ndarray | DataFrame, out_col: str | None = None,
+            dtype=np.float32, max_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``out_col = vec_col @ matrix`` in float32 by default (as the
+    reference); ``dtype=np.float64`` for a double result.  A vector of the
+    wrong length raises; a null vector stays null."""
+    d = _shape(matrix)[0] if isinstance(matrix, DataFrame) else np.asarray(matrix).shape[0]
+    total = None
+    for first, block in matrix_blocks(matrix, max_bytes):
+        part = _times(F.col(vec_col), block, first, d, dtype)
+        total = part if total is None else F.zip_with(total, part, lambda x, y: x + y)
+    if total is None:
+        raise ValueError("an empty matrix")
+    return df.withColumn(out_col or vec_col, total)
+
+
+def project_pairs(df: DataFrame, matrix: np.ndarray | DataFrame, cols=("text_1_embedding", "text_2_embedding"),
                   suffix: str = "_custom", score: str = "cosine_similarity_custom",
                   dtype=np.float32) -> DataFrame:
     """Project both vector columns and recompute their cosine."""

@@ -2,9 +2,10 @@
 
 Plan (no ``crossJoin`` and no row per (query, candidate) pair):
 
-1. Both sides are cut into blocks of about ``block_rows`` vectors by hashing
-   the row id (``pmod(xxhash64(id), n_blocks)``); ids are unique, so blocks are
-   balanced and bounded no matter how skewed any business key is.
+1. Both sides are cut into blocks by hashing the row id
+   (``pmod(xxhash64(id), n_blocks)``); ids are unique, so blocks are balanced and
+   bounded no matter how skewed any business key is.  Block sizes follow from
+   the rows, the bytes of a row (vector and id) and the cores.
 2. Every query block meets every candidate block through an equi-join on a
    block number, the other side's blocks being replicated with
    ``explode(sequence(...))``.  A side is broadcast only when its size, from a
@@ -22,6 +23,7 @@ Plan (no ``crossJoin`` and no row per (query, candidate) pair):
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -30,30 +32,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from simsift.session import materialize
+
 DEFAULT_BLOCK_ROWS = 2048
+MIN_BLOCK_ROWS = 64
 DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
 MAX_BLOCK_BYTES = 32 * 1024 * 1024       # one side of a block pair (float32 vectors)
 ARROW_BATCH_BYTES = 256 * 1024 * 1024    # bound on one Arrow batch of block pairs
 _RECORDS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def _bound_arrow_batches(spark, row_bytes: int, n_rows: int) -> None:
+@contextmanager
+def _arrow_records(spark, row_bytes: int):
     """A kernel input row is a whole block pair, so the default 10,000 rows per
-    Arrow batch could mean gigabytes per batch at real vector widths.  When all
-    ``n_rows`` block pairs together could exceed ARROW_BATCH_BYTES, lower the
-    session's record limit (read when the plan executes) to keep a batch near
-    that bound; never raise a stricter user setting."""
-    if n_rows * row_bytes <= ARROW_BATCH_BYTES:
-        return
+    Arrow batch could mean gigabytes per batch at real vector widths.  Inside
+    this block the session's record limit keeps a batch near ARROW_BATCH_BYTES;
+    the setting is put back afterwards."""
+    before = spark.conf.get(_RECORDS_CONF, "10000")
     want = max(1, ARROW_BATCH_BYTES // max(1, row_bytes))
-    current = int(spark.conf.get(_RECORDS_CONF, "10000"))
-    if current <= 0 or current > want:
-        spark.conf.set(_RECORDS_CONF, str(want))
+    if 0 < int(before) <= want:
+        yield
+        return
+    spark.conf.set(_RECORDS_CONF, str(want))
+    try:
+        yield
+    finally:
+        spark.conf.set(_RECORDS_CONF, before)
+
 
+def _count(df: DataFrame, id_col: str) -> tuple[int, int]:
+    """(rows, bytes of the ids), from the id column only (no vector is read)."""
+    size = F.length(F.col(id_col).cast("string")) if isinstance(df.schema[id_col].dataType, T.StringType) \
+        else F.lit(8)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    return int(row["n"]), 4 * int(row["b"] or 0)
 
-def _count(df: DataFrame, id_col: str) -> int:
-    """Row count from the id column only (no vector bytes are read)."""
-    return df.select(id_col).count()
+
+def _element(df: DataFrame, vec: str) -> str:
+    """Vectors are searched in their own precision: double if they are double."""
+    kind = df.schema[vec].dataType
+    return "double" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.DoubleType) else "float"
 
 
 def _width(df: DataFrame, vec: str) -> int:
@@ -61,15 +79,23 @@ def _width(df: DataFrame, vec: str) -> int:
     return int(row["d"]) if row else 0
 
 
+def _block_rows(n: int, limit: int, parallelism: int) -> int:
+    """Rows of a block: small enough that the pairs of blocks occupy all cores,
+    never over ``limit``, never under MIN_BLOCK_ROWS (but for the limit)."""
+    per_side = max(1, math.ceil(math.sqrt(2 * parallelism)))
+    return max(1, min(limit, max(MIN_BLOCK_ROWS, math.ceil(n / per_side))))
+
+
 def _blocks(df: DataFrame, id_col: str, vec_col: str, n_blocks: int, tag: str) -> DataFrame:
     items = (df.select(F.col(id_col).alias("id"),
-                       F.col(vec_col).cast("array<float>").alias("vec"))
+                       F.col(vec_col).cast(f"array<{_element(df, vec_col)}>").alias("vec"))
                .where(F.col("vec").isNotNull() & F.col("id").isNotNull())
                # coalesce makes the key non-nullable, so no isnotnull filter is
                # inferred into one side only (which would block exchange reuse).
                .withColumn("blk", F.coalesce(F.pmod(F.xxhash64("id"), F.lit(n_blocks))
                                              .cast("int"), F.lit(0))))
-    grouped = items.groupBy("blk").agg(
+    # One partition per block: small partitions are not merged into one task.
+    grouped = items.repartition(n_blocks, "blk").groupBy("blk").agg(
         F.collect_list(F.struct("id", "vec")).alias("items"),
         F.min(F.size("vec")).alias("dmin"), F.max(F.size("vec")).alias("dmax"))
     return grouped.select(
@@ -118,9 +144,11 @@ def _kernel(k: int, exclude_self: bool):
     def run(batches):
         for pdf in batches:
             out = []
-            for q_ids, q_vecs, q_d0, q_d1, c_ids, c_vecs, c_d0, c_d1 in zip(
+            no_pairs = [None] * len(pdf)
+            for q_ids, q_vecs, q_d0, q_d1, c_ids, c_vecs, c_d0, c_d1, x_q, x_c in zip(
                     pdf["q_ids"], pdf["q_vecs"], pdf["q_dmin"], pdf["q_dmax"],
-                    pdf["c_ids"], pdf["c_vecs"], pdf["c_dmin"], pdf["c_dmax"]):
+                    pdf["c_ids"], pdf["c_vecs"], pdf["c_dmin"], pdf["c_dmax"],
+                    pdf.get("x_q", no_pairs), pdf.get("x_c", no_pairs)):
                 if len({int(q_d0), int(q_d1), int(c_d0), int(c_d1)}) != 1:
                     raise ValueError("vectors of different lengths cannot be compared")
                 qi = np.asarray(q_ids)
@@ -134,6 +162,12 @@ def _kernel(k: int, exclude_self: bool):
                 S = np.round(np.clip(Q @ C.T, -1.0, 1.0), 12)
                 if exclude_self:
                     S[np.equal.outer(qi, ci)] = -np.inf
+                if x_q is not None and len(x_q):
+                    row = {v: r for r, v in enumerate(qi.tolist())}
+                    col = {v: c for c, v in enumerate(ci.tolist())}
+                    cells = [(row[a], col[b]) for a, b in zip(x_q, x_c) if a in row and b in col]
+                    if cells:
+                        S[tuple(np.array(cells).T)] = -np.inf
                 idx, vals = block_topk(S, k)
                 rows = np.repeat(np.arange(len(qi)), idx.shape[1])
                 flat_idx = idx.ravel()
@@ -153,20 +187,24 @@ def _kernel(k: int, exclude_self: bool):
 
 def topk_similar(queries: DataFrame, candidates: DataFrame, k: int, *,
                  query_id: str, query_vec: str, cand_id: str, cand_vec: str,
-                 exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS,
+                 exclude_self: bool = False, exclude: DataFrame | None = None,
+                 block_rows: int | None = None,
                  broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Top ``k`` candidates per query by cosine similarity.
 
     Returns ``query_id, cand_id, score double, rank int`` (rank is 1-based,
-    ordered by score desc then candidate id asc).  Null vectors are skipped;
-    zero vectors score 0.  ``exclude_self`` drops pairs with equal ids (used
-    when a table is matched against itself)."""
+    ordered by score desc then candidate id asc).  Ids must be unique on each
+    side.  Null vectors are skipped; zero vectors score 0.  ``exclude_self``
+    drops pairs with equal ids (used when a table is matched against itself);
+    ``exclude(query_id, cand_id)`` are pairs that do not count: they reach the
+    kernel cut by block pair, so no query's list is ever whole in one row."""
     if k <= 0:
         raise ValueError("k must be positive")
     qid_type = queries.schema[query_id].dataType
     cid_type = candidates.schema[cand_id].dataType
-    nq = _count(queries, query_id)
-    nc = nq if candidates is queries and cand_id == query_id else _count(candidates, cand_id)
+    same = candidates is queries and cand_id == query_id
+    nq, q_id_bytes = _count(queries, query_id)
+    nc, c_id_bytes = (nq, q_id_bytes) if same else _count(candidates, cand_id)
     d = _width(candidates, cand_vec) if nq and nc else 0
     schema = T.StructType([
         T.StructField("query_id", qid_type), T.StructField("cand_id", cid_type),
@@ -174,19 +212,25 @@ def topk_similar(queries: DataFrame, candidates: DataFrame, k: int, *,
     spark = queries.sparkSession
     if nq == 0 or nc == 0:
         return spark.createDataFrame([], schema)
-    # Blocks stay under MAX_BLOCK_BYTES whatever the vector width.
-    block_rows = max(1, min(block_rows, MAX_BLOCK_BYTES // max(1, d * 4)))
-    q_blocks = max(1, math.ceil(nq / block_rows))
-    c_blocks = max(1, math.ceil(nc / block_rows))
-    _bound_arrow_batches(spark, 2 * block_rows * (d * 4 + 64), q_blocks * c_blocks)
-    self_join = candidates is queries and cand_id == query_id and cand_vec == query_vec
+    # Blocks stay under MAX_BLOCK_BYTES whatever the width of vectors and ids.
+    q_row, c_row = (d * (8 if _element(df, v) == "double" else 4) + -(-b // n) for df, v, b, n in (
+        (queries, query_vec, q_id_bytes, nq), (candidates, cand_vec, c_id_bytes, nc)))
+    cores = spark.sparkContext.defaultParallelism
+
+    def rows_of(n: int, row: int) -> int:
+        limit = max(1, min(block_rows or DEFAULT_BLOCK_ROWS, MAX_BLOCK_BYTES // max(1, row)))
+        return limit if block_rows else _block_rows(n, limit, cores)
+    q_rows, c_rows = rows_of(nq, q_row), rows_of(nc, c_row)
+    q_blocks = max(1, math.ceil(nq / q_rows))
+    c_blocks = max(1, math.ceil(nc / c_rows))
+    self_join = same and cand_vec == query_vec
     qb = _blocks(queries, query_id, query_vec, q_blocks, "q")
     if self_join:
         # One blocking (one shuffle of the vectors) serves both sides.
         cb = qb.select(*[F.col(c).alias("c" + c[1:]) for c in qb.columns])
     else:
         cb = _blocks(candidates, cand_id, cand_vec, c_blocks, "c")
-    q_bytes, c_bytes = nq * d * 4, nc * d * 4
+    q_bytes, c_bytes = nq * q_row, nc * c_row
     if c_bytes <= broadcast_bytes:
         # Candidate blocks go to every task once; query blocks never move again.
         pairs = (qb.withColumn("c_blk", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
@@ -201,9 +245,22 @@ def topk_similar(queries: DataFrame, candidates: DataFrame, k: int, *,
     else:
         pairs = (cb.withColumn("q_blk", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
                    .join(qb, "q_blk"))
-    partial = pairs.select("q_ids", "q_vecs", "q_dmin", "q_dmax",
-                           "c_ids", "c_vecs", "c_dmin", "c_dmax") \
-                   .mapInPandas(_kernel(k, exclude_self), schema)
+    columns = ["q_ids", "q_vecs", "q_dmin", "q_dmax", "c_ids", "c_vecs", "c_dmin", "c_dmax"]
+    if exclude is not None:
+        def block(c: str, n: int):
+            return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        cut = exclude.select(F.col("query_id").cast(qid_type), F.col("cand_id").cast(cid_type)).distinct() \
+            .groupBy(block("query_id", q_blocks).alias("q_blk"), block("cand_id", c_blocks).alias("c_blk")) \
+            .agg(F.collect_list(F.struct("query_id", "cand_id")).alias("x"))
+        pairs = pairs.join(cut, ["q_blk", "c_blk"], "left") \
+            .withColumn("x_q", F.col("x.query_id")).withColumn("x_c", F.col("x.cand_id"))
+        columns += ["x_q", "x_c"]
+    partial = pairs.select(*columns).mapInPandas(_kernel(k, exclude_self), schema)
+    row_bytes = q_rows * q_row + c_rows * c_row
+    if q_blocks * c_blocks * row_bytes > ARROW_BATCH_BYTES:
+        # The record limit is read when a plan runs, so the kernel runs here.
+        with _arrow_records(spark, row_bytes):
+            partial = materialize(partial, "topk")
     if c_blocks == 1:
         return partial
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("cand_id"))
