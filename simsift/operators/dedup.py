@@ -31,12 +31,12 @@ def with_ordinal(df: DataFrame, name: str = "_ordinal") -> DataFrame:
                                         F.col("_metadata.row_index")))
 
 
-def course_index(df: DataFrame, code: str = "COURSE CODE",
-                 title: str = "COURSE TITLE") -> DataFrame:
-    """Distinct (code, title) -> one title per code, ordered by code.
-
-    With two titles for one code the last one in sorted order wins."""
-    return (df.select(code, title).where(F.col(code).isNotNull())
-              .groupBy(code).agg(F.max(title).alias(title))
-              .orderBy(code))
+def course_index(df: DataFrame, code: str = "COURSE CODE", title: str = "COURSE TITLE", *,
+                 order: list) -> DataFrame:
+    """One title per code, ordered by code: the title of the code's last row by
+    ``order`` (a total order of the rows, such as :func:`with_ordinal`)."""
+    key = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    return (df.where(F.col(code).isNotNull())
+              .groupBy(code).agg(F.max_by(F.struct(title), key).alias("_last"))
+              .select(code, F.col("_last")[title].alias(title)).orderBy(code))
 

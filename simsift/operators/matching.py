@@ -85,16 +85,19 @@ def match_outcomes(truth: DataFrame, ranked: DataFrame, catalogue_codes: DataFra
     found = F.col("match_rank").isNotNull()
     searched = F.coalesce(F.col("_searched"), F.lit(False))
     in_cat = F.coalesce(F.col("_in_cat"), F.lit(False))
-    match = (F.when(found, 1).when(searched & in_cat, 0).otherwise(-1)).cast("int")
-    reason = (F.when(found, "hit").when(~searched, "external_not_found")
+    # A row that was not searched cannot be a hit, whatever was ranked for it.
+    match = (F.when(~searched, -1).when(found, 1).when(in_cat, 0).otherwise(-1)).cast("int")
+    reason = (F.when(~searched, "external_not_found").when(found, "hit")
                .when(in_cat, "miss").otherwise("truth_not_in_catalogue"))
+    def of_hit(c):
+        return F.when(searched, c)
     return out.select(
         *truth.columns,
-        F.col("matched_code").alias("OSU_Course_Code"),
-        F.col("match_rank").cast("int").alias("row_number"),
+        of_hit(F.col("matched_code")).alias("OSU_Course_Code"),
+        of_hit(F.col("match_rank")).cast("int").alias("row_number"),
         match.alias("match"),
-        (F.col("match_rank") - 1).cast("int").alias("similar_courses_row_number"),
-        F.col("match_score").alias("similarity_score"),
+        of_hit(F.col("match_rank") - 1).cast("int").alias("similar_courses_row_number"),
+        of_hit(F.col("match_score")).alias("similarity_score"),
         reason.alias("reason"))
 
 

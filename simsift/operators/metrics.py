@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from simsift.operators.split import range_of
 from simsift.session import materialize
 
 SWEEP_LOW = -1000     # thresholds -1.000 .. 0.999 in steps of 0.001
@@ -63,8 +66,7 @@ def prefix_sums(df: DataFrame, order: str, values: list[str], groups: list[str]
         # Bounds only balance the ranges; any sorted cut points give exact sums.
         bounds = range_bounds(df, order, nb)
     if bounds:
-        arr = F.array(*[F.lit(float(v)) for v in bounds])
-        bucket = F.size(F.filter(arr, lambda x: x < F.col(order).cast("double")))
+        bucket = range_of(F.col(order).cast("double"), bounds)
     else:
         bucket = F.lit(0)
     tagged = df.withColumn("_rb", bucket)
@@ -89,8 +91,8 @@ def accuracy_sweep(df: DataFrame, score: str = "cosine_similarity", label: str =
     predict -1.
 
     Each row is mapped to m = the first threshold index with t >= score, so it
-    predicts 1 exactly for thresholds below m; one histogram over m and a
-    2000-row running sum per group replace the threshold x row loop."""
+    predicts 1 exactly for thresholds below m; one histogram over m (at most
+    2001 rows per group) and a running sum replace the threshold x row loop."""
     groups = list(groups)
     s = F.col(score).cast("double")
     j = F.ceil(s * SWEEP_SCALE).cast("long")
@@ -101,18 +103,22 @@ def accuracy_sweep(df: DataFrame, score: str = "cosine_similarity", label: str =
          .otherwise(F.lit(SWEEP_LOW))
     rows = df.select(*groups, m.alias("m"), F.col(label).alias("_y"))
     hist = rows.groupBy(*groups, "m").agg(
+        F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == -1).alias("neg"))
-    totals = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"),
-                                       F.count_if(F.col("_y") == 1).alias("p_total"))
-    grid = totals.select(*groups, "n", "p_total",
-                         F.explode(F.sequence(F.lit(SWEEP_LOW), F.lit(SWEEP_HIGH))).alias("i"))
-    w = Window.partitionBy(*groups).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    swept = (grid.join(hist.withColumnRenamed("m", "i"), [*groups, "i"], "left")
-                 .withColumn("cum_pos", F.sum(F.coalesce("pos", F.lit(0))).over(w))
-                 .withColumn("cum_neg", F.sum(F.coalesce("neg", F.lit(0))).over(w))
-                 .withColumn("acc", F.try_divide(F.col("p_total") - F.col("cum_pos")
-                                                 + F.col("cum_neg"), F.col("n"))))
-    best = swept.groupBy(*groups).agg(F.max("acc").alias("accuracy"), F.first("n").alias("n"))
+    # The accuracy only changes at thresholds of the histogram, so its rows (and
+    # the lowest threshold) are all that need comparing; totals are its sums.
+    w = Window.partitionBy(*groups).orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*groups)
+    swept = (hist.withColumn("n", F.sum("rows").over(whole))
+                 .withColumn("p_total", F.sum("pos").over(whole))
+                 .withColumn("cum_pos", F.sum("pos").over(w))
+                 .withColumn("cum_neg", F.sum("neg").over(w))
+                 .withColumn("acc", F.try_divide(F.col("p_total") - F.col("cum_pos") + F.col("cum_neg"), F.col("n")))
+                 .withColumn("low", F.when(F.min("m").over(whole) > SWEEP_LOW,
+                                           F.try_divide(F.col("p_total"), F.col("n"))))
+                 .withColumn("acc", F.when(F.col("m") <= SWEEP_HIGH, F.col("acc"))))
+    best = swept.groupBy(*groups).agg(F.greatest(F.max("acc"), F.max("low")).alias("accuracy"),
+                                      F.coalesce(F.first("n"), F.lit(0)).alias("n"))
     return _with_se(best)
 
 
@@ -137,44 +143,47 @@ def accuracy_fixed(df: DataFrame, score: str, label: str, threshold: float = 0.5
                        .drop("correct"))
 
 
-def classification_report(df: DataFrame, score: str, label: str, threshold: float = 0.5,
-                          positive: int = 1, strict: bool = False,
-                          groups: list[str] = ()) -> DataFrame:
-    """accuracy, precision, recall, F1 for the positive class at a threshold
-    (``score >= t`` unless ``strict``); a zero denominator gives 0."""
-    groups = list(groups)
+def _confusion(score: str, label: str, threshold: float, positive: int, strict: bool,
+               suffix: str = "") -> list[Column]:
     s = F.col(score)
     pred = _finite(score) & ((s > threshold) if strict else (s >= threshold))
     truth = F.col(label) == positive
-    agg = df.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(pred & truth).alias("tp"), F.count_if(pred & ~truth).alias("fp"),
-        F.count_if(~pred & truth).alias("fn"), F.count_if(~pred & ~truth).alias("tn"))
+    return [F.count_if(pred & truth).alias(f"tp{suffix}"), F.count_if(pred & ~truth).alias(f"fp{suffix}"),
+            F.count_if(~pred & truth).alias(f"fn{suffix}"), F.count_if(~pred & ~truth).alias(f"tn{suffix}")]
+
 
+def _rates(agg: DataFrame, suffix: str = "") -> DataFrame:
+    """accuracy, precision, recall, F1 from the counts; 0 where undefined."""
     def safe(num, den):
         return F.coalesce(F.try_divide(num, F.when(den == 0, None).otherwise(den)), F.lit(0.0))
+    tp, fp, fn, tn = (F.col(c + suffix) for c in ("tp", "fp", "fn", "tn"))
+    p, r = F.col(f"precision{suffix}"), F.col(f"recall{suffix}")
+    return (agg.withColumn(f"accuracy{suffix}", safe(tp + tn, F.col("n")))
+               .withColumn(f"precision{suffix}", safe(tp, tp + fp))
+               .withColumn(f"recall{suffix}", safe(tp, tp + fn))
+               .withColumn(f"f1{suffix}", safe(2 * p * r, p + r)))
 
-    p = safe(F.col("tp"), F.col("tp") + F.col("fp"))
-    r = safe(F.col("tp"), F.col("tp") + F.col("fn"))
-    return (agg.withColumn("accuracy", safe(F.col("tp") + F.col("tn"), F.col("n")))
-               .withColumn("precision", p).withColumn("recall", r)
-               .withColumn("f1", safe(2 * F.col("precision") * F.col("recall"),
-                                      F.col("precision") + F.col("recall"))))
+
+def classification_report(df: DataFrame, score: str, label: str, threshold: float = 0.5,
+                          positive: int = 1, strict: bool = False,
+                          groups: list[str] = ()) -> DataFrame:
+    """accuracy, precision, recall, F1 for the positive class at a threshold
+    (``score >= t`` unless ``strict``); a zero denominator gives 0."""
+    agg = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"),
+                                  *_confusion(score, label, threshold, positive, strict))
+    return _rates(agg)
 
 
-def model_delta(before: DataFrame, after: DataFrame, metrics=("accuracy", "precision",
-                                                              "recall", "f1"),
-                groups: list[str] = ()) -> DataFrame:
-    groups = list(groups)
-    b = before.select(*groups, *[F.col(m).alias(f"{m}_before") for m in metrics])
-    a = after.select(*groups, *[F.col(m).alias(f"{m}_after") for m in metrics])
-    if not groups:
-        b, a, keys = b.withColumn("_k", F.lit(0)), a.withColumn("_k", F.lit(0)), ["_k"]
-    else:
-        keys = groups
-    j = b.join(a, keys, "inner")
-    return j.select(*groups, *[(F.col(f"{m}_after") - F.col(f"{m}_before")).alias(f"{m}_delta")
-                               for m in metrics])
+def model_delta(df: DataFrame, before: str, after: str, label: str, threshold: float = 0.5,
+                positive: int = 1, strict: bool = False, groups: list[str] = ()) -> DataFrame:
+    """Change of accuracy, precision, recall and F1 from score ``before`` to
+    score ``after`` of the same rows, in one aggregate."""
+    agg = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"),
+                                  *_confusion(before, label, threshold, positive, strict, "_before"),
+                                  *_confusion(after, label, threshold, positive, strict, "_after"))
+    both = _rates(_rates(agg, "_before"), "_after")
+    return both.select(*groups, *[(F.col(f"{m}_after") - F.col(f"{m}_before")).alias(f"{m}_delta")
+                                  for m in ("accuracy", "precision", "recall", "f1")])
 
 
 def roc_auc(df: DataFrame, score: str, label: str, groups: list[str] = (),
@@ -198,15 +207,27 @@ def roc_auc(df: DataFrame, score: str, label: str, groups: list[str] = (),
                                                 .otherwise(den)).alias("auc"))
 
 
+def _mse(pred: str, label: str) -> Column:
+    return F.avg(F.pow(F.col(pred) - F.col(label), 2)).alias("mse")
+
+
+def _bce(logit: str, label: str) -> Column:
+    x, y = F.col(logit), F.col(label).cast("double")
+    return F.avg(F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))).alias("bce")
+
+
 def mse(df: DataFrame, pred: str, label: str, groups: list[str] = ()) -> DataFrame:
-    return df.groupBy(*groups).agg(F.avg(F.pow(F.col(pred) - F.col(label), 2)).alias("mse"))
+    return df.groupBy(*groups).agg(_mse(pred, label))
 
 
 def bce_logits(df: DataFrame, logit: str, label: str, groups: list[str] = ()) -> DataFrame:
     """Mean binary cross-entropy with logits, numerically stable form."""
-    x, y = F.col(logit), F.col(label).cast("double")
-    term = F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
-    return df.groupBy(*groups).agg(F.avg(term).alias("bce"))
+    return df.groupBy(*groups).agg(_bce(logit, label))
+
+
+def losses(df: DataFrame, pred: str, label: str, label01: str, groups: list[str] = ()) -> DataFrame:
+    """Both losses (+-1 labels for mse, 0/1 labels for bce) in one aggregate."""
+    return df.groupBy(*groups).agg(_mse(pred, label), _bce(pred, label01))
 
 
 def exact_quantile(df: DataFrame, col: str, q: float = 0.25, groups: list[str] = ()) -> DataFrame:
@@ -271,24 +292,29 @@ def score_kde(df: DataFrame, col: str, points: int = 100) -> DataFrame:
     """Gaussian KDE on ``points`` evenly spaced values over [min, max];
     Scott bandwidth n^(-1/5) times the sample standard deviation.
 
-    Each row contributes to the fixed grid through a generator; the partial
-    hash aggregate sums those contributions map-side, so nothing of size
-    n x points is shuffled."""
+    An Arrow kernel sums the grid over each partition's values, so ``points``
+    rows per partition leave it and nothing of size n x points exists."""
     vals = df.where(_finite(col)).select(F.col(col).cast("double").alias("_v"))
     st = vals.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
                   F.count(F.lit(1)).alias("n"), F.stddev_samp("_v").alias("sd")).first()
     bw = None if st["sd"] is None else st["sd"] * float(st["n"]) ** -0.2
-    consts = _scalars({"lo": st["lo"], "hi": st["hi"], "n": st["n"], "bw": bw})
-    step = (F.col("hi") - F.col("lo")) / (points - 1)
-    g = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g")
-    contrib = vals.select("_v", *consts, g) \
-        .withColumn("x", F.when(F.col("g") == points - 1, F.col("hi"))
-                    .otherwise(F.col("lo") + F.col("g") * step)) \
-        .withColumn("k", F.exp(-F.pow(F.try_divide(F.col("x") - F.col("_v"), F.col("bw")), 2) / 2))
-    dens = contrib.groupBy("g", "x", "n", "bw").agg(F.sum("k").alias("_s"))
-    return dens.select(F.col("g").cast("int").alias("point"), F.col("x"),
-                       F.try_divide(F.col("_s"), F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))
-                       .alias("density"))
+    schema = "g int, x double, s double"
+    if not st["n"]:
+        return df.sparkSession.createDataFrame([], "point int, x double, density double")
+    lo, hi, n = float(st["lo"]), float(st["hi"]), st["n"]
+    # The grid as the usual rule has it: the last point is the maximum itself.
+    grid = np.array([hi if i == points - 1 else lo + i * ((hi - lo) / (points - 1)) for i in range(points)])
+
+    def kernel(batches):
+        total = np.zeros(points)
+        for batch in batches:
+            v = batch["_v"].to_numpy()
+            for a in range(0, len(v), 4096) if bw else ():
+                total += np.exp(-(((grid[:, None] - v[a:a + 4096]) / bw) ** 2) / 2).sum(axis=1)
+        yield pd.DataFrame({"g": np.arange(points, dtype=np.int32), "x": grid, "s": total})
+    dens = vals.mapInPandas(kernel, schema).groupBy("g", "x").agg(F.sum("s").alias("_s"))
+    scale = F.lit(n * bw * math.sqrt(2 * math.pi)) if bw else F.lit(None).cast("double")
+    return dens.select(F.col("g").alias("point"), "x", F.try_divide("_s", scale).alias("density"))
 
 
 def best_by(df: DataFrame, metric: str, tie: list[str], groups: list[str] = (),

@@ -3,8 +3,6 @@ are random, hard (nearest non-positive) or taken from rejected records."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,113 +30,73 @@ def positive_pairs(articulations: DataFrame, external: DataFrame, internal: Data
               .select("text_1", "text_2", F.lit(1).alias("label")))
 
 
-def _pair_key(a: str, b: str, symmetric: bool):
-    if symmetric:
-        return F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
-    return F.col(a), F.col(b)
-
-
 def random_negatives(positives: DataFrame, n: int | None = None, seed: int = 123,
-                     symmetric: bool = True, max_rounds: int = 32) -> DataFrame:
+                     symmetric: bool = True) -> DataFrame:
     """``n`` (default: number of positives) distinct unordered pairs of texts
     from the positives that are not themselves positive, label -1.
 
-    All T^2/2 pairs are never built: each round draws a few partner indices per
-    text from a seeded hash, drops positives, and rounds repeat until ``n``
-    distinct negatives exist; the final choice is the first ``n`` in hash
-    order.  ``symmetric=False`` keeps the reference's behaviour of excluding a
-    positive only in its stored orientation."""
+    The T distinct texts are put in seeded hash order (index 0 .. T-1).  All
+    unordered pairs have a number p: distance d = p div T + 1 and first index
+    i = p mod T give the pair (i, i + d mod T).  Among the first n + E numbers
+    at most E can be positives (E = number of positives), so these hold n
+    negatives, and the first n of them are the result: one pass, linear in
+    n + E, never all T^2/2 pairs, and never a short sample.  Every text takes
+    part about equally often.  ``symmetric=False`` keeps the reference's
+    behaviour of excluding a positive only in its stored orientation."""
     spark = positives.sparkSession
     positives = materialize(positives.select("text_1", "text_2"), "pairs")
     texts = (positives.select(F.col("text_1").alias("text"))
              .unionByName(positives.select(F.col("text_2").alias("text")))
              .where(F.col("text").isNotNull()).distinct()
-             .withColumn("_hn", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)),
-                                                                      F.col("text"))), 1, 15),
-                                       16, 10).cast("long")))
-    texts = split.exact_rank(texts, "_hn", [], ["text"], name="idx", persist_input=False,
-                             uniform_range=split.HASH_RANGE)
-    texts = materialize(texts.withColumn("idx", F.col("idx") - 1).drop("_hn"), "pairs")
+             .withColumn("_h", split.hash_order(seed, "text"))
+             .withColumn("_hn", split.hash_number(F.col("_h"))))
+    texts = materialize(texts, "pairs")
     t = texts.count()
-    if n is None:
-        n = positives.count()
+    a, b = F.col("text_1"), F.col("text_2")
+    low, high = (F.least(a, b), F.greatest(a, b)) if symmetric else (a, b)
+    excl = materialize(positives.where(a.isNotNull() & b.isNotNull())
+                       .select(low.alias("a"), high.alias("b")).distinct(), "pairs")
+    sizes = positives.agg(F.count(F.lit(1)).alias("n")).first()
+    n = sizes["n"] if n is None else n
     if n == 0:
         return spark.createDataFrame([], "text_1 string, text_2 string, label int")
     if t < 2:
         raise ValueError("need at least two distinct texts")
-    k1, k2 = _pair_key("text_1", "text_2", True)
-    if symmetric:
-        excl = positives.select(k1.alias("a"), k2.alias("b")).distinct()
-    else:
-        excl = positives.select(F.col("text_1").alias("a"), F.col("text_2").alias("b")).distinct()
-    excl = materialize(excl, "pairs")
-    possible = t * (t - 1) // 2 - excl.where(F.col("a") < F.col("b")).count()
-    if n > possible:
-        raise ValueError(f"cannot draw {n} negatives from {possible} candidate pairs")
-    partner = texts.select(F.col("idx").alias("_j"), F.col("text").alias("_pt"))
-    accepted = None
-    per_text = min(t - 1, max(1, math.ceil(1.5 * n / t)))
-    found = 0
-    for rnd in range(1, max_rounds + 1):
-        draws = texts.select("idx", "text", F.explode(F.sequence(F.lit(0), F.lit(per_text - 1)))
-                             .alias("_d"))
-        off = F.pmod(F.xxhash64(F.lit(seed), F.lit(rnd), F.col("_d"), F.col("idx")),
-                     F.lit(t - 1))
-        draws = draws.withColumn("_j", F.pmod(F.col("idx") + 1 + off, F.lit(t)))
-        cand = draws.join(partner, "_j")
-        a = F.least(F.col("text"), F.col("_pt"))
-        b = F.greatest(F.col("text"), F.col("_pt"))
-        cand = cand.select(a.alias("a"), b.alias("b")).distinct()
-        cand = cand.join(excl, ["a", "b"], "left_anti")
-        accepted = cand if accepted is None else accepted.unionByName(cand).distinct()
-        accepted = materialize(accepted, "pairs")
-        found = accepted.count()
-        if found >= n:
-            break
-        # Never more than T-1 draws per text and round: even when positives are
-        # dense, one round stays linear in the pairs it can return.
-        per_text = min(t - 1, per_text * 2)
-    if found < n:
-        # Results stay whole: no silent short sample.
-        raise ValueError(f"drew only {found} of {n} negatives in {max_rounds} rounds")
-    chosen = split.sample_n(accepted, n, ["a", "b"], seed, allow_fewer=True,
-                            persist_input=False)
-    return chosen.select(F.col("a").alias("text_1"), F.col("b").alias("text_2"),
-                         F.lit(-1).alias("label"))
+    all_pairs = t * (t - 1) // 2
+    taken = excl.where(F.col("a") < F.col("b")).count()
+    if n > all_pairs - taken:
+        raise ValueError(f"cannot draw {n} negatives from {all_pairs - taken} candidate pairs")
+    texts = split.exact_rank(texts, "_hn", [], ["_h", "text"], name="idx", persist_input=False,
+                             uniform_range=split.HASH_RANGE).select(
+        (F.col("idx") - 1).alias("idx"), "text")
+    texts = materialize(texts, "pairs")
+    drawn = spark.range(min(all_pairs, n + taken)).select(
+        F.col("id").alias("p"), F.expr(f"id % {t}").alias("i"),
+        F.expr(f"(id % {t} + id div {t} + 1) % {t}").alias("j"))
+    one = texts.select(F.col("idx").alias("i"), F.col("text").alias("x"))
+    two = texts.select(F.col("idx").alias("j"), F.col("text").alias("y"))
+    negatives = (drawn.join(one, "i").join(two, "j")
+                 .select("p", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+                 .join(excl, ["a", "b"], "left_anti"))
+    negatives = split.exact_rank(negatives, "p", [], [], name="_r",
+                                 uniform_range=min(all_pairs, n + taken))
+    return negatives.where(F.col("_r") <= n).select(
+        F.col("a").alias("text_1"), F.col("b").alias("text_2"), F.lit(-1).alias("label"))
 
 
 def hard_negatives(queries: DataFrame, candidates: DataFrame, positives: DataFrame, *,
                    query_id: str, query_vec: str, cand_id: str, cand_vec: str,
-                   pos_query: str, pos_cand: str, exclude_self: bool = False,
-                   k0: int = 4) -> DataFrame:
+                   pos_query: str, pos_cand: str, exclude_self: bool = False) -> DataFrame:
     """For each query, the most similar candidate that is not one of its
-    positives (``query_id, cand_id, score, rank``).
-
-    Exact without a partner cap: the top-k search runs with k = k0, queries
-    whose k best are all positives are searched again with 4x the k, until
-    every query has a negative or k covers all candidates."""
-    pos = positives.select(F.col(pos_query).alias("query_id"), F.col(pos_cand).alias("cand_id")) \
-                   .distinct()
-    n_cand = candidates.where(F.col(cand_vec).isNotNull()).count()
-    pending = queries
-    found = None
-    k = k0
-    while True:
-        r = topk_similar(pending, candidates, k, query_id=query_id, query_vec=query_vec,
-                         cand_id=cand_id, cand_vec=cand_vec, exclude_self=exclude_self)
-        neg = r.join(pos, ["query_id", "cand_id"], "left_anti")
-        best = materialize(neg.groupBy("query_id").agg(
-            F.min_by(F.struct("cand_id", "score", "rank"), F.col("rank")).alias("_b"))
-            .select("query_id", "_b.cand_id", "_b.score", "_b.rank"), "pairs")
-        found = best if found is None else found.unionByName(best)
-        if k >= n_cand:
-            break
-        pending = materialize(pending.join(best.select(F.col("query_id").alias(query_id)),
-                                           query_id, "left_anti"), "pairs")
-        if pending.isEmpty():
-            break
-        k = min(k * 4, n_cand)
-    return found
+    positives (``query_id, cand_id, score``).
+
+    The positives are left out inside the block kernel, so one search with
+    k = 1 is exact however many positives a query has.  A query whose positives
+    are all candidates has no row."""
+    pos = positives.select(F.col(pos_query).alias("query_id"), F.col(pos_cand).alias("cand_id"))
+    return topk_similar(queries, candidates, 1, query_id=query_id, query_vec=query_vec,
+                        cand_id=cand_id, cand_vec=cand_vec, exclude_self=exclude_self,
+                        exclude=pos).drop("rank")
 
 
 def rejected_negatives(rejected: DataFrame, home: DataFrame, *, row_id: str, text: str,

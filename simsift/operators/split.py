@@ -3,7 +3,9 @@
 Rows are ordered by ``md5(seed | id ...)``; exact per-label counts come from
 an exact rank in that order.  The rank is computed per value range of the
 hash (range bounds from approximate quantiles, offsets from per-range counts),
-so a label holding a third of all rows is still spread over many tasks."""
+so a label holding a third of all rows is still spread over many tasks.  Only keys
+are ranked; the key at each cut then splits the rows themselves, which are
+neither written nor shuffled."""
 
 from __future__ import annotations
 
@@ -30,12 +32,25 @@ def hash_order(seed: int | str, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def _hash_num(h: Column) -> Column:
+def hash_number(h: Column) -> Column:
+    """An md5 string as a long in [0, HASH_RANGE), in the same order."""
     # First 15 hex digits as a non-negative long: same order as the string.
     return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
 
 
-HASH_RANGE = 1 << 60     # _hash_num is uniform on [0, 2^60)
+RANGE_ROWS = 1_000_000   # about so many rows are sorted in one task
+HASH_RANGE = 1 << 60     # hash_number is uniform on [0, 2^60)
+
+
+def range_of(value: Column, bounds: list[float]) -> Column:
+    """How many sorted bounds are below ``value``: nested comparisons that halve
+    the bounds, so a row costs log2(len(bounds)) of them."""
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value <= F.lit(float(bounds[mid])), search(lo, mid)).otherwise(search(mid + 1, hi))
+    return search(0, len(bounds))
 
 
 def exact_rank(df: DataFrame, key: str, groups: list[str] = (), tiebreak: list[str] = (),
@@ -54,7 +69,8 @@ def exact_rank(df: DataFrame, key: str, groups: list[str] = (), tiebreak: list[s
     spark = df.sparkSession
     if persist_input:
         df = materialize(df, "split")
-    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nb = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                        -(-df.count() // RANGE_ROWS))
     if nb <= 1:
         bucket = F.lit(0)
     elif uniform_range is not None:
@@ -63,9 +79,7 @@ def exact_rank(df: DataFrame, key: str, groups: list[str] = (), tiebreak: list[s
     else:
         qs = df.approxQuantile(key, [i / nb for i in range(1, nb)], 0.001)
         bounds = sorted(set(v for v in qs if v is not None and not math.isnan(v)))
-        arr = F.array(*[F.lit(float(v)) for v in bounds])
-        bucket = (F.size(F.filter(arr, lambda x: x < F.col(key).cast("double")))
-                  if bounds else F.lit(0))
+        bucket = range_of(F.col(key).cast("double"), bounds)
     tagged = df.withColumn("_rb", bucket)
     counts = tagged.groupBy(*groups, "_rb").agg(F.count(F.lit(1)).alias("_cnt"))
     wo = Window.partitionBy(*groups).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,61 +91,89 @@ def exact_rank(df: DataFrame, key: str, groups: list[str] = (), tiebreak: list[s
                   .drop("_rb", "_off"))
 
 
-def _ranked_by_hash(df: DataFrame, ids: list[str], seed, groups: list[str]) -> DataFrame:
-    """``df`` must already be materialised (callers checkpoint it once)."""
-    h = hash_order(seed, *ids)
-    tagged = df.withColumn("_h", h).withColumn("_hn", _hash_num(F.col("_h")))
-    return exact_rank(tagged, "_hn", groups, ["_h", *ids], name="_r", persist_input=False,
-                      uniform_range=HASH_RANGE)
+def _hash_key(seed, ids: list[str]) -> Column:
+    """The sort key of a row: hash, then ids (a total order of distinct ids)."""
+    return F.struct(hash_order(seed, *ids).alias("h"), *[F.col(c).alias(f"i{n}") for n, c in enumerate(ids)])
+
+
+def _cut_keys(df: DataFrame, ids: list[str], seed, groups: list[str], cuts: dict[str, Column]) -> DataFrame:
+    """One row per group: for each named cut (a row count from ``_n``, the rows
+    of the group) the key of that row in hash order; null for a cut of 0."""
+    keys = df.select(*groups, _hash_key(seed, ids).alias("_key")) \
+             .withColumn("_hn", hash_number(F.col("_key.h")))
+    keys = materialize(keys, "keys")
+    ranked = exact_rank(keys, "_hn", groups, ["_key"], name="_r", persist_input=False,
+                        uniform_range=HASH_RANGE)
+    sizes = keys.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    if groups:
+        cond = [ranked[g].eqNullSafe(sizes[g]) for g in groups]
+        sized = ranked.join(sizes, cond).select(*[ranked[g] for g in groups], "_key", "_r", "_n")
+    else:
+        sized = ranked.withColumn("_n", F.lit(sizes.first()["_n"]))
+    found = sized.groupBy(*groups).agg(
+        *[F.max(F.when(F.col("_r") == c, F.col("_key"))).alias(name) for name, c in cuts.items()])
+    return materialize(found, "cuts")
+
+
+def _with_cuts(df: DataFrame, found: DataFrame, groups: list[str], names: list[str]) -> DataFrame:
+    """``df`` with the cut keys of its group (a table of one row per group; the
+    planner broadcasts it when it is small)."""
+    cond = None
+    for g in groups:
+        one = df[g].eqNullSafe(found[g])
+        cond = one if cond is None else cond & one
+    return df.join(found, cond, "left").select(*[df[c] for c in df.columns], *[found[n] for n in names])
 
 
 def stratified_split(df: DataFrame, label: str, ids: list[str], fraction: float = 0.2,
                      seed: int = 123, names: tuple[str, str] = ("train", "test"),
                      out: str = "dataset") -> DataFrame:
     """Per label, the first ``round(fraction * n_label)`` rows in hash order go
-    to ``names[1]``, the rest to ``names[0]``."""
-    df = materialize(df, "split")
-    ranked = _ranked_by_hash(df, ids, seed, [label])
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    cut = F.round(F.col("_n") * fraction, 0)
-    return (ranked.join(sizes, label, "inner")
-                  .withColumn(out, F.when(F.col("_r") <= cut, names[1]).otherwise(names[0]))
-                  .drop("_h", "_hn", "_r", "_n"))
+    to ``names[1]``, the rest to ``names[0]``.  ``ids`` identify a row."""
+    found = _cut_keys(df, ids, seed, [label], {"_cut": F.round(F.col("_n") * fraction, 0)})
+    key = _hash_key(seed, ids)
+    return _with_cuts(df, found, [label], ["_cut"]).withColumn(
+        out, F.when(F.coalesce(key <= F.col("_cut"), F.lit(False)), names[1]).otherwise(names[0])).drop("_cut")
 
 
 def three_way_split(df: DataFrame, label: str, ids: list[str], test: float = 0.2,
                     validation: float = 0.1, seed: int = 123, out: str = "dataset") -> DataFrame:
     """``test`` of each label to test, then ``validation`` of the remainder to
-    validation (72 / 8 / 20 by default).
+    validation (72 / 8 / 20 by default).  ``ids`` identify a row.
 
     Equal to two stratified splits with the same seed: the remainder keeps the
     same hash order, so one ranking with two cut points gives both."""
-    df = materialize(df, "split")
-    ranked = _ranked_by_hash(df, ids, seed, [label])
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     t = F.round(F.col("_n") * test, 0)
-    v = F.round((F.col("_n") - t) * validation, 0)
-    return (ranked.join(sizes, label, "inner")
-                  .withColumn(out, F.when(F.col("_r") <= t, "test")
-                                    .when(F.col("_r") - t <= v, "validation")
-                                    .otherwise("train"))
-                  .drop("_h", "_hn", "_r", "_n"))
+    v = t + F.round((F.col("_n") - t) * validation, 0)
+    found = _cut_keys(df, ids, seed, [label], {"_test": t, "_val": v})
+    key = _hash_key(seed, ids)
+    return _with_cuts(df, found, [label], ["_test", "_val"]).withColumn(
+        out, F.when(F.coalesce(key <= F.col("_test"), F.lit(False)), "test")
+              .when(F.coalesce(key <= F.col("_val"), F.lit(False)), "validation")
+              .otherwise("train")).drop("_test", "_val")
+
+
+TOP_N_ROWS = 100_000     # up to here a sample is a top-n; beyond it, a cut key
 
 
 def sample_n(df: DataFrame, n: int, ids: list[str], seed: int = 123,
-             allow_fewer: bool = False, persist_input: bool = True) -> DataFrame:
+             allow_fewer: bool = False) -> DataFrame:
     """``n`` rows without replacement, the first in hash order.  Raises when
-    fewer than ``n`` rows exist unless ``allow_fewer``."""
+    fewer than ``n`` rows exist unless ``allow_fewer``.  ``ids`` identify a row."""
     if n < 0:
         raise ValueError("n must be >= 0")
-    if persist_input:
-        df = materialize(df, "split")
-    if not allow_fewer:
+    total = None
+    if not allow_fewer or n > TOP_N_ROWS:
         total = df.count()
-        if total < n:
+        if total < n and not allow_fewer:
             raise ValueError(f"cannot sample {n} rows from {total}")
-    ranked = _ranked_by_hash(df, ids, seed, [])
-    return ranked.where(F.col("_r") <= n).drop("_h", "_hn", "_r")
+        if total <= n:
+            return df
+    if n <= TOP_N_ROWS:
+        return df.orderBy(_hash_key(seed, ids)).limit(n)
+    found = _cut_keys(df, ids, seed, [], {"_cut": F.lit(n)})
+    # One row: compared with every key, no shuffle.
+    return df.join(F.broadcast(found), _hash_key(seed, ids) <= F.col("_cut"), "left_semi")
 
 
 def sample_rows(df: DataFrame, ids: list[str], n: int = 50, seed: int = 123) -> DataFrame:

@@ -6,6 +6,7 @@ is stable across engines."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +18,17 @@ import numpy as np
 
 from simsift.operators import dedup, embed, filters, keywords, learn, matching, metrics, pairs
 from simsift.operators import projection, split
-from simsift.operators.topk import topk_similar
-from simsift.plans import evaluation
+from simsift.operators.topk import nearest_one, topk_similar
+from simsift.plans import evaluation, training, truth
 from simsift.plans.tables import (articulation_view, external_catalogue, internal_catalogue,
                                   table, vectors)
 from simsift.session import scratch_table_path
+from simsift.sources import catalogs
 
 TOP_K = 10          # interactive matcher / fused paths
 EVAL_K = 20         # single-model evaluation path
-PREFIX_DIMS = 32    # second "model": the vectors restricted to a subspace
+DIMS = 64           # width of the given vectors
+SECOND_DIMS = 32    # second "model": all dimensions folded onto 32
 MIN_TERM = 199700   # the data's ship dates span 1995-2001; the cut keeps 1997 on
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,10 +42,14 @@ def _r(c, digits: int = 6):
 # top-k matching family
 
 
-def _neighbours(spark, sf, k=TOP_K, dims=None):
+def _fold(df, k):
+    return projection.project(df, "embedding", projection.fold_matrix(DIMS, k), dtype=np.float64)
+
+
+def _neighbours(spark, sf, k=TOP_K, fold=None):
     e = vectors(spark, sf)
-    if dims:
-        e = e.withColumn("embedding", V.prefix("embedding", dims))
+    if fold:
+        e = _fold(e, fold)
     return topk_similar(e, e, k, query_id="vec_id", query_vec="embedding",
                         cand_id="vec_id", cand_vec="embedding", exclude_self=True)
 
@@ -56,17 +63,18 @@ def q_topk_match(spark, sf):
         S.confidence_band("score").alias("confidence"))
 
 
-def _outcomes(spark, sf, k=EVAL_K, fusion=None):
+def _outcomes(spark, sf, k=EVAL_K, fusion=None, fold=None):
     e = vectors(spark, sf)
+    if fold:
+        e = _fold(e, fold)
     truth = e.select(F.col("vec_id").alias("row_id"), F.col("label").alias("truth_code"))
     queries = e.select(F.col("vec_id").alias("row_id"), "embedding")
     kw = dict(k=k, row_id="row_id", truth_code="truth_code", query_vec="embedding",
               cand_id="vec_id", cand_vec="embedding", cand_code="label",
               strip_suffix=False, exclude_self=True)
     if fusion:
-        e2 = e.withColumn("embedding", V.prefix("embedding", PREFIX_DIMS))
-        q2 = queries.withColumn("embedding", V.prefix("embedding", PREFIX_DIMS))
-        kw.update(fusion=fusion, second_queries=q2, second_catalogue=e2)
+        kw.update(fusion=fusion, second_queries=_fold(queries, SECOND_DIMS),
+                  second_catalogue=_fold(e, SECOND_DIMS))
     return evaluation.evaluate_matches(truth, queries, e, **kw)
 
 
@@ -82,7 +90,7 @@ def q_hit_rate(spark, sf):
 def _two_models(spark, sf):
     r1 = _neighbours(spark, sf).withColumnRenamed("query_id", "row_id") \
                                .withColumnRenamed("cand_id", "code")
-    r2 = _neighbours(spark, sf, dims=PREFIX_DIMS).withColumnRenamed("query_id", "row_id") \
+    r2 = _neighbours(spark, sf, fold=SECOND_DIMS).withColumnRenamed("query_id", "row_id") \
                                                  .withColumnRenamed("cand_id", "code")
     return r1, r2
 
@@ -146,9 +154,8 @@ def q_roc_auc(spark, sf):
 
 def q_losses(spark, sf):
     p = _pairs(spark, sf).withColumn("y01", S.relabel_binary("label"))
-    m = metrics.mse(p, "cosine_similarity", "label").withColumn("_k", F.lit(0))
-    b = metrics.bce_logits(p, "cosine_similarity", "y01").withColumn("_k", F.lit(0))
-    return m.join(b, "_k").select(_r("mse").alias("mse"), _r("bce").alias("bce"))
+    both = metrics.losses(p, "cosine_similarity", "label", "y01")
+    return both.select(_r("mse").alias("mse"), _r("bce").alias("bce"))
 
 
 def _scores(spark, sf):
@@ -213,7 +220,7 @@ def q_rejected_rows(spark, sf):
 
 def q_course_index(spark, sf):
     p = table(spark, sf, "part")
-    return dedup.course_index(p, code="p_brand", title="p_name") \
+    return dedup.course_index(p, code="p_brand", title="p_name", order=["p_partkey"]) \
                 .select(F.col("p_brand").alias("code"), F.col("p_name").alias("title"))
 
 
@@ -286,69 +293,98 @@ def q_hard_negatives(spark, sf):
     hn = pairs.hard_negatives(e, e, p, query_id="vec_id", query_vec="embedding",
                               cand_id="vec_id", cand_vec="embedding", pos_query="query_id",
                               pos_cand="cand_id", exclude_self=True)
-    return hn.select("query_id", "cand_id", _r("score").alias("score"),
-                     F.col("rank").cast("int").alias("rank"))
+    return hn.select("query_id", "cand_id", _r("score").alias("score"))
 
 
 def _embedded(spark, df, text_col, name):
+    """Whole counts (not normalised), so SQL can repeat the vectors exactly."""
     cache = scratch_table_path(spark, f"embedding_cache_{name}")
-    return embed.embed_with_cache(df, [text_col], cache, embed.hashing_embedder(64))
+    return embed.embed_with_cache(df, [text_col], cache, embed.hashing_embedder(64, normalise=False))
 
 
 def q_rejected_negatives(spark, sf):
     rej = filters.rejected_articulations(articulation_view(spark, sf), min_term=MIN_TERM)
     ext = _composite(external_catalogue(spark, sf)).select("number", "text")
-    rows = rej.select(F.xxhash64("l_orderkey", "l_linenumber", "TR_COURSE", "EQUIV_CRSE",
-                                 "TERM", "l_extendedprice").alias("row_id"), "TR_COURSE") \
+    rows = rej.select("l_orderkey", "l_linenumber", "TR_COURSE") \
               .join(ext, F.col("TR_COURSE") == F.col("number")).drop("number", "TR_COURSE")
-    rows = _embedded(spark, rows, "text", "external")
+    rows = truth.with_row_id(rows)
+    vecs = _embedded(spark, rows.select("row_id", "text"), "text", "external")
     home = _embedded(spark, _composite(internal_catalogue(spark, sf)), "text", "internal")
-    out = pairs.rejected_negatives(rows, home, row_id="row_id", text="text",
+    out = pairs.rejected_negatives(vecs, home, row_id="row_id", text="text",
                                    vec="text_embedding", home_id="COURSE CODE",
                                    home_text="text", home_vec="text_embedding")
-    return out.select("query_id", "text_1", "text_2", _r("score").alias("score"), "label")
+    keys = rows.select(F.col("row_id").alias("query_id"), "l_orderkey", "l_linenumber")
+    return out.join(keys, "query_id").select("l_orderkey", "l_linenumber", "text_1", "text_2",
+                                             _r("score").alias("score"), "label")
 
 
 def q_rake_keywords(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("lang") == "en")
-    return keywords.rake_keywords(d, "text", "doc_id")
+    return keywords.rake_keywords(table(spark, sf, "documents"), "text", "doc_id")
+
+
+def q_keyword_texts(spark, sf):
+    """Course texts over a catalogue with repeated descriptions (``documents``
+    holds exact copies under several codes)."""
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("COURSE CODE"),
+        F.col("lang").alias("COURSE TITLE"), F.col("text").alias("DESCRIPTION"))
+    return training.course_texts(d, use_keywords=True).select("doc_id", "text")
 
 
 def q_embed_documents(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     e = _embedded(spark, d, "text", "documents")
+    best = F.array_position("text_embedding", F.array_max("text_embedding"))
     return e.select("doc_id", F.size("text_embedding").alias("dims"),
-                    _r(V.norm("text_embedding")).alias("norm"))
+                    _r(V.norm("text_embedding"), 4).alias("norm"),
+                    best.cast("int").alias("top_dim"))
 
 
 FOLD_K = 16
 
 
-def q_project_pairs(spark, sf):
-    p = _pairs(spark, sf)
+def _vector_pairs(spark, sf):
     vec = vectors(spark, sf)
     a = vec.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("text_1_embedding"))
     b = vec.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("text_2_embedding"))
-    j = p.join(a, "query_id").join(b, "cand_id")
+    return _pairs(spark, sf).join(a, "query_id").join(b, "cand_id")
+
+
+def q_project_pairs(spark, sf):
+    j = _vector_pairs(spark, sf)
     j = projection.pair_cosine(j)
-    m = projection.fold_matrix(64, FOLD_K)
+    m = projection.fold_matrix(DIMS, FOLD_K)
     out = projection.project_pairs(j, m, dtype=np.float64)
     return out.select("query_id", "cand_id", _r("cosine_similarity").alias("cosine_similarity"),
                       _r("cosine_similarity_custom").alias("cosine_similarity_custom"))
 
 
 def q_fit_projection(spark, sf):
-    p = _pairs(spark, sf)
-    vec = vectors(spark, sf)
-    a = vec.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("text_1_embedding"))
-    b = vec.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("text_2_embedding"))
-    j = p.join(a, "query_id").join(b, "cand_id")
+    j = _vector_pairs(spark, sf)
     j = split.three_way_split(j, "label", ["query_id", "cand_id"], 0.2, 0.1, 123)
     cfg = learn.FitConfig(k=16, epochs=3, lr=0.05, loss="bce", optimizer="adam")
     res = learn.fit_projection(j, cfg, id_cols=["query_id", "cand_id"])
     return res.metrics_df(spark)
 
 
+def q_epoch_metrics(spark, sf):
+    """Loss, accuracy and AUC of a fixed matrix on each dataset of the split."""
+    j = _vector_pairs(spark, sf)
+    j = split.three_way_split(j, "label", ["query_id", "cand_id"], 0.2, 0.1, 123)
+    j = j.withColumn("label", F.when(F.col("label") == 1, 1.0).otherwise(0.0))
+    found = learn.evaluate(j, projection.fold_matrix(DIMS, FOLD_K), learn.FitConfig(),
+                           "text_1_embedding", "text_2_embedding", "label", "dataset")
+    rows = [(name, round(m["loss"], 6), round(m["accuracy"], 6), round(m["auc"], 6)) for name, m in sorted(found.items())]
+    return spark.createDataFrame(rows, "dataset string, loss double, accuracy double, auc double")
+
+
+def q_process_pairs(spark, sf):
+    """Accuracy of the projected cosine per dataset."""
+    j = split.stratified_split(_vector_pairs(spark, sf), "label", ["query_id", "cand_id"], 0.2, 123)
+    a = learn.process_pairs(j, projection.fold_matrix(DIMS, FOLD_K), 0.4)
+    return a.select("dataset", F.col("n").cast("long").alias("n"), _r("accuracy").alias("accuracy"))
+
+
 def _split_pairs(spark, sf):
     return split.stratified_split(_pairs(spark, sf), "label", ["query_id", "cand_id"], 0.2, 123)
 
@@ -360,15 +396,9 @@ def q_accuracy_by_dataset(spark, sf):
 
 
 def q_model_delta(spark, sf):
-    p = _pairs(spark, sf)
-    vec = vectors(spark, sf)
-    a = vec.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("text_1_embedding"))
-    b = vec.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("text_2_embedding"))
-    j = projection.project_pairs(p.join(a, "query_id").join(b, "cand_id"),
-                                 projection.fold_matrix(64, FOLD_K), dtype=np.float64)
-    before = metrics.classification_report(j, "cosine_similarity", "label", 0.5)
-    after = metrics.classification_report(j, "cosine_similarity_custom", "label", 0.5)
-    d = metrics.model_delta(before, after)
+    j = projection.project_pairs(_vector_pairs(spark, sf),
+                                 projection.fold_matrix(DIMS, FOLD_K), dtype=np.float64)
+    d = metrics.model_delta(j, "cosine_similarity", "cosine_similarity_custom", "label", 0.5)
     return d.select(*[_r(c).alias(c) for c in d.columns])
 
 
@@ -381,6 +411,130 @@ def q_text_filters(spark, sf):
         F.count_if(F.col("text").rlike("[0-9]{3}-[0-9]{4}")).alias("n_with_number"))
 
 
+def q_row_filters(spark, sf):
+    """Membership, substring, regular expression and usable-code filters."""
+    d = table(spark, sf, "documents")
+    listed = filters.institution_in(d, "source", ["src0", "src1", "src2"])
+    linked = filters.contains_filter(listed, "text", "the")
+    numbered = filters.contains_filter(linked, "text", "[0-9]{2}", regex=True)
+    p = table(spark, sf, "part").withColumn(
+        "code", F.when(F.col("p_size") > 40, "N/A").when(F.col("p_size") < 3, None).otherwise(F.lower("p_brand")))
+    usable = filters.usable_codes(p, "code")
+    return (numbered.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+            .unionByName(usable.groupBy(F.col("code").alias("name")).agg(F.count(F.lit(1)).alias("n"))))
+
+
+def q_nearest_one(spark, sf):
+    """The nearest other vector, over vectors that are not null."""
+    e = vectors(spark, sf)
+    e = filters.not_null_vector(e.withColumn("embedding", F.when(F.col("label") != 0, F.col("embedding"))),
+                                "embedding")
+    r = nearest_one(e, e, query_id="vec_id", query_vec="embedding", cand_id="vec_id", cand_vec="embedding",
+                    exclude_self=True)
+    return r.select("query_id", "cand_id", _r("score").alias("score"))
+
+
+def _reasons(spark, sf, fusion=None):
+    """Truth rows from ``documents``: its vector is that of the same id (others
+    are not found), its code is among 12 of which the catalogue has 10."""
+    e = vectors(spark, sf)
+    t = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_id"), (F.col("n_chars") % 12).cast(e.schema["label"].dataType).alias("truth_code"))
+    queries = e.select(F.col("vec_id").alias("row_id"), "embedding").join(t.select("row_id"), "row_id", "left_semi")
+    kw = {}
+    if fusion:
+        # The second model lacks the courses of one code; weighted fusion keeps
+        # what either model found, for rows that both could search.
+        second = _fold(e.where(F.col("label") != 4), SECOND_DIMS)
+        kw = dict(fusion=fusion, second_queries=_fold(queries, SECOND_DIMS), second_catalogue=second,
+                  weights=(0.7, 0.3))
+    return evaluation.evaluate_matches(t, queries, e, k=TOP_K, row_id="row_id", truth_code="truth_code",
+                                       query_vec="embedding", cand_id="vec_id", cand_vec="embedding",
+                                       cand_code="label", strip_suffix=False, **kw)
+
+
+def q_outcome_reasons(spark, sf):
+    o = _reasons(spark, sf)
+    return o.withColumn("similarity_score", _r("similarity_score"))
+
+
+def q_fused_outcomes(spark, sf):
+    o = _reasons(spark, sf, "weighted")
+    return o.withColumn("similarity_score", _r("similarity_score"))
+
+
+def q_projected_hit_rate(spark, sf):
+    return matching.hit_rate_at_k(_outcomes(spark, sf, fold=FOLD_K))
+
+
+def q_available_outcomes(spark, sf):
+    """Courses of one code have no vector: still offered, so misses, not -1."""
+    e = vectors(spark, sf)
+    found = filters.not_null_vector(
+        e.withColumn("embedding", F.when(F.col("label") != 3, F.col("embedding"))), "embedding")
+    truth_rows = e.select(F.col("vec_id").alias("row_id"), F.col("label").alias("truth_code"))
+    o = evaluation.evaluate_matches(
+        truth_rows, e.select(F.col("vec_id").alias("row_id"), "embedding"), found, k=TOP_K, row_id="row_id",
+        truth_code="truth_code", query_vec="embedding", cand_id="vec_id", cand_vec="embedding", cand_code="label",
+        strip_suffix=False, exclude_self=True, available=e.select(F.col("label").alias("code")))
+    return o.groupBy("truth_code", "match", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_transfer_truth(spark, sf):
+    """Truth from transfer records (orders as transfers), and the requested
+    institutions that have none."""
+    o = table(spark, sf, "orders").select(
+        F.concat(F.col("o_orderpriority"), F.lit(" (PCC)")).alias("Institution"),
+        (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("int").alias("Transfer Term"),
+        F.lit("C").alias("Transfer Subject"), F.col("o_custkey").cast("string").alias("Transfer Course"),
+        F.col("o_orderstatus").alias("OSU Course"))
+    names = ["1-URGENT", "3-MEDIUM", "4-NOT-SPECIFIED", "Nowhere-College"]
+    t = truth.truth_from_transfers(o, names)
+    counted = t.groupBy("Ext_Inst", "Transfer_Year").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("Ext_Course_Code").alias("n_codes"))
+    asked = spark.createDataFrame([(x,) for x in names], "Ext_Inst string")
+    none = truth.missing_institutions(asked, t).select(
+        "Ext_Inst", F.lit(None).cast("string").alias("Transfer_Year"), F.lit(0).cast("long").alias("n"),
+        F.lit(0).cast("long").alias("n_codes"))
+    return counted.unionByName(none)
+
+
+def q_best_by(spark, sf):
+    """Per customer segment the order with the highest total (ties: least key)."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"),
+                                        F.col("o_custkey") == F.col("c_custkey"))
+    rows = o.select("c_mktsegment", "o_orderkey", F.col("o_totalprice").cast("double").alias("total"))
+    best = metrics.best_by(rows, "total", ["o_orderkey"], ["c_mktsegment"])
+    return best.select("c_mktsegment", "o_orderkey", _r("total", 2).alias("total"))
+
+
+def q_store_round_trip(spark, sf):
+    """Embedding store, transfers and the projection matrix written and read."""
+    root = scratch_table_path(spark, f"store-{uuid.uuid4().hex}")
+    e = vectors(spark, sf).select(
+        F.concat(F.lit("C "), F.col("vec_id").cast("string")).alias("COURSE CODE"),
+        F.lit("t").alias("COURSE TITLE"), F.lit("d").alias("DESCRIPTION"), F.lit("c").alias("CODE TITLE DESC"),
+        F.col("embedding").cast("array<float>").alias("embedding"),
+        F.concat(F.lit("I "), F.col("label").cast("string")).alias("institution"),
+        F.lit("2020-2021").alias("years"), F.lit("plain").alias("variant"))
+    catalogs.write_embeddings(e, root)
+    return catalogs.read_embeddings(spark, root, years="2020-2021").select(
+        F.col("COURSE CODE").alias("code"), "institution", "years",
+        F.size("embedding").alias("dims"), _r(V.norm("embedding"), 4).alias("norm"))
+
+
+def q_articulation_files(spark, sf):
+    """The equivalence table through a Latin-1 CSV file (leading zeros kept)."""
+    path = scratch_table_path(spark, f"articulations-{uuid.uuid4().hex}")
+    rows = articulation_view(spark, sf).select(*catalogs.ARTICULATION_SCHEMA.fieldNames()) \
+        .withColumn("TR_COURSE", F.concat(F.lit("00"), F.col("TR_COURSE")))
+    rows.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    back = catalogs.read_articulations(spark, path)
+    return back.groupBy("TRNS_DESCRIPTION", S.term_year("TERM").alias("YEAR")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("TR_COURSE").alias("first_course"),
+        F.countDistinct("EQUI_TITLE").alias("n_titles"))
+
+
 def q_inspection_sample(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     return split.sample_rows(d, ["doc_id"], 50, 123)
@@ -416,8 +570,7 @@ def q_url_parts(spark, sf):
 def q_catalog_years(spark, sf):
     o = table(spark, sf, "orders")
     years = o.select(S.academic_year(F.year("o_orderdate").cast("string")).alias("years"))
-    from simsift.sources.catalogs import list_catalog_years
-    return list_catalog_years(years)
+    return catalogs.list_catalog_years(years)
 
 
 # --------------------------------------------------------------------------
@@ -464,4 +617,17 @@ def queries() -> dict[str, Query]:
         "name_scalars": q_name_scalars,
         "url_parts": q_url_parts,
         "catalog_years": q_catalog_years,
+        "keyword_texts": q_keyword_texts,
+        "row_filters": q_row_filters,
+        "nearest_one": q_nearest_one,
+        "outcome_reasons": q_outcome_reasons,
+        "fused_outcomes": q_fused_outcomes,
+        "projected_hit_rate": q_projected_hit_rate,
+        "available_outcomes": q_available_outcomes,
+        "transfer_truth": q_transfer_truth,
+        "best_by": q_best_by,
+        "store_round_trip": q_store_round_trip,
+        "articulation_files": q_articulation_files,
+        "epoch_metrics": q_epoch_metrics,
+        "process_pairs": q_process_pairs,
     }

@@ -34,9 +34,15 @@ def evaluate_matches(truth: DataFrame, queries: DataFrame, catalogue: DataFrame,
                      exclude_self: bool = False, fusion: str | None = None,
                      second_queries: DataFrame | None = None,
                      second_catalogue: DataFrame | None = None,
-                     weights: tuple[float, float] = (0.5, 0.5), **kw) -> DataFrame:
+                     weights: tuple[float, float] = (0.5, 0.5),
+                     available: DataFrame | None = None, **kw) -> DataFrame:
     """Match outcomes for every truth row.
 
+    ``cand_id`` must be unique in the catalogue (course codes need not be; they
+    are ``cand_code``).  ``available`` has the codes (column ``code``) against
+    which a miss is told from a course that is not offered; by default those of
+    ``catalogue``.
+
     ``queries`` holds (``row_id``, ``query_vec``) for the truth rows whose
     external course was found; ``fusion`` = ``"mean"`` (inner) or
     ``"weighted"`` (full outer) combines a second model given by
@@ -60,7 +66,13 @@ def evaluate_matches(truth: DataFrame, queries: DataFrame, catalogue: DataFrame,
         ranked = ranked.withColumn("code", F.col("cand_id"))
     else:
         codes = catalogue.select(F.col(cand_id).alias("cand_id"), F.col(code_col).alias("code"))
+        if second_catalogue is not None:
+            # A fused candidate may be in the second catalogue only.
+            codes = codes.unionByName(second_catalogue.select(
+                F.col(cand_id).alias("cand_id"), F.col(code_col).alias("code"))).dropDuplicates(["cand_id"])
         ranked = ranked.drop("code").join(codes, "cand_id", "left")
-    return M.match_outcomes(truth, ranked, catalogue.select(F.col(code_col).alias("code")),
+    if available is None:
+        available = catalogue.select(F.col(code_col).alias("code"))
+    return M.match_outcomes(truth, ranked, available.select("code"),
                             queries.select(row_id), row_id=row_id, truth_code=truth_code,
                             code="code", strip_suffix=strip_suffix)

@@ -5,6 +5,7 @@ search); it only has to run at the small check scale."""
 
 from __future__ import annotations
 
+from simsift.operators.keywords import STOPWORDS
 from simsift.plans.tables import (ARTICULATION_VIEW_SQL, EXTERNAL_CATALOGUE_SQL,
                                   INTERNAL_CATALOGUE_SQL)
 
@@ -13,36 +14,54 @@ from simsift.plans.tables import (ARTICULATION_VIEW_SQL, EXTERNAL_CATALOGUE_SQL,
 _E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
 
 
-def _ranked(name: str, dims: int | None = None) -> str:
-    va = f"list_slice(a.v, 1, {dims})" if dims else "a.v"
-    vb = f"list_slice(b.v, 1, {dims})" if dims else "b.v"
+def _folded(k: int, v: str = "v", dims: int = 64) -> str:
+    """The vector folded onto k dimensions: coordinates i, i + k, ... added."""
+    terms = " + ".join(f"{v}[j + {a}]" if a else f"{v}[j]" for a in range(0, dims, k))
+    return f"list_transform(range(1, {k + 1}), lambda j: {terms})"
+
+
+def _fold_cte(name: str, k: int, source: str = "e") -> str:
+    return f"{name} AS (SELECT vec_id, {_folded(k)} AS v, label FROM {source})"
+
+
+def _ranked(name: str, e: str = "e", where: str = "a.vec_id <> b.vec_id") -> str:
     return f"""{name} AS (
   SELECT query_id, cand_id, score,
          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS rank
   FROM (SELECT a.vec_id AS query_id, b.vec_id AS cand_id,
-               greatest(least(coalesce(list_cosine_similarity({va}, {vb}), 0.0), 1.0), -1.0)
+               greatest(least(coalesce(list_cosine_similarity(a.v, b.v), 0.0), 1.0), -1.0)
                  AS score
-        FROM e a JOIN e b ON a.vec_id <> b.vec_id))"""
+        FROM {e} a JOIN {e} b ON {where}))"""
 
 
-_OUTCOMES = f"""{_E},
-{_ranked("ranked")},
-cand AS (SELECT r.query_id, r.rank, r.score, b.label AS code
-         FROM ranked r JOIN e b ON b.vec_id = r.cand_id WHERE r.rank <= 20),
+def _match(truth: str, ranked: str, k: int, codes: str = "SELECT DISTINCT label AS code FROM e",
+           searched: str = "TRUE") -> str:
+    """outcomes over truth(row_id, truth_code) from ranked(query_id, cand_id,
+    score, rank) and the labels of the candidates; ``codes`` are those on offer,
+    ``searched`` says which truth rows q have a vector."""
+    return f"""cand AS (SELECT r.query_id, r.rank, r.score, b.label AS code
+         FROM {ranked} r JOIN e b ON b.vec_id = r.cand_id WHERE r.rank <= {k}),
+truth AS ({truth}),
 best AS (SELECT c.query_id, min(c.rank) AS mr
-         FROM cand c JOIN e q ON q.vec_id = c.query_id AND c.code = q.label GROUP BY 1),
+         FROM cand c JOIN truth q ON q.row_id = c.query_id AND c.code = q.truth_code GROUP BY 1),
 hits AS (SELECT c.* FROM cand c JOIN best ON best.query_id = c.query_id AND best.mr = c.rank),
-cat AS (SELECT DISTINCT label AS code FROM e),
+cat AS ({codes}),
 outcomes AS (
-  SELECT q.vec_id AS row_id, q.label AS truth_code, hits.code AS OSU_Course_Code,
+  SELECT q.row_id, q.truth_code, hits.code AS OSU_Course_Code,
          CAST(hits.rank AS INTEGER) AS row_number,
-         CAST(CASE WHEN hits.rank IS NOT NULL THEN 1 WHEN cat.code IS NOT NULL THEN 0
-                   ELSE -1 END AS INTEGER) AS match,
+         CAST(CASE WHEN NOT ({searched}) THEN -1 WHEN hits.rank IS NOT NULL THEN 1
+                   WHEN cat.code IS NOT NULL THEN 0 ELSE -1 END AS INTEGER) AS match,
          CAST(hits.rank - 1 AS INTEGER) AS similar_courses_row_number,
          hits.score AS similarity_score,
-         CASE WHEN hits.rank IS NOT NULL THEN 'hit' WHEN cat.code IS NOT NULL THEN 'miss'
-              ELSE 'truth_not_in_catalogue' END AS reason
-  FROM e q LEFT JOIN hits ON hits.query_id = q.vec_id LEFT JOIN cat ON cat.code = q.label)"""
+         CASE WHEN NOT ({searched}) THEN 'external_not_found' WHEN hits.rank IS NOT NULL THEN 'hit'
+              WHEN cat.code IS NOT NULL THEN 'miss' ELSE 'truth_not_in_catalogue' END AS reason
+  FROM truth q LEFT JOIN hits ON hits.query_id = q.row_id LEFT JOIN cat ON cat.code = q.truth_code)"""
+
+
+_SELF_TRUTH = "SELECT vec_id AS row_id, label AS truth_code FROM e"
+_OUTCOMES = f"""{_E},
+{_ranked("ranked")},
+{_match(_SELF_TRUTH, "ranked", 20)}"""
 
 _PAIRS = f"""{_E},
 {_ranked("ranked")},
@@ -69,9 +88,14 @@ def _fused(kind: str) -> str:
     score = ("(a.score + b.score) / 2" if kind == "mean"
              else "0.5 * coalesce(a.score, 0.0) + 0.5 * coalesce(b.score, 0.0)")
     return f"""{_E},
+{_fold_cte("e2", 32)},
 {_ranked("r1")},
-{_ranked("r2", 32)},
-a AS (SELECT * FROM r1 WHERE rank <= 10),
+{_ranked("r2", "e2")},
+{_fuse(join, score)}"""
+
+
+def _fuse(join: str, score: str) -> str:
+    return f"""a AS (SELECT * FROM r1 WHERE rank <= 10),
 b AS (SELECT * FROM r2 WHERE rank <= 10),
 f AS (SELECT coalesce(a.query_id, b.query_id) AS row_id, coalesce(a.cand_id, b.cand_id) AS code,
              a.score AS score_1, b.score AS score_2, {score} AS score,
@@ -107,18 +131,9 @@ ORACLE["fuse_weighted"] = f"""WITH {_fused("weighted")}
 SELECT row_id, code, round(score_1, 6) AS score_1, round(score_2, 6) AS score_2,
        round(score, 6) AS score, rank, rank_1, rank_2 FROM fr"""
 
+_BY_QUERY = "(SELECT row_id AS query_id, code AS cand_id, score, rank FROM fr)"
 _FUSED_OUTCOMES = f"""{_fused("mean")},
-cand AS (SELECT fr.row_id AS query_id, fr.rank, fr.score, e.label AS code
-         FROM fr JOIN e ON e.vec_id = fr.code),
-best AS (SELECT c.query_id, min(c.rank) AS mr
-         FROM cand c JOIN e q ON q.vec_id = c.query_id AND c.code = q.label GROUP BY 1),
-hits AS (SELECT c.* FROM cand c JOIN best ON best.query_id = c.query_id AND best.mr = c.rank),
-cat AS (SELECT DISTINCT label AS code FROM e),
-outcomes AS (
-  SELECT q.vec_id AS row_id, hits.rank AS row_number,
-         CASE WHEN hits.rank IS NOT NULL THEN 1 WHEN cat.code IS NOT NULL THEN 0
-              ELSE -1 END AS match
-  FROM e q LEFT JOIN hits ON hits.query_id = q.vec_id LEFT JOIN cat ON cat.code = q.label)"""
+{_match(_SELF_TRUTH, _BY_QUERY, 10 ** 9)}"""
 
 ORACLE["fused_hit_rate"] = _hit_rate(_FUSED_OUTCOMES)
 
@@ -206,7 +221,7 @@ SELECT point, round(x, 6) AS x,
 FROM g, s GROUP BY point, x, n, bw"""
 
 ORACLE["code_scalars"] = r"""SELECT p_partkey,
-  CAST(nullif(regexp_extract(p_brand, '([0-9]+)', 1), '') AS INTEGER) AS brand_number,
+  CAST(nullif(regexp_extract(p_brand, '([0-9]+)', 1), '') AS BIGINT) AS brand_number,
   p_brand || ' ' || CAST(p_size AS VARCHAR) || substr(p_type, 1, 1) AS raw_code,
   regexp_replace(p_brand || ' ' || CAST(p_size AS VARCHAR) || substr(p_type, 1, 1),
                  '([0-9]+)[^0-9]*$', '\1') AS stripped_code,
@@ -242,7 +257,7 @@ FROM a WHERE EQUIV_EXISTS = 'Y' AND EQUI_TITLE = 'NOT ACCEPTED IN TRANSFER'
   AND regexp_full_match(EQUIV_CRSE, '[0-9]+') AND TERM >= 199700
 GROUP BY 1, 2"""
 
-ORACLE["course_index"] = """SELECT p_brand AS code, max(p_name) AS title FROM part
+ORACLE["course_index"] = """SELECT p_brand AS code, arg_max(p_name, p_partkey) AS title FROM part
 WHERE p_brand IS NOT NULL GROUP BY p_brand"""
 
 ORACLE["term_years"] = """WITH t AS (SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER)
@@ -309,16 +324,13 @@ ORACLE["hard_negatives"] = f"""WITH {_PAIRS},
 pos AS (SELECT query_id, cand_id FROM pairs WHERE y = 1),
 neg AS (SELECT r.* FROM ranked r ANTI JOIN pos USING (query_id, cand_id)),
 best AS (SELECT query_id, min(rank) AS mr FROM neg GROUP BY 1)
-SELECT n.query_id, n.cand_id, round(n.score, 6) AS score, CAST(n.rank AS INTEGER) AS rank
+SELECT n.query_id, n.cand_id, round(n.score, 6) AS score
 FROM neg n JOIN best b ON b.query_id = n.query_id AND b.mr = n.rank"""
 
 ORACLE["project_pairs"] = f"""WITH {_PAIRS},
 pv AS (SELECT p.query_id, p.cand_id, p.cs, a.v AS va, b.v AS vb
        FROM pairs p JOIN e a ON a.vec_id = p.query_id JOIN e b ON b.vec_id = p.cand_id),
-f AS (SELECT *, list_transform(range(1, 17), lambda j: va[j] + va[j + 16] + va[j + 32] + va[j + 48])
-                  AS fa,
-                list_transform(range(1, 17), lambda j: vb[j] + vb[j + 16] + vb[j + 32] + vb[j + 48])
-                  AS fb FROM pv)
+f AS (SELECT *, {_folded(16, "va")} AS fa, {_folded(16, "vb")} AS fb FROM pv)
 SELECT query_id, cand_id, round(cs, 6) AS cosine_similarity,
        round(greatest(least(list_cosine_similarity(fa, fb), 1.0), -1.0), 6)
          AS cosine_similarity_custom
@@ -368,9 +380,7 @@ ORACLE["model_delta"] = f"""WITH {_PAIRS},
 pv AS (SELECT p.cs, p.y, a.v AS va, b.v AS vb
        FROM pairs p JOIN e a ON a.vec_id = p.query_id JOIN e b ON b.vec_id = p.cand_id),
 f AS (SELECT cs, y,
-             greatest(least(list_cosine_similarity(
-               list_transform(range(1, 17), lambda j: va[j] + va[j + 16] + va[j + 32] + va[j + 48]),
-               list_transform(range(1, 17), lambda j: vb[j] + vb[j + 16] + vb[j + 32] + vb[j + 48])),
+             greatest(least(list_cosine_similarity({_folded(16, "va")}, {_folded(16, "vb")}),
                1.0), -1.0) AS cc FROM pv),
 m AS (SELECT count(*) AS n,
              count(*) FILTER (WHERE cs >= 0.5 AND y = 1) AS tp0,
@@ -402,5 +412,192 @@ ORACLE["inspection_sample"] = """SELECT doc_id, lang, n_chars FROM documents
 ORDER BY md5('123|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 50"""
 
 
+# Random negatives: texts in md5 order, pairs numbered by distance and first index.
+ORACLE["random_negatives"] = f"""WITH p AS ({ORACLE["positive_pairs"]}),
+texts AS (SELECT text, row_number() OVER (ORDER BY md5('123|' || text), text) - 1 AS idx
+          FROM (SELECT text_1 AS text FROM p UNION SELECT text_2 FROM p)),
+t AS (SELECT count(*) AS t FROM texts),
+excl AS (SELECT DISTINCT least(text_1, text_2) AS a, greatest(text_1, text_2) AS b FROM p),
+n AS (SELECT count(*) AS n FROM p),
+drawn AS (SELECT num, num % t AS i, (num % t + num // t + 1) % t AS j
+          FROM t, n, (SELECT count(*) FILTER (a < b) AS e FROM excl),
+               unnest(range(least(t * (t - 1) // 2, n + e))) u(num)),
+neg AS (SELECT num, least(x.text, y.text) AS a, greatest(x.text, y.text) AS b
+        FROM drawn JOIN texts x ON x.idx = i JOIN texts y ON y.idx = j),
+kept AS (SELECT neg.*, row_number() OVER (ORDER BY num) AS r FROM neg ANTI JOIN excl USING (a, b))
+SELECT a AS text_1, b AS text_2, CAST(-1 AS INTEGER) AS label FROM kept, n WHERE r <= n"""
+
+
+def _hashed(source: str, name: str) -> str:
+    """name(text, v): whole-count hashing vectors of source(text), 64 wide."""
+    return f"""{name}_t AS (SELECT DISTINCT text FROM {source} WHERE text IS NOT NULL),
+{name}_k AS (SELECT text, md5('0|' || tok) AS h
+             FROM (SELECT text, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS tok FROM {name}_t)),
+{name}_c AS (SELECT text, CAST(('0x' || substr(h, 1, 15)) AS BIGINT) % 64 AS d,
+                    sum(CASE WHEN right(h, 1) >= '8' THEN 1.0 ELSE -1.0 END) AS x FROM {name}_k GROUP BY ALL),
+{name} AS (SELECT text, list(coalesce(x, 0.0) ORDER BY d) AS v
+           FROM (SELECT text, unnest(range(64)) AS d FROM (SELECT DISTINCT text FROM {name}_c))
+           LEFT JOIN {name}_c USING (text, d) GROUP BY text)"""
+
+
+ORACLE["embed_documents"] = f"""WITH docs AS (SELECT doc_id, text FROM documents),
+{_hashed("docs", "h")},
+z AS (SELECT text, list_transform(range(64), lambda i: 0.0) AS v FROM docs
+      WHERE text <> '' AND text NOT IN (SELECT text FROM h)),
+vec AS (SELECT * FROM h UNION ALL SELECT DISTINCT * FROM z)
+SELECT doc_id, CAST(len(v) AS INTEGER) AS dims,
+       round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS norm,
+       CAST(list_position(v, list_max(v)) AS INTEGER) AS top_dim
+FROM docs LEFT JOIN vec USING (text)"""
+
+ORACLE["rejected_negatives"] = f"""WITH a AS ({ARTICULATION_VIEW_SQL}),
+ext AS ({EXTERNAL_CATALOGUE_SQL}),
+intl AS ({INTERNAL_CATALOGUE_SQL}),
+rows AS (SELECT l_orderkey, l_linenumber,
+                lower("COURSE CODE" || ', ' || "COURSE TITLE" || ', ' || "DESCRIPTION") AS text
+         FROM a JOIN ext ON a.TR_COURSE = ext.number
+         WHERE EQUIV_EXISTS = 'Y' AND EQUI_TITLE = 'NOT ACCEPTED IN TRANSFER'
+           AND regexp_full_match(EQUIV_CRSE, '[0-9]+') AND TERM >= 199700),
+home AS (SELECT "COURSE CODE" AS code,
+                lower("COURSE CODE" || ', ' || "COURSE TITLE" || ', ' || "DESCRIPTION") AS text FROM intl),
+{_hashed("rows", "q")},
+{_hashed("home", "c")},
+scored AS (SELECT q.text AS text_1, home.code, home.text AS text_2,
+                  round(list_cosine_similarity(q.v, c.v), 12) AS score
+           FROM q, home JOIN c ON c.text = home.text),
+best AS (SELECT *, row_number() OVER (PARTITION BY text_1 ORDER BY score DESC, code) AS rn FROM scored)
+SELECT l_orderkey, l_linenumber, rows.text AS text_1, text_2, round(score, 6) AS score,
+       CAST(-1 AS INTEGER) AS label
+FROM rows JOIN best ON best.text_1 = rows.text AND rn = 1"""
+
+
+def _rake(source: str) -> str:
+    """rake(id, keywords) of source(id, text): phrases between stop words and
+    punctuation, scored by the sum of degree / frequency of their words."""
+    stops = ", ".join(f"'{w}'" for w in STOPWORDS)
+    word = "[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+"
+    return f"""toks AS (SELECT id, i AS pos, t[i] AS tok FROM
+      (SELECT id, regexp_extract_all(lower(text), '{word}|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\s]+') AS t FROM {source}),
+      unnest(range(1, len(t) + 1)) u(i)),
+marked AS (SELECT *, CASE WHEN tok IN ({stops}) OR NOT regexp_full_match(tok, '{word}') THEN 1 ELSE 0 END AS brk
+           FROM toks),
+numbered AS (SELECT *, sum(brk) OVER (PARTITION BY id ORDER BY pos) AS phrase FROM marked),
+words AS (SELECT id, phrase, pos, tok, count(*) OVER (PARTITION BY id, phrase) AS size
+          FROM numbered WHERE brk = 0),
+scored AS (SELECT *, sum(size) OVER w / count(*) OVER w AS ws FROM words WINDOW w AS (PARTITION BY id, tok)),
+phrases AS (SELECT id, phrase, list_reduce(list(CAST(ws AS DOUBLE) ORDER BY pos), lambda x, y: x + y) AS score,
+                   string_agg(tok, ' ' ORDER BY pos) AS said FROM scored GROUP BY id, phrase),
+joined AS (SELECT id, string_agg(said, ' ' ORDER BY score DESC, said DESC) AS keywords FROM phrases GROUP BY id),
+rake AS (SELECT id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(keywords, '') END AS keywords
+         FROM {source} LEFT JOIN joined USING (id))"""
+
+
+ORACLE["rake_keywords"] = f"""WITH src AS (SELECT doc_id AS id, text FROM documents),
+{_rake("src")}
+SELECT id AS doc_id, keywords FROM rake"""
+
+ORACLE["keyword_texts"] = f"""WITH src AS (SELECT DISTINCT md5(text) AS id, text FROM documents WHERE length(text) > 47),
+{_rake("src")}
+SELECT doc_id, lower(regexp_replace(lower(source || ' ' || CAST(doc_id AS VARCHAR) || ', ' || lang || ', ' || keywords),
+                                    '[*+]', '', 'g')) AS text
+FROM documents JOIN rake ON rake.id = md5(text)
+WHERE length(text) > 47 AND lang IS NOT NULL"""
+
+ORACLE["row_filters"] = """SELECT source AS name, count(*) AS n FROM documents
+WHERE source IN ('src0', 'src1', 'src2') AND contains(text, 'the') AND regexp_matches(text, '[0-9]{2}')
+GROUP BY source
+UNION ALL
+SELECT upper(p_brand), count(*) FROM part WHERE p_size BETWEEN 3 AND 40 AND p_brand IS NOT NULL GROUP BY 1"""
+
+ORACLE["nearest_one"] = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings
+                                       WHERE label <> 0),
+{_ranked("ranked")}
+SELECT query_id, cand_id, round(score, 6) AS score FROM ranked WHERE rank = 1"""
+
+_DOC_TRUTH = "SELECT doc_id AS row_id, n_chars % 12 AS truth_code FROM documents"
+_FOUND = "q.row_id IN (SELECT vec_id FROM e)"
+_OUTCOME_COLUMNS = """SELECT row_id, CAST(truth_code AS INTEGER) AS truth_code, OSU_Course_Code, row_number, match,
+       similar_courses_row_number, round(similarity_score, 6) AS similarity_score, reason FROM outcomes"""
+
+ORACLE["outcome_reasons"] = f"""WITH {_E},
+{_ranked("ranked", where="a.vec_id IN (SELECT doc_id FROM documents)")},
+{_match(_DOC_TRUTH, "ranked", 10, searched=_FOUND)}
+{_OUTCOME_COLUMNS}"""
+
+ORACLE["fused_outcomes"] = f"""WITH {_E},
+{_fold_cte("e2", 32)},
+{_ranked("r1", where="a.vec_id IN (SELECT doc_id FROM documents)")},
+{_ranked("r2", "e2", where="a.vec_id IN (SELECT doc_id FROM documents) AND b.label <> 4")},
+{_fuse("FULL OUTER JOIN", "0.7 * coalesce(a.score, 0.0) + 0.3 * coalesce(b.score, 0.0)")},
+{_match(_DOC_TRUTH, _BY_QUERY, 10 ** 9, searched=_FOUND)}
+{_OUTCOME_COLUMNS}"""
+
+ORACLE["projected_hit_rate"] = _hit_rate(f"""e0 AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+{_fold_cte("e", 16, "e0")},
+{_ranked("ranked")},
+{_match(_SELF_TRUTH, "ranked", 20)}""")
+
+ORACLE["available_outcomes"] = f"""WITH {_E},
+{_ranked("ranked", where="a.vec_id <> b.vec_id AND b.label <> 3")},
+{_match(_SELF_TRUTH, "ranked", 10)}
+SELECT truth_code, match, reason, count(*) AS n FROM outcomes GROUP BY ALL"""
+
+ORACLE["transfer_truth"] = """WITH t AS (
+  SELECT replace(o_orderpriority, ' ', '-') AS Ext_Inst, year(o_orderdate) AS y,
+         'C ' || CAST(o_custkey AS VARCHAR) AS code FROM orders),
+names AS (SELECT unnest(['1-URGENT', '3-MEDIUM', '4-NOT-SPECIFIED', 'Nowhere-College']) AS Ext_Inst)
+SELECT Ext_Inst, CAST(y - 1 AS VARCHAR) || '-' || CAST(y AS VARCHAR) AS Transfer_Year, count(*) AS n,
+       count(DISTINCT code) AS n_codes
+FROM t JOIN names USING (Ext_Inst) GROUP BY Ext_Inst, y
+UNION ALL
+SELECT Ext_Inst, NULL, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM names ANTI JOIN t USING (Ext_Inst)"""
+
+ORACLE["best_by"] = """WITH r AS (
+  SELECT c_mktsegment, o_orderkey, CAST(o_totalprice AS DOUBLE) AS total,
+         row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC, o_orderkey) AS rn
+  FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT c_mktsegment, o_orderkey, round(total, 2) AS total FROM r WHERE rn = 1"""
+
+ORACLE["store_round_trip"] = """SELECT 'C ' || CAST(vec_id AS VARCHAR) AS code,
+       'I ' || CAST(label AS VARCHAR) AS institution, '2020-2021' AS years,
+       CAST(len(embedding) AS INTEGER) AS dims,
+       round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 4) AS norm
+FROM embeddings"""
+
+ORACLE["articulation_files"] = f"""WITH a AS ({ARTICULATION_VIEW_SQL})
+SELECT TRNS_DESCRIPTION, CAST(CAST(floor(TERM / 100) AS INTEGER) AS VARCHAR) AS YEAR, count(*) AS n,
+       min('00' || TR_COURSE) AS first_course, count(DISTINCT EQUI_TITLE) AS n_titles
+FROM a GROUP BY 1, 2"""
+
+_SPLIT_PAIRS = f"""{_PAIRS},
+pv AS (SELECT p.query_id, p.cand_id, p.cs, p.y, a.v AS va, b.v AS vb
+       FROM pairs p JOIN e a ON a.vec_id = p.query_id JOIN e b ON b.vec_id = p.cand_id),
+f AS (SELECT *, greatest(least(list_cosine_similarity({_folded(16, "va")}, {_folded(16, "vb")}), 1.0), -1.0) AS cc,
+             row_number() OVER (PARTITION BY y ORDER BY md5('123|' || CAST(query_id AS VARCHAR) || '|'
+                                || CAST(cand_id AS VARCHAR)), query_id, cand_id) AS rn,
+             count(*) OVER (PARTITION BY y) AS ny FROM pv)"""
+
+ORACLE["epoch_metrics"] = f"""WITH {_SPLIT_PAIRS},
+d AS (SELECT cc, CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END AS y,
+             CASE WHEN rn <= round(ny * 0.2) THEN 'test'
+                  WHEN rn - round(ny * 0.2) <= round((ny - round(ny * 0.2)) * 0.1) THEN 'validation'
+                  ELSE 'train' END AS dataset FROM f),
+h AS (SELECT dataset, cc, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM d GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY dataset ORDER BY cc ROWS BETWEEN UNBOUNDED PRECEDING
+                                        AND 1 PRECEDING), 0) AS below FROM h),
+auc AS (SELECT dataset, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY dataset),
+m AS (SELECT dataset, avg(greatest(cc, 0) - cc * y + ln(1 + exp(-abs(cc)))) AS loss,
+             avg(CASE WHEN (1 / (1 + exp(-cc)) > 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS accuracy
+      FROM d GROUP BY dataset)
+SELECT dataset, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy, round(auc, 6) AS auc
+FROM m JOIN auc USING (dataset)"""
+
+ORACLE["process_pairs"] = f"""WITH {_SPLIT_PAIRS},
+d AS (SELECT CASE WHEN rn <= round(ny * 0.2) THEN 'test' ELSE 'train' END AS dataset, cc, y FROM f)
+SELECT dataset, count(*) AS n,
+       round(avg(CASE WHEN (cc > 0.4 AND y = 1) OR (cc <= 0.4 AND y = -1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM d GROUP BY dataset"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

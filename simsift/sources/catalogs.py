@@ -7,6 +7,7 @@ names come from ``_metadata.file_path``."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,13 +111,21 @@ def write_embeddings(df: DataFrame, root: str, mode: str = "overwrite") -> None:
 
 
 def read_embeddings(spark: SparkSession, root: str, institution: str | None = None,
-                    years: str | None = None, variant: str | None = "plain") -> DataFrame:
+                    years: str | None = None, variant: str | None = "plain",
+                    ordinal: str | None = None) -> DataFrame:
     """Store rows for one (institution, years, variant); the filters prune
-    partitions.  A missing store or partition gives an empty DataFrame."""
+    partitions.  A missing store or partition gives an empty DataFrame.
+    ``ordinal`` names an added column with each row's place in the files."""
     try:
         df = spark.read.schema(STORE_SCHEMA).parquet(root)
-    except Exception:  # noqa: BLE001 - missing path
-        return spark.createDataFrame([], STORE_SCHEMA)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise                        # denied access, a bad root: not an empty store
+        empty = spark.createDataFrame([], STORE_SCHEMA)
+        return empty if ordinal is None else empty.withColumn(
+            ordinal, F.lit(None).cast("struct<file_path:string,row_index:bigint>"))
+    if ordinal is not None:
+        df = df.withColumn(ordinal, F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
     if institution is not None:
         df = df.where(F.col("institution") == institution)
     if years is not None:

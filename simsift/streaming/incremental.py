@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from simsift.functions import scalars as S
 from simsift.operators import embed as E
 from simsift.operators.topk import topk_similar
+from simsift.plans.truth import with_row_id
 from simsift.sources.catalogs import CATALOG_SCHEMA
 
 
@@ -40,9 +41,9 @@ def match_batches(stream: DataFrame, home: DataFrame, out_path: str, checkpoint:
                      .where(F.col("COURSE CODE").isNotNull()
                             & (F.col("COURSE CODE") != S.MISSING_CODE))
                      .withColumn("text", S.composite_text("COURSE CODE", "COURSE TITLE",
-                                                          "DESCRIPTION"))
-                     .withColumn("row_id", F.xxhash64("institution", "YEAR", "COURSE CODE",
-                                                      "text")))
+                                                          "DESCRIPTION")))
+        # Equal rows keep ids of their own; the id is fixed by writing the rows.
+        rows = with_row_id(rows)
         rows = E.embed_column(rows, "text", "embedding", embedder)
         top = topk_similar(rows, home, k, query_id="row_id", query_vec="embedding",
                            cand_id=home_id, cand_vec=home_vec)
