@@ -11,43 +11,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simsift.llm import decontaminate, hostquality, neardup, pseudonyms, queries, unigram
-from simsift.session import ensure_checkpoint_dir, materialize, ship_package
-
-
-def _ready(spark: SparkSession) -> None:
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
+from simsift.session import materialize, prepare
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the host-level quality rules keep."""
-    _ready(spark)
+    prepare(spark)
     return hostquality.drop_low_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
-    _ready(spark)
+    prepare(spark)
     return neardup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    _ready(spark)
+    prepare(spark)
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     return decontaminate.drop_contaminated(docs, benchmark)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data; ``n_chars`` follows the text."""
-    _ready(spark)
+    prepare(spark)
     done = pseudonyms.pseudonymize(docs, queries.DEMO_KEY)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, n_byte_tokens) of every document."""
-    _ready(spark)
+    prepare(spark)
     return unigram.encode(docs, unigram.read_model(spark, queries.PIECES))
 
 
@@ -66,7 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to ``documents``."""
-    _ready(spark)
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
