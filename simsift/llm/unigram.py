@@ -76,7 +76,7 @@ class DoubleArray:
             if not len(codes):
                 continue
             while True:                                       # first fit, a window of slots at a time
-                if free + 4096 > len(used):
+                while free + 4096 > len(used):
                     more = len(used)
                     base, check = np.append(base, np.zeros(more, np.int32)), np.append(check, np.full(more, -1, np.int32))
                     value, used = np.append(value, np.full(more, -1, np.int32)), np.append(used, np.zeros(more, bool))
@@ -101,7 +101,7 @@ class Model:
     """Pieces, scores and the trie.  ``kinds``: n normal, b byte, u unknown,
     c control (never used for text)."""
 
-    def __init__(self, pieces: list[str], scores: list[float], kinds: str):
+    def __init__(self, pieces: list[str], scores: list[float], kinds: str, trie: DoubleArray | None = None):
         self.pieces, self.kinds = pieces, kinds
         self.scores = np.array(scores, np.float64)
         normal = [i for i, k in enumerate(kinds) if k == "n"]
@@ -113,7 +113,7 @@ class Model:
                 self.byte_ids[int(pieces[i][3:5], 16)] = i
         self.fallback = bool((self.byte_ids >= 0).all())
         raw = [p.replace(MARK, " ").encode() for p in pieces]
-        self.trie = DoubleArray.build([(raw[i], i) for i in normal if raw[i]])
+        self.trie = trie or DoubleArray.build([(raw[i], i) for i in normal if raw[i]])
         self.longest = max((len(raw[i]) for i in normal), default=1)
         self.split = all(b" " not in raw[i].lstrip(b" ") for i in normal)
         # What a piece decodes to.
@@ -121,7 +121,7 @@ class Model:
                       for p, k, r in zip(pieces, kinds, raw, strict=True)]
 
     def __reduce__(self):
-        return Model, (self.pieces, self.scores.tolist(), self.kinds)
+        return Model, (self.pieces, self.scores.tolist(), self.kinds, self.trie)    # workers don't build it again
 
     # -- encoding ---------------------------------------------------------------
     def _long(self, raw: bytes) -> list[int]:
