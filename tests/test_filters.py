@@ -37,7 +37,7 @@ def test_keep_first_and_index(spark):
                                 ("a", 2, "mid")], "k string, o int, v string")
     got = {r.k: r.v for r in dedup.keep_first(df, ["k"], ["o"]).collect()}
     assert got == {"a": "early", "b": "only"}
-    cat = spark.createDataFrame([("MTH 2", "B"), ("MTH 1", "A"), ("MTH 2", "C"), (None, "Z")],
-                                "code string, title string")
-    idx = [tuple(r) for r in dedup.course_index(cat, "code", "title").collect()]
+    cat = spark.createDataFrame([(1, "MTH 2", "B"), (2, "MTH 1", "A"), (3, "MTH 2", "C"), (4, None, "Z")],
+                                "n int, code string, title string")
+    idx = [tuple(r) for r in dedup.course_index(cat, "code", "title", order=["n"]).collect()]
     assert idx == [("MTH 1", "A"), ("MTH 2", "C")]

@@ -38,6 +38,9 @@ def test_read_articulations_latin1(spark):
     assert r.TR_TITLE == "Trigonométrie" and r.EQUIV_CRSE == "0112" and r.TERM == 200801
 
 
+HOME = ("Oregon-State-University", "2023-2024")
+
+
 def store_rows():
     rows = []
     home = [("MTH 112", "Trig", [1.0, 0.0, 0.0]), ("MTH 111", "Alg", [0.9, 0.1, 0.0]),
@@ -61,22 +64,22 @@ def test_store_matcher_and_evaluation(spark):
     assert catalogs.read_embeddings(spark, root, "Nowhere").count() == 0
     years = [r.years for r in catalogs.list_catalog_years(catalogs.read_embeddings(spark, root, variant=None)).collect()]
     assert years == ["2023-2024"]
-    info, res = matcher.find_most_similar(spark, root, "PCC", "2023-2024", "mth 112z", top_n=2)
+    info, res = matcher.find_most_similar(spark, root, "PCC", "2023-2024", "mth 112z", HOME, top_n=2)
     assert info.count() == 1
     got = [(r["COURSE CODE"], r.rank, r["COURSE NUMBER"]) for r in res.collect()]
     assert got == [("MTH 112", 1, 112), ("MTH 111", 2, 111)]
-    _, none = matcher.find_most_similar(spark, root, "PCC", "2023-2024", "ZZ 999")
+    _, none = matcher.find_most_similar(spark, root, "PCC", "2023-2024", "ZZ 999", HOME)
     assert none.count() == 0
     t = spark.createDataFrame([
         ("PCC", "2023-2024", "MTH 112Z", "MTH 112"), ("PCC", "2023-2024", "BI 231", "BI 231"),
         ("PCC", "2023-2024", "WR 121", "WR 121"), ("PCC", "2023-2024", "XX 1", "MTH 112")],
         "Ext_Inst string, Transfer_Year string, Ext_Course_Code string, Int_Course_Code string")
     t = truth.with_row_id(t, truth.TRUTH_COLUMNS)
-    out, hr = matcher.evaluate(spark, root, t, k=2)
+    out, hr = matcher.evaluate(spark, root, t, HOME, k=2)
     m = {r.Ext_Course_Code: (r.match, r.row_number) for r in out.collect()}
     assert m == {"MTH 112Z": (1, 1), "BI 231": (1, 1), "WR 121": (-1, None), "XX 1": (-1, None)}
     assert [tuple(r) for r in hr.collect()] == [(1, 2, 2, 100.0)]
-    fused, _ = matcher.evaluate(spark, root, t, k=2, fusion="weighted")
+    fused, _ = matcher.evaluate(spark, root, t, HOME, k=2, fusion="weighted")
     assert {r.Ext_Course_Code: r.match for r in fused.collect()}["MTH 112Z"] == 1
     mpath = os.path.join(os.path.dirname(root), "matrix")
     from simsift.operators.projection import matrix_to_df
@@ -98,7 +101,8 @@ def test_truth_builders(spark):
         ("Y", "Lane Community College", "BI", "231", "Anat", 200802, "BI", "232", "ANAT2"),
         ("Y", "Lane Community College", "BI", "101", "Bio", 200699, "BI", "101", "BIO")],
         catalogs.ARTICULATION_SCHEMA)
-    t = truth.truth_from_articulations(art).collect()
+    art = art.withColumn("line", F.monotonically_increasing_id())
+    t = truth.truth_from_articulations(art, ["line"]).collect()
     assert [tuple(r) for r in t] == [("Lane-Community-College", "2007-2008", "BI 231", "BI 231")]
 
 
@@ -126,7 +130,8 @@ def test_training_pipeline(spark):
         ("Y", "Lane Community College", "ART", "101", "Draw", 200803, "ART", "000",
          "NOT ACCEPTED IN TRANSFER")], catalogs.ARTICULATION_SCHEMA)
     cache = os.path.join(tempfile.mkdtemp(prefix="cache-"), "emb")
-    p = training.build_pairs(art, ext, intl, cache, use_keywords=True)
+    p = training.build_pairs(art.withColumn("line", F.monotonically_increasing_id()), ext, intl, cache,
+                             use_keywords=True, order=["line"])
     rows = p.collect()
     assert sorted(r.label for r in rows) == [-1, 1, 1]
     neg = [r for r in rows if r.label == -1][0]

@@ -36,6 +36,22 @@ def test_sample_n(spark):
         split.sample_n(df, 51, ["id"], 1)
 
 
+def test_sample_by_cut_key_equals_top_n(spark, monkeypatch):
+    df = spark.createDataFrame([(i,) for i in range(300)], "id long")
+    small = {r.id for r in split.sample_n(df, 40, ["id"], 3).collect()}
+    monkeypatch.setattr(split, "TOP_N_ROWS", 5)
+    assert {r.id for r in split.sample_n(df, 40, ["id"], 3).collect()} == small and len(small) == 40
+
+
+def test_range_of():
+    from simsift.session import local_session
+    spark = local_session(4)
+    bounds = [1.0, 2.0, 2.5, 7.0]
+    rows = spark.createDataFrame([(float(x) / 2,) for x in range(18)], "x double")
+    for r in rows.select("x", split.range_of(F.col("x"), bounds).alias("n")).collect():
+        assert r.n == sum(b < r.x for b in bounds)
+
+
 def pos_df(spark, rows):
     return spark.createDataFrame([(a, b, 1) for a, b in rows], "text_1 string, text_2 string, label int")
 
@@ -57,6 +73,19 @@ def test_random_negatives(spark):
         pairs.random_negatives(pos_df(spark, [("a", "b")]), n=5)
 
 
+@pytest.mark.parametrize("t", [7, 8])
+def test_random_negatives_of_dense_positives(spark, t):
+    """All pairs but a few are positive: the few are found, whatever the parity."""
+    texts = [f"t{i}" for i in range(t)]
+    every = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1:]]
+    left = {("t0", "t3"), ("t1", "t2"), ("t2", "t6")}
+    p = pos_df(spark, [x for x in every if x not in left])
+    neg = pairs.random_negatives(p, n=3, seed=1).collect()
+    assert {(r.text_1, r.text_2) for r in neg} == left
+    with pytest.raises(ValueError):
+        pairs.random_negatives(p, n=4, seed=1)
+
+
 def vecdf(spark, vecs):
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vecs.items()],
                                  "id long, v array<float>")
@@ -73,12 +102,16 @@ def test_hard_negatives_needs_wider_search(spark):
     pos = spark.createDataFrame(posrows, "q long, c long")
     hn = {r.query_id: r for r in pairs.hard_negatives(
         df, df, pos, query_id="id", query_vec="v", cand_id="id", cand_vec="v",
-        pos_query="q", pos_cand="c", exclude_self=True, k0=2).collect()}
+        pos_query="q", pos_cand="c", exclude_self=True).collect()}
     assert len(hn) == len(vecs)
     sims = {j: float(np.dot(vecs[0], vecs[j]) / np.linalg.norm(vecs[0]) / np.linalg.norm(vecs[j]))
             for j in vecs if j >= 100}
     assert hn[0].cand_id == max(sims, key=sims.get)
-    assert hn[0].rank == 12
+    # a query whose positives are all candidates has no hard negative
+    every = spark.createDataFrame([(0, j) for j in vecs], "q long, c long")
+    assert 0 not in {r.query_id for r in pairs.hard_negatives(
+        df, df, every, query_id="id", query_vec="v", cand_id="id", cand_vec="v",
+        pos_query="q", pos_cand="c", exclude_self=True).collect()}
 
 
 def test_rejected_negatives_one_per_row(spark):

@@ -83,18 +83,40 @@ def test_block_topk_tie_rule():
     assert vals.tolist() == [[0.9, 0.5, 0.5]]
 
 
-def test_arrow_batch_guard(spark):
+def test_arrow_limit_is_put_back(spark):
     from simsift.operators import topk as TK
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key, "10000")
-    try:
-        spark.conf.set(key, "10000")
-        TK._bound_arrow_batches(spark, 50 * 1024 * 1024, 1)        # one pair: untouched
-        assert spark.conf.get(key) == "10000"
-        TK._bound_arrow_batches(spark, 50 * 1024 * 1024, 100)      # 5 GB of pairs: lowered
-        assert spark.conf.get(key) == str(TK.ARROW_BATCH_BYTES // (50 * 1024 * 1024))
-        spark.conf.set(key, "2")
-        TK._bound_arrow_batches(spark, 50 * 1024 * 1024, 100)      # stricter user value kept
-        assert spark.conf.get(key) == "2"
-    finally:
-        spark.conf.set(key, old)
+    conf, before = TK._RECORDS_CONF, spark.conf.get(TK._RECORDS_CONF, "10000")
+    with TK._arrow_records(spark, 50 * 1024 * 1024):
+        assert int(spark.conf.get(conf)) == 5
+    assert spark.conf.get(conf) == before
+    spark.conf.set(conf, "2")
+    with TK._arrow_records(spark, 50 * 1024 * 1024):          # a stricter user value is kept
+        assert spark.conf.get(conf) == "2"
+    spark.conf.set(conf, before)
+
+
+def test_limited_batches_give_the_same_rows(spark, monkeypatch):
+    from simsift.operators import topk as TK
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(f"id {i:03}", rng.normal(size=5).tolist()) for i in range(90)], "id string, v array<double>")
+    kw = dict(query_id="id", query_vec="v", cand_id="id", cand_vec="v", exclude_self=True)
+    want = sorted(map(tuple, TK.topk_similar(df, df, 4, **kw).collect()))
+    monkeypatch.setattr(TK, "ARROW_BATCH_BYTES", 1000)
+    assert sorted(map(tuple, TK.topk_similar(df, df, 4, block_rows=11, **kw).collect())) == want
+
+
+def test_excluded_pairs(spark):
+    from simsift.operators import topk as TK
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(60, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>")
+    cut = {(int(a), int(b)) for a, b in rng.integers(0, 60, size=(900, 2))}
+    x = spark.createDataFrame(sorted(cut), "query_id long, cand_id long")
+    n = m / np.linalg.norm(m, axis=1)[:, None]
+    sims = np.round(n @ n.T, 12)
+    got = {r.query_id: r.cand_id for r in TK.topk_similar(
+        df, df, 1, query_id="id", query_vec="v", cand_id="id", cand_vec="v", exclude_self=True, exclude=x,
+        block_rows=13).collect()}
+    for q in range(60):
+        free = [c for c in range(60) if c != q and (q, c) not in cut]
+        assert got[q] == max(free, key=lambda c: (sims[q, c], -c))
