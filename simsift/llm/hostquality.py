@@ -37,6 +37,7 @@ from simsift.llm.common import SMALL_ROWS, materialize
 MIN_WORDS = 50
 WINDOW = 3
 HOST_LIMIT = 0.5
+MIN_PRIOR = 2.0      # documents that the prior counts for at least (as a uniform one does)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
@@ -120,7 +121,7 @@ def strict_hosts(measured: DataFrame, host_col: str, prefix: str = "") -> tuple[
     p = hosts.agg(F.count("*").alias("hosts"), F.avg(F.col("f") / F.col("n")).alias("mean"),
                   F.var_pop(F.col("f") / F.col("n")).alias("var")).first()
     mean, var = p["mean"] or 0.0, p["var"] or 0.0
-    weight = max(1.0, min(1e6, mean * (1 - mean) / var - 1)) if var > 0 else 1e6
+    weight = max(MIN_PRIOR, min(1e6, mean * (1 - mean) / var - 1)) if var > 0 else 1e6
     rate = (F.lit(mean * weight) + F.col("f")) / (F.lit(weight) + F.col("n"))
     return hosts.where(rate > HOST_LIMIT).select("host"), p["hosts"] <= SMALL_ROWS
 

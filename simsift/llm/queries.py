@@ -182,7 +182,7 @@ judged AS (
            {_FAILS} AS fails FROM measured),
 hosts AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed OR fails > 0) AS f FROM judged GROUP BY host),
 prior AS (SELECT avg(f / n) AS mean, var_pop(f / n) AS var FROM hosts),
-weighted AS (SELECT mean, CASE WHEN var > 0 THEN greatest(1.0, least(1e6, mean * (1 - mean) / var - 1)) ELSE 1e6 END
+weighted AS (SELECT mean, CASE WHEN var > 0 THEN greatest({hostquality.MIN_PRIOR}, least(1e6, mean * (1 - mean) / var - 1)) ELSE 1e6 END
                     AS weight FROM prior),
 strict AS (SELECT host, (mean * weight + f) / (weight + n) > {hostquality.HOST_LIMIT} AS host_strict FROM hosts, weighted)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
