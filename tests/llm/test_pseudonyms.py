@@ -83,6 +83,8 @@ def test_given_table(spark):
         text = before[r.doc_id] or ""
         assert len(r.text or "") == len(text) and (r.n_values > 0) == (r.text != before[r.doc_id])
         for v in value.findall(text):
+            if v.isdigit() and P.luhn_digit(v[:-1]) != v[-1]:
+                continue                                      # not a card number
             seen += 1
             assert v not in r.text
     assert seen
