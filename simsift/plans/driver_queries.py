@@ -22,7 +22,7 @@ from simsift.operators.topk import nearest_one, topk_similar
 from simsift.plans import evaluation, training, truth
 from simsift.plans.tables import (articulation_view, external_catalogue, internal_catalogue,
                                   table, vectors)
-from simsift.session import scratch_table_path
+from simsift.session import materialize, scratch_table_path
 from simsift.sources import catalogs
 
 TOP_K = 10          # interactive matcher / fused paths
@@ -127,6 +127,11 @@ def _pairs(spark, sf):
                      F.when(F.col("l1") == F.col("l2"), 1).otherwise(-1).alias("label")))
 
 
+def _written(pairs_df):
+    """Pairs that a query reads more than once: the search runs once."""
+    return materialize(pairs_df, "pairs")
+
+
 def q_accuracy_sweep(spark, sf):
     a = metrics.accuracy_sweep(_pairs(spark, sf), "cosine_similarity", "label")
     return a.select(_r("accuracy").alias("accuracy"), F.col("n").cast("long").alias("n"),
@@ -248,7 +253,7 @@ def q_three_way_split(spark, sf):
 
 
 def q_sample_negatives(spark, sf):
-    p = _pairs(spark, sf)
+    p = _written(_pairs(spark, sf))
     n_pos = p.where(F.col("label") == 1).count()
     neg = split.sample_n(p.where(F.col("label") == -1), n_pos, ["query_id", "cand_id"], 123)
     return neg.select("query_id", "cand_id", _r("cosine_similarity").alias("cosine_similarity"),
@@ -360,7 +365,7 @@ def q_project_pairs(spark, sf):
 
 
 def q_fit_projection(spark, sf):
-    j = _vector_pairs(spark, sf)
+    j = _written(_vector_pairs(spark, sf))
     j = split.three_way_split(j, "label", ["query_id", "cand_id"], 0.2, 0.1, 123)
     cfg = learn.FitConfig(k=16, epochs=3, lr=0.05, loss="bce", optimizer="adam")
     res = learn.fit_projection(j, cfg, id_cols=["query_id", "cand_id"])
@@ -369,7 +374,7 @@ def q_fit_projection(spark, sf):
 
 def q_epoch_metrics(spark, sf):
     """Loss, accuracy and AUC of a fixed matrix on each dataset of the split."""
-    j = _vector_pairs(spark, sf)
+    j = _written(_vector_pairs(spark, sf))
     j = split.three_way_split(j, "label", ["query_id", "cand_id"], 0.2, 0.1, 123)
     j = j.withColumn("label", F.when(F.col("label") == 1, 1.0).otherwise(0.0))
     found = learn.evaluate(j, projection.fold_matrix(DIMS, FOLD_K), learn.FitConfig(),
@@ -380,13 +385,13 @@ def q_epoch_metrics(spark, sf):
 
 def q_process_pairs(spark, sf):
     """Accuracy of the projected cosine per dataset."""
-    j = split.stratified_split(_vector_pairs(spark, sf), "label", ["query_id", "cand_id"], 0.2, 123)
+    j = split.stratified_split(_written(_vector_pairs(spark, sf)), "label", ["query_id", "cand_id"], 0.2, 123)
     a = learn.process_pairs(j, projection.fold_matrix(DIMS, FOLD_K), 0.4)
     return a.select("dataset", F.col("n").cast("long").alias("n"), _r("accuracy").alias("accuracy"))
 
 
 def _split_pairs(spark, sf):
-    return split.stratified_split(_pairs(spark, sf), "label", ["query_id", "cand_id"], 0.2, 123)
+    return split.stratified_split(_written(_pairs(spark, sf)), "label", ["query_id", "cand_id"], 0.2, 123)
 
 
 def q_accuracy_by_dataset(spark, sf):

@@ -226,3 +226,29 @@ def test_best_epoch_dataset_must_exist(spark):
     best, runs = learn.grid_search(df, [dict(lr=0.1, batch_size=10), dict(lr=0.2, batch_size=20)], base, "test", id_cols=["id"])
     assert best is not None and {r["run_id"] for r in runs} == {0, 1}
     assert best.best_epoch in (1, 2)
+
+
+def test_home_catalogue_transfers_and_run_metrics_files(spark):
+    root = tempfile.mkdtemp(prefix="files-")
+    home = spark.createDataFrame([("M 1", "Calculus", "d"), ("M 1", None, None)],
+                                 ", ".join(f"`{c}` string" for c in catalogs.INTERNAL_COLUMNS))
+    for fmt in ("parquet", "csv"):
+        w = home.write.option("header", True)
+        w.format(fmt).save(f"{root}/home-{fmt}")
+        got = catalogs.read_internal_catalog(spark, f"{root}/home-{fmt}", fmt)
+        assert got.columns == ["COURSE CODE", "COURSE TITLE", "DESCRIPTION"]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([("M 1", "Calculus", "d"), ("M 1", None, None)], key=str)
+    moves = spark.createDataFrame([("Lane (PCC)", 202401, "MTH", "0112", "MTH 1")], catalogs.TRANSFER_SCHEMA)
+    for fmt in ("parquet", "csv"):
+        moves.write.option("header", True).format(fmt).save(f"{root}/moves-{fmt}")
+        assert [tuple(r) for r in catalogs.read_transfers(spark, f"{root}/moves-{fmt}", fmt).collect()] == [
+            ("Lane (PCC)", 202401, "MTH", "0112", "MTH 1")]
+    from simsift.operators import learn, metrics
+    runs = [{"run_id": i, "epoch": 1, "dataset": "test", "loss": 1.0 - i / 10, "accuracy": 0.5, "auc": 0.5,
+             "modified_embedding_length": 2, "batch_size": 10, "max_epochs": 1, "learning_rate": 0.1,
+             "dropout_fraction": 0.0} for i in range(3)]
+    table = learn.run_metrics_df(spark, runs)
+    catalogs.write_run_metrics(table, f"{root}/runs", "csv")
+    back = spark.read.option("header", True).option("inferSchema", True).csv(f"{root}/runs")
+    assert back.count() == 3 and back.columns == table.columns
+    assert metrics.best_by(back, "accuracy", ["run_id"]).first().run_id == 0
