@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from simsift.llm import words as W
 
 SEPARATOR = "\n"
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 MAX_VOCABULARY_BYTES = 64 << 20
 
 

@@ -38,7 +38,7 @@ from simsift.llm import words as W
 MARK = "▁"
 UNKNOWN_COST = 10.0
 SHORT = 48                      # bytes of a segment that numpy walks
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 DECODE_ROWS = 500
 SEGMENTS = 8_000                # short segments that are walked side by side
 MAX_MODEL_BYTES = 64 << 20
