@@ -72,28 +72,32 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     hop = materialize(
         links.join(here, _same(links, here, parent="node_"), "left")
         .select("tree", "node", F.col("node_").alias("up"), F.lit(1).cast("long").alias("length"), "score"), "hops")
-    hops = [hop]
+    # Each round doubles the hop of the messages that do not yet see their root;
+    # the others wait, with the length and score of their whole path.
+    hops, whole = [], hop.where("up is null")
     largest = hop.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
     for _ in range(math.ceil(math.log2(largest)) + 1):
-        if hop.where("up is not null").isEmpty():
+        moving = hop.where("up is not null")
+        if moving.isEmpty():
             break
-        far = hop.select(F.col("tree").alias("tree_"), F.col("node").alias("node_"), F.col("up").alias("up_"),
-                         F.col("length").alias("length_"), F.col("score").alias("score_"))
+        hops.append(moving)
+        far = whole.unionByName(moving).select(
+            F.col("tree").alias("tree_"), F.col("node").alias("node_"), F.col("up").alias("up_"),
+            F.col("length").alias("length_"), F.col("score").alias("score_"))
         hop = materialize(
-            hop.join(far, _same(hop, far, up="node_"), "left")
+            moving.join(far, _same(moving, far, up="node_"), "left")
             .select("tree", "node", F.col("up_").alias("up"),
                     (F.col("length") + F.coalesce("length_", F.lit(0))).alias("length"),
                     (F.col("score") + F.coalesce("score_", F.lit(0.0))).alias("score")), "hops")
-        hops.append(hop)
-    # All of a path is seen where nothing is left above; cycles never get there.
+        whole = whole.unionByName(hop.where("up is null"))
+    # Messages on a cycle never see a root.
     parents = links.select(F.col("tree").alias("tree_"), F.col("parent").alias("parent_")).where("parent is not null")
-    whole = hop.where("up is null")
     leaves = whole.join(parents, _same(whole, parents, node="parent_"), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("length"), "node")
     path = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select(
         "tree", F.col("node").alias("leaf"), "rank", "length", "node", F.lit(0).cast("long").alias("above"))
-    for i in reversed(range(len(hops) - 1)):
-        step = hops[i].where("up is not null").select(
+    for i in reversed(range(len(hops))):
+        step = hops[i].select(
             F.col("tree").alias("tree_"), F.col("node").alias("node_"), "up")
         # One row becomes itself and, if there is one, the message 2^i above it.
         both = F.explode(F.array(F.struct("node", "above"), F.struct(
