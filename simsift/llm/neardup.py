@@ -163,9 +163,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Equal sets are one node, named by the smallest id; so are repeats of an id.
     linkable = signed.where("n > 0 and id is not null")
-    classes = linkable.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
+    # Only sets that occur again are joined back, so the largest group of copies
+    # is counted map-side and its rows meet a table of one row per set.
+    classes = materialize(
+        linkable.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
+        .where("copies > 1").drop("copies"), "classes")
     member = materialize(linkable.select("id", "k1", "k2")
-                         .join(classes.where("copies > 1").drop("copies"), ["k1", "k2"])
+                         .join(F.broadcast(classes) if is_small(classes) else classes, ["k1", "k2"])
                          .where("id <> node"), "members")
     row = ["id", "k1", "k2"]
     nodes = linkable.join(F.broadcast(member) if is_small(member) else member, row, "left_anti")
