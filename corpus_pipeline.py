@@ -14,6 +14,11 @@ from simsift.llm import decontaminate, hostquality, neardup, pseudonyms, queries
 from simsift.session import materialize, prepare
 
 
+#: Documents on 5-word shingles are near copies from this similarity on; the 85 of
+#: ``neardup.PERCENT`` binds op7 only.
+NEAR_PERCENT = 80
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the host-level quality rules keep."""
     prepare(spark)
@@ -23,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
     prepare(spark)
-    return neardup.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 from simsift.llm import decontaminate as D
 from simsift.llm import hostquality, pseudonyms, queries, unigram
-from test_neardup import brute
+from test_neardup import brute, sets
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +41,24 @@ def test_stages_keep_the_columns(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_near_duplicates_from_four_fifths_on(spark):
+    """The stage against all pairs at 0.8: 100 words have 96 shingles; cutting the
+    tail to n words leaves a similarity of (n - 4) / 96."""
+    rows = []
+    for g, sizes in enumerate([(100, 81), (100, 80), (100, 85), (100, 86), (100, 84, 81), (100, 60)]):
+        words = [f"g{g}w{i}" for i in range(100)]
+        rows += [(10 * g + j, " ".join(words[:n])) for j, n in enumerate(sizes)]
+    shingles = {d: sets(t) for d, t in rows}
+    gone = set()
+    for b in shingles:
+        for a in shingles:
+            both = len(shingles[a] & shingles[b])
+            if a < b and 10 * both >= 8 * (len(shingles[a]) + len(shingles[b]) - both):
+                gone.add(b)
+    assert gone == {1, 21, 31, 41, 42}                    # 11 is below 0.8, 31 the only one from 0.85 on
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()}
+    assert kept == set(shingles) - gone
