@@ -18,6 +18,15 @@ the country code stays), date (1900-2099; y-m-d, d.m.y and m/d/y or d/m/y share
 one permutation of days, so the same day stays linked across layouts), e-mail
 (the local part; the domain stays), cloud access key id.
 
+Every format is looked for in the whole text, whatever stands beside a value
+(the T of a timestamp, a dash or dot before it).  A candidate that runs into its
+neighbours is tried again in its parts: cards in usual layouts, then any groups
+of 13 to 19 digits together; IBANs in their country's length, then any groups.
+A value that is found is final; no other format reads its characters.  Groups
+that pass the check digit by chance are taken for a card.  Where several parts of one
+run of groups pass, the run alone does not tell which was replaced, so ``undo``
+may restore another part there.
+
 Defined results: null stays null, empty stays empty; text without personal data
 is unchanged; repeated rows get equal results; an empty table gives an empty
 result; other columns pass unchanged, whatever their names."""
@@ -120,17 +129,28 @@ UPPER = LOWER.upper()
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
 # The order matters where formats overlap: a value goes to the first that validates it.
-_NUMBER = re.compile(r"(?<![\w.+-])[+(]{0,2}[0-9][0-9 ().:/+-]*[0-9](?![\w])")
 _IPV4 = re.compile(r"(?<![\d.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?\d)")
-_CARD = re.compile(r"(?<![\d-])[0-9](?:[ -]?[0-9]){12,18}(?![\d-]*\d)")
 _SSN = re.compile(r"(?<![\d-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?!-?\d)")
 _DATE = re.compile(r"(?<![\d./-])(?:([0-9]{4})-([0-9]{2})-([0-9]{2})|([0-9]{1,2})([./])([0-9]{1,2})\5([0-9]{4}))"
                    r"(?![./-]?\d)")
+_CHAIN = re.compile(r"[0-9](?:[ -]?[0-9]){12,}")      # digit groups that may hold cards
+_GROUP = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"(?<![\w+])(?:(\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}"
                     r"|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w-]*\d)")
 _EMAIL = re.compile(r"([A-Za-z0-9][A-Za-z0-9._%+-]*)@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
-_IBAN = re.compile(r"(?<!\w)([A-Z]{2})([0-9]{2})((?:[ ]?[A-Z0-9]){11,30})(?!\w)")
+_IBAN = re.compile(r"(?<!\w)([A-Z]{2})([0-9]{2})(?=((?:[ ]?[A-Z0-9]){11,30}))")
 _KEY_ID = re.compile(r"(?<![A-Z0-9])(AKIA|ASIA)([A-Z0-9]{16})(?![A-Z0-9])")
+_DIGIT = re.compile("[0-9]")
+
+CARD_LAYOUTS = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4])
+#: Characters of an IBAN by country.
+IBAN_SIZES = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 "
+    "FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 "
+    "LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 "
+    "SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
+#: Stands for the characters of a value that is found, so no other format reads them.
+FOUND = "\0"
 
 
 class Pseudonymizer:
@@ -146,13 +166,47 @@ class Pseudonymizer:
             self.networks[tweak, n] = network
         return network.restore(x) if undo else network.permute(x)
 
-    def _card(self, m: re.Match, undo: bool) -> str | None:
-        digits = re.sub(r"\D", "", m[0])
+    def _card(self, text: str, undo: bool) -> str | None:
+        digits = re.sub(r"\D", "", text)
         if luhn_digit(digits[:-1]) != digits[-1] or not digits.strip("0"):
             return None
         size = len(digits) - 1
         body = _text(self._permute("card", 10 ** size, int(digits[:-1]), undo), size, DIGITS)
-        return _fill(m[0], body + luhn_digit(body))
+        return _fill(text, body + luhn_digit(body))
+
+    def _cards(self, text: str, undo: bool, joined: bool) -> Iterator[tuple[int, int, str]]:
+        """Cards among the digit groups of each chain: whole groups and usual
+        layouts; with ``joined`` all other neighbours of 13 to 19 digits, first
+        between spaces, then between dashes too, the longest first."""
+        for chain in _CHAIN.finditer(text):
+            groups = [g.span() for g in _GROUP.finditer(text, *chain.span())]
+            free = [True] * len(groups)
+            for i, j in self._card_places(text, groups, joined):
+                if all(free[i:j]):
+                    start, end = groups[i][0], groups[j - 1][1]
+                    made = self._card(text[start:end], undo)
+                    if made is not None:
+                        free[i:j] = [False] * (j - i)
+                        yield start, end, made
+
+    @staticmethod
+    def _card_places(text: str, groups: list[tuple[int, int]], joined: bool) -> Iterator[tuple[int, int]]:
+        sizes, n = [b - a for a, b in groups], len(groups)
+        if not joined:
+            yield from ((i, i + 1) for i in range(n) if 13 <= sizes[i] <= 19)
+            for layout in CARD_LAYOUTS:
+                yield from ((i, i + len(layout)) for i in range(n) if sizes[i:i + len(layout)] == layout)
+            return
+        places: dict[tuple[bool, int], list[tuple[int, int]]] = {}
+        for i in range(n):
+            j, size = i, 0
+            while j < n and size + sizes[j] <= 19:
+                size, j = size + sizes[j], j + 1
+                if size >= 13:
+                    dashed = (i > 0 and text[groups[i][0] - 1] == "-") or (j < n and text[groups[j - 1][1]] == "-")
+                    places.setdefault((dashed, -size), []).append((i, j))
+        for key in sorted(places):
+            yield from places[key]
 
     def _ipv4(self, m: re.Match, undo: bool) -> str | None:
         parts = m[0].split(".")
@@ -212,6 +266,9 @@ class Pseudonymizer:
         head = m[1] or ""
         rest = m[0][len(head):]
         digits = re.sub(r"\D", "", rest)
+        while len(digits) > 14 and re.search(r"[ .-]\d+$", rest):   # numbers that follow the phone's
+            rest = re.sub(r"[ .-]\d+$", "", rest)
+            digits = re.sub(r"\D", "", rest)
         if not 7 <= len(digits) <= 14:
             return None
         # The same number is linked whatever its separators are.
@@ -236,17 +293,33 @@ class Pseudonymizer:
         take = iter(reversed(made))
         return "".join(next(take) if len(a) > 1 else a for a in layout) + "@" + m[2]
 
-    def _iban(self, m: re.Match, undo: bool) -> str | None:
-        account = m[3].replace(" ", "")
-        if int("".join(str(int(c, 36)) for c in account + m[1] + m[2])) % 97 != 1 or not re.search(r"\d", account):
+    def _iban(self, head: str, given: str, body: str, undo: bool) -> str | None:
+        account = body.replace(" ", "")
+        if int("".join(str(int(c, 36)) for c in account + head + given)) % 97 != 1 or not re.search(r"\d", account):
             return None
         digits = re.sub(r"\D", "", account)
         shape = re.sub(r"\d", "0", account)
-        x = self._permute(f"iban:{m[1]}{shape}", 10 ** len(digits), int(digits), undo)
+        x = self._permute(f"iban:{head}{shape}", 10 ** len(digits), int(digits), undo)
         account = _fill(account, _text(x, len(digits), DIGITS))
-        check = 98 - int("".join(str(int(c, 36)) for c in account + m[1] + "00")) % 97
+        check = 98 - int("".join(str(int(c, 36)) for c in account + head + "00")) % 97
         take = iter(account)
-        return f"{m[1]}{check:02}" + "".join(c if c == " " else next(take) for c in m[3])
+        return f"{head}{check:02}" + "".join(c if c == " " else next(take) for c in body)
+
+    def _ibans(self, text: str, undo: bool) -> Iterator[tuple[int, int, str]]:
+        """At each beginning the end of the country's length first, then the other
+        ends of groups, the longest first."""
+        done = 0
+        for m in _IBAN.finditer(text):
+            if m.start() < done:
+                continue
+            ends = [m.start(3) + w.end() for w in re.finditer(r"[A-Z0-9]+(?!\w)", m[3] + text[m.end(3):m.end(3) + 1])]
+            sizes = {e: 4 + len(text[m.start(3):e].replace(" ", "")) for e in ends if e <= m.end(3)}
+            for end in sorted(sizes, key=lambda e: (sizes[e] != IBAN_SIZES.get(m[1]), -e)):
+                made = self._iban(m[1], m[2], text[m.start(3):end], undo) if sizes[end] >= 15 else None
+                if made is not None:
+                    yield m.start(), end, made
+                    done = end
+                    break
 
     def _access_key(self, m: re.Match, undo: bool) -> str | None:
         alphabet = UPPER + DIGITS
@@ -255,44 +328,47 @@ class Pseudonymizer:
 
     def replace(self, text: str, undo: bool = False) -> tuple[str, Counter]:
         """(text with pseudonyms, number of values by kind)."""
+        values: list[tuple[int, int, str]] = []
         found: Counter = Counter()
-
-        def by(kind: str, change: Callable) -> Callable:
-            def run(m: re.Match) -> str:
+        left = text
+
+        def take(kind: str, places: Iterator[tuple[int, int, str]]) -> bool:
+            nonlocal left
+            new = list(places)
+            if new:
+                values.extend(new)
+                found[kind] += len(new)
+                parts, at = [], 0
+                for start, end, _ in sorted(new):
+                    parts += [left[at:start], FOUND * (end - start)]
+                    at = end
+                left = "".join([*parts, left[at:]])
+            return bool(new)
+
+        def by(pattern: re.Pattern, change: Callable) -> Iterator[tuple[int, int, str]]:
+            for m in pattern.finditer(left):
                 made = change(m, undo)
-                if made is None:
-                    return m[0]
-                found[kind] += 1
-                return made
-            return run
-        numbers = [(_IPV4, by("ipv4", self._ipv4)), (_SSN, by("ssn", self._ssn)), (_DATE, by("date", self._date)),
-                   (_CARD, by("card", self._card)), (_PHONE, by("phone", self._phone))]
+                if made is not None:
+                    yield m.start(), m.start() + len(made) if pattern is _PHONE else m.end(), made
         if "@" in text:
-            text = _EMAIL.sub(by("email", self._email), text)
+            take("email", by(_EMAIL, self._email))
         if "AKIA" in text or "ASIA" in text:
-            text = _KEY_ID.sub(by("access_key", self._access_key), text)
-        if _DIGIT.search(text):
-            text = _IBAN.sub(by("iban", self._iban), text)
-
-            def each(m: re.Match) -> str:
-                return _replace_parts(m[0], numbers)
-            text = _NUMBER.sub(each, text)
-        return text, found
-
-
-_DIGIT = re.compile("[0-9]")
-
-
-def _replace_parts(run: str, numbers: list) -> str:
-    """The first format that takes a part of a digit run; the parts before and
-    after it go on to the remaining formats, so nothing is replaced twice."""
-    for i, (pattern, change) in enumerate(numbers):
-        for m in pattern.finditer(run):
-            made = change(m)
-            if made != m[0]:
-                return (_replace_parts(run[:m.start()], numbers) if m.start() else "") + made + (
-                    _replace_parts(run[m.end():], numbers[i:]) if m.end() < len(run) else "")
-    return run
+            take("access_key", by(_KEY_ID, self._access_key))
+        again = bool(_DIGIT.search(text))
+        if again:
+            take("iban", self._ibans(left, undo))
+        while again:                                          # until no value is left beside another one
+            again = take("ipv4", by(_IPV4, self._ipv4))
+            again |= take("ssn", by(_SSN, self._ssn))
+            again |= take("date", by(_DATE, self._date))
+            again |= take("card", self._cards(left, undo, False))
+            again |= take("phone", by(_PHONE, self._phone))
+            again |= take("card", self._cards(left, undo, True))
+        out, at = [], 0
+        for start, end, made in sorted(values):
+            out += [text[at:start], made]
+            at = end
+        return "".join([*out, text[at:]]), found
 
 
 def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", counts: str | None = None,

@@ -46,6 +46,30 @@ def test_not_validated_is_left_alone(text):
     assert P.Pseudonymizer(KEY).replace(text) == (text, {})
 
 
+CARD, IBAN = "4111111111111111", "DE89 3704 0044 0532 0130 00"
+
+
+@pytest.mark.parametrize("text, value, kind", [
+    ("card 4111 1111 1111 1111 12/25", CARD, "card"), ("4111 1111 1111 1111 123", CARD, "card"),
+    ("no 12 4111111111111111", CARD, "card"), ("4111-1111-1111-1111-123", CARD, "card"),
+    ("year 2024 4111 1111 1111 1111 pin 1234", CARD, "card"), ("a 12 41111 11111 111111 7", CARD, "card"),
+    (f"{IBAN} BIC COBADEFFXXX", IBAN, "iban"), (f"{IBAN} EUR 100", IBAN, "iban"), (f"AB12 {IBAN} 7", IBAN, "iban"),
+    ("+1 988 555 2485 2024 12 1999", "9885552485", "phone")])
+def test_neighbours_are_not_swallowed(text, value, kind):
+    out, found = P.Pseudonymizer(KEY).replace(text)
+    assert found[kind] == 1 and len(out) == len(text)
+    plain = re.sub(r"[ -]", "", out)
+    assert value.replace(" ", "") not in plain
+    if kind != "phone":                                       # linked with the same value standing alone
+        assert re.sub(r"[ -]", "", P.Pseudonymizer(KEY).replace(value)[0]) in plain
+    assert P.Pseudonymizer(KEY).replace(out, undo=True)[0] == text
+
+
+def test_phone_lists_are_no_cards():
+    out, found = P.Pseudonymizer(KEY).replace("555-123-4567 555-987-6543 555-123-4567")
+    assert found == {"phone": 3} and out[:12] == out[-12:]
+
+
 def test_all_days_and_unpadded_dates():
     w = P.Pseudonymizer(KEY)
     assert w.replace("2/9/2024")[0] != "2/9/2024"
