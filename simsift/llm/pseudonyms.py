@@ -129,9 +129,9 @@ UPPER = LOWER.upper()
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
 # The order matters where formats overlap: a value goes to the first that validates it.
-_IPV4 = re.compile(r"(?<![\d.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?\d)")
-_SSN = re.compile(r"(?<![\d-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?!-?\d)")
-_DATE = re.compile(r"(?<![\d./-])(?:([0-9]{4})-([0-9]{2})-([0-9]{2})|([0-9]{1,2})([./])([0-9]{1,2})\5([0-9]{4}))"
+_IPV4 = re.compile(r"(?<!\d)(?<!\d\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?\d)")
+_SSN = re.compile(r"(?<!\d)(?<!\d-)([0-9]{3})-([0-9]{2})-([0-9]{4})(?!-?\d)")
+_DATE = re.compile(r"(?<!\d)(?<!\d[./-])(?:([0-9]{4})-([0-9]{2})-([0-9]{2})|([0-9]{1,2})([./])([0-9]{1,2})\5([0-9]{4}))"
                    r"(?![./-]?\d)")
 _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9]){12,}")      # digit groups that may hold cards
 _GROUP = re.compile(r"[0-9]+")

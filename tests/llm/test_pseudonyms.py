@@ -78,6 +78,18 @@ def test_all_days_and_unpadded_dates():
     assert dotted == f"{d}.{m}.{y}"
 
 
+@pytest.mark.parametrize("text, value, kind", [
+    ("2020-01-05T10:00:00Z", "2020-01-05", "date"), ("at 2024-02-29T10:00", "2024-02-29", "date"),
+    ("log-2020-01-05.gz", "2020-01-05", "date"), ("card-4111111111111111", CARD, "card"),
+    ("card.4111111111111111", CARD, "card"), ("host-10.0.0.1", "10.0.0.1", "ipv4"), ("Host.10.0.0.1", "10.0.0.1", "ipv4"),
+    ("Tel.555-123-4567", "555-123-4567", "phone"), ("ssn-078-05-1120", "078-05-1120", "ssn")])
+def test_values_beside_letters_dashes_and_dots(text, value, kind):
+    out, found = P.Pseudonymizer(KEY).replace(text)
+    assert found == {kind: 1}
+    assert out == text.replace(value, P.Pseudonymizer(KEY).replace(value)[0]) and out != text
+    assert P.Pseudonymizer(KEY).replace(out, undo=True)[0] == text
+
+
 def test_table(spark):
     rows = [(1, TEXT, "x", 1), (2, "again 42.144.35.254", "y", 2), (None, None, None, None), (3, "", "", 0),
             (1, TEXT, "x", 1), (4, "long " * 40_000 + " a.b@c.de", "", 0)]
