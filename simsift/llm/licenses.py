@@ -6,8 +6,10 @@ templates' k-grams (a fixed table of a few hundred rows, broadcast), the words
 of a k-gram are compared as text where the hash agrees, and each match votes for
 the diagonal ``text position - template position``.  A diagonal with all votes
 is a whole phrase in place.  Neighbouring diagonals are merged (a few words put
-in or left out shift the diagonal) and a merged span is accepted when it covers
-enough of the template.
+in or left out shift the diagonal).  A merged span is verified before it is
+accepted: the longest row of its matches that goes forward both in the text and
+in the template must hold enough of the template's k-grams, so a k-gram that the
+text repeats or has out of order counts once or not at all.
 
 Defined results: null or empty text: no words, no labels, score 0; one row out
 for each row in (repeated rows too, null ids too); an empty table gives an empty
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -110,8 +112,9 @@ def _templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
 
 
 def diagonals(docs: DataFrame, id_col: str, text_col: str, templates: dict[str, str]) -> DataFrame:
-    """(row, template, label, grams, diagonal, votes, lo, hi, id, n_words): one
-    row for each diagonal with votes, and one with template null for each text."""
+    """(row, template, label, grams, diagonal, votes, lo, hi, at, id, n_words): one
+    row for each diagonal with votes, at which template positions, and one with
+    template null for each text."""
     wanted = np.array([g[0] for g in template_grams(templates)], dtype=np.int64).view(np.uint64)
     grams = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")) \
         .mapInArrow(_kernel(wanted), ROWS)
@@ -120,12 +123,14 @@ def diagonals(docs: DataFrame, id_col: str, text_col: str, templates: dict[str,
         .where("pos is null or template is not null")
     return voted.groupBy("row", "template", "label", "grams", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
         F.count("t_pos").alias("votes"), F.min("pos").alias("lo"), (F.max("pos") + K).alias("hi"),
+        F.collect_list("t_pos").alias("at"),
         F.max("id").alias("id"), F.max("n_words").alias("n_words"))
 
 
 def spans(diags: DataFrame) -> DataFrame:
-    """Merge neighbouring diagonals of one text and template: adds span, votes
-    and bounds of the merged span on each diagonal's row."""
+    """Merge neighbouring diagonals of one text and template: (row, template,
+    label, grams, span, votes, lo, hi, whole, first_whole, last_whole, matches, id,
+    n_words), matches as (text position, less the template position)."""
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     jump = (F.col("diagonal") - F.lag("diagonal").over(order) > GAP).cast("int")
     merged = diags.withColumn("span", F.sum(F.coalesce(jump, F.lit(0))).over(order))
@@ -134,9 +139,23 @@ def spans(diags: DataFrame) -> DataFrame:
         F.sum((F.col("votes") == F.col("grams")).cast("long")).alias("whole"),
         F.min(F.when(F.col("votes") == F.col("grams"), F.col("diagonal"))).alias("first_whole"),
         F.max(F.when(F.col("votes") == F.col("grams"), F.col("diagonal"))).alias("last_whole"),
+        F.flatten(F.collect_list(F.transform("at", lambda t: F.struct(
+            (F.col("diagonal") + t).alias("pos"), (-t).alias("back"))))).alias("matches"),
         F.max("id").alias("id"), F.max("n_words").alias("n_words"))
 
 
+def covered() -> Column:
+    """The most matches of a span that go forward in the text and the template.
+    ``best[t]`` is that number for matches ending at template position t; of one
+    text position the larger template positions come first, so it counts once."""
+    def step(best: Column, match: Column) -> Column:
+        at = (-match["back"]).cast("int")
+        longer = F.coalesce(F.array_max(F.slice(best, F.lit(1), at)), F.lit(0)) + 1
+        return F.transform(best, lambda b, t: F.when(t == at, F.greatest(b, longer)).otherwise(b))
+    return F.array_max(F.aggregate(
+        F.array_sort("matches"), F.array_repeat(F.lit(0), F.col("grams").cast("int")), step))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels,
     score) for every row.  ``n_base`` counts whole base phrases; ``labels`` adds
@@ -144,7 +163,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an accepted span covers."""
     found = spans(diagonals(docs, id_col, text_col, BASE | NOTICES))
     base = F.coalesce(F.col("template") < len(BASE), F.lit(False)) & (F.col("whole") > 0)
-    share = F.least(F.col("votes") / F.col("grams"), F.lit(1.0))
+    # Votes are never fewer than what they cover, so only spans with enough are verified.
+    found = found.withColumn("share", F.when(F.col("whole") > 0, F.lit(1.0)).when(
+        F.col("votes") / F.col("grams") >= COVERED, covered() / F.col("grams")).otherwise(0.0))
+    share = F.col("share")
     accepted = (F.col("whole") > 0) | (F.coalesce(F.col("template") >= len(BASE), F.lit(False)) & (share >= COVERED))
 
     def names(condition):

@@ -52,3 +52,18 @@ def test_given_table(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for g in L.scan_licenses(docs).collect():
         assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels) == base(texts[g.doc_id])
+
+
+def test_spans_are_verified(spark):
+    """Repeated and reversed parts of a template are not the template."""
+    terms = list(L.NOTICES)[12]
+    words = terms.split()
+    cases = [("CC BY, CC BY-SA", "cc-by,cc-by-sa", 1.0), ("cc by cc by", "cc-by", 1.0), ("cc by cc by cc by", "cc-by", 1.0),
+             ("public license or public license", "", 0.0), ("by nc cc by", "cc-by", 1.0),
+             ("mozilla public or public license", "mpl", 1.0), ("cc by by nc", "cc-by,cc-by-nc", 1.0),
+             (" ".join(words[:6] * 4), "", 0.0), (" ".join(words[:7] + ["x"] + words[7:]), "gpl", 14 / 15),
+             ("public license " * 5_000, "", 0.0), (" ".join(words[:15] + words[13:]), "gpl", 1.0)]
+    df = spark.createDataFrame([(i, t, "") for i, (t, _, _) in enumerate(cases)], SCHEMA)
+    got = {r.doc_id: (r.labels, r.score) for r in L.scan_licenses(df).collect()}
+    for i, (text, labels, score) in enumerate(cases):
+        assert got[i] == (labels, score), text[:80]
