@@ -1,7 +1,7 @@
 """A document pipeline of five operators of ``simsift.llm``.
 
 Quality rules, near-duplicate removal, benchmark decontamination, pseudonyms for
-personal data, and SentencePiece encoding.  Every stage works on all that the
+personal data, and SentencePiece encoding and decoding.  Every stage works on all that the
 stage before it kept; its result is written as Parquet (under the shared folder
 of ``spark.checkpoint.dir``) and read again for the next one."""
 
@@ -46,9 +46,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, n_byte_tokens) of every document."""
+    """(doc_id, ids, n_tokens, n_byte_tokens, round_trip) of every document; for
+    ``round_trip`` the ids are decoded and compared with the text."""
     prepare(spark)
-    return unigram.encode(docs, unigram.read_model(spark, queries.PIECES))
+    return unigram.encode(docs, unigram.read_model(spark, queries.PIECES), check=True)
 
 
 STAGES = [

@@ -62,3 +62,10 @@ def test_near_duplicates_from_four_fifths_on(spark):
                                "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()}
     assert kept == set(shingles) - gone
+
+
+def test_encoding_is_decoded(spark):
+    df = spark.createDataFrame([(1, "a b\u2581c é", "en", "s", 7), (2, "", "en", "s", 0), (3, None, None, None, None)],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.encoding(spark, df, SF).collect()}
+    assert len(got) == 3 and all(r.round_trip for r in got.values())
