@@ -20,8 +20,9 @@ probability 3e-7, at 0.80 with 6e-5, less above.
 
 Defined results: null or empty text: empty set, linked with nothing; fewer words
 than a shingle: the whole sequence is one shingle; a null id: not linked,
-component null, kept; rows that repeat an id are one node (linked if any of them
-is); equal texts and repeated rows share a component, the smallest id is kept;
+component null, kept; rows that repeat an id are one node, linked with all that
+any of them is linked with or equal to; rows are dropped by id, so all rows of an
+id stay or go together, repeated ones too; equal texts and repeated rows share a component, the smallest id is kept;
 an empty table gives an empty result; other columns are not looked at."""
 
 from __future__ import annotations
@@ -174,6 +175,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row = ["id", "k1", "k2"]
     nodes = linkable.join(F.broadcast(member) if is_small(member) else member, row, "left_anti")
 
+    # An id with several sets joins the nodes of all of them.
+    ids = semi(linkable.select(row), member, "id").groupBy("id").agg(
+        F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi"))
+    mixed = materialize(ids.where("lo <> hi").select("id"), "mixed-ids")
+    joined = semi(member.select("id", "node"), mixed, "id").distinct().toDF("a", "b")
+
     # Bands that several nodes share; a node's weight is how full its bands are.
     banded = nodes.select("id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -191,7 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What the leaders leave unconnected: pairs of one band and two components.
     first_ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
     sets = _sets_of(rows, first_ids)
-    links = materialize(_confirmed(near, sets, percent), "leader-links")
+    links = materialize(_confirmed(near, sets, percent).union(joined), "leader-links")
     found = components(links).toDF("id", "component")
     placed = bands.join(found, "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("component"))
@@ -242,7 +249,7 @@ def _sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents whose component has a smaller id; columns
-    unchanged."""
+    unchanged.  All rows of an id stay or go together."""
     judged = near_duplicates(docs, id_col, text_col, percent)
     gone = materialize(judged.where("not kept").select(F.col(id_col).alias("id")).distinct(), "gone")
     wide = gone.withColumnRenamed("id", id_col)

@@ -104,6 +104,19 @@ def test_edges(spark):
     assert kept.columns == ["doc_id", "text", "kept"] and kept.count() == 5
 
 
+def test_repeated_ids_close_over_links(spark):
+    """9 is near a row of 5, another row of 5 equals 3: all are 3's."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near_b = b + " more"
+    rows = [(3, a, ""), (5, a, ""), (5, b, ""), (9, near_b, ""), (11, "c d e", ""), (11, "c d e", ""),
+            (21, a + " x y z q r s t u v w x1 x2", ""), (31, "k l m", ""), (33, "k l m", ""), (33, "n o p", ""), (35, "n o p", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (11, 11, True), (21, 21, True),
+                   (31, 31, True), (33, 31, False), (35, 31, False)}
+    assert sorted(r.doc_id for r in neardup.drop_near_duplicates(df).collect()) == [3, 11, 11, 21, 31]
+
+
 def test_estimate_is_corrected(spark):
     base = [f"x{i}" for i in range(2000)]
     a, b = " ".join(base), " ".join(base[400:] + [f"y{i}" for i in range(400)])
