@@ -297,8 +297,9 @@ def fit_projection(pairs: DataFrame, cfg: FitConfig | None = None, *,
                              y.alias(label), F.col(dataset),
                              F.xxhash64(F.lit(cfg.seed), *bucket_src).alias("_h")))
     whole = prepared = materialize(prepared, "train")
-    names = {r[0] for r in prepared.select(dataset).distinct().limit(100).collect()}
-    if cfg.select_on not in names and names:
+    chosen = prepared.where(F.col(dataset).eqNullSafe(F.lit(cfg.select_on)))
+    if chosen.isEmpty() and not prepared.isEmpty():
+        names = {r[0] for r in prepared.select(dataset).distinct().limit(100).collect()}
         raise ValueError(f"no rows of dataset {cfg.select_on!r} to choose the best epoch on; there are {sorted(map(str, names))}")
     first = prepared.select(F.size(e1).alias("d")).first()
     if first is None:

@@ -54,6 +54,14 @@ def test_fit_reduces_loss_on_separable_pairs(spark):
     assert np.allclose(back, res.matrix)
 
 
+def test_select_on_is_found_among_many_datasets(spark):
+    rows = [([1.0, i / 400], [0.5, 1.0], 1 if i % 2 else -1, f"other {i}" if i < 400 else "train") for i in range(410)]
+    rows += [([1.0, 0.2], [0.5, 1.0], y, "validation") for y in (1, -1)]
+    df = spark.createDataFrame(rows, "text_1_embedding array<double>, text_2_embedding array<double>, "
+                                     "label int, dataset string")
+    assert learn.fit_projection(df, learn.FitConfig(k=1, epochs=1)).matrix.shape == (2, 1)
+
+
 def test_identity_projection_keeps_cosine(spark):
     df = spark.createDataFrame([([1.0, 2.0, 0.5], [0.3, -1.0, 2.0])],
                                "text_1_embedding array<double>, text_2_embedding array<double>")
