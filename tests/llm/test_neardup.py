@@ -18,7 +18,7 @@ def sets(text):
     return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
 
 
-def brute(docs):
+def brute(docs, percent=85):
     """{doc_id: (n_shingles, component)} by comparing every pair."""
     shingles = {d: sets(t) for d, t in docs}
     parent = {d: d for d in shingles}
@@ -35,7 +35,7 @@ def brute(docs):
     pairs = {(a, b) for v in where.values() if len(v) > 1 for i, b in enumerate(v) for a in v[:i]}
     for a, b in pairs:
         both = len(shingles[a] & shingles[b])
-        if 100 * both >= 85 * len(shingles[a] | shingles[b]):
+        if 100 * both >= percent * len(shingles[a] | shingles[b]):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     return {d: (len(shingles[d]), root(d)) for d in ids}

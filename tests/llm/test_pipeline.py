@@ -14,7 +14,7 @@ def test_run_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
     kept = {r.doc_id for r in hostquality.host_quality(docs).collect() if r.kept}
-    groups = brute([(d, rows[d].text) for d in sorted(kept)])
+    groups = brute([(d, rows[d].text) for d in sorted(kept)], corpus_pipeline.NEAR_PERCENT)
     kept = {d for d in kept if groups[d][1] == d}
     items = [D.normalise(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     texts = {d: D.normalise(rows[d].text or "") for d in kept}
