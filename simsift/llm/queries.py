@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simsift.llm import (chat, decontaminate, hostquality, licenses, neardup, pseudonyms, tokencounts, unigram,
-                         urlfilter, warc)
+                         urlfilter, warc, whitening)
 from simsift.session import materialize
 
 TOKENIZERS = "file:///opt/tokenizers"
@@ -79,12 +79,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("record", F.col("record").cast("string"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pigeonhole_decontamination": op1, "op2_unigram_pieces": op2, "op3_reply_tree_chat": op3,
         "op4_license_diagonals": op4, "op5_host_quality": op5, "op6_section_tokens": op6,
         "op7_bbit_minhash": op7, "op8_url_vocabulary": op8, "op9_feistel_pseudonyms": op9,
-        "op10_warc_derivatives": op10,
+        "op10_warc_derivatives": op10, "op13_incremental_whitening": op13,
     }
 
 
