@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simsift.llm import (chat, decontaminate, hostquality, licenses, neardup, pseudonyms, tokencounts, unigram,
-                         urlfilter, warc, whitening)
+from simsift.llm import (chat, decontaminate, hardneg, hostquality, licenses, neardup, pseudonyms, tokencounts,
+                         unigram, urlfilter, warc, whitening)
 from simsift.session import materialize
 
 TOKENIZERS = "file:///opt/tokenizers"
@@ -79,6 +79,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("record", F.col("record").cast("string"))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(_table(spark, sf_dir, "embeddings"), label=label)
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -88,7 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pigeonhole_decontamination": op1, "op2_unigram_pieces": op2, "op3_reply_tree_chat": op3,
         "op4_license_diagonals": op4, "op5_host_quality": op5, "op6_section_tokens": op6,
         "op7_bbit_minhash": op7, "op8_url_vocabulary": op8, "op9_feistel_pseudonyms": op9,
-        "op10_warc_derivatives": op10, "op13_incremental_whitening": op13,
+        "op10_warc_derivatives": op10, "op12_cluster_hard_negatives": op12,
+        "op13_incremental_whitening": op13,
     }
 
 
@@ -242,7 +248,30 @@ SELECT page_id, host, path, CASE {' '.join(_RULE_CASES['rule'])} END AS rule,
 FROM urls LEFT JOIN found USING (row)
 """
 
+OP12_SQL = """
+WITH vecs AS (
+    SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+scores AS (
+    SELECT a.row AS a_row, a.vec_id AS anchor_id, b.row, b.vec_id, a.label = b.label AS same,
+           CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+    FROM vecs a JOIN vecs b ON a.row <> b.row WHERE a.vec_id % 50 = 0),
+positives AS (
+    SELECT a_row, row_number() OVER w AS place, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY place <= 5 WINDOW w AS (PARTITION BY a_row ORDER BY score DESC, vec_id, row)),
+ranked AS (
+    SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+           row_number() OVER (PARTITION BY a_row, place ORDER BY score DESC, vec_id, row) AS rank
+    FROM positives JOIN scores USING (a_row)
+    WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_reply_tree_chat": OP3_SQL, "op4_license_diagonals": OP4_SQL, "op5_host_quality": OP5_SQL,
-            "op7_bbit_minhash": OP7_SQL, "op8_url_vocabulary": OP8_SQL}
+            "op7_bbit_minhash": OP7_SQL, "op8_url_vocabulary": OP8_SQL, "op12_cluster_hard_negatives": OP12_SQL}
