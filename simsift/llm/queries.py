@@ -261,7 +261,7 @@ scores AS (
     FROM vecs a JOIN vecs b ON a.row <> b.row WHERE a.vec_id % 50 = 0),
 positives AS (
     SELECT a_row, row_number() OVER w AS place, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
-    QUALIFY place <= 5 WINDOW w AS (PARTITION BY a_row ORDER BY score DESC, vec_id, row)),
+    WINDOW w AS (PARTITION BY a_row ORDER BY score DESC, vec_id, row) QUALIFY place <= 5),
 ranked AS (
     SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
            row_number() OVER (PARTITION BY a_row, place ORDER BY score DESC, vec_id, row) AS rank
