@@ -46,7 +46,7 @@ from simsift.session import release
 
 COMPONENTS = 8
 SCALE, SHIFT = 1024, 100_000
-BLOCK = 512          # rows of one block
+BLOCK = 4_096        # rows of one block
 FAN = 8              # spectra that one task combines in a round
 _EPS = np.finfo(np.float64).eps
 _LONG = (1 << 63) - 1
@@ -252,11 +252,17 @@ _PART = "part long, n long, mean array<double>, vals array<double>, basis array<
 def _spectra(centre: Centre, scale: int, shift: int, block: int):
     """The spectrum of a partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = Spectrum(len(centre.sums))
+        mine, held, count = Spectrum(len(centre.sums)), [], 0
         for batch in batches:
             rows, x = _integers(batch.column(0), scale, shift)
             for a in range(0, len(rows), block):
-                mine.add(centre.rows(x[a:a + block]))
+                held.append(centre.rows(x[a:a + block]))
+                count += len(held[-1])
+                if count >= block:
+                    mine.add(np.concatenate(held))
+                    held, count = [], 0
+        if held:
+            mine.add(np.concatenate(held))
         if mine.n:
             yield pa.record_batch(
                 [pa.array([TaskContext.get().partitionId()]), pa.array([mine.n]), pa.array([mine.mean]),
