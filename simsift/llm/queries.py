@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simsift.llm import (chat, decontaminate, hardneg, hostquality, licenses, neardup, pseudonyms, tokencounts,
-                         unigram, urlfilter, warc, whitening)
+from simsift.llm import (chat, decontaminate, hardneg, hostquality, licenses, neardup, pseudonyms, secretscan,
+                         tokencounts, unigram, urlfilter, warc, whitening)
 from simsift.session import materialize
 
 TOKENIZERS = "file:///opt/tokenizers"
@@ -79,6 +79,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("record", F.col("record").cast("string"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hardneg.hard_negatives(_table(spark, sf_dir, "embeddings"), label=label)
@@ -93,8 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pigeonhole_decontamination": op1, "op2_unigram_pieces": op2, "op3_reply_tree_chat": op3,
         "op4_license_diagonals": op4, "op5_host_quality": op5, "op6_section_tokens": op6,
         "op7_bbit_minhash": op7, "op8_url_vocabulary": op8, "op9_feistel_pseudonyms": op9,
-        "op10_warc_derivatives": op10, "op12_cluster_hard_negatives": op12,
-        "op13_incremental_whitening": op13,
+        "op10_warc_derivatives": op10, "op11_trigram_secrets": op11,
+        "op12_cluster_hard_negatives": op12, "op13_incremental_whitening": op13,
     }
 
 
@@ -248,6 +252,34 @@ SELECT page_id, host, path, CASE {' '.join(_RULE_CASES['rule'])} END AS rule,
 FROM urls LEFT JOIN found USING (row)
 """
 
+def _secret_spans(k: int, rule: secretscan.Rule) -> str:
+    """A rule's spans: between the matches stand the pieces that the text splits into."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+    SELECT row, {k} AS kind, '{rule.kind}' AS name, {int(k < len(secretscan.BASE))} AS base,
+           CAST(list_sum(list_transform(pieces[1:i], lambda p: length(p)))
+                + coalesce(list_sum(list_transform(found[1:i - 1], lambda m: length(m))), 0) AS BIGINT) AS start,
+           length(found[i]) AS size
+    FROM (SELECT row, regexp_extract_all(text, '{pattern}') AS found,
+                 regexp_extract_all(text, '{pattern}', {rule.group}) AS judged,
+                 string_split_regex(text, '{pattern}') AS pieces FROM docs),
+         unnest(range(1, len(found) + 1)) u(i)
+    WHERE length(judged[i]) >= {rule.least}"""
+
+
+OP11_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(_secret_spans(k, r) for k, r in enumerate(secretscan.BASE + secretscan.ADDED))}),
+said AS (SELECT *, name || ':' || start || ':' || (start + size) AS span FROM spans),
+joined AS (
+    SELECT row, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{r.kind}" for k, r in enumerate(secretscan.BASE))},
+           coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (base = 1), '') AS base,
+           string_agg(span, ',' ORDER BY start, kind) AS spans FROM said GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secretscan.BASE)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN joined USING (row)
+"""
+
 OP12_SQL = """
 WITH vecs AS (
     SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -274,4 +306,5 @@ FROM ranked WHERE rank <= 3
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_reply_tree_chat": OP3_SQL, "op4_license_diagonals": OP4_SQL, "op5_host_quality": OP5_SQL,
-            "op7_bbit_minhash": OP7_SQL, "op8_url_vocabulary": OP8_SQL, "op12_cluster_hard_negatives": OP12_SQL}
+            "op7_bbit_minhash": OP7_SQL, "op8_url_vocabulary": OP8_SQL, "op11_trigram_secrets": OP11_SQL,
+            "op12_cluster_hard_negatives": OP12_SQL}
