@@ -184,4 +184,4 @@ def round_pct(hits: ColumnOrName, n: ColumnOrName) -> Column:
 
 
 def digits_only(c: ColumnOrName) -> Column:
-    return _c(c).rlike("^[0-9]+$")
+    return _c(c).rlike(r"^[0-9]+\z")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from simsift.operators.split import range_of
+from simsift.operators.split import join_null_safe, range_of
 from simsift.session import materialize
 
 SWEEP_LOW = -1000     # thresholds -1.000 .. 0.999 in steps of 0.001
@@ -76,7 +76,7 @@ def prefix_sums(df: DataFrame, order: str, values: list[str], groups: list[str]
         F.coalesce(F.sum(f"_t_{v}").over(wo), F.lit(0)).alias(f"_o_{v}") for v in values])
     wi = Window.partitionBy(*groups, "_rb").orderBy(order) \
                .rowsBetween(Window.unboundedPreceding, -1)
-    out = tagged.join(_small(offsets, groups), [*groups, "_rb"], "inner")
+    out = join_null_safe(tagged, _small(offsets, groups), [*groups, "_rb"])
     for v in values:
         out = out.withColumn(f"{prefix}{v}",
                              F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(wi), F.lit(0)))
@@ -242,7 +242,7 @@ def exact_quantile(df: DataFrame, col: str, q: float = 0.25, groups: list[str] =
     lo_i, hi_i = F.floor(h), F.ceil(h)
     cover = lambda i: (F.col("before_c") <= i) & (i < F.col("before_c") + F.col("c"))
     if groups:
-        j = pre.join(n, groups, "inner")
+        j = join_null_safe(pre, n, groups)
     else:
         j = pre.withColumn("n", F.lit(n.first()["n"]))
     picked = j.where(cover(lo_i) | cover(hi_i)).groupBy(*groups).agg(
@@ -319,13 +319,13 @@ def score_kde(df: DataFrame, col: str, points: int = 100) -> DataFrame:
 
 def best_by(df: DataFrame, metric: str, tie: list[str], groups: list[str] = (),
             skip_nan: bool = True) -> DataFrame:
-    """The row with the greatest ``metric`` (ties: smallest ``tie`` values),
-    per group; NaN/null never wins."""
+    """The row with the greatest ``metric`` (ties: smallest ``tie`` values, of any
+    type that can be ordered, null last), per group; NaN/null never wins."""
     groups = list(groups)
     src = df.where(_finite(metric)) if skip_nan else df
     cols = [c for c in df.columns if c not in groups]
-    key = F.struct(F.col(metric), *[-F.col(t) for t in tie])
-    agg = src.groupBy(*groups).agg(F.max_by(F.struct(*cols), key).alias("_b"))
+    key = F.struct(-F.col(metric), *[c for t in tie for c in (F.col(t).isNull(), F.col(t))])
+    agg = src.groupBy(*groups).agg(F.min_by(F.struct(*cols), key).alias("_b"))
     return agg.select(*groups, *[F.col("_b")[c].alias(c) for c in cols])
 
 

@@ -26,6 +26,19 @@ def _small(df, groups):
     broadcasts it when it is small)."""
     return F.broadcast(df) if not list(groups) else df
 
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``, joined on ``keys``; a null key
+    equals a null key.  Without keys ``right`` has one row for all."""
+    renamed = right.select(*[F.col(k).alias(f"_j_{n}") for n, k in enumerate(keys)],
+                           *[c for c in right.columns if c not in keys])
+    cond = None
+    for n, k in enumerate(keys):
+        one = F.col(k).eqNullSafe(F.col(f"_j_{n}"))
+        cond = one if cond is None else cond & one
+    return left.join(renamed, cond, how).drop(*[f"_j_{n}" for n in range(len(keys))])
+
+
 def hash_order(seed: int | str, *cols: str) -> Column:
     """md5 of ``seed|col1|col2...`` (hex string); the sort key for sampling."""
     parts = [F.lit(str(seed))] + [F.col(c).cast("string") for c in cols]
@@ -86,7 +99,7 @@ def exact_rank(df: DataFrame, key: str, groups: list[str] = (), tiebreak: list[s
     offsets = counts.select(*groups, "_rb",
                             F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"))
     wi = Window.partitionBy(*groups, "_rb").orderBy(key, *tiebreak)
-    return (tagged.join(_small(offsets, groups), [*groups, "_rb"], "inner")
+    return (join_null_safe(tagged, _small(offsets, groups), [*groups, "_rb"])
                   .withColumn(name, (F.col("_off") + F.row_number().over(wi)).cast("long"))
                   .drop("_rb", "_off"))
 

@@ -252,6 +252,25 @@ def q_three_way_split(spark, sf):
     return split.three_way_split(e, "label", ["vec_id"], 0.2, 0.1, 123)
 
 
+def q_split_null_labels(spark, sf):
+    """Both splits with rows whose label is null: null is a label of its own."""
+    e = vectors(spark, sf).select("vec_id", F.when(F.col("label") < 7, F.col("label")).alias("label"))
+    two = split.stratified_split(e, "label", ["vec_id"], 0.2, 123)
+    three = split.three_way_split(e, "label", ["vec_id"], 0.2, 0.1, 123, out="three_way")
+    return two.join(three.drop("label"), "vec_id")
+
+
+def q_grouped_metrics(spark, sf):
+    """AUC and quartile of the pairs' scores by the querying class, one class null."""
+    labels = vectors(spark, sf).select(F.col("vec_id").alias("query_id"),
+                                       F.when(F.col("label") != 3, F.col("label")).alias("class"))
+    p = _written(_pairs(spark, sf).join(labels, "query_id"))
+    auc = metrics.roc_auc(p, "cosine_similarity", "label", ["class"])
+    quartile = metrics.exact_quantile(p, "cosine_similarity", 0.25, ["class"])
+    both = split.join_null_safe(auc, quartile, ["class"])
+    return both.select("class", _r("auc").alias("auc"), _r("q25").alias("q25"))
+
+
 def q_sample_negatives(spark, sf):
     p = _written(_pairs(spark, sf))
     n_pos = p.where(F.col("label") == 1).count()
@@ -513,6 +532,14 @@ def q_best_by(spark, sf):
     return best.select("c_mktsegment", "o_orderkey", _r("total", 2).alias("total"))
 
 
+def q_best_by_name(spark, sf):
+    """Per nation the customer with the highest rounded balance; ties by market segment,
+    then by name."""
+    c = table(spark, sf, "customer").select(
+        "c_nationkey", F.round(F.col("c_acctbal") / 1000).alias("thousands"), "c_mktsegment", "c_name")
+    return metrics.best_by(c, "thousands", ["c_mktsegment", "c_name"], ["c_nationkey"])
+
+
 def q_store_round_trip(spark, sf):
     """Embedding store, transfers and the projection matrix written and read."""
     root = scratch_table_path(spark, f"store-{uuid.uuid4().hex}")
@@ -630,7 +657,8 @@ def queries() -> dict[str, Query]:
         "projected_hit_rate": q_projected_hit_rate,
         "available_outcomes": q_available_outcomes,
         "transfer_truth": q_transfer_truth,
-        "best_by": q_best_by,
+        "best_by": q_best_by, "best_by_name": q_best_by_name,
+        "split_null_labels": q_split_null_labels, "grouped_metrics": q_grouped_metrics,
         "store_round_trip": q_store_round_trip,
         "articulation_files": q_articulation_files,
         "epoch_metrics": q_epoch_metrics,

@@ -287,6 +287,34 @@ SELECT vec_id, label,
             ELSE 'train' END AS dataset
 FROM c"""
 
+ORACLE["split_null_labels"] = """WITH e AS (SELECT vec_id, CASE WHEN label < 7 THEN label END AS label FROM embeddings),
+r AS (
+  SELECT vec_id, label,
+         row_number() OVER (PARTITION BY label ORDER BY md5('123|' || CAST(vec_id AS VARCHAR)),
+                            vec_id) AS rn,
+         count(*) OVER (PARTITION BY label) AS n FROM e),
+c AS (SELECT *, round(n * 0.2) AS t FROM r)
+SELECT vec_id, label, CASE WHEN rn <= t THEN 'test' ELSE 'train' END AS dataset,
+       CASE WHEN rn <= t THEN 'test' WHEN rn - t <= round((n - t) * 0.1) THEN 'validation'
+            ELSE 'train' END AS three_way
+FROM c"""
+
+ORACLE["grouped_metrics"] = f"""WITH {_PAIRS},
+p AS (SELECT pairs.*, CASE WHEN label <> 3 THEN label END AS class
+      FROM pairs JOIN embeddings ON vec_id = query_id),
+h AS (SELECT class, cs, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg
+      FROM p GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY class ORDER BY cs ROWS BETWEEN UNBOUNDED PRECEDING
+                                        AND 1 PRECEDING), 0) AS below FROM h),
+a AS (SELECT class, sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM c GROUP BY class),
+q AS (SELECT class, quantile_cont(cs, 0.25) AS q25 FROM p GROUP BY class)
+SELECT a.class, round(auc, 6) AS auc, round(q25, 6) AS q25 FROM a JOIN q ON a.class IS NOT DISTINCT FROM q.class"""
+
+ORACLE["best_by_name"] = """WITH c AS (
+  SELECT c_nationkey, round(c_acctbal / 1000) AS thousands, c_mktsegment, c_name FROM customer)
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY c_nationkey
+                                           ORDER BY thousands DESC, c_mktsegment, c_name) = 1"""
+
 ORACLE["sample_negatives"] = f"""WITH {_PAIRS},
 neg AS (SELECT *, row_number() OVER (ORDER BY md5('123|' || CAST(query_id AS VARCHAR) || '|'
                                                   || CAST(cand_id AS VARCHAR)), query_id, cand_id)

@@ -115,3 +115,14 @@ def test_degenerate_inputs(spark):
     assert MT.exact_quantile(df, "v", 0.25).first()[0] == 0.5
     empty = spark.createDataFrame([], "cs double, y int")
     assert MT.accuracy_sweep(empty, "cs", "y").first().accuracy is None
+
+
+def test_null_groups_and_string_ties(spark):
+    rows = [(g, float(i % 7), i % 2) for g in (None, "a") for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, s double, y int")
+    auc = {r.g: r.auc for r in MT.roc_auc(df, "s", "y", ["g"]).collect()}
+    assert set(auc) == {None, "a"} and auc[None] == auc["a"]
+    q = {r.g: r.q25 for r in MT.exact_quantile(df, "s", 0.25, ["g"]).collect()}
+    assert set(q) == {None, "a"} and q[None] == q["a"] == np.quantile([i % 7 for i in range(40)], 0.25)
+    runs = spark.createDataFrame([("b", 1.0), ("a", 1.0), (None, 1.0), ("0", 0.5), ("x", float("nan"))], "run string, v double")
+    assert MT.best_by(runs, "v", ["run"]).first().run == "a"

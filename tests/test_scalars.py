@@ -82,3 +82,8 @@ def test_cosine_batch_matches_native(spark):
     got = df.select(V.cosine("a", "b").alias("n"), V.cosine_batch("a", "b").alias("b")).collect()
     for r in got:
         assert (r.n is None and r.b is None) or abs(r.n - r.b) < 1e-12
+
+
+def test_digits_only(spark):
+    df = spark.createDataFrame([("12",), ("12\n",), ("",), ("1a",), (None,)], "c string")
+    assert [r[0] for r in df.select(S.digits_only("c")).collect()] == [True, False, False, False, None]

@@ -18,6 +18,16 @@ def test_stratified_split_exact_and_disjoint(spark):
     assert {r.dataset for r in three} == {"train", "validation", "test"}
 
 
+def test_null_label_is_a_label(spark):
+    rows = [(i, None if i % 2 else 1) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, label int")
+    for out in (split.stratified_split(df, "label", ["id"]), split.three_way_split(df, "label", ["id"])):
+        got = [r for r in out.collect() if r.dataset == "test"]
+        assert sum(r.label is None for r in got) == 10 and len(got) == 20
+    ranks = split.exact_rank(df, "id", ["label"], buckets=3).where("label is null").collect()
+    assert sorted(r["rank"] for r in ranks) == list(range(1, 51))
+
+
 def test_exact_rank_many_buckets(spark):
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 50, 300)
