@@ -12,20 +12,20 @@ addition modulo a and b, keyed BLAKE2 as round function) with cycle walking.  It
 is used as ``inverse(network(x) + 1 mod n)``: that is again a keyed permutation,
 and it leaves no value as it was.
 
-Formats: card (13 to 19 digits, Luhn; the check digit is computed anew), IBAN,
+Formats: card (an issuer's prefix and length, Luhn; the prefix stays, the check digit is
+computed anew), IBAN,
 IPv4, US social security number, phone (+country code, or 3-3-4 with separators;
 the country code stays), date (1900-2099; y-m-d, d.m.y and m/d/y or d/m/y share
 one permutation of days, so the same day stays linked across layouts), e-mail
-(the local part; the domain stays), cloud access key id.
+(the local part, of at most 64 characters; the domain stays), cloud access key id.
 
 Every format is looked for in the whole text, whatever stands beside a value
-(the T of a timestamp, a dash or dot before it).  A candidate that runs into its
-neighbours is tried again in its parts: cards in usual layouts, then any groups
-of 13 to 19 digits together; IBANs in their country's length, then any groups.
-A value that is found is final; no other format reads its characters.  Groups
-that pass the check digit by chance are taken for a card.  Where several parts of one
-run of groups pass, the run alone does not tell which was replaced, so ``undo``
-may restore another part there.
+(the T of a timestamp, a dash or dot before it).  A card is one group of
+digits, or groups in a usual layout (4-4-4-4, 4-4-4-4-3, 4-6-5, 4-6-4) between equal
+separators; groups of other sizes are not joined.  More than five neighbouring groups of
+four are a table of numbers, unless they divide into cards altogether.  An IBAN
+that runs into its neighbours is tried in its country's length, then in any groups.
+A value that is found is final; no other format reads its characters.
 
 Defined results: null stays null, empty stays empty; text without personal data
 is unchanged; repeated rows get equal results; an empty table gives an empty
@@ -37,6 +37,7 @@ import datetime
 import hashlib
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -137,12 +138,33 @@ _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9]){12,}")      # digit groups that may ho
 _GROUP = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"(?<![\w+])(?:(\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}"
                     r"|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w-]*\d)")
-_EMAIL = re.compile(r"([A-Za-z0-9][A-Za-z0-9._%+-]*)@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
+_DOMAIN = re.compile(r"@(?:([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))?")
+_LOCAL = "._%+-" + string.digits + string.ascii_letters
 _IBAN = re.compile(r"(?<!\w)([A-Z]{2})([0-9]{2})(?=((?:[ ]?[A-Z0-9]){11,30}))")
 _KEY_ID = re.compile(r"(?<![A-Z0-9])(AKIA|ASIA)([A-Z0-9]{16})(?![A-Z0-9])")
 _DIGIT = re.compile("[0-9]")
 
-CARD_LAYOUTS = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4])
+CARD_LAYOUTS = ([4, 4, 4, 4, 3], [4, 4, 4, 4], [4, 6, 5], [4, 6, 4])
+MOST_FOURS = 5       # neighbouring groups of four that are not yet a table
+LOCAL_CHARS = 64     # the most that a mailbox name may have
+# First and last prefix of card issuers, and their numbers of digits.
+ISSUERS = (
+    ("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)),
+    ("300", "305", (14,)), ("36", "36", (14,)), ("38", "39", (14,)), ("3528", "3589", (16, 17, 18, 19)),
+    ("6011", "6011", (16, 17, 18, 19)), ("644", "649", (16, 17, 18, 19)), ("65", "65", (16, 17, 18, 19)),
+    ("62", "62", (16, 17, 18, 19)), ("5018", "5018", (13, 14, 15, 16, 17, 18, 19)),
+    ("5020", "5020", (13, 14, 15, 16, 17, 18, 19)), ("5038", "5038", (13, 14, 15, 16, 17, 18, 19)),
+    ("6304", "6304", (13, 14, 15, 16, 17, 18, 19)), ("6759", "6759", (13, 14, 15, 16, 17, 18, 19)),
+    ("6761", "6763", (13, 14, 15, 16, 17, 18, 19)),
+)
+
+
+def issuer_prefix(digits: str) -> str | None:
+    """The issuer's prefix of a card number of this length, if any."""
+    return next((digits[:len(low)] for low, high, sizes in ISSUERS
+                 if len(digits) in sizes and low <= digits[:len(low)] <= high), None)
+
+
 #: Characters of an IBAN by country.
 IBAN_SIZES = {c[:2]: int(c[2:]) for c in (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 "
@@ -168,20 +190,19 @@ class Pseudonymizer:
 
     def _card(self, text: str, undo: bool) -> str | None:
         digits = re.sub(r"\D", "", text)
-        if luhn_digit(digits[:-1]) != digits[-1] or not digits.strip("0"):
+        prefix = issuer_prefix(digits)
+        if prefix is None or luhn_digit(digits[:-1]) != digits[-1]:
             return None
-        size = len(digits) - 1
-        body = _text(self._permute("card", 10 ** size, int(digits[:-1]), undo), size, DIGITS)
+        size = len(digits) - 1 - len(prefix)
+        body = prefix + _text(self._permute("card:" + prefix, 10 ** size, int(digits[len(prefix):-1]), undo), size, DIGITS)
         return _fill(text, body + luhn_digit(body))
 
-    def _cards(self, text: str, undo: bool, joined: bool) -> Iterator[tuple[int, int, str]]:
-        """Cards among the digit groups of each chain: whole groups and usual
-        layouts; with ``joined`` all other neighbours of 13 to 19 digits, first
-        between spaces, then between dashes too, the longest first."""
+    def _cards(self, text: str, undo: bool) -> Iterator[tuple[int, int, str]]:
+        """Cards among the digit groups of each chain, whole groups first."""
         for chain in _CHAIN.finditer(text):
             groups = [g.span() for g in _GROUP.finditer(text, *chain.span())]
             free = [True] * len(groups)
-            for i, j in self._card_places(text, groups, joined):
+            for i, j in self._card_places(text, groups):
                 if all(free[i:j]):
                     start, end = groups[i][0], groups[j - 1][1]
                     made = self._card(text[start:end], undo)
@@ -189,24 +210,31 @@ class Pseudonymizer:
                         free[i:j] = [False] * (j - i)
                         yield start, end, made
 
-    @staticmethod
-    def _card_places(text: str, groups: list[tuple[int, int]], joined: bool) -> Iterator[tuple[int, int]]:
+    def _card_places(self, text: str, groups: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         sizes, n = [b - a for a, b in groups], len(groups)
-        if not joined:
-            yield from ((i, i + 1) for i in range(n) if 13 <= sizes[i] <= 19)
-            for layout in CARD_LAYOUTS:
-                yield from ((i, i + len(layout)) for i in range(n) if sizes[i:i + len(layout)] == layout)
-            return
-        places: dict[tuple[bool, int], list[tuple[int, int]]] = {}
-        for i in range(n):
-            j, size = i, 0
-            while j < n and size + sizes[j] <= 19:
-                size, j = size + sizes[j], j + 1
-                if size >= 13:
-                    dashed = (i > 0 and text[groups[i][0] - 1] == "-") or (j < n and text[groups[j - 1][1]] == "-")
-                    places.setdefault((dashed, -size), []).append((i, j))
-        for key in sorted(places):
-            yield from places[key]
+        yield from ((i, i + 1) for i in range(n) if 13 <= sizes[i] <= 19)
+        between = [text[groups[i][1]] for i in range(n - 1)]
+        table = self._tables(text, groups, sizes)
+        for layout in CARD_LAYOUTS:
+            size = len(layout)
+            for i in range(n - size + 1):
+                if sizes[i:i + size] == layout and len(set(between[i:i + size - 1])) == 1 and not table[i]:
+                    yield i, i + size
+
+    def _tables(self, text: str, groups: list[tuple[int, int]], sizes: list[int]) -> list[bool]:
+        """Whether a group belongs to a table of four-digit numbers, or stands inside a
+        card of a run that divides into cards."""
+        out, n, i = [False] * len(sizes), len(sizes), 0
+        while i < n:
+            j = i
+            while j < n and sizes[j] == 4:
+                j += 1
+            if j - i > MOST_FOURS:
+                cards = [re.sub(r"\D", "", text[groups[k][0]:groups[k + 3][1]]) for k in range(i, j - 3, 4)]
+                whole = (j - i) % 4 == 0 and all(issuer_prefix(c) and luhn_digit(c[:-1]) == c[-1] for c in cards)
+                out[i:j] = [not whole or (k - i) % 4 > 0 for k in range(i, j)]
+            i = max(j, i + 1)
+        return out
 
     def _ipv4(self, m: re.Match, undo: bool) -> str | None:
         parts = m[0].split(".")
@@ -276,22 +304,34 @@ class Pseudonymizer:
         x = self._permute("phone:" + country, 10 ** len(digits), int(digits), undo)
         return head + _fill(rest, _text(x, len(digits), DIGITS))
 
-    def _email(self, m: re.Match, undo: bool) -> str | None:
+    def _emails(self, text: str, undo: bool) -> Iterator[tuple[int, int, str]]:
+        """From each ``@`` to the left: the mailbox name is all that may stand in one,
+        from its first letter or digit on."""
+        low = 0
+        for m in _DOMAIN.finditer(text):
+            before = text[low:m.start()]
+            local = before[len(before.rstrip(_LOCAL)):].lstrip("._%+-")
+            low = m.start() + 1
+            if m[1] and 0 < len(local) <= LOCAL_CHARS:
+                low = m.end()
+                yield m.start() - len(local), m.end(), self._email(local, m[1], undo)
+
+    def _email(self, local: str, domain: str, undo: bool) -> str:
         layout, x, n, sizes = [], 0, 1, []
-        for c in m[1]:
+        for c in local:
             alphabet = next((a for a in (DIGITS, LOWER, UPPER) if c in a), None)
             layout.append(alphabet or c)
             if alphabet:
                 x, n = x * len(alphabet) + alphabet.index(c), n * len(alphabet)
                 sizes.append(alphabet)
         shape = "".join("d" if a is DIGITS else "l" if a is LOWER else "u" if a is UPPER else a for a in layout)
-        x = self._permute(f"email:{shape}@{m[2].lower()}", n, x, undo)
+        x = self._permute(f"email:{shape}@{domain.lower()}", n, x, undo)
         made = []
         for alphabet in reversed(sizes):
             x, d = divmod(x, len(alphabet))
             made.append(alphabet[d])
         take = iter(reversed(made))
-        return "".join(next(take) if len(a) > 1 else a for a in layout) + "@" + m[2]
+        return "".join(next(take) if len(a) > 1 else a for a in layout) + "@" + domain
 
     def _iban(self, head: str, given: str, body: str, undo: bool) -> str | None:
         account = body.replace(" ", "")
@@ -351,7 +391,7 @@ class Pseudonymizer:
                 if made is not None:
                     yield m.start(), m.start() + len(made) if pattern is _PHONE else m.end(), made
         if "@" in text:
-            take("email", by(_EMAIL, self._email))
+            take("email", self._emails(left, undo))
         if "AKIA" in text or "ASIA" in text:
             take("access_key", by(_KEY_ID, self._access_key))
         again = bool(_DIGIT.search(text))
@@ -361,9 +401,8 @@ class Pseudonymizer:
             again = take("ipv4", by(_IPV4, self._ipv4))
             again |= take("ssn", by(_SSN, self._ssn))
             again |= take("date", by(_DATE, self._date))
-            again |= take("card", self._cards(left, undo, False))
+            again |= take("card", self._cards(left, undo))
             again |= take("phone", by(_PHONE, self._phone))
-            again |= take("card", self._cards(left, undo, True))
         out, at = [], 0
         for start, end, made in sorted(values):
             out += [text[at:start], made]
