@@ -11,10 +11,13 @@ The automaton is built from items of at most BLOCK_CHARS characters at once; a
 larger benchmark is matched block by block, each block over all texts, so the
 size of what a task holds is bounded and no item is left out.
 
-Defined results: a null or empty text contains nothing; null items and items of
-fewer than MIN_CHARS normalised characters are too short to be evidence and match
-nothing; repeated items are matched each, repeated rows give repeated matches; a
-null id is carried; empty tables give an empty result; other columns are not
+An item too short for an edit (under 1 / ERROR_RATE characters) has no budget and is
+one piece: it matches where it stands whole, as its own words.  Between letters or digits of
+scripts without spaces (Chinese, Japanese, Thai, ...) every place is a word boundary.
+
+Defined results: a null or empty text contains nothing; null items and items
+without a letter or digit match nothing; repeated items are matched each, repeated rows give repeated matches; a
+null id is carried, ids keep their type; empty tables give an empty result; other columns are not
 looked at and pass ``drop_contaminated`` unchanged."""
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from simsift.llm.common import materialize
 
 ERROR_RATE = 0.05
-MIN_CHARS = 24
 BLOCK_CHARS = 4_000_000
 
 _SPACE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32
@@ -42,6 +45,22 @@ def normalise(text: str) -> str:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_SPACE).split()).decode()
 
 
+#: Ranges of characters that are written without spaces between words.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF),
+            (0xFF66, 0xFF9D), (0x20000, 0x3FFFF))
+
+
+def _joins(a: str, b: str) -> bool:
+    """Whether no word can end between two neighbouring characters."""
+    return a != " " and b != " " and not any(lo <= ord(c) <= hi for c in (a, b) for lo, hi in UNSPACED)
+
+
+def whole(text: str, start: int, end: int) -> bool:
+    """Whether ``text[start:end]`` stands between word boundaries."""
+    return not (start > 0 and _joins(text[start - 1], text[start])) \
+        and not (end < len(text) and _joins(text[end - 1], text[end]))
+
+
 def budget(size: int) -> int:
     """Edits that an item of so many characters may differ by."""
     return int(size * ERROR_RATE)
@@ -121,10 +140,14 @@ class Matcher:
             return []
         text = normalise(raw)
         places: dict[int, set[int]] = defaultdict(set)
+        short: dict[int, tuple[int, int]] = {}
         for end, (size, owners) in self.automaton.iter(text):
             for n, offset in owners:
-                places[n].add(end + 1 - size - offset)
-        out = []
+                if self.items[n].budget:
+                    places[n].add(end + 1 - size - offset)
+                elif n not in short and whole(text, end + 1 - size, end + 1):
+                    short[n] = (end + 1 - size, end + 1)
+        out = [(self.items[n].id, 0, *at) for n, at in sorted(short.items())]
         for n, found in sorted(places.items()):
             item, best, done = self.items[n], None, None
             for place in sorted(found):
@@ -146,7 +169,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id",
     """The usable items in blocks of at most BLOCK_CHARS characters (or one
     item).  Items are numbered into blocks by Spark; one block at a time comes
     to the driver."""
-    normal = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")) \
+    normal = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
         .where("text is not null")
     sized = normal.withColumn("size", F.length("text"))
     total = sized.agg(F.sum("size")).first()[0] or 0
@@ -161,7 +184,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id",
         parts = [spread.where((F.col("part") == p) & (F.col("cut") == c)) for p, c in sorted(keys)]
     for part in parts:
         items = [(r.id, normalise(r.text)) for r in part.select("id", "text").collect()]
-        items = [(i, t) for i, t in sorted(items, key=lambda x: (x[0] is None, x)) if len(t) >= MIN_CHARS]
+        items = [(i, t) for i, t in sorted(items, key=lambda x: (x[0] is None, x)) if t]
         if items:
             yield items
 
@@ -192,15 +215,20 @@ def _ship(docs: DataFrame, items: list[tuple[int, str]]) -> _Shipped:
     return _Shipped(docs.sparkSession.sparkContext.broadcast(items))
 
 
-MATCHES = "doc_id long, item_id long, distance long, start long, end long"
+def _kind(table: DataFrame, column: str) -> str:
+    return table.schema[column].dataType.simpleString()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, start, end): every benchmark item that a
     document contains, with its best occurrence in the normalised text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = docs.sparkSession.createDataFrame([], MATCHES)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {_kind(docs, id_col)}, item_id {_kind(benchmark, item_col)}, distance long, start long, end long"
+    names = ["doc_id", "item_id", "distance", "start", "end"]
+    empty = docs.sparkSession.createDataFrame([], schema)
+    kinds = [f.type for f in to_arrow_schema(empty.schema)]
+    out = empty
     for items in blocks(benchmark, item_col, item_text):
         shipped = _ship(docs, items)
 
@@ -210,9 +238,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 found = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
                          for m in matcher.matches(t or "")]
                 if found:
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)],
-                                          names=["doc_id", "item_id", "distance", "start", "end"])
-        out = out.union(rows.mapInArrow(kernel, MATCHES))
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)],
+                                          names=names)
+        out = out.union(rows.mapInArrow(kernel, schema))
     return out
 
 

@@ -1,6 +1,7 @@
 """Pigeonhole matching against dynamic programming over whole texts."""
 
 import random
+import re
 
 import pytest
 
@@ -51,7 +52,7 @@ def edited(rng, text, k):
 def case():
     rng = random.Random(7)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
-    items = [(i, " ".join(rng.choices(words, k=rng.randint(6, 40)))) for i in range(25)] + [(90, "too short"), (91, None)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(6, 40)))) for i in range(25)] + [(90, "too short"), (91, None), (92, "!?")]
     docs = []
     for d in range(36):
         text = rng.choices(words, k=rng.randint(5, 120))
@@ -65,13 +66,26 @@ def case():
     return docs, items
 
 
+CJK = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff"
+
+
+def plain_whole(item, text):
+    """Whether a short item stands in a normalised text as its own words."""
+    left = "" if re.match(f"[{CJK}]", item) else f"(?<![^ {CJK}])"
+    right = "" if re.match(f"[{CJK}]", item[-1]) else f"(?![^ {CJK}])"
+    return bool(re.search(left + re.escape(item) + right, text))
+
+
 def brute(docs, items):
     out = []
     for d, text, _ in docs:
         text = D.normalise(text or "")
         for i, item in items:
             item = D.normalise(item or "")
-            if len(item) >= D.MIN_CHARS:
+            if 0 < len(item) < 20:
+                if plain_whole(item, text):
+                    out.append((d, i, 0))
+            elif item:
                 if d == 504:                          # too long for the plain programme
                     if item in text:
                         out.append((d, i, 0))
@@ -122,3 +136,23 @@ def test_given_table_exact_leaks(spark):
     items = [(r.item_id, D.normalise(r.text)) for r in bench.collect()]
     want = {(r.doc_id, i) for r in docs.collect() for i, t in items if t in D.normalise(r.text or "")}
     assert got == want and want
+
+
+def test_short_items(spark):
+    """Items of 1 to 24 characters, with and without spaces between words."""
+    rng = random.Random(11)
+    long_one = "wieviel kostet das ganze"
+    items = [long_one[:n] for n in range(1, 25)] + ["中", "中国", "是不是", "日本語の文", "a中", "中a", "é", "Caf\u00e9!", "c'est", "  ", None]
+    items = [(f"i{n}", t) for n, t in enumerate(items)]
+    words = ["w", "wie", "wieviel", "kostet", "das ganze", "ganze", "中国", "中", "人是不是", "日本語の文章", "a", "é", "café", "cafés", "C'EST", long_one]
+    docs = [(f"d{n}", rng.choice([" ", "", ", "]).join(rng.choices(words, k=rng.randint(1, 6)))) for n in range(150)]
+    docs += [(f"x{n}", t) for n, (_, t) in enumerate(items)] + [(None, "中国"), ("d0", docs[0][1])]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = brute([(d, t, "") for d, t in docs], items)
+    got = D.contaminated(df, bench).collect()
+    assert sorted([(r.doc_id, r.item_id, r.distance) for r in got], key=str) == want
+    assert len({i for _, i, _ in want}) == 33
+    hit = {d for d, _, _ in want}
+    kept = sorted([r.doc_id for r in D.drop_contaminated(df, bench).collect()], key=str)
+    assert kept == sorted([d for d, _ in docs if d not in hit], key=str)
