@@ -12,7 +12,11 @@ shuffle of the raw text and each document is processed whole."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterable
+from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +42,24 @@ SPACE_PATTERN = r"(?U)\s+"
 BREAK = "\u0001"     # stands for a punctuation run (never part of a word)
 
 
+_TOKENS = re.compile(r"\w+|[^\w\s]+")
+_WORD = re.compile(r"\w+")
+
+
+def rake_text(text: str, stopwords: Iterable[str] = STOPWORDS) -> str:
+    """The ranked phrases of one text (what ``rake_keywords`` gives for it)."""
+    stop = stopwords if isinstance(stopwords, frozenset) else frozenset(stopwords)
+    words = [w if _WORD.fullmatch(w) and w not in stop else None for w in _TOKENS.findall(text.lower())]
+    phrases = [list(p) for is_word, p in groupby(words, lambda w: w is not None) if is_word]
+    freq, degree = Counter(), Counter()
+    for phrase in phrases:
+        for w in phrase:
+            freq[w] += 1
+            degree[w] += len(phrase)
+    ranked = sorted(((reduce(lambda total, w: total + degree[w] / freq[w], p, 0.0), " ".join(p)) for p in phrases), reverse=True)
+    return " ".join(p for _, p in ranked)
+
+
 def rake_keywords(df: DataFrame, text: str, doc_id: str, out: str = "keywords",
                   stopwords: Iterable[str] = STOPWORDS, partitions: int | None = None) -> DataFrame:
     """``doc_id, out``: the RAKE ranked phrases of each text joined by spaces

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simsift import sql
 from simsift.functions import scalars as S
 from simsift.functions import vectors as V
 import numpy as np
@@ -540,6 +541,38 @@ def q_best_by_name(spark, sf):
     return metrics.best_by(c, "thousands", ["c_mktsegment", "c_name"], ["c_nationkey"])
 
 
+def _views(spark, sf):
+    """The tables that the SQL statements read, as temporary views; a name of its own for
+    each call, as views are looked up when a statement is analysed."""
+    sql.register(spark, {"fold": projection.fold_matrix(DIMS, SECOND_DIMS)})
+    tag = uuid.uuid4().hex
+    vectors(spark, sf).createOrReplaceTempView(f"vectors_{tag}")
+    table(spark, sf, "documents").createOrReplaceTempView(f"documents_{tag}")
+    return f"vectors_{tag}", f"documents_{tag}"
+
+
+def q_sql_rake(spark, sf):
+    """RAKE as a table function over a view."""
+    _, docs = _views(spark, sf)
+    return spark.sql(f"""SELECT doc_id, keywords
+                         FROM rake_keywords(TABLE(SELECT doc_id, text FROM {docs}), text => 'text')""")
+
+
+def q_sql_projection(spark, sf):
+    """Projection as a table function over a view."""
+    vecs, _ = _views(spark, sf)
+    return spark.sql(f"""SELECT vec_id, label, size(short) AS dims, round(short[0], 6) AS first, round(short[31], 6) AS last
+                         FROM project_vectors(TABLE({vecs}), vec => 'embedding', matrix => 'fold', out => 'short')""")
+
+
+def q_sql_topk(spark, sf):
+    """The top-k search as one SQL statement over views."""
+    vecs, _ = _views(spark, sf)
+    found = spark.sql(sql.topk_statement(vecs, vecs, TOP_K, query_id="vec_id", query_vec="embedding", cand_id="vec_id",
+                                         cand_vec="embedding", exclude_self=True))
+    return found.select("query_id", "cand_id", _r("score").alias("score"), "rank")
+
+
 def q_store_round_trip(spark, sf):
     """Embedding store, transfers and the projection matrix written and read."""
     root = scratch_table_path(spark, f"store-{uuid.uuid4().hex}")
@@ -657,6 +690,7 @@ def queries() -> dict[str, Query]:
         "projected_hit_rate": q_projected_hit_rate,
         "available_outcomes": q_available_outcomes,
         "transfer_truth": q_transfer_truth,
+        "sql_rake": q_sql_rake, "sql_projection": q_sql_projection, "sql_topk": q_sql_topk,
         "best_by": q_best_by, "best_by_name": q_best_by_name,
         "split_null_labels": q_split_null_labels, "grouped_metrics": q_grouped_metrics,
         "store_round_trip": q_store_round_trip,

@@ -531,6 +531,16 @@ SELECT doc_id, lower(regexp_replace(lower(source || ' ' || CAST(doc_id AS VARCHA
 FROM documents JOIN rake ON rake.id = md5(text)
 WHERE length(text) > 47 AND lang IS NOT NULL"""
 
+ORACLE["sql_rake"] = ORACLE["rake_keywords"]
+
+ORACLE["sql_projection"] = """SELECT vec_id, label, CAST(32 AS INTEGER) AS dims,
+       round(CAST(embedding[1] AS DOUBLE) + CAST(embedding[33] AS DOUBLE), 6) AS first,
+       round(CAST(embedding[32] AS DOUBLE) + CAST(embedding[64] AS DOUBLE), 6) AS last FROM embeddings"""
+
+ORACLE["sql_topk"] = f"""WITH {_E},
+{_ranked("ranked")}
+SELECT query_id, cand_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10"""
+
 ORACLE["row_filters"] = """SELECT source AS name, count(*) AS n FROM documents
 WHERE source IN ('src0', 'src1', 'src2') AND contains(text, 'the') AND regexp_matches(text, '[0-9]{2}')
 GROUP BY source
