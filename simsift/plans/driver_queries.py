@@ -18,7 +18,7 @@ from simsift.functions import vectors as V
 import numpy as np
 
 from simsift.operators import dedup, embed, filters, keywords, learn, matching, metrics, pairs
-from simsift.operators import projection, split
+from simsift.operators import pivots, projection, signatures, split
 from simsift.operators.topk import nearest_one, topk_similar
 from simsift.plans import evaluation, training, truth
 from simsift.plans.tables import (articulation_view, external_catalogue, internal_catalogue,
@@ -541,6 +541,27 @@ def q_best_by_name(spark, sf):
     return metrics.best_by(c, "thousands", ["c_mktsegment", "c_name"], ["c_nationkey"])
 
 
+def _all_vectors(spark, sf):
+    """(vectors, the arguments of a search of all of them against all)."""
+    return vectors(spark, sf), dict(query_id="vec_id", query_vec="embedding", cand_id="vec_id", cand_vec="embedding",
+                                    exclude_self=True)
+
+
+def q_pivot_topk(spark, sf):
+    """The exact search that skips pairs of groups by their bounds."""
+    e, names = _all_vectors(spark, sf)
+    return pivots.pivot_topk(e, e, TOP_K, **names).rows.select("query_id", "cand_id", _r("score").alias("score"), "rank")
+
+
+def q_signature_recall(spark, sf):
+    """The approximate search, measured against the exact one: the exact lists' pairs, and
+    whether at least 0.9 of them are found."""
+    e, names = _all_vectors(spark, sf)
+    near = signatures.signature_topk(e, e, TOP_K, **names).rows
+    said = signatures.recall(near, topk_similar(e, e, TOP_K, **names))
+    return said.select("pairs", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def _views(spark, sf):
     """The tables that the SQL statements read, as temporary views; a name of its own for
     each call, as views are looked up when a statement is analysed."""
@@ -690,6 +711,7 @@ def queries() -> dict[str, Query]:
         "projected_hit_rate": q_projected_hit_rate,
         "available_outcomes": q_available_outcomes,
         "transfer_truth": q_transfer_truth,
+        "pivot_topk": q_pivot_topk, "signature_recall": q_signature_recall,
         "sql_rake": q_sql_rake, "sql_projection": q_sql_projection, "sql_topk": q_sql_topk,
         "best_by": q_best_by, "best_by_name": q_best_by_name,
         "split_null_labels": q_split_null_labels, "grouped_metrics": q_grouped_metrics,

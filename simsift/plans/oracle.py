@@ -541,6 +541,11 @@ ORACLE["sql_topk"] = f"""WITH {_E},
 {_ranked("ranked")}
 SELECT query_id, cand_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10"""
 
+ORACLE["pivot_topk"] = ORACLE["sql_topk"]
+
+ORACLE["signature_recall"] = """SELECT sum(least(10, n - 1)) :: BIGINT AS pairs, TRUE AS enough
+FROM (SELECT count(*) OVER () AS n FROM embeddings WHERE embedding IS NOT NULL)"""
+
 ORACLE["row_filters"] = """SELECT source AS name, count(*) AS n FROM documents
 WHERE source IN ('src0', 'src1', 'src2') AND contains(text, 'the') AND regexp_matches(text, '[0-9]{2}')
 GROUP BY source
