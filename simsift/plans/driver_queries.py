@@ -392,6 +392,36 @@ def q_fit_projection(spark, sf):
     return res.metrics_df(spark)
 
 
+RATES = (0.5, 5.0)
+
+
+def _first_epoch(spark, sf, log=None):
+    """A grid of two learning rates, one full-batch epoch of SGD from a fixed matrix."""
+    j = split.three_way_split(_written(_vector_pairs(spark, sf)), "label", ["query_id", "cand_id"], 0.2, 0.1, 123)
+    base = learn.FitConfig(k=FOLD_K, epochs=1, loss="mse", optimizer="sgd", score="cosine")
+    return learn.grid_search(j, [dict(lr=r) for r in RATES], base, id_cols=["query_id", "cand_id"],
+                             start=projection.fold_matrix(DIMS, FOLD_K), log=log,
+                             run_ids=[f"rate {r}" for r in RATES] if log else None)
+
+
+def q_grid_first_epoch(spark, sf):
+    """Metrics of every run and dataset after an epoch of the grid, and the run that is chosen."""
+    rows = learn.run_metrics_df(spark, _first_epoch(spark, sf)[1])
+    best = metrics.best_by(rows.where(F.col("dataset") == "validation"), "accuracy", ["run_id"]).select(
+        F.col("run_id").alias("best"))
+    return rows.join(F.broadcast(best)).select(
+        "run_id", "dataset", "learning_rate", _r("loss").alias("loss"), _r("accuracy").alias("accuracy"),
+        _r("auc").alias("auc"), (F.col("run_id") == F.col("best")).alias("chosen"))
+
+
+def q_logged_matrices(spark, sf):
+    """The matrices that the run log holds after an epoch of the grid."""
+    log = learn.RunLog(spark, scratch_table_path(spark, f"runs-{uuid.uuid4().hex}"))
+    _first_epoch(spark, sf, log)
+    return log.matrices().select("run_id", "epoch", "row_idx", _r(F.col("weights")[0]).alias("first"),
+                                 _r(V.norm("weights")).alias("norm"))
+
+
 def q_epoch_metrics(spark, sf):
     """Loss, accuracy and AUC of a fixed matrix on each dataset of the split."""
     j = _written(_vector_pairs(spark, sf))
@@ -711,6 +741,7 @@ def queries() -> dict[str, Query]:
         "projected_hit_rate": q_projected_hit_rate,
         "available_outcomes": q_available_outcomes,
         "transfer_truth": q_transfer_truth,
+        "grid_first_epoch": q_grid_first_epoch, "logged_matrices": q_logged_matrices,
         "pivot_topk": q_pivot_topk, "signature_recall": q_signature_recall,
         "sql_rake": q_sql_rake, "sql_projection": q_sql_projection, "sql_topk": q_sql_topk,
         "best_by": q_best_by, "best_by_name": q_best_by_name,

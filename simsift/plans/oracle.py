@@ -635,6 +635,43 @@ m AS (SELECT dataset, avg(greatest(cc, 0) - cc * y + ln(1 + exp(-abs(cc)))) AS l
 SELECT dataset, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy, round(auc, 6) AS auc
 FROM m JOIN auc USING (dataset)"""
 
+_FIRST_EPOCH = f"""{_SPLIT_PAIRS},
+t AS (SELECT va, vb, {_folded(16, "va")} AS u, {_folded(16, "vb")} AS v, cc, y,
+             CASE WHEN rn <= round(ny * 0.2) THEN 'test'
+                  WHEN rn - round(ny * 0.2) <= round((ny - round(ny * 0.2)) * 0.1) THEN 'validation'
+                  ELSE 'train' END AS dataset, row_number() OVER () AS pair FROM f),
+tr AS (SELECT *, sqrt(list_inner_product(u, u)) AS nu, sqrt(list_inner_product(v, v)) AS nv, 2 * (cc - y) AS dl
+       FROM t WHERE dataset = 'train'),
+gj AS (SELECT va, vb, j, dl * (v[j] / (nu * nv) - cc * u[j] / (nu * nu)) AS gu,
+              dl * (u[j] / (nu * nv) - cc * v[j] / (nv * nv)) AS gv FROM tr, unnest(range(1, 17)) r(j)),
+g AS (SELECT i, j, sum(va[i] * gu + vb[i] * gv) / (SELECT count(*) FROM tr) AS g
+      FROM gj, unnest(range(1, 65)) q(i) GROUP BY i, j),
+m1 AS (SELECT run_id, rate, i, j, CASE WHEN (i - 1) % 16 = j - 1 THEN 1.0 ELSE 0.0 END - rate * g AS w
+       FROM g, (VALUES (0, 0.5 :: DOUBLE), (1, 5.0 :: DOUBLE)) x(run_id, rate))"""
+
+ORACLE["grid_first_epoch"] = f"""WITH {_FIRST_EPOCH},
+cols AS (SELECT run_id, rate, j, list(w ORDER BY i) AS col FROM m1 GROUP BY ALL),
+p AS (SELECT run_id, rate, pair, any_value(dataset) AS dataset, any_value(y) AS y,
+             sum(list_inner_product(va, col) * list_inner_product(vb, col))
+               / (sqrt(sum(list_inner_product(va, col) ** 2)) * sqrt(sum(list_inner_product(vb, col) ** 2))) AS s
+      FROM t, cols GROUP BY run_id, rate, pair),
+h AS (SELECT run_id, dataset, s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg FROM p GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY run_id, dataset ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING
+                                        AND 1 PRECEDING), 0) AS below FROM h),
+a AS (SELECT run_id, dataset, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY ALL),
+l AS (SELECT run_id, rate, dataset, CASE WHEN dataset = 'train' THEN (SELECT avg((cc - y) ** 2) FROM tr)
+                                         ELSE avg((s - y) ** 2) END AS loss,
+             avg(CASE WHEN (s > 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS accuracy FROM p GROUP BY run_id, rate, dataset),
+b AS (SELECT run_id FROM l WHERE dataset = 'validation' ORDER BY accuracy DESC, run_id LIMIT 1)
+SELECT run_id, dataset, rate AS learning_rate, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy,
+       round(auc, 6) AS auc, run_id = (SELECT run_id FROM b) AS chosen
+FROM l JOIN a USING (run_id, dataset)"""
+
+ORACLE["logged_matrices"] = f"""WITH {_FIRST_EPOCH}
+SELECT 'rate ' || CASE run_id WHEN 0 THEN '0.5' ELSE '5.0' END AS run_id, CAST(1 AS INTEGER) AS epoch,
+       CAST(i - 1 AS INTEGER) AS row_idx, round(sum(w) FILTER (j = 1), 6) AS first, round(sqrt(sum(w * w)), 6) AS norm
+FROM m1 GROUP BY run_id, i"""
+
 ORACLE["process_pairs"] = f"""WITH {_SPLIT_PAIRS},
 d AS (SELECT CASE WHEN rn <= round(ny * 0.2) THEN 'test' ELSE 'train' END AS dataset, cc, y FROM f)
 SELECT dataset, count(*) AS n,

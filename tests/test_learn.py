@@ -101,3 +101,91 @@ def test_embed_column_nulls_and_chunks(spark):
     got = {r.id: r.e for r in embed.embed_column(df, "t", "e", fake, batch_size=2).collect()}
     assert got[1] is None and got[2] is None
     assert list(got[0]) == [2.0, 2.0, 2.0] and list(got[3]) == [4.0, 4.0, 4.0]
+
+
+def pair_rows(spark, n=160, d=5, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        a = rng.normal(size=d)
+        b = a + 0.4 * rng.normal(size=d) if i % 2 else rng.normal(size=d)
+        ds = "train" if i < n * 5 // 8 else ("validation" if i < n * 7 // 8 else "test")
+        rows.append((i, a.tolist(), b.tolist(), 1 if i % 2 else -1, ds))
+    return spark.createDataFrame(rows, "id long, text_1_embedding array<double>, text_2_embedding array<double>, "
+                                       "label int, dataset string")
+
+
+def sequential(df, cfg, epochs):
+    """Mini-batches one after the other on one machine, in the same order."""
+    p = learn._prepared(df, "text_1_embedding", "text_2_embedding", "label", "dataset", ["id"], cfg.seed)
+    rows = p.where("dataset = 'train'").collect()
+    A, B = (np.array([r[c] for r in rows]) for c in ("text_1_embedding", "text_2_embedding"))
+    y, h = np.array([r.label for r in rows]), np.array([r._h for r in rows])
+    run = learn._started(0, cfg, A.shape[1], len(rows), None)
+    for epoch in range(1, epochs + 1):
+        at = learn.batch_of(h, cfg.seed, epoch, run.cfg.batches)
+        for b in range(run.cfg.batches):
+            m = at == b
+            if m.any():
+                g, _ = learn._pair_grad(learn._dropped(A[m], h[m], cfg, epoch, 0), learn._dropped(B[m], h[m], cfg, epoch, 1),
+                                        learn._targets(y[m], cfg.loss), run.matrix, cfg.loss)
+                run.step(g / m.sum(), epoch)
+    return run.matrix
+
+
+def test_barrier_epochs_equal_sequential_batches(spark, monkeypatch):
+    df = pair_rows(spark)
+    cfg = learn.FitConfig(k=3, epochs=2, lr=0.05, batch_size=13, dropout=0.2)
+    jobs = []
+    tracker = spark.sparkContext.statusTracker()
+    for size, tasks in ((13, 3), (60, 2)):
+        spark.sparkContext.setJobGroup(f"fit {size}", "")
+        sized = learn.FitConfig(**{**cfg.__dict__, "batch_size": size})
+        got = learn.fit_projection(df, sized, id_cols=["id"], tasks=tasks)
+        jobs.append(len(tracker.getJobIdsForGroup(f"fit {size}")))
+        assert np.allclose(got.final_matrix, sequential(df, sized, 2), atol=1e-10)
+    spark.sparkContext.setJobGroup("default", "")
+    assert abs(jobs[0] - jobs[1]) <= 3                  # 8 and 2 batches an epoch
+    monkeypatch.setattr(learn, "GATHER_BYTES", 0)
+    one = learn.FitConfig(**{**cfg.__dict__, "epochs": 1})
+    assert np.allclose(learn.fit_projection(df, one, id_cols=["id"]).final_matrix, sequential(df, one, 1), atol=1e-10)
+
+
+def test_batches_are_dealt_anew_every_epoch():
+    h = np.arange(1000) * 7919 - 12345
+    first, second = (learn.batch_of(h, 1, e, 10) for e in (1, 2))
+    assert set(first) == set(range(10)) and 0.05 < (first == second).mean() < 0.2
+    assert (first == learn.batch_of(h[::-1], 1, 1, 10)[::-1]).all()
+
+
+def test_grid_equals_single_fits(spark):
+    df = pair_rows(spark)
+    base = learn.FitConfig(k=3, epochs=2, dropout=0.1)
+    grid = [dict(lr=0.05), dict(lr=0.2, loss="mse", score="cosine"), dict(lr=0.1, k=2, epochs=1, optimizer="sgd")]
+    cfgs = [learn.FitConfig(**{**base.__dict__, **g}) for g in grid]
+    many = learn.fit_many(df, cfgs, id_cols=["id"])
+    for cfg, got in zip(cfgs, many):
+        alone = learn.fit_projection(df, cfg, id_cols=["id"])
+        assert np.allclose(got.final_matrix, alone.final_matrix, atol=1e-10) and got.best_epoch == alone.best_epoch
+        assert np.allclose(got.matrix, alone.matrix, atol=1e-10) and len(got.epochs) == len(alone.epochs)
+
+
+def test_a_stopped_run_goes_on(spark, tmp_path):
+    df = pair_rows(spark)
+    for name, cfg in (("whole", learn.FitConfig(k=3, epochs=4, lr=0.05, dropout=0.1)),
+                      ("batches", learn.FitConfig(k=3, epochs=4, lr=0.05, batch_size=50))):
+        log = learn.RunLog(spark, str(tmp_path / name))
+        want = learn.fit_projection(df, cfg, id_cols=["id"])
+        two = learn.FitConfig(**{**cfg.__dict__, "epochs": 2})
+        learn.fit_projection(df, two, id_cols=["id"], log=log, run_id="a")
+        # An epoch that was cut off before its metrics were written does not count.
+        log.spark.createDataFrame([("matrix", 0, [9.0])], log._STATE).write.parquet(log._path("state", "a", 3))
+        assert sorted(r.epoch for r in log.matrices().select("epoch").distinct().collect()) == [1, 2]
+        got = learn.fit_projection(df, cfg, id_cols=["id"], log=log, run_id="a")
+        assert np.allclose(got.final_matrix, want.final_matrix, atol=1e-10)
+        assert np.allclose(got.matrix, want.matrix, atol=1e-10) and got.best_epoch == want.best_epoch
+        assert [(r["epoch"], r["dataset"]) for r in got.epochs] == [(r["epoch"], r["dataset"]) for r in want.epochs]
+        assert np.allclose([r["loss"] for r in got.epochs], [r["loss"] for r in want.epochs])
+        assert log.matrices().count() == 4 * 5
+        with np.testing.assert_raises(ValueError):
+            learn.fit_projection(df, learn.FitConfig(**{**cfg.__dict__, "lr": 1.0}), id_cols=["id"], log=log, run_id="a")
