@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simsift.llm import words as W
-from simsift.llm.common import is_small, materialize, semi
+from simsift.llm.common import is_small, materialize, semi, small_bytes
 from simsift.llm.components import components
 
 SHINGLE = 5
@@ -44,6 +44,7 @@ PERCENT = 85                # a link: 100 * intersection >= PERCENT * union
 BANDS, ROWS = 32, 6
 MARGIN = 4.5                # standard deviations below the threshold
 BLOCK = 2_000               # members of one band that one block holds
+HUB_ROWS = 128              # pairs of one node that meet its row under one key
 
 
 class Hashes:
@@ -148,11 +149,27 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 W.list_array(made.ravel(), np.arange(len(full) + 1) * FINE.bits * FINE.lanes)], names=["id", "fine"])
 
 
+def hub_join(pairs: DataFrame, table: DataFrame, on: str, spread: str, counted: DataFrame) -> DataFrame:
+    """``pairs`` with the one row of ``table`` for each ``on``; ``counted`` is the written
+    table that ``pairs`` comes from, row for row.  Pairs of a node
+    with over HUB_ROWS of them are spread by ``spread`` over several keys, and that
+    node's row is copied once for each."""
+    hubs = materialize(counted.groupBy(on).agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("_keys"))
+                       .where("_keys > 1"), "hubs")
+    if hubs.isEmpty():
+        return pairs.join(table, on)
+    hubs = F.broadcast(hubs) if small_bytes(hubs) else hubs
+    keys = F.coalesce("_keys", F.lit(1))
+    left = pairs.join(hubs, on, "left").withColumn("_key", F.pmod(F.xxhash64(spread), keys).cast("int")).drop("_keys")
+    right = table.join(hubs, on, "left").withColumn("_key", F.explode(F.sequence(F.lit(0), keys - 1))).drop("_keys")
+    return left.join(right, [on, "_key"]).drop("_key")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(a, "a").join(b, "b")
+    return (hub_join(hub_join(pairs, a, "a", "b", pairs), b, "b", "a", pairs)
             .where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct())
 
 
@@ -189,11 +206,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leader = bands.join(weight, "id").groupBy("key").agg(
         F.max_by("id", F.struct("weight", -F.col("id"))).alias("leader"))
     candidates = (bands.join(leader, "key").where("id <> leader")
-                  .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+                  .select("id", "leader").distinct())
     planes = semi(nodes.select("id", "planes"), bands.select("id"), "id")
+    candidates = materialize(candidates, "candidates")
     near = materialize(
-        candidates.join(planes.toDF("a", "pa"), "a").join(planes.toDF("b", "pb"), "b")
-        .where(COARSE.estimate("pa", "pb") >= COARSE.least(percent)).select("a", "b"), "leader-pairs")
+        hub_join(candidates, planes.toDF("leader", "pb"), "leader", "id", candidates)
+        .join(planes.toDF("id", "pa"), "id").where(COARSE.estimate("pa", "pb") >= COARSE.least(percent))
+        .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "leader-pairs")
 
     # What the leaders leave unconnected: pairs of one band and two components.
     first_ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
