@@ -1,14 +1,14 @@
-"""RAKE keyword text (Rose et al., 2010) as a relational job.
+"""RAKE keyword text (Rose et al., 2010).
 
-text -> lower-cased word/punctuation tokens -> phrase id = running count of
-break tokens (stop words, punctuation) -> word frequency and degree (sum of
-the lengths of the phrases it occurs in) -> phrase score = sum of
-degree/frequency of its words -> phrases ordered by (score desc, phrase desc)
-and joined with one space.  Repeated phrases are kept.
+text -> lower-cased word/punctuation tokens -> phrases between break tokens (stop
+words, punctuation) -> word frequency and degree (sum of the lengths of the
+phrases it occurs in) -> phrase score = sum of degree/frequency of its words ->
+phrases ordered by (score desc, phrase desc) and joined with one space.  Repeated
+phrases are kept.
 
-Documents are hash-partitioned by id once; every later window and aggregate
-is keyed by (id, ...) and reuses that partitioning, so the job has a single
-shuffle of the raw text and each document is processed whole."""
+A text's keywords depend on that text alone, so they are an Arrow function of the
+column: nothing is shuffled and no row per word exists.  (As windows and joins over
+exploded words the same took a shuffle of the text and several of its words.)"""
 
 from __future__ import annotations
 
@@ -18,9 +18,10 @@ from collections.abc import Iterable
 from functools import reduce
 from itertools import groupby
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 # The default English stop-word list (the matcher's keyword
 # variant depends on it; callers may pass their own list).
@@ -36,12 +37,6 @@ should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mi
 mustn needn shan shouldn wasn weren won wouldn
 """.split())
 
-TOKEN_PATTERN = r"(?U)\w+|[^\w\s]+"        # word runs and punctuation runs
-PUNCT_PATTERN = r"(?U)[^\w\s]+"
-SPACE_PATTERN = r"(?U)\s+"
-BREAK = "\u0001"     # stands for a punctuation run (never part of a word)
-
-
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 _WORD = re.compile(r"\w+")
 
@@ -60,51 +55,18 @@ def rake_text(text: str, stopwords: Iterable[str] = STOPWORDS) -> str:
     return " ".join(p for _, p in ranked)
 
 
+def rake_column(text: Column | str, stopwords: Iterable[str] = STOPWORDS) -> Column:
+    """The ranked phrases of a text column (``""`` without phrases, null for null)."""
+    stop = frozenset(stopwords)
+
+    @F.arrow_udf(T.StringType())
+    def ranked(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else rake_text(t, stop) for t in texts.to_pylist()], pa.string())
+    return ranked(F.col(text) if isinstance(text, str) else text)
+
+
 def rake_keywords(df: DataFrame, text: str, doc_id: str, out: str = "keywords",
-                  stopwords: Iterable[str] = STOPWORDS, partitions: int | None = None) -> DataFrame:
-    """``doc_id, out``: the RAKE ranked phrases of each text joined by spaces
+                  stopwords: Iterable[str] = STOPWORDS) -> DataFrame:
+    """``doc_id, out``: the RAKE ranked phrases of each row's text joined by spaces
     (``""`` for a text without phrases, null for a null text)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).repartition(n, "_id")
-    # posexplode_outer keeps a row for null/empty texts, so every document
-    # reaches the final aggregate and no join back to the text is needed.
-    # Same token stream as TOKEN_PATTERN: punctuation runs become a marker
-    # token, then whitespace splits words and markers (one regex pass per
-    # text instead of a regex test per token).
-    marked = F.regexp_replace(F.lower("_t"), PUNCT_PATTERN, f" {BREAK} ")
-    toks = docs.select("_id", F.col("_t").isNull().alias("_null"),
-                       F.posexplode_outer(F.filter(F.split(F.trim(marked), SPACE_PATTERN),
-                                                   lambda t: t != ""))
-                       .alias("pos", "tok"))
-    brk = F.col("tok").isNull() | F.col("tok").isin(sorted(set(stopwords)) + [BREAK])
-    by_pos = Window.partitionBy("_id").orderBy("pos") \
-                   .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_word = F.col("_brk") == 0
-    plen = Window.partitionBy("_id", "phrase")
-    per_word = Window.partitionBy("_id", "tok")
-    scored = (toks.withColumn("_brk", brk.cast("int"))
-                  .withColumn("phrase", F.sum("_brk").over(by_pos))
-                  .withColumn("_len", F.count(F.when(is_word, 1)).over(plen))
-                  .withColumn("_deg", F.sum(F.when(is_word, F.col("_len"))).over(per_word))
-                  .withColumn("_freq", F.count(F.when(is_word, 1)).over(per_word))
-                  .withColumn("_ws", F.when(is_word, F.col("_deg") / F.col("_freq"))))
-    phrases = scored.groupBy("_id", "phrase").agg(
-        F.first("_null").alias("_null"),
-        F.array_sort(F.collect_list(F.when(is_word, F.struct("pos", "tok", "_ws"))))
-         .alias("_w"))
-    # Word scores are added in phrase order (a left fold), so equal phrase
-    # scores tie exactly instead of differing by summation order.
-    phrases = phrases.select(
-        "_id", "_null",
-        F.aggregate("_w", F.lit(0.0), lambda acc, x: acc + x["_ws"]).alias("score"),
-        F.when(F.size("_w") > 0, F.concat_ws(" ", F.transform("_w", lambda x: x["tok"])))
-         .alias("text"))
-    ranked = phrases.groupBy("_id").agg(
-        F.first("_null").alias("_null"),
-        F.reverse(F.array_sort(F.collect_list(
-            F.when(F.col("text").isNotNull(), F.struct("score", "text"))))).alias("_p"))
-    return ranked.select(
-        F.col("_id").alias(doc_id),
-        F.when(F.col("_null"), F.lit(None).cast("string"))
-         .otherwise(F.concat_ws(" ", F.transform("_p", lambda x: x["text"]))).alias(out))
+    return df.select(F.col(doc_id), rake_column(text, stopwords).alias(out))

@@ -422,6 +422,20 @@ def q_logged_matrices(spark, sf):
                                  _r(V.norm("weights")).alias("norm"))
 
 
+def q_run_files(spark, sf):
+    """Matrix and metrics files: the fixed matrix saved and loaded, its metrics by
+    dataset written as CSV under two run ids (the first twice) and read back."""
+    root = scratch_table_path(spark, f"run-files-{uuid.uuid4().hex}")
+    catalogs.save_matrix(projection.matrix_to_df(spark, projection.fold_matrix(DIMS, FOLD_K)), f"{root}/matrix")
+    matrix = projection.matrix_from_df(catalogs.load_matrix(spark, f"{root}/matrix"))
+    j = split.stratified_split(_written(_vector_pairs(spark, sf)), "label", ["query_id", "cand_id"], 0.2, 123)
+    for run_id, threshold in (("a", 0.9), ("b", 0.4), ("a", 0.5)):
+        rows = learn.process_pairs(j, matrix, threshold).select("dataset", "n", "accuracy")
+        catalogs.write_run_metrics(rows, f"{root}/runs", run_id=run_id)
+    back = catalogs.read_run_metrics(spark, f"{root}/runs", "dataset string, n long, accuracy double")
+    return back.select("run_id", "dataset", "n", _r("accuracy").alias("accuracy"))
+
+
 def q_epoch_metrics(spark, sf):
     """Loss, accuracy and AUC of a fixed matrix on each dataset of the split."""
     j = _written(_vector_pairs(spark, sf))
@@ -741,7 +755,7 @@ def queries() -> dict[str, Query]:
         "projected_hit_rate": q_projected_hit_rate,
         "available_outcomes": q_available_outcomes,
         "transfer_truth": q_transfer_truth,
-        "grid_first_epoch": q_grid_first_epoch, "logged_matrices": q_logged_matrices,
+        "run_files": q_run_files, "grid_first_epoch": q_grid_first_epoch, "logged_matrices": q_logged_matrices,
         "pivot_topk": q_pivot_topk, "signature_recall": q_signature_recall,
         "sql_rake": q_sql_rake, "sql_projection": q_sql_projection, "sql_topk": q_sql_topk,
         "best_by": q_best_by, "best_by_name": q_best_by_name,

@@ -679,5 +679,11 @@ SELECT dataset, count(*) AS n,
 FROM d GROUP BY dataset"""
 
 
+ORACLE["run_files"] = f"""WITH {_SPLIT_PAIRS},
+d AS (SELECT CASE WHEN rn <= round(ny * 0.2) THEN 'test' ELSE 'train' END AS dataset, cc, y FROM f)
+SELECT run_id, dataset, count(*) AS n,
+       round(avg(CASE WHEN (cc > t AND y = 1) OR (cc <= t AND y = -1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM d, (VALUES ('a', 0.5), ('b', 0.4)) x(run_id, t) GROUP BY run_id, dataset"""
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

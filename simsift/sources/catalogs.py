@@ -150,6 +150,15 @@ def load_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("row_idx int, weights array<double>").parquet(path)
 
 
-def write_run_metrics(df: DataFrame, path: str, fmt: str = "csv") -> None:
+def write_run_metrics(df: DataFrame, path: str, fmt: str = "csv", run_id: str | None = None) -> None:
+    """A run's metrics as CSV or Parquet.  With ``run_id`` they go to a folder of their own
+    under ``path`` (``run_id=<id>``), so other runs' results stay; writing a run again replaces it."""
+    to = path if run_id is None else f"{path.rstrip('/')}/run_id={run_id}"
     w = df.coalesce(1).write.mode("overwrite")
-    (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
+    (w.option("header", True).csv(to) if fmt == "csv" else w.parquet(to))
+
+
+def read_run_metrics(spark: SparkSession, path: str, schema: str, fmt: str = "csv") -> DataFrame:
+    """All runs' metrics under ``path`` with their ``run_id`` (a string)."""
+    reader = spark.read.schema(f"{schema}, run_id string")
+    return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
