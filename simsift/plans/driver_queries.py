@@ -407,11 +407,10 @@ def _first_epoch(spark, sf, log=None):
 def q_grid_first_epoch(spark, sf):
     """Metrics of every run and dataset after an epoch of the grid, and the run that is chosen."""
     rows = learn.run_metrics_df(spark, _first_epoch(spark, sf)[1])
-    best = metrics.best_by(rows.where(F.col("dataset") == "validation"), "accuracy", ["run_id"]).select(
-        F.col("run_id").alias("best"))
-    return rows.join(F.broadcast(best)).select(
+    best = metrics.best_by(rows.where(F.col("dataset") == "validation"), "accuracy", ["run_id"]).first()["run_id"]
+    return rows.select(
         "run_id", "dataset", "learning_rate", _r("loss").alias("loss"), _r("accuracy").alias("accuracy"),
-        _r("auc").alias("auc"), (F.col("run_id") == F.col("best")).alias("chosen"))
+        _r("auc").alias("auc"), (F.col("run_id") == best).alias("chosen"))
 
 
 def q_logged_matrices(spark, sf):
@@ -639,7 +638,7 @@ def q_sql_topk(spark, sf):
 
 
 def q_store_round_trip(spark, sf):
-    """Embedding store, transfers and the projection matrix written and read."""
+    """The embedding store written and read, one set of years."""
     root = scratch_table_path(spark, f"store-{uuid.uuid4().hex}")
     e = vectors(spark, sf).select(
         F.concat(F.lit("C "), F.col("vec_id").cast("string")).alias("COURSE CODE"),
