@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from simsift.functions import scalars as S
+from simsift.sources import records
 
 CATALOG_SCHEMA = T.StructType([
     T.StructField("COURSE CODE", T.StringType()),
@@ -74,6 +75,17 @@ def read_catalogs(spark: SparkSession, path: str) -> DataFrame:
         *[F.col(f"`{c}`") for c in CATALOG_SCHEMA.fieldNames()])
 
 
+def read_catalog_records(spark: SparkSession, path: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """(rows of ``read_catalogs``, rejected records) with every file read by many tasks and
+    faults kept apart, see ``records.read_records``."""
+    rows, rejected = records.read_records(spark, path, CATALOG_SCHEMA, glob)
+    fp = F.col("file_path")
+    rows = rows.select(S.path_segment(fp, -2).alias("INSTITUTION"),
+                       F.regexp_extract(S.path_segment(fp, -1), r"^([0-9]+)", 1).alias("YEAR"),
+                       *[F.col(f"`{c}`") for c in CATALOG_SCHEMA.fieldNames()])
+    return rows, rejected.withColumn("INSTITUTION", S.path_segment(fp, -2))
+
+
 def read_articulations(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """Equivalence CSV; codes stay strings (leading zeros matter)."""
     return (spark.read.schema(ARTICULATION_SCHEMA).option("header", True)
