@@ -629,6 +629,15 @@ def q_sql_projection(spark, sf):
                          FROM project_vectors(TABLE({vecs}), vec => 'embedding', matrix => 'fold', out => 'short')""")
 
 
+def q_project_tiles(spark, sf):
+    """The projection with its matrix as a table of tiles (16 rows, 8 columns each)."""
+    m = projection.matrix_to_df(spark, projection.fold_matrix(DIMS, SECOND_DIMS))
+    out = projection.project_tiles(vectors(spark, sf), "embedding", m, "short", np.float64, (16, 8))
+    total = F.aggregate("short", F.lit(0.0), lambda a, x: a + x)
+    return out.select("vec_id", "label", F.size("short").alias("dims"), _r(F.col("short")[0]).alias("first"),
+                      _r(F.col("short")[31]).alias("last"), _r(total, 4).alias("total"))
+
+
 def q_sql_topk(spark, sf):
     """The top-k search as one SQL statement over views."""
     vecs, _ = _views(spark, sf)
@@ -664,6 +673,26 @@ def q_articulation_files(spark, sf):
         F.countDistinct("EQUI_TITLE").alias("n_titles"))
 
 
+def q_catalog_records(spark, sf):
+    """Catalogues as JSON array files, one folder a language, some records cut off by a
+    faulty export: the records read by many tasks, and the rejected ones counted."""
+    path = scratch_table_path(spark, f"catalogs-{uuid.uuid4().hex}")
+    text = F.to_json(F.struct(F.col("doc_id").cast("string").alias("COURSE CODE"),
+                              F.col("source").alias("COURSE TITLE"), F.col("text").alias("DESCRIPTION")))
+    fault = F.coalesce(F.col("n_chars") % 16 == 5, F.lit(False))
+    table(spark, sf, "documents") \
+        .select(F.coalesce("lang", F.lit("none")).alias("lang"),
+                F.when(fault, F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text).alias("value")) \
+        .write.partitionBy("lang").option("lineSep", ",\n").text(path)
+    rows, rejected = catalogs.read_catalog_records(spark, path, glob="*")
+    n = rejected.groupBy("INSTITUTION").agg(F.count(F.lit(1)).alias("n_rejected"))
+    # A row for each language: at most as many as there are folders.
+    return rows.join(F.broadcast(n), "INSTITUTION", "left").select(
+        F.substring_index("INSTITUTION", "=", -1).alias("institution"), F.col("COURSE CODE").alias("code"),
+        F.col("COURSE TITLE").alias("title"), F.md5("DESCRIPTION").alias("digest"),
+        F.coalesce("n_rejected", F.lit(0)).cast("long").alias("n_rejected"))
+
+
 def q_inspection_sample(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     return split.sample_rows(d, ["doc_id"], 50, 123)
@@ -761,6 +790,7 @@ def queries() -> dict[str, Query]:
         "split_null_labels": q_split_null_labels, "grouped_metrics": q_grouped_metrics,
         "store_round_trip": q_store_round_trip,
         "articulation_files": q_articulation_files,
+        "catalog_records": q_catalog_records, "project_tiles": q_project_tiles,
         "epoch_metrics": q_epoch_metrics,
         "process_pairs": q_process_pairs,
     }

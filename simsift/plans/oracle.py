@@ -537,6 +537,11 @@ ORACLE["sql_projection"] = """SELECT vec_id, label, CAST(32 AS INTEGER) AS dims,
        round(CAST(embedding[1] AS DOUBLE) + CAST(embedding[33] AS DOUBLE), 6) AS first,
        round(CAST(embedding[32] AS DOUBLE) + CAST(embedding[64] AS DOUBLE), 6) AS last FROM embeddings"""
 
+ORACLE["project_tiles"] = """SELECT vec_id, label, CAST(32 AS INTEGER) AS dims,
+       round(CAST(embedding[1] AS DOUBLE) + CAST(embedding[33] AS DOUBLE), 6) AS first,
+       round(CAST(embedding[32] AS DOUBLE) + CAST(embedding[64] AS DOUBLE), 6) AS last,
+       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings"""
+
 ORACLE["sql_topk"] = f"""WITH {_E},
 {_ranked("ranked")}
 SELECT query_id, cand_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10"""
@@ -612,6 +617,12 @@ SELECT TRNS_DESCRIPTION, CAST(CAST(floor(TERM / 100) AS INTEGER) AS VARCHAR) AS
        min('00' || TR_COURSE) AS first_course, count(DISTINCT EQUI_TITLE) AS n_titles
 FROM a GROUP BY 1, 2"""
 
+ORACLE["catalog_records"] = """WITH d AS (
+    SELECT coalesce(lang, 'none') AS institution, CAST(doc_id AS VARCHAR) AS code, source AS title, md5(text) AS digest,
+           coalesce(n_chars % 16 = 5, false) AS fault FROM documents),
+n AS (SELECT institution, count(*) FILTER (fault) AS n_rejected FROM d GROUP BY institution)
+SELECT institution, code, title, digest, n_rejected FROM d JOIN n USING (institution) WHERE NOT fault"""
+
 _SPLIT_PAIRS = f"""{_PAIRS},
 pv AS (SELECT p.query_id, p.cand_id, p.cs, p.y, a.v AS va, b.v AS vb
        FROM pairs p JOIN e a ON a.vec_id = p.query_id JOIN e b ON b.vec_id = p.cand_id),

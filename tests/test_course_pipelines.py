@@ -200,6 +200,27 @@ def test_large_matrix_by_row_blocks(spark):
         project(df, "v", m[:7]).collect()
 
 
+@pytest.mark.parametrize("tile, block", [((3, 2), 2), ((1, 1), 100), ((512, 512), 512), ((4, 3), 1)])
+def test_matrix_product_by_tiles(spark, tile, block):
+    from simsift.operators.projection import matrix_to_df, project_tiles
+    rng = np.random.default_rng(2)
+    m, vecs = rng.normal(size=(10, 5)), rng.normal(size=(7, 10))
+    rows = [(i, v.tolist(), i) for i, v in enumerate(vecs)] + [(9, None, 1), (0, vecs[0].tolist(), 5)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, _row int").repartition(3)
+    shuffled = matrix_to_df(spark, m).orderBy(F.rand(1))
+    out = project_tiles(df, "v", shuffled, "w", np.float64, tile, block)
+    assert out.columns == ["id", "v", "_row", "w"]
+    got = out.collect()
+    assert sorted((r.id, r._row) for r in got) == sorted((i, x) for i, _, x in rows)
+    for r in got:
+        assert r.w is None if r.v is None else np.allclose(r.w, vecs[r.id] @ m, atol=1e-12)
+    assert project_tiles(df.limit(0), "v", shuffled, dtype=np.float64).count() == 0
+    short = project_tiles(df, "v", shuffled, tile=tile, block=block)
+    assert short.columns == df.columns and short.schema["v"].dataType.simpleString() == "array<float>"
+    with pytest.raises(Exception, match="vector length 10 != matrix rows 7"):
+        project_tiles(df, "v", matrix_to_df(spark, m[:7])).collect()
+
+
 def test_written_tables_are_removed(spark):
     from simsift.session import materialize, release, scratch
     table = materialize(spark.range(5))

@@ -86,11 +86,11 @@ def test_block_topk_tie_rule():
 def test_arrow_limit_is_put_back(spark):
     from simsift.operators import topk as TK
     conf, before = TK._RECORDS_CONF, spark.conf.get(TK._RECORDS_CONF, "10000")
-    with TK._arrow_records(spark, 50 * 1024 * 1024):
+    with TK.arrow_records(spark, 50 * 1024 * 1024):
         assert int(spark.conf.get(conf)) == 5
     assert spark.conf.get(conf) == before
     spark.conf.set(conf, "2")
-    with TK._arrow_records(spark, 50 * 1024 * 1024):          # a stricter user value is kept
+    with TK.arrow_records(spark, 50 * 1024 * 1024):          # a stricter user value is kept
         assert spark.conf.get(conf) == "2"
     spark.conf.set(conf, before)
 
