@@ -169,9 +169,10 @@ SELECT doc_id, len(words) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_b
 FROM docs LEFT JOIN found USING (row)
 """
 
-_FAILS = ("(CASE WHEN 4 * n_symbols > n_words THEN 1 ELSE 0 END + CASE WHEN n_symbols > n_words THEN 1 ELSE 0 END"
-          " + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 1 ELSE 0 END"
-          " + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 1 ELSE 0 END)")
+_RULES = {"symbols": "4 * n_symbols > n_words", "dense": "n_symbols > n_words",
+          "lines": "10 * n_dup_lines > 3 * n_lines",
+          "length": "word_chars < 2 * n_words OR word_chars > 15 * n_words"}
+_FAILS = " + ".join(f"CASE WHEN {_rule} THEN 1 ELSE 0 END" for _rule in _RULES.values())
 OP5_SQL = rf"""
 WITH docs AS (
     SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
@@ -194,11 +195,21 @@ measured AS (
 judged AS (
     SELECT *, n_words < {hostquality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
            {_FAILS} AS fails FROM measured),
-hosts AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed OR fails > 0) AS f FROM judged GROUP BY host),
-prior AS (SELECT avg(f / n) AS mean, var_pop(f / n) AS var FROM hosts),
-weighted AS (SELECT mean, CASE WHEN var > 0 THEN greatest({hostquality.MIN_PRIOR}, least(1e6, mean * (1 - mean) / var - 1)) ELSE 1e6 END
-                    AS weight FROM prior),
-strict AS (SELECT host, (mean * weight + f) / (weight + n) > {hostquality.HOST_LIMIT} AS host_strict FROM hosts, weighted)
+failed AS (SELECT host, unnest([base_failed, {", ".join(_RULES.values())}]) AS failed,
+                  unnest(range({len(_RULES) + 1})) AS rule FROM judged),
+hosts AS (SELECT host, rule, count(*) AS n, count(*) FILTER (failed) AS f FROM failed GROUP BY ALL),
+totals AS (SELECT rule, count(*) AS hosts, sum(n) AS docs,
+                  (sum(f * f / n) - sum(f) * sum(f) / sum(n)) / (count(*) - 1) AS between_hosts,
+                  (sum(f) - sum(f * f / n)) / (sum(n) - count(*)) AS within_hosts,
+                  (sum(n) - sum(n * n) / sum(n)) / (count(*) - 1) AS usual FROM hosts GROUP BY rule),
+alike AS (SELECT rule, CASE WHEN hosts < 2 OR docs = hosts OR between_hosts <= within_hosts THEN 0
+                       ELSE (between_hosts - within_hosts) / (between_hosts + (usual - 1) * within_hosts) END AS rho FROM totals),
+priors AS (SELECT rule, sum(f / (1 + (n - 1) * rho)) / sum(n / (1 + (n - 1) * rho)) AS mean,
+                  CASE WHEN rho > 0 THEN greatest({hostquality.MIN_PRIOR}, least({hostquality.MAX_PRIOR}, 1 / rho - 1))
+                       ELSE {hostquality.MAX_PRIOR} END AS weight
+           FROM hosts JOIN alike USING (rule) GROUP BY rule, rho),
+strict AS (SELECT host, bool_or((mean * weight + f) / (weight + n) > {hostquality.HOST_LIMIT}) AS host_strict
+           FROM hosts JOIN priors USING (rule) GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND fails <= CASE WHEN host_strict THEN 0 ELSE 1 END AS kept, host_strict
 FROM judged JOIN strict USING (host)

@@ -58,6 +58,47 @@ def test_hosts_change_the_verdict(spark):
     assert H.host_quality(df.limit(0)).count() == 0 and H.drop_low_quality(df.limit(0)).count() == 0
 
 
+def test_single_documents_condemn_no_host(spark):
+    """A long tail of hosts with one document each tells nothing about any of them."""
+    rows = [(i, symbols(30) + f" y{i}" if i % 5 < 2 else GOOD + f" y{i}", f"h{i}", "", 1) for i in range(200)]
+    assert all(r.kept and not r.host_strict for r in H.host_quality(spark.createDataFrame(rows, SCHEMA)).collect())
+    # Hosts of many documents still are told apart.
+    more = rows + [(1000 + i, symbols(25 + i), "bad", "", 1) for i in range(40)] \
+        + [(2000 + i, GOOD + f" z{i}", "good", "", 1) for i in range(300)]
+    out = {r.doc_id: (r.kept, r.host_strict) for r in H.host_quality(spark.createDataFrame(more, SCHEMA)).collect()}
+    assert all(out[1000 + i] == (False, True) for i in range(40))
+    assert all(out[2000 + i] == (True, False) for i in range(300))
+
+
+def test_rules_have_rates_of_their_own(spark):
+    """Documents that fail different rules don't add up to a strict host."""
+    long = " ".join("x" * 20 for _ in range(2)) + " " + " ".join(f"{'y' * 17}{i}" for i in range(60))
+    lines = "\n".join(["one line here"] * 4 + [f"word{i} a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}" for i in range(7)])
+    kinds = [symbols(30), long, lines, GOOD]
+    rows = [(i, kinds[i % 4] + f" {i}", "mixed", "", 1) for i in range(80)]
+    rows += [(100 + i, GOOD + f" {i}", f"other{i % 9}", "", 1) for i in range(90)]
+    out = H.host_quality(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert not any(r.host_strict for r in out) and all(r.kept for r in out)
+
+
+def test_prior():
+    assert H.likeness(0, 0, 0, 0, 0.0) == 0 and H.likeness(1, 9, 81, 4, 16 / 9) == 0
+    assert H.likeness(200, 200, 200, 80, 80.0) == 0 and H.weight(0.0) == H.MAX_PRIOR
+    assert H.likeness(2, 20, 200, 10, 10.0) == 1 and H.weight(1.0) == H.MIN_PRIOR       # all or none
+    # Four hosts of ten documents, 8, 6, 4 and 2 of them failed: 2 / 3 between, 2 / 9 within.
+    assert abs(H.weight(H.likeness(4, 40, 400, 20, 12.0)) - 5) < 1e-9
+
+
+def test_clashing_columns(spark):
+    rows = [(1, symbols(30), "a"), (2, GOOD, "b"), (3, "short", None)]
+    df = spark.createDataFrame([r + (7, "k", "h", 0, "x") for r in rows],
+                               "doc_id long, text string, source string, _q_n_words int, _Q_kept string, host string, "
+                               "c0 int, `a.b` string")
+    left = H.drop_low_quality(df)
+    assert left.schema == df.schema
+    assert sorted((r.doc_id, r._q_n_words, r["a.b"]) for r in left.collect()) == [(1, 7, "x"), (2, 7, "x")]
+
+
 def test_given_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
