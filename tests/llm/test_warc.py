@@ -74,6 +74,34 @@ def test_records(spark):
     assert warc.derivatives(warc.responses(df.limit(0), WARC_DATE)).count() == 0
 
 
+def test_source_headers_are_kept(spark):
+    """Whole response records: what their headers say stands in the derivatives."""
+    body = "<title>caf\u00e9</title><p>na\u00efve</p>".encode("latin-1")
+    plain = b"HTTP/1.1 404 Not Found\r\nServer: x\r\nX-Long: a\r\n  b\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n" + body
+    headers = ("WARC-Type: response\r\nWARC-IP-Address: 192.0.2.7\r\nWARC-Payload-Digest: sha1:GIVEN\r\n"
+               "Content-Type: application/http; msgtype=response\r\nContent-Length: 5\r\n")
+    coded = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n\x1f\x8b\x00"
+    odd = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=none-such\r\n\r\n<p>\xff ok"
+    rows = [("a", "urn:a", "http://a/", "d", None, headers, plain), ("b", "urn:b", None, "d", "unused", None, coded),
+            ("c", "urn:c", None, "d", None, "", odd), ("d", "urn:d", None, "d", None, None, b""),
+            ("e", "urn:e", None, "d", None, "no name\r\n: none\r\n", b"HTTP/1.1 200 OK\r\nServer: y")]
+    df = spark.createDataFrame(rows, warc.RESPONSE.replace("id long", "id string", 1))
+    made = {(r.page_id, r.record_type): r for r in warc.derivatives(df).collect()}
+    assert len(made) == 10
+    _, head, fields = parse(bytes(made["a", "metadata"].record))
+    lines = fields.decode().split("\r\n")
+    assert head["WARC-Source-Payload-Digest"] == "sha1:GIVEN" and head["WARC-Source-Block-Digest"] == sha1(plain)
+    assert head["WARC-Source-Content-Type"] == "application/http; msgtype=response"
+    assert [x for x in lines if x.startswith("sourceH")] == [
+        "sourceHeader: WARC-IP-Address: 192.0.2.7", "sourceHttpStatus: HTTP/1.1 404 Not Found", "sourceHttpHeader: Server: x",
+        "sourceHttpHeader: X-Long: a b", "sourceHttpHeader: Content-Type: text/html; charset=ISO-8859-1"]
+    assert f"sourceContentLength: {len(plain)}" in lines and "title: caf\u00e9" in lines
+    texts = {i: parse(bytes(made[i, "conversion"].record))[2].decode() for i in "abcde"}
+    assert texts == {"a": "caf\u00e9\nna\u00efve", "b": "", "c": "\ufffd ok", "d": "", "e": ""}
+    assert made["b", "conversion"].source_payload_digest == sha1(b"\x1f\x8b\x00")
+    assert b"sourceHttpHeader: Server: y" in bytes(made["e", "metadata"].record)
+
+
 def test_given_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = warc.derivatives(warc.responses(pages, WARC_DATE)).collect()
