@@ -32,6 +32,8 @@ from simsift.session import materialize
 
 #: Longest record in bytes; what a task holds of one open record.
 MAX_RECORD = 16 << 20
+#: Measured size up to which the table of blocks (file name and offset) is broadcast.
+BLOCKS_BYTES = 64 << 20
 
 _START = re.compile(rb'(?:\A[\s\xef\xbb\xbf]*\[?|,)\s*(\{\s*"(?:[^"\\]|\\.)*"\s*:)', re.DOTALL)
 _FILLER = re.compile(rb"[\s,\[\]\xef\xbb\xbf]*")
@@ -239,8 +241,10 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, glob: str
     written = materialize(fragments.mapInArrow(_pieces_kernel(max_record), _PIECES), "records")
     blocks = written.where(F.col("kind") == "head").select("file", "block", "total")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = blocks.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = written.join(base, ["file", "block"]) \
+    base = materialize(blocks.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")),
+                       "blocks")
+    size = base.agg(F.sum(F.octet_length("file") + 48)).first()[0] or 0
+    placed = written.join(F.broadcast(base) if size <= BLOCKS_BYTES else base, ["file", "block"]) \
         .withColumn("pos", F.col("pos") + F.col("base")).drop("base").select(*_ARROW.names)
     pieces = placed.where(F.col("kind").isin("record", "reject")) \
         .unionByName(_join_blocks(placed, max_record))
