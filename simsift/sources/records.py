@@ -34,6 +34,8 @@ from simsift.session import materialize
 MAX_RECORD = 16 << 20
 #: Measured size up to which the table of blocks (file name and offset) is broadcast.
 BLOCKS_BYTES = 64 << 20
+#: Bytes of text that a kernel gathers for one batch of its output.
+OUT_BYTES = 1 << 20
 
 _START = re.compile(rb'(?:\A[\s\xef\xbb\xbf]*\[?|,)\s*(\{\s*"(?:[^"\\]|\\.)*"\s*:)', re.DOTALL)
 _FILLER = re.compile(rb"[\s,\[\]\xef\xbb\xbf]*")
@@ -166,38 +168,46 @@ class _Block:
             yield self._row("tail", self.records.at, b"".join(self.records.open))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+def _batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Output batches of about OUT_BYTES."""
+    out, held = [], 0
+    for row in rows:
+        out.append(row)
+        held += 64 + len(row[5])
+        if held >= OUT_BYTES:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
+            out, held = [], 0
+    if out:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows as Python values, one at a time: texts may be long."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(column[i].as_py() for column in batch.columns)
 
 
 def _pieces_kernel(max_record: int):
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         block = None
-        for batch in batches:
-            out = []
-            for file, start, size, value in zip(*(c.to_pylist() for c in batch.columns)):
-                if block is None or block.key != (file, start):
-                    if block is not None:
-                        out.extend(block.close())
-                    block = _Block(file, start, size, max_record)
-                out.extend(block.add(value))
-            if out:
-                yield _batch(out)
+        for file, start, size, value in _rows(batches):
+            if block is None or block.key != (file, start):
+                if block is not None:
+                    yield from block.close()
+                block = _Block(file, start, size, max_record)
+            yield from block.add(value)
         if block is not None:
-            yield _batch(list(block.close()))
-    return kernel
+            yield from block.close()
+    return lambda batches: _batches(pieces(batches))
 
 
 def _joined_kernel(max_record: int):
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for file, size, pos, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for kind, at, piece in _assembled(text, max_record):
-                    out.append((file, 0, size, kind, pos + at, piece, None))
-            if out:
-                yield _batch(out)
-    return kernel
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for file, size, pos, text in _rows(batches):
+            for kind, at, piece in _assembled(text, max_record):
+                yield file, 0, size, kind, pos + at, piece, None
+    return lambda batches: _batches(pieces(batches))
 
 
 def _assembled(text: bytes, max_record: int) -> Iterable[Piece]:
