@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from simsift.session import materialize
+from simsift.session import materialize, remove_path
 
 Embedder = Callable[[pd.Series], list]
 _TOKEN = re.compile(r"\w+", re.UNICODE)
@@ -139,9 +139,13 @@ def embed_with_cache(df: DataFrame, text_cols: list[str], cache_path: str,
     computed = embed_column(missing, "text", "embedding", fn) \
         .select("key", F.lit(name).alias("embedder"), "text", "embedding")
     batch = uuid.uuid4().hex
-    computed.write.mode("errorifexists").parquet(os.path.join(cache_path, f"batch={batch}"))
-    spark.createDataFrame([(batch,)], _MANIFEST_SCHEMA).coalesce(1) \
-         .write.mode("append").parquet(os.path.join(cache_path, "manifest"))
+    path = os.path.join(cache_path, f"batch={batch}")
+    computed.write.mode("errorifexists").parquet(path)
+    if spark.read.schema(_CACHE_SCHEMA).parquet(path).isEmpty():
+        remove_path(path)                        # no new texts: nothing stays
+    else:
+        spark.createDataFrame([(batch,)], _MANIFEST_SCHEMA).coalesce(1) \
+             .write.mode("append").parquet(os.path.join(cache_path, "manifest"))
     # Only the keys needed here; a duplicate key (two concurrent writers) is
     # collapsed.
     cache = (read_cache(spark, cache_path).where(F.col("embedder") == name)

@@ -133,7 +133,7 @@ def materialize(df, label: str = "stage", partition_by: str | None = None):
 _WRITTEN: list[str] = []
 
 
-def _remove(path: str) -> None:
+def remove_path(path: str) -> None:
     """Delete a written table; stores that pyarrow cannot reach keep it (their
     own lifetime rules apply)."""
     try:
@@ -150,7 +150,7 @@ def release(table) -> None:
     path = getattr(table, "_scratch_path", None)
     if path and path in _WRITTEN:
         _WRITTEN.remove(path)
-        _remove(path)
+        remove_path(path)
 
 
 @contextmanager
@@ -162,11 +162,11 @@ def scratch():
         yield
     finally:
         while len(_WRITTEN) > before:
-            _remove(_WRITTEN.pop())
+            remove_path(_WRITTEN.pop())
 
 
 @atexit.register
 def _remove_all() -> None:
     """What is left when the driver ends."""
     while _WRITTEN:
-        _remove(_WRITTEN.pop())
+        remove_path(_WRITTEN.pop())

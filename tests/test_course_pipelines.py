@@ -171,6 +171,7 @@ def test_cache_knows_the_embedder(spark):
         assert len(got) == 4
         assert [len(r.t_embedding) for r in got if r.t is not None] == [dim] * 3
     assert embed.read_cache(spark, cache).count() == 4                  # two texts, two embedders
+    assert sum(name.startswith("batch=") for name in os.listdir(cache)) == 2        # the last call found all texts
     with pytest.raises(ValueError):
         embed.embed_with_cache(df, ["t"], cache, lambda texts: [[0.0] for _ in texts])
 
