@@ -120,3 +120,44 @@ def test_excluded_pairs(spark):
     for q in range(60):
         free = [c for c in range(60) if c != q and (q, c) not in cut]
         assert got[q] == max(free, key=lambda c: (sims[q, c], -c))
+
+
+def test_a_large_cell_needs_little_memory():
+    import tracemalloc
+
+    import pandas as pd
+
+    from simsift.operators import topk as TK
+    n = 6000
+    v = np.random.default_rng(4).normal(size=(n, 4)).ravel()
+    side = {"ids": [np.arange(n)], "vecs": [v], "dmin": [4], "dmax": [4]}
+    pair = pd.DataFrame({f"{t}_{c}": x for t in "qc" for c, x in side.items()})
+    tracemalloc.start()
+    found = pd.concat(TK._kernel(2, True)([pair]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2 * n and (found["query_id"] != found["cand_id"]).all()
+    assert peak < 100 << 20                          # all pairs at once are 288 MB
+
+
+@pytest.mark.parametrize("tile", [(7, 9), (512, 4096)])
+def test_best_pairs_are_those_of_all_scores(monkeypatch, tile):
+    from simsift.operators import topk as TK
+    monkeypatch.setattr(TK, "TILE", tile)
+    rng = np.random.default_rng(9)
+    for step in range(12):
+        q, c = rng.integers(-2, 3, size=(40, 5)).astype(float), rng.integers(-2, 3, size=(900, 5)).astype(float)
+        if step % 2:
+            q, c = rng.normal(size=(40, 5)), rng.normal(size=(900, 5))
+            c[100:800], q[:20] = c[0], c[0]                      # copies
+        c[5::50] = 0
+        q, c = (TK._normalised(x.ravel(), len(x)) for x in (q, c))
+        cut = rng.integers(0, 40, 3000), rng.integers(0, 900, 3000)
+        s = np.round(np.clip(q @ c.T, -1, 1), 12)
+        s[cut] = -np.inf
+        floor = np.where(rng.random(40) < 0.5, -1.0, 0.6)
+        idx, vals = TK.block_topk(s, 6)
+        want = [(r, int(i)) for r in range(40) for i, x in zip(idx[r], vals[r]) if x >= floor[r] - 1e-11]
+        rows, cols, _, place = TK.best_pairs(q, c, 6, floor - 1e-11, cut)
+        assert list(zip(rows.tolist(), cols.tolist())) == want
+        assert place.max() == 5
