@@ -641,8 +641,10 @@ def q_project_tiles(spark, sf):
 def q_sql_topk(spark, sf):
     """The top-k search as one SQL statement over views."""
     vecs, _ = _views(spark, sf)
+    e = spark.table(vecs)
     found = spark.sql(sql.topk_statement(vecs, vecs, TOP_K, query_id="vec_id", query_vec="embedding", cand_id="vec_id",
-                                         cand_vec="embedding", exclude_self=True))
+                                         cand_vec="embedding", exclude_self=True,
+                                         cells=sql.topk_cells_of(e, e, "embedding", "embedding")))
     return found.select("query_id", "cand_id", _r("score").alias("score"), "rank")
 
 

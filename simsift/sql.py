@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, PartitioningColumn
@@ -33,6 +33,8 @@ from simsift.session import ship_package
 
 BLOCK_ROWS = 1024            # rows of one product
 MATRIX_BYTES = 64 << 20      # a matrix of more bytes is not shipped with a function
+CELL_BYTES = 32 << 20        # of one side's vectors in a cell of the top-k search
+MIN_CELLS = 4                # parts of a side
 
 
 def _columns(table: AnalyzeArgument, name: str) -> T.StructType:
@@ -152,7 +154,7 @@ class TopkCells:
         if table["vec"] is not None and table["id"] is not None:
             ids, vectors = self.sides[table["side"]]
             ids.append(table["id"])
-            vectors.append(table["vec"])
+            vectors.append(np.asarray(table["vec"], dtype=np.float64))
 
     def terminate(self):
         (q_ids, q_vecs), (c_ids, c_vecs) = self.sides["q"], self.sides["c"]
@@ -179,10 +181,20 @@ def register(spark: SparkSession, matrices: dict[str, np.ndarray] | None = None)
         spark.udtf.register(name, F.udtf(made, useArrow=True))
 
 
+def topk_cells_of(queries: DataFrame, candidates: DataFrame, query_vec: str, cand_vec: str) -> int:
+    """Parts of each side with which a cell of ``topk_statement`` holds at most CELL_BYTES of
+    a side's vectors (in double precision)."""
+    most = 0
+    for df, vec in {(id(d), v): (d, v) for d, v in ((queries, query_vec), (candidates, cand_vec))}.values():
+        most = max(most, df.agg(F.sum(8 * F.greatest(F.size(vec), F.lit(0)).cast("long"))).first()[0] or 0)
+    return max(MIN_CELLS, -(-most // CELL_BYTES))
+
+
 def topk_statement(queries: str, candidates: str, k: int, *, query_id: str, query_vec: str, cand_id: str,
                    cand_vec: str, cells: int = 4, exclude_self: bool = False) -> str:
     """The top-k search over two views as one SQL statement: (query_id, cand_id, score,
-    rank).  Both sides are cut into ``cells`` parts by id, and every pair of parts is a cell."""
+    rank).  Both sides are cut into ``cells`` parts by id (``topk_cells_of`` tells how many a
+    large table needs), and every pair of parts is a cell."""
     def side(tag: str, view: str, id_: str, vec: str, own: str, other: str) -> str:
         return (f"SELECT '{tag}' AS side, `{id_}` AS id, `{vec}` AS vec, "
                 f"CAST(pmod(xxhash64(`{id_}`), {cells}) AS INT) AS {own}, {other} "

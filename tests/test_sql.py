@@ -72,3 +72,25 @@ def test_large_matrices_are_refused(session, monkeypatch):
     monkeypatch.setattr(sql, "MATRIX_BYTES", 8)
     with pytest.raises(ValueError, match="bytes"):
         sql.register(session, {"m": np.eye(2)})
+
+
+def test_topk_cells_by_size_and_in_little_memory(spark):
+    import tracemalloc
+    v = np.random.default_rng(6).normal(size=(4500, 3))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:200])] + [(900, None)], "id long, v array<float>")
+    assert sql.topk_cells_of(df, df, "v", "v") == sql.MIN_CELLS
+    before, sql.CELL_BYTES = sql.CELL_BYTES, 600
+    try:
+        assert sql.topk_cells_of(df, df, "v", "v") == 8          # 200 vectors of 24 bytes
+    finally:
+        sql.CELL_BYTES = before
+    cell = sql.TopkCells()
+    tracemalloc.start()
+    for i, x in enumerate(v.tolist()):
+        for side in "qc":
+            list(cell.eval({"side": side, "id": i, "vec": x}, 2, True) or ())
+    found = list(cell.terminate())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 9000 and all(q != c for q, c, _ in found)
+    assert peak < 80 << 20                                       # all scores at once are 162 MB
