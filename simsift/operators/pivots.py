@@ -2,16 +2,19 @@
 
 1. Both sides are grouped around pivots: unit vectors fitted to a bounded sample of the
    candidates.  Every row joins its nearest pivot's group (zero vectors one of their own);
-   a group's radius is the widest angle between pivot and member.  A group is cut into
-   blocks of at most ``block_rows`` rows by the hash of the id, so a group that holds a third of all rows is
-   many blocks.
+   a group's radius is the widest angle between pivot and member.  Groups that are near
+   one another are put together in chunks of at most ``block_rows`` rows; a group of more
+   is many chunks by the hash of the id.
 2. No pair of two groups scores above ``cos(max(0, angle(pivots) - both radii))``.
    For each query group the candidate groups are taken in the order of that bound, in
    rounds: first FIRST of them, then GROWTH times as many, and so on.
 3. After a round every query has a k-th score, and a query group the least of its
    members'.  Candidate groups whose bound is below it can hold no better row, for any
    member; as the bounds fall, that ends the group's search.  What is left goes to the
-   next round.  Inside a block pair a query takes only rows that reach its own k-th score.
+   next round.  A round's group pairs meet in cells, one for each pair of chunks that has
+   any, so a row is copied once for each chunk it meets and not for each group; inside a cell
+   only the asked group pairs are scored, and a query takes only rows that reach its own k-th
+   score.
 
 Scores, ties and defined results are those of ``topk_similar``.  Only groups (at most
 MOST_PIVOTS) are paired on the driver, by their pivots and radii."""
@@ -28,13 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from simsift.operators.topk import _arrow_records, _normalised
+from simsift.operators.topk import (CELLS_PER_CORE, MAX_BLOCK_BYTES, PAIR_BATCH_BYTES, _arrow_records, _normalised,
+                                    _same_ids, best_pairs)
 from simsift.session import materialize, release
 
 SAMPLE_ROWS = 8_192      # candidates that fit the pivots (the least hashes)
 FIT_ROUNDS = 8
 MOST_PIVOTS = 1_024
-BLOCK_ROWS = 2_048
+MIN_CHUNK_ROWS = 256     # of a search that has few rows
 FIRST = 4                # candidate groups of a query group in the first round
 GROWTH = 4               # how many times as many in each further round
 _SLACK = 1e-9            # scores are rounded to 1e-12
@@ -105,14 +109,42 @@ def _grouped(df: DataFrame, id_col: str, vec_col: str, pivots: np.ndarray) -> Da
                                         T.StructField("angle", T.DoubleType())])), "pivot-rows")
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame, block_rows: int, tag: str) -> DataFrame:
-    """Blocks of a group's rows: (grp, part, ids, vecs), ids ascending in a block."""
-    parts = sizes.select("grp", F.ceil(F.col("n") / block_rows).alias("parts"))
-    return rows.join(F.broadcast(parts), "grp") \
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")) \
-        .groupBy("grp", "part").agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("x")) \
-        .select(F.col("grp").alias(f"{tag}_grp"), F.col("part").alias(f"{tag}_part"),
-                F.col("x.id").alias(f"{tag}_ids"), F.flatten("x.vec").alias(f"{tag}_vecs"))
+def chunks_of(pivots: np.ndarray, sizes: dict[int, int], block_rows: int) -> dict[int, tuple[int, int]]:
+    """{group: (its first chunk, how many chunks it has)}.  Groups are taken along a chain of
+    near pivots; one of more than ``block_rows`` rows has chunks of its own."""
+    chunks, at, room = {}, 0, 0
+    left = sorted(g for g in sizes if g >= 0)
+    last = None
+    while left:
+        g = left[0] if last is None else left[int((pivots[left] @ pivots[last]).argmax())]
+        left.remove(g)
+        last, n = g, sizes[g]
+        if n > block_rows:
+            parts = math.ceil(n / block_rows)
+            chunks[g], at, room = (at, parts), at + parts, 0
+            continue
+        if n > room:
+            at, room = at + 1, block_rows
+        chunks[g], room = (at - 1, 1), room - n
+    if -1 in sizes:
+        chunks[-1] = (at, math.ceil(sizes[-1] / block_rows))
+    return chunks
+
+
+def _side(rows: DataFrame, chunks: dict[int, tuple[int, int]], meets: list[tuple[int, int]], own: str, other: str,
+          cells: int, tag: str) -> DataFrame:
+    """One row for each cell with the rows of one side; ``meets`` are (group, chunk of the other side)."""
+    spark = rows.sparkSession
+    # At most MOST_PIVOTS rows, and that many times the number of chunks.
+    place = spark.createDataFrame([(g, c, n) for g, (c, n) in chunks.items()], "grp int, chunk int, parts int")
+    asked = spark.createDataFrame(meets, f"grp int, {other} int")
+    columns = ["id", "grp", "vec"] + (["floor"] if "floor" in rows.columns else [])
+    packed = rows.join(F.broadcast(place), "grp").join(F.broadcast(asked), "grp") \
+        .withColumn(own, F.col("chunk") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")) \
+        .repartition(cells, "q_chunk", "c_chunk").groupBy("q_chunk", "c_chunk") \
+        .agg(F.collect_list(F.struct(*columns)).alias("x"))
+    return packed.select("q_chunk", "c_chunk", *[F.col(f"x.{c}").alias(f"{tag}_{c}") for c in columns if c != "vec"],
+                         F.flatten("x.vec").alias(f"{tag}_vec"))
 
 
 def pair_bounds(pivots: np.ndarray, q: dict[int, float], c: dict[int, float]) -> dict[int, list[tuple[float, int]]]:
@@ -130,36 +162,32 @@ def pair_bounds(pivots: np.ndarray, q: dict[int, float], c: dict[int, float]) ->
     return out
 
 
-def _kernel(k: int, exclude_self: bool):
-    """Of each block pair the (query_id, cand_id, score) that reach the query's k-th score
-    so far, at most k a query."""
+def _kernel(k: int, exclude_self: bool, asked: dict[int, np.ndarray]):
+    """Of each cell the (query_id, cand_id, score) that reach the query's k-th score so far, at
+    most k a query and cell, from the ``asked`` candidate groups of its group."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                qi, ci = np.asarray(r.q_ids), np.asarray(r.c_ids)
-                scores = np.round(np.clip(_normalised(r.q_vecs, len(qi)) @ _normalised(r.c_vecs, len(ci)).T, -1, 1), 12)
-                if exclude_self:
-                    scores[np.equal.outer(qi, ci)] = -np.inf
-                floor = np.full(len(qi), -2.0)
-                if r.known is not None and len(r.known):
-                    known = dict(zip(r.known, r.floors))
-                    floor = np.array([known.get(i, -2.0) for i in qi.tolist()])
-                if len(ci) > k:
-                    kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                    floor = np.maximum(floor, kth)
-                row, col = np.nonzero(scores >= np.maximum(floor, -1.0)[:, None])
-                found = pd.DataFrame({"query_id": qi[row], "cand_id": ci[col], "score": scores[row, col], "row": row})
-                if len(ci) > k:                                  # more than k only by ties
-                    found = found.sort_values(["row", "score", "cand_id"], ascending=[True, False, True], kind="stable")
-                    found = found[found.groupby("row").cumcount() < k]
-                yield found.drop(columns="row")
+                qi, ci, q_grp, c_grp = (np.asarray(x) for x in (r.q_id, r.c_id, r.q_grp, r.c_grp))
+                order = np.argsort(ci, kind="stable")
+                ci, c_grp = ci[order], c_grp[order]
+                Q, C = _normalised(r.q_vec, len(qi)), _normalised(r.c_vec, len(order))[order]
+                floor = np.nan_to_num(np.asarray(r.q_floor, dtype=np.float64), nan=-2.0)
+                for g in np.unique(q_grp).tolist():
+                    mine, theirs = np.flatnonzero(q_grp == g), np.flatnonzero(np.isin(c_grp, asked[g])) if g in asked else []
+                    if not len(theirs):
+                        continue
+                    cut = _same_ids(qi[mine], ci[theirs]) if exclude_self else None
+                    rows, cols, scores, _ = best_pairs(Q[mine], C[theirs], k, floor[mine], cut)
+                    yield pd.DataFrame({"query_id": qi[mine[rows]], "cand_id": ci[theirs[cols]], "score": scores})
     return run
 
 
 def pivot_topk(queries: DataFrame, candidates: DataFrame, k: int, *, query_id: str, query_vec: str, cand_id: str,
                cand_vec: str, exclude_self: bool = False, pivots: int | None = None,
-               block_rows: int = BLOCK_ROWS, first: int = FIRST) -> PivotSearch:
-    """Top ``k`` candidates per query by cosine similarity, as ``topk_similar`` gives them."""
+               block_rows: int | None = None, first: int = FIRST) -> PivotSearch:
+    """Top ``k`` candidates per query by cosine similarity, as ``topk_similar`` gives them.
+    ``block_rows`` are the rows of a chunk (default: what MAX_BLOCK_BYTES hold)."""
     if k <= 0:
         raise ValueError("k must be positive")
     spark = queries.sparkSession
@@ -189,13 +217,21 @@ def pivot_topk(queries: DataFrame, candidates: DataFrame, k: int, *, query_id: s
     if not q_groups or not c_groups:
         return PivotSearch(empty, 0, 0)
     order = pair_bounds(centres, {g: r for g, (_, r) in q_groups.items()}, {g: r for g, (_, r) in c_groups.items()})
-    qb = materialize(_blocks(q_rows, q_sizes, block_rows, "q"), "pivot-blocks")
-    cb = materialize(_blocks(c_rows, c_sizes, block_rows, "c"), "pivot-blocks")
+    row = 8 * (matrix.shape[1] + 3)
+    if block_rows is None:
+        # Enough cells for the cores, in a search of all pairs.
+        spread = math.ceil(max(count, sum(n for n, _ in q_groups.values()))
+                           / math.sqrt(CELLS_PER_CORE * spark.sparkContext.defaultParallelism))
+        block_rows = max(1, min(MAX_BLOCK_BYTES // row, max(MIN_CHUNK_ROWS, spread)))
+    c_chunks = chunks_of(centres, {g: n for g, (n, _) in c_groups.items()}, block_rows)
+    q_chunks = c_chunks if same else chunks_of(centres, {g: n for g, (n, _) in q_groups.items()}, block_rows)
+
+    def within(chunks: dict[int, tuple[int, int]], g: int) -> range:
+        return range(chunks[g][0], chunks[g][0] + chunks[g][1])
     at = dict.fromkeys(order, 0)                       # pairs of the group that are done
     floor = dict.fromkeys(order, -math.inf)            # least k-th score of its members
     best, kth, step, compared = None, None, first, 0
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "cand_id")
-    row_bytes = 16 * block_rows * (matrix.shape[1] + 2)
     while True:
         todo = []
         for g, pairs in order.items():
@@ -205,32 +241,31 @@ def pivot_topk(queries: DataFrame, candidates: DataFrame, k: int, *, query_id: s
         if not todo:
             break
         compared += sum(q_groups[g][0] * c_groups[h][0] for g, h in todo)
-        # At most MOST_PIVOTS squared pairs of numbers.
-        asked = F.broadcast(spark.createDataFrame(todo, "q_grp int, c_grp int"))
-        met = qb.join(asked, "q_grp")
-        if kth is not None:
-            known = kth.groupBy("q_grp", "q_part").agg(F.collect_list(F.struct("query_id", "floor")).alias("f")) \
-                .select("q_grp", "q_part", F.col("f.query_id").alias("known"), F.col("f.floor").alias("floors"))
-            met = met.join(known, ["q_grp", "q_part"], "left")
-        else:
-            met = met.withColumn("known", F.lit(None).cast(T.ArrayType(schema["query_id"].dataType))) \
-                .withColumn("floors", F.lit(None).cast("array<double>"))
-        met = met.join(cb, "c_grp").select("q_ids", "q_vecs", "c_ids", "c_vecs", "known", "floors")
-        found = met.mapInPandas(_kernel(k, exclude_self), schema)
+        asked: dict[int, list[int]] = {}
+        for g, h in todo:
+            asked.setdefault(g, []).append(h)
+        cells = {(x, y) for g, h in todo for x in within(q_chunks, g) for y in within(c_chunks, h)}
+        q_meets = sorted({(g, y) for g, h in todo for y in within(c_chunks, h)})
+        c_meets = sorted({(h, x) for g, h in todo for x in within(q_chunks, g)})
+        known = q_rows.withColumn("floor", F.lit(-2.0)) if kth is None else \
+            q_rows.join(kth.select(F.col("query_id").alias("id"), "floor"), "id", "left")
+        met = _side(known, q_chunks, q_meets, "q_chunk", "c_chunk", len(cells), "q").join(
+            _side(c_rows, c_chunks, c_meets, "c_chunk", "q_chunk", len(cells), "c"), ["q_chunk", "c_chunk"])
+        found = met.mapInPandas(_kernel(k, exclude_self, {g: np.array(h) for g, h in asked.items()}), schema)
         merged = found if best is None else found.unionByName(best)
-        with _arrow_records(spark, row_bytes):
+        with _arrow_records(spark, 2 * block_rows * row, PAIR_BATCH_BYTES):
             done = materialize(merged.withColumn("rank", F.row_number().over(rank).cast("int"))
                                .where(F.col("rank") <= k).drop("rank"), "pivot-best")
         release(best)
         best = done
-        per_query = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") == k)
-        members = qb.select("q_grp", "q_part", F.explode("q_ids").alias("query_id"))
         release(kth)
-        kth = materialize(members.join(per_query, "query_id").select("q_grp", "q_part", "query_id", "floor"), "pivot-kth")
-        for r in kth.groupBy("q_grp").agg(F.count(F.lit(1)).alias("n"), F.min("floor").alias("floor")).collect():
-            floor[r.q_grp] = r.floor if r.n == q_groups[r.q_grp][0] else -math.inf
+        kth = materialize(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
+                          .where(F.col("n") == k).drop("n"), "pivot-kth")
+        members = q_rows.select("grp", F.col("id").alias("query_id")).join(kth, "query_id")
+        for r in members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("floor").alias("floor")).collect():
+            floor[r.grp] = r.floor if r.n == q_groups[r.grp][0] else -math.inf
         step *= GROWTH
     total = sum(n for n, _ in q_groups.values()) * sum(n for n, _ in c_groups.values())
-    for table in (c_rows, q_rows, c_sizes, q_sizes, qb, cb, kth):
+    for table in (c_rows, q_rows, c_sizes, q_sizes, kth):
         release(table)
     return PivotSearch(best.withColumn("rank", F.row_number().over(rank).cast("int")), compared, total)

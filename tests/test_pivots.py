@@ -67,3 +67,27 @@ def test_bounds_hold():
         assert [b for b, _ in pairs] == sorted((b for b, _ in pairs), reverse=True)
         for bound, h in pairs:
             assert (x[near == g] @ x[near == h].T).max() <= bound + 1e-9
+
+
+def test_chunks_are_few_and_hold_every_group():
+    rng = np.random.default_rng(5)
+    pivots = rng.normal(size=(50, 4))
+    sizes = {g: int(n) for g, n in enumerate(rng.integers(1, 120, 50))} | {7: 1050, -1: 230}
+    held = {}
+    for g, (first, parts) in P.chunks_of(pivots, sizes, 200).items():
+        assert parts == (6 if g == 7 else 2 if g == -1 else 1)
+        for c in range(first, first + parts):
+            held.setdefault(c, []).append(g)
+    assert sorted(held) == list(range(len(held))) and len(held) <= 2 * sum(sizes.values()) / 200 + 2
+    assert all(sum(sizes[g] for g in gs) <= 200 for gs in held.values() if 7 not in gs and -1 not in gs)
+    assert all(held[c] == [g] for g in (7, -1) for c in held if g in held[c])
+
+
+def test_rows_are_copied_for_chunks_not_groups(spark, monkeypatch):
+    copied = []
+    side = P._side
+    monkeypatch.setattr(P, "_side", lambda *a: copied.append(len(a[2])) or side(*a))
+    df = make(spark, np.random.default_rng(6).normal(size=(600, 12)))
+    got = P.pivot_topk(df, df, 5, exclude_self=True, pivots=20, block_rows=300, **COLUMNS)
+    assert rows(got.rows) == rows(topk_similar(df, df, 5, exclude_self=True, **COLUMNS))
+    assert max(copied) <= 20 * 4                     # (group, chunk of the other side)
