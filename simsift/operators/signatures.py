@@ -1,12 +1,14 @@
 """Approximate top-k search by sign-random-projection signatures.
 
 1. ``bands`` groups of ``bits`` random planes; the signs of a vector's projections
-   are its bucket in each band.  Candidates are grouped by (band, bucket), large
-   buckets in blocks of at most BLOCK_ROWS rows by the hash of the id.
+   are its bucket in each band.
 2. A query probes ``probes`` buckets of each band: those that are cheapest to reach by
    flipping signs, a flip costing the square of the projection (small projections
    are the likeliest to have the other sign for a near vector).
-3. Query blocks meet the candidate blocks of their buckets; cosines are computed in
+3. Both sides are cut into blocks by the hash of the id, and pairs of blocks meet in cells
+   as in ``topk``: a row is copied once for each block of the other side, however
+   many buckets a query probes.  A cell's kernel takes its candidates bucket by bucket and
+   scores them with the cell's queries that probe the bucket; cosines are computed in
    full, so every score is exact and only the choice of candidates is approximate.
    Of a pair found in several bands one row is left.
 
@@ -30,11 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from simsift.operators.pivots import PivotSearch, _kernel
-from simsift.operators.topk import _arrow_records, _normalised, topk_similar
+from simsift.operators.pivots import PivotSearch
+from simsift.operators.topk import (MAX_BLOCK_BYTES, PAIR_BATCH_BYTES, _arrow_records, _best_of_rows, _block_rows, _cells,
+                                    _normalised, _same_ids, best_pairs, topk_similar)
 from simsift.session import materialize, release
 
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 65_536       # rows of a block at most, and MAX_BLOCK_BYTES
+QUERY_ROWS = 8_192        # queries of a cell whose probes are held at a time
+COST_ROWS = 256           # and whose costs are
 SAMPLE_QUERIES = 256
 MOST_BITS = 12
 BUCKET_ROWS = 512         # rows that a bucket should hold
@@ -111,38 +116,82 @@ def fit(queries: DataFrame, candidates: DataFrame, k: int, *, query_id: str, que
     return out
 
 
-def _signed(signatures: Signatures, probe: bool):
-    """(band, bucket, id, vec) of every row, for each bucket it is in or probes."""
+def _probes(signatures: Signatures, x: np.ndarray) -> np.ndarray:
+    """``probed`` of many rows, a few at a time."""
+    parts = [signatures.probed(x[a:a + COST_ROWS]).astype(np.int16 if signatures.bits < 15 else np.int32) for a in range(0, len(x), COST_ROWS)]
+    return np.concatenate(parts)
+
+
+def _sizes(df: DataFrame, id_col: str, vec_col: str, signatures: Signatures, probe: bool) -> DataFrame:
+    """(band, bucket, n): the rows in a bucket, or that probe it."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros((signatures.bands, 1 << signatures.bits), np.int64)
         for pdf in batches:
-            for a in range(0, len(pdf), 1024):
-                part = pdf.iloc[a:a + 1024]
-                if {len(v) for v in part["vec"]} != {len(signatures.planes)}:
+            for a in range(0, len(pdf), COST_ROWS):
+                vecs = pdf["vec"].iloc[a:a + COST_ROWS]
+                if {len(v) for v in vecs} != {len(signatures.planes)}:
                     raise ValueError("vectors of different lengths cannot be compared")
-                x = _normalised(np.concatenate(part["vec"].to_numpy()), len(part))
+                x = _normalised(np.concatenate(vecs.to_numpy()), len(vecs))
                 at = signatures.probed(x) if probe else signatures.buckets(x)[:, :, None]
-                for b in range(signatures.bands):
-                    many = at.shape[2]
-                    yield pd.DataFrame({"band": np.int32(b), "bucket": at[:, b, :].ravel().astype(np.int32),
-                                        "id": part["id"].repeat(many).to_numpy(), "vec": part["vec"].repeat(many).to_numpy()})
-    return run
-
-
-def _blocks(df: DataFrame, id_col: str, vec_col: str, signatures: Signatures, probe: bool, tag: str):
-    """(blocks, sizes): the blocks of every (band, bucket), and its number of rows."""
+                for band in range(signatures.bands):
+                    n[band] += np.bincount(at[:, band].ravel(), minlength=n.shape[1])
+        band, bucket = np.nonzero(n)
+        yield pd.DataFrame({"band": band.astype(np.int32), "bucket": bucket.astype(np.int32), "n": n[band, bucket]})
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null")
-    schema = T.StructType([T.StructField("band", T.IntegerType()), T.StructField("bucket", T.IntegerType()),
-                           rows.schema["id"], rows.schema["vec"]])
-    made = rows.mapInPandas(_signed(signatures, probe), schema)
     # At most bands * 2^MOST_BITS rows.
-    sizes = materialize(rows.mapInPandas(_signed(signatures, probe), schema).groupBy("band", "bucket")
-                        .agg(F.count(F.lit(1)).alias("n")), "signature-sizes")
-    parts = sizes.select("band", "bucket", F.ceil(F.col("n") / BLOCK_ROWS).alias("parts"))
-    blocks = made.join(F.broadcast(parts), ["band", "bucket"]) \
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))) \
-        .groupBy("band", "bucket", "part").agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("x")) \
-        .select("band", "bucket", F.col("x.id").alias(f"{tag}_ids"), F.flatten("x.vec").alias(f"{tag}_vecs"))
-    return blocks, sizes
+    return materialize(rows.select("vec").mapInPandas(run, "band int, bucket int, n long")
+                       .groupBy("band", "bucket").agg(F.sum("n").alias("n")), "signature-sizes")
+
+
+def _met(signatures: Signatures, X: np.ndarray, Y: np.ndarray, qi: np.ndarray, ci: np.ndarray, k: int, exclude_self: bool):
+    """(row, column, score) of the best ``k`` columns of each row among those it meets."""
+    at = signatures.buckets(Y)
+    by = [np.argsort(at[:, b], kind="stable") for b in range(signatures.bands)]
+    start = [np.searchsorted(at[o, b], np.arange((1 << signatures.bits) + 1)) for b, o in enumerate(by)]
+    probed = _probes(signatures, X)
+    floor, held, new, count = np.full(len(X), -2.0), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+
+    def merged():
+        rows, cols, scores = (np.concatenate(x) for x in zip(held, *new))
+        once = np.unique(rows * len(Y) + cols, return_index=True)[1]
+        rows, cols, scores, place = _best_of_rows(rows[once], cols[once], scores[once], k)
+        full = place == k - 1
+        floor[rows[full]] = scores[full]
+        return rows, cols, scores
+    for b in range(signatures.bands):
+        buckets = probed[:, b].ravel()
+        order = np.argsort(buckets, kind="stable")
+        edges = np.searchsorted(buckets[order], np.arange((1 << signatures.bits) + 1))
+        for bucket in range(1 << signatures.bits):
+            cols = by[b][start[b][bucket]:start[b][bucket + 1]]             # ascending, as ids are
+            mine = order[edges[bucket]:edges[bucket + 1]] // probed.shape[2]
+            if not len(cols) or not len(mine):
+                continue
+            cut = _same_ids(qi[mine], ci[cols]) if exclude_self else None
+            r, c, scores, _ = best_pairs(X[mine], Y[cols], k, floor[mine], cut)
+            new.append((mine[r], cols[c], scores))
+            count += len(r)
+            if count >= 4 * k * len(X):
+                held = merged()
+                new, count = [], 0
+    return merged()
+
+
+def _kernel(signatures: Signatures, k: int, exclude_self: bool):
+    """Of each cell the (query_id, cand_id, score) of pairs that meet, at most k a query."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                if {int(r.q_dmin), int(r.q_dmax), int(r.c_dmin), int(r.c_dmax)} != {len(signatures.planes)}:
+                    raise ValueError("vectors of different lengths cannot be compared")
+                qi, ci = np.asarray(r.q_ids), np.asarray(r.c_ids)
+                order = np.argsort(ci, kind="stable")
+                ci = ci[order]
+                Q, C = _normalised(r.q_vecs, len(qi)), _normalised(r.c_vecs, len(order))[order]
+                for a in range(0, len(qi), QUERY_ROWS):
+                    rows, cols, scores = _met(signatures, Q[a:a + QUERY_ROWS], C, qi[a:a + QUERY_ROWS], ci, k, exclude_self)
+                    yield pd.DataFrame({"query_id": qi[a + rows], "cand_id": ci[cols], "score": scores})
+    return run
 
 
 def signature_topk(queries: DataFrame, candidates: DataFrame, k: int, *, query_id: str, query_vec: str, cand_id: str,
@@ -160,23 +209,28 @@ def signature_topk(queries: DataFrame, candidates: DataFrame, k: int, *, query_i
     spark = queries.sparkSession
     if signatures is None:
         return PivotSearch(spark.createDataFrame([], T.StructType([*schema, T.StructField("rank", T.IntegerType())])), 0, 0)
-    cb, c_sizes = _blocks(candidates, cand_id, cand_vec, signatures, False, "c")
-    qb, q_sizes = _blocks(queries, query_id, query_vec, signatures, True, "q")
+    c_sizes = _sizes(candidates, cand_id, cand_vec, signatures, False)
+    q_sizes = _sizes(queries, query_id, query_vec, signatures, True)
     counts = q_sizes.join(c_sizes.withColumnRenamed("n", "m"), ["band", "bucket"], "left") \
         .agg(F.sum(F.col("n") * F.coalesce("m", F.lit(0))).alias("met")).first().met
     sizes = [s.where("band = 0").agg(F.sum("n")).first()[0] or 0 for s in (q_sizes, c_sizes)]
-    met = qb.join(cb, ["band", "bucket"]).select(
-        "q_ids", "q_vecs", "c_ids", "c_vecs", F.lit(None).cast("array<long>").alias("known"),
-        F.lit(None).cast("array<double>").alias("floors"))
-    with _arrow_records(spark, 16 * BLOCK_ROWS * (len(signatures.planes) + 2)):
-        found = materialize(met.mapInPandas(_kernel(k, exclude_self), schema), "signature-found")
+    nq, nc = sizes[0] // signatures.probes, sizes[1]
+    row = 8 * (len(signatures.planes) + 1)
+    limit = max(1, min(BLOCK_ROWS, MAX_BLOCK_BYTES // row))
+    cores = spark.sparkContext.defaultParallelism
+    q_rows, c_rows = _block_rows(nq, limit, cores), _block_rows(nc, limit, cores)
+    q_blocks, c_blocks = max(1, math.ceil(nq / q_rows)), max(1, math.ceil(nc / c_rows))
+    met = _cells(queries, query_id, query_vec, "q_blk", "c_blk", q_blocks, c_blocks, "q").join(
+        _cells(candidates, cand_id, cand_vec, "c_blk", "q_blk", c_blocks, q_blocks, "c"), ["q_blk", "c_blk"])
+    with _arrow_records(spark, (q_rows + c_rows) * row, PAIR_BATCH_BYTES):
+        found = materialize(met.mapInPandas(_kernel(signatures, k, exclude_self), schema), "signature-found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "cand_id")
     rows = found.groupBy("query_id", "cand_id").agg(F.max("score").alias("score")) \
         .withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     rows = materialize(rows, "signature-topk")
     for table in (found, q_sizes, c_sizes):
         release(table)
-    return PivotSearch(rows, int(counts or 0), sizes[0] // signatures.probes * sizes[1])
+    return PivotSearch(rows, int(counts or 0), nq * nc)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -53,3 +53,21 @@ def test_probes_are_the_cheapest_flips():
     probes = S.needed_probes(s, x, near, 0.9)
     met = np.mean([any(s.buckets(near)[i, b] in np.argsort(s.costs(x)[i, b])[:probes] for b in range(2)) for i in range(20)])
     assert met >= 0.9
+
+
+def test_cell_meets_bucket_by_bucket(monkeypatch):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(60, 6)), rng.normal(size=(300, 6))
+    y[40:200] = y[0]
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y))
+    s = S.Signatures(rng.normal(size=(6, 9)), 3, 3, 3)
+    qi, ci = np.arange(60), np.arange(300)
+    met = (s.probed(x)[:, :, :, None] == s.buckets(y).T[None, :, None, :]).any(axis=(1, 2))
+    scores = np.where(met & (qi[:, None] != ci), np.round(np.clip(x @ y.T, -1, 1), 12), -np.inf)
+    for rows_at_once in (7, 256):
+        monkeypatch.setattr(S, "COST_ROWS", rows_at_once)
+        got = {}
+        for r, c, v in zip(*S._met(s, x, y, qi, ci, 4, True)):
+            got.setdefault(int(r), []).append(int(c))
+        want = {r: [int(c) for c in np.argsort(-scores[r], kind="stable")[:4] if scores[r, c] > -2] for r in range(60)}
+        assert got == {r: c for r, c in want.items() if c}
