@@ -254,10 +254,17 @@ def exact_quantile(df: DataFrame, col: str, q: float = 0.25, groups: list[str] =
                          .alias(f"q{int(round(q * 100))}"))
 
 
+def _values(df: DataFrame, col: str) -> DataFrame:
+    """The finite values of a column as a written table (``_v double``), so that
+    passes over them do not recompute upstream."""
+    return materialize(df.where(_finite(col)).select(F.col(col).cast("double").alias("_v")), "values")
+
+
 def score_histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Density histogram over [min, max] with the last bin closed, matching
-    the usual edge rule (edges min + i * (max - min) / bins)."""
-    vals = df.where(_finite(col)).select(F.col(col).cast("double").alias("_v"))
+    the usual edge rule (edges min + i * (max - min) / bins).  The column is
+    written once: the range and the counts both read it."""
+    vals = _values(df, col)
     st = vals.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
                   F.count(F.lit(1)).alias("n")).first()
     if not st["n"]:

@@ -100,6 +100,20 @@ def test_histogram_and_kde(spark):
     assert np.allclose([r.density for r in k], exp)
 
 
+@pytest.mark.parametrize("metric", [MT.score_histogram, MT.exact_quantile])
+def test_scores_are_computed_once(spark, metric):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+    v = np.arange(50.0)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").mapInPandas(count, "v double")
+    assert metric(df, "v").collect()
+    assert seen.value == 50
+
+
 def test_best_by_rules(spark):
     rows = [(1, 0.7), (2, float("nan")), (3, 0.9), (4, 0.9)]
     df = spark.createDataFrame(rows, "epoch int, auc double")
