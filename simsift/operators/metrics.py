@@ -300,8 +300,9 @@ def score_kde(df: DataFrame, col: str, points: int = 100) -> DataFrame:
     Scott bandwidth n^(-1/5) times the sample standard deviation.
 
     An Arrow kernel sums the grid over each partition's values, so ``points``
-    rows per partition leave it and nothing of size n x points exists."""
-    vals = df.where(_finite(col)).select(F.col(col).cast("double").alias("_v"))
+    rows per partition leave it and nothing of size n x points exists.  The
+    column is written once: the range and the sums both read it."""
+    vals = _values(df, col)
     st = vals.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
                   F.count(F.lit(1)).alias("n"), F.stddev_samp("_v").alias("sd")).first()
     bw = None if st["sd"] is None else st["sd"] * float(st["n"]) ** -0.2

@@ -100,7 +100,7 @@ def test_histogram_and_kde(spark):
     assert np.allclose([r.density for r in k], exp)
 
 
-@pytest.mark.parametrize("metric", [MT.score_histogram, MT.exact_quantile])
+@pytest.mark.parametrize("metric", [MT.score_histogram, MT.score_kde, MT.exact_quantile])
 def test_scores_are_computed_once(spark, metric):
     seen = spark.sparkContext.accumulator(0)
 
