@@ -161,3 +161,19 @@ def test_best_pairs_are_those_of_all_scores(monkeypatch, tile):
         rows, cols, _, place = TK.best_pairs(q, c, 6, floor - 1e-11, cut)
         assert list(zip(rows.tolist(), cols.tolist())) == want
         assert place.max() == 5
+
+
+def test_few_pairs_are_scored_again(monkeypatch):
+    from simsift.operators import topk as TK
+    scored = []
+
+    def counted(Q, C, rows, cols, plain=TK.exact_scores):
+        scored.append(len(rows))
+        return plain(Q, C, rows, cols)
+    monkeypatch.setattr(TK, "exact_scores", counted)
+    rng = np.random.default_rng(2)
+    q, c = (TK._normalised(rng.normal(size=n * 16), n) for n in (300, 1024))
+    rows, cols, _, place = TK.best_pairs(q, c, 20)
+    assert [*zip(rows, place)] == [(r, p) for r in range(300) for p in range(20)]
+    assert (cols.reshape(300, 20) == TK.block_topk(np.round(np.clip(q @ c.T, -1, 1), 12), 20)[0]).all()
+    assert sum(scored) < 22 * 300                    # a threshold from half of the tile let 40 through
